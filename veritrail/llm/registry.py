@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..runtime import table
 from .bpe_tree import bpe_digests
 from .token_blocks import token_blocks
+from .decontaminate import ORACLE as DECONTAMINATION_SQL
+from .decontaminate import contamination
+from .simhash_anchors import near_duplicates
 from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,14 +25,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_blocks, op2_token_counts, op8_bpe_tree]
+    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op8_bpe_tree]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": DECONTAMINATION_SQL}
