@@ -11,6 +11,7 @@ from .bpe_tree import bpe_digests
 from .token_blocks import token_blocks
 from .decontaminate import ORACLE as DECONTAMINATION_SQL
 from .decontaminate import contamination
+from .line_templates import line_digests
 from .simhash_anchors import near_duplicates
 from .token_counts import token_counts
 
@@ -33,12 +34,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op8_bpe_tree]
+    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op6_line_templates, op8_bpe_tree]
     return {f.__name__: f for f in found}
 
 
