@@ -14,6 +14,8 @@ from .decontaminate import contamination
 from .line_templates import line_digests
 from .simhash_anchors import near_duplicates
 from .token_counts import token_counts
+from .topk_postings import ORACLE as TOPK_SQL
+from .topk_postings import top_k_self
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,14 +40,18 @@ def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_topk_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_self(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op6_line_templates, op8_bpe_tree]
+    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op6_line_templates, op7_topk_postings, op8_bpe_tree]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": DECONTAMINATION_SQL}
+    return {"op4_decontamination": DECONTAMINATION_SQL, "op7_topk_postings": TOPK_SQL}
