@@ -12,6 +12,7 @@ from .token_blocks import token_blocks
 from .decontaminate import ORACLE as DECONTAMINATION_SQL
 from .decontaminate import contamination
 from .line_templates import line_digests
+from .quality_compress import quality
 from .simhash_anchors import near_duplicates
 from .token_counts import token_counts
 from .topk_postings import ORACLE as TOPK_SQL
@@ -48,8 +49,12 @@ def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op6_line_templates, op7_topk_postings, op8_bpe_tree]
+    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op6_line_templates, op7_topk_postings, op8_bpe_tree, op9_quality]
     return {f.__name__: f for f in found}
 
 
