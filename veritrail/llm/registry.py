@@ -13,6 +13,7 @@ from .decontaminate import ORACLE as DECONTAMINATION_SQL
 from .decontaminate import contamination
 from .line_templates import line_digests
 from .quality_compress import quality
+from .secret_worklist import secret_digests
 from .simhash_anchors import near_duplicates
 from .token_counts import token_counts
 from .topk_postings import ORACLE as TOPK_SQL
@@ -53,8 +54,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op6_line_templates, op7_topk_postings, op8_bpe_tree, op9_quality]
+    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op6_line_templates, op7_topk_postings, op8_bpe_tree, op9_quality, op10_secret_worklist]
     return {f.__name__: f for f in found}
 
 
