@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Chunks remembered by one Python worker before it starts anew; bounds its memory to a few hundred MB.
 REMEMBERED = 800_000
@@ -27,25 +28,52 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function from a batch to columns by name. ``make`` runs once in each task."""
-    names = [part.split()[0] for part in schema.split(", ")]
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``mapInArrow`` with a function from a batch to columns by name. ``make`` runs once in each task.
+
+    Columns named in ``carry`` pass through unchanged behind those of ``schema``.
+    """
+    fields = T.StructType(T.StructType.fromDDL(schema).fields + [df.schema[c] for c in carry])
+    names = fields.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = make()
         for batch in batches:
-            if batch.num_rows and (out := convert(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names=names)
+            if batch.num_rows:
+                out = convert(batch) | {c: batch.column(c) for c in carry}
+                yield pa.RecordBatch.from_arrays([out[n] for n in names], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, fields)
 
 
-class ChunkMemory:
-    """What ``compute`` gives for chunks of text, remembered within one Python worker.
+class _OneByOne(dict):
+    """Finds the value of an absent chunk on its own."""
 
-    ``compute`` takes a list of distinct chunks and returns a value for each. Invented or rare words are many, frequent
-    ones few, so most chunks of a batch are known already.
-    """
+    def __init__(self, one: Callable[[str], object], lead: str):
+        self.one, self.lead = one, lead
+
+    def __missing__(self, chunk: str) -> object:
+        value = self[chunk] = self.one(self.lead + chunk)
+        return value
+
+
+class EachChunk:
+    """What ``one`` gives for chunks of text, remembered within one Python worker."""
+
+    def __init__(self, one: Callable[[str], object]):
+        self.first, self.later = _OneByOne(one, ""), _OneByOne(one, " ")
+
+    def values(self, texts: list[str]) -> list[list]:
+        """For each text the values of its chunks, in order."""
+        if len(self.first) + len(self.later) > REMEMBERED:
+            self.first.clear()
+            self.later.clear()
+        first, later = self.first, self.later.__getitem__
+        return [[first[p[0]], *map(later, p[1:])] for p in map(_CUT.split, texts)]
+
+
+class ChunkMemory:
+    """The same for a ``compute`` that takes many distinct chunks at once and returns a value for each."""
 
     def __init__(self, compute: Callable[[list[str]], Iterable]):
         self.compute, self.first, self.later = compute, {}, {}

@@ -158,15 +158,15 @@ def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple]]:
         yield list(map(tuple, dealt.where(F.col("block") == k).select("item_id", "text").collect()))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
 
     A null or empty text has no words; an item without words has no window; an empty benchmark hits nothing. Repeated
     items and windows count once, repeated documents each for itself. An item with a null id hits words but is not
-    listed.
+    listed. Columns of docs named in ``carry`` pass through.
     """
     spark = prepare(docs.sparkSession)
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<long>").alias("items"))
+    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<long>").alias("items"), *carry)
     source = state
     for number, items in enumerate(_blocks(benchmark, BLOCK_WINDOWS * 8)):
         if number:
@@ -202,8 +202,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
             return convert
 
-        state = map_batches(state.select("doc_id", "text", "hits", "items"), make, "doc_id long, text string, hits binary, items array<long>, n_words long, n_hit long, items_sha256 string")
-    return state.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+        state = map_batches(state.select("doc_id", "text", "hits", "items", *carry), make, "doc_id long, text string, hits binary, items array<long>, n_words long, n_hit long, items_sha256 string", carry)
+    return state.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), *carry)
 
 
 ORACLE = r"""

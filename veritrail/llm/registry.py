@@ -11,6 +11,7 @@ from .bpe_tree import bpe_digests
 from .token_blocks import token_blocks
 from .decontaminate import ORACLE as DECONTAMINATION_SQL
 from .decontaminate import contamination
+from .language_crf import languages
 from .line_templates import line_digests
 from .quality_compress import quality
 from .secret_worklist import secret_digests
@@ -38,6 +39,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op6_line_templates, op7_topk_postings, op8_bpe_tree, op9_quality, op10_secret_worklist]
+    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op5_language_crf, op6_line_templates, op7_topk_postings, op8_bpe_tree, op9_quality, op10_secret_worklist]
     return {f.__name__: f for f in found}
 
 
