@@ -6,8 +6,8 @@ form comes first and stands for it, so templates don't drift and don't depend on
 occurs in two documents or more is recurring: its lines stay in the document with the smallest id and are dropped from
 all others. Lines under three tokens are left alone, they coincide by chance.
 
-What moves is small: per distinct line form one 4-byte hash a token; per line its leaf and form. Texts are joined once
-with the places to drop.
+What moves is small: per distinct line form one 2-byte hash a token (unlike tokens look alike once in 65,536); per line
+its leaf and form. Texts are joined once with the places to drop.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ ALIKE = 0.8
 MIN_TOKENS = 3
 #: Bytes of text taken apart together.
 TOGETHER = 1 << 21
+#: Memory for line forms that a task sums up before it hands them on.
+HELD_BYTES = 64_000_000
 
 _SPACES = bytes(0x20 if b in b"\t\x0b\x0c\r" else b for b in range(256))
 _FIELD = np.uint64(0x5DEECE66D1234567)
@@ -93,13 +95,33 @@ def _groups(texts: list[bytes]) -> Iterator[slice]:
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line forms with their tokens, lowest and highest doc_id, and how many lines; summed up within the task first."""
+    held: dict[tuple[int, int], list] = {}
+    size = 0
+
+    def flushed() -> pa.RecordBatch:
+        keys, rows = np.array(list(held), np.uint64).reshape(-1, 2).view(np.int64), list(held.values())
+        longs = [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([r[0] for r in rows], pa.binary()), *longs], names=["leaf", "form", "tokens", "low", "high", "n"])
+
     for batch in batches:
-        texts, doc_ids = [t.encode() for t in batch.column("text").to_pylist()], batch.column("doc_id")
+        texts, doc_ids = [t.encode() for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
         for part in _groups(texts):
             x = Lines(texts[part])
-            tokens = (x.token >> np.uint64(32)).astype(np.uint32)
-            own = pa.array([tokens[f : f + n].tobytes() for f, n in zip(x.first.tolist(), x.n.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x.leaf.view(np.int64)), pa.array(x.form.view(np.int64)), own, doc_ids.take(pa.array(x.text + part.start))], names=["leaf", "form", "tokens", "doc_id"])
+            tokens = (x.token >> np.uint64(48)).astype(np.uint16)
+            for leaf, form, text, first, n in zip(x.leaf.tolist(), x.form.tolist(), x.text.tolist(), x.first.tolist(), x.n.tolist(), strict=True):
+                doc_id = doc_ids[text + part.start]
+                row = held.get((leaf, form))
+                if row is None:
+                    held[leaf, form] = [tokens[first : first + n].tobytes(), doc_id, doc_id, 1]
+                    size += 2 * n + 400
+                    continue
+                row[1], row[2], row[3] = min(row[1], doc_id), max(row[2], doc_id), row[3] + 1
+            if size > HELD_BYTES:
+                yield flushed()
+                held, size = {}, 0
+    if held:
+        yield flushed()
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,46 +133,77 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(x.number.astype(np.int32)), pa.array(x.leaf.view(np.int64)), pa.array(x.form.view(np.int64))], names=["doc_id", "text_key", "line", "leaf", "form"])
 
 
+class Leaf:
+    """Templates of one leaf, as the token hashes of the form that stands for each, with their lowest and highest doc_id."""
+
+    def __init__(self, width: int):
+        self.reps = np.zeros((4, width), np.uint16)
+        self.low: list[int] = []
+        self.high: list[int] = []
+        self.forms: list[int] = []
+        self.template: list[int] = []
+
+    def add(self, form: int, tokens: bytes, low: int, high: int) -> None:
+        row, n = np.frombuffer(tokens, np.uint16), len(self.low)
+        best = -1
+        if n:
+            agree = (self.reps[:n] == row).mean(axis=1)
+            best = int(agree.argmax())
+            if agree[best] < ALIKE:
+                best = -1
+        if best < 0:
+            if n == len(self.reps):
+                self.reps = np.concatenate((self.reps, np.zeros_like(self.reps)))
+            self.reps[n] = row
+            self.low.append(low)
+            self.high.append(high)
+            best = n
+        else:
+            self.low[best], self.high[best] = min(self.low[best], low), max(self.high[best], high)
+        self.forms.append(form)
+        self.template.append(best)
+
+    def recurring(self) -> list[tuple[int, int]]:
+        return [(f, self.low[t]) for f, t in zip(self.forms, self.template, strict=True) if self.low[t] != self.high[t]]
+
+
 def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forms sorted by leaf, the most frequent first: (leaf, form, template), template = form of its first line."""
-    leaf, reps, names = None, None, []
+    """From forms sorted by leaf, the most frequent first: (leaf, form, keep) of forms whose template recurs."""
+    open_leaf, leaf = None, None
+
+    def rows(of: list[int], forms: list[int], keep: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (of, forms, keep)], names=["leaf", "form", "keep"])
+
     for batch in batches:
-        leaves, forms, tokens = (batch.column(c) for c in ("leaf", "form", "tokens"))
-        of = leaves.to_numpy(zero_copy_only=False)
-        own = forms.to_numpy(zero_copy_only=False)
-        template = own.copy()
+        of, forms, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "form", "low", "high"))
+        tokens = batch.column("tokens")
         same = np.zeros(len(of), bool)
         same[1:] = of[1:] == of[:-1]
-        same[:1] = leaf is not None and of[0] == leaf
-        more = np.append(same[1:], True)  # another form of this leaf may follow, in this batch or the next
-        for k in np.flatnonzero(same | more).tolist():
-            row = np.frombuffer(tokens[k].as_py(), np.uint32)
+        same[0] = open_leaf is not None and of[0] == open_leaf
+        alone = ~same & ~np.append(same[1:], True)  # the last row's leaf may go on in the next batch
+        at = np.flatnonzero(alone & (low != high))
+        out = [of[at].tolist(), forms[at].tolist(), low[at].tolist()]
+        for k in np.flatnonzero(~alone).tolist():
             if not same[k]:
-                reps, names = row[None, :].copy(), [own[k]]
-                continue
-            agree = (reps[: len(names)] == row).mean(axis=1)
-            best = int(agree.argmax())
-            if agree[best] >= ALIKE:
-                template[k] = names[best]
-                continue
-            if len(names) == len(reps):
-                reps = np.concatenate((reps, np.zeros((max(4, len(reps)), len(row)), np.uint32)))
-            reps[len(names)] = row
-            names.append(own[k])
-        leaf = of[-1] if len(of) else leaf
-        yield pa.RecordBatch.from_arrays([leaves, forms, pa.array(template)], names=["leaf", "form", "template"])
+                if leaf is not None and (found := leaf.recurring()):
+                    out = [out[0] + [int(open_leaf)] * len(found), out[1] + [f for f, _ in found], out[2] + [x for _, x in found]]
+                leaf, open_leaf = Leaf(len(tokens[k].as_py()) // 2), of[k]
+            leaf.add(int(forms[k]), tokens[k].as_py(), int(low[k]), int(high[k]))
+        if out[0]:
+            yield rows(*out)
+    if leaf is not None and (found := leaf.recurring()):
+        yield rows([int(open_leaf)] * len(found), [f for f, _ in found], [x for _, x in found])
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
-    """leaf, form, keep: the line forms of templates that occur in two documents or more, and the document they stay in."""
+    """leaf, form, keep: the line forms of templates that occur in two documents or more, and the document they stay in.
+
+    Forms are summed up in each task, then dealt by leaf once: that shuffle serves the counts and the templates.
+    """
     prepare(docs.sparkSession)
-    own = docs.select("doc_id", "text").mapInArrow(_forms, "leaf long, form long, tokens binary, doc_id long")
-    forms = stored(own.groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "line-forms")
-    ordered = forms.select("leaf", "form", "tokens", "n").repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "form")
-    template = ordered.mapInArrow(_assign, "leaf long, form long, template long")
-    joined = template.join(forms.drop("tokens", "n"), ["leaf", "form"])
-    across = joined.groupBy("leaf", "template").agg(F.min("low").alias("keep"), F.max("high").alias("high")).where("keep <> high")
-    return joined.select("leaf", "form", "template").join(across.select("leaf", "template", "keep"), ["leaf", "template"]).select("leaf", "form", "keep")
+    own = docs.select("doc_id", "text").mapInArrow(_forms, "leaf long, form long, tokens binary, low long, high long, n long")
+    forms = own.repartition("leaf").groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return forms.sortWithinPartitions("leaf", F.desc("n"), "form").mapInArrow(_assign, "leaf long, form long, keep long")
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
