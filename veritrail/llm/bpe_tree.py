@@ -16,8 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
-from itertools import chain
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..runtime import prepare
-from .batches import REMEMBERED, ChunkMemory, doc_columns, map_batches
+from .batches import REMEMBERED, EachChunk, doc_columns, map_batches
 from .token_counts import PRE_TOKEN
 
 LEAF_BYTES = 8
@@ -131,22 +130,26 @@ class _Chunks:
     def __init__(self, encoder: TreeEncoder):
         self.encoder, self.known = encoder, {}
 
-    def __call__(self, chunks: list[str]) -> Iterator[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        pre = [PRE_TOKEN.findall(c) for c in chunks]
-        for piece in set(chain.from_iterable(pre)).difference(self.known):
-            self.known[piece] = np.array(self.encoder.encode(piece.encode()), np.uint32).tobytes()
-        return (b"".join(map(self.known.__getitem__, p)) for p in pre)
+    def __call__(self, chunk: str) -> bytes:
+        pre = PRE_TOKEN.findall(chunk)
+        out = []
+        for piece in pre:
+            ids = self.known.get(piece)
+            if ids is None:
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+                ids = self.known[piece] = array("I", self.encoder.encode(piece.encode())).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
 
-_memory: dict[str, tuple[TreeEncoder, ChunkMemory]] = {}
+_memory: dict[str, tuple[TreeEncoder, EachChunk]] = {}
 
 
-def _loaded(path: str) -> tuple[TreeEncoder, ChunkMemory]:
+def _loaded(path: str) -> tuple[TreeEncoder, EachChunk]:
     if path not in _memory:
         encoder = TreeEncoder(path)
-        _memory[path] = encoder, ChunkMemory(_Chunks(encoder))
+        _memory[path] = encoder, EachChunk(_Chunks(encoder))
     return _memory[path]
 
 

@@ -15,7 +15,10 @@ bits keep their low bits in place and stand in full in the exception list.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import prepare, stored
-from .batches import ChunkMemory, doc_columns, map_batches
+from .batches import REMEMBERED, EachChunk, doc_columns, map_batches
+from .token_counts import byte_letters
 
 BLOCK = 256
 PERCENTILE = 0.92
@@ -125,25 +129,52 @@ def read_segment(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     return doc_ids, np.frombuffer(image[length:index], np.uint32), unpack_blocks(starts, image[index + 8 * (blocks + 1) :], n_ids)
 
 
-_memory: dict[tuple, ChunkMemory] = {}
+#: A space perhaps, a run of Latin-1 letters, and ASCII signs, but none that begin a contraction or a special string.
+_WORD = re.compile(r" ?([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+_LETTERS = {b: c for b, c in enumerate(byte_letters()) if chr(b) != c}
 
 
-def _encoder(path: str) -> ChunkMemory:
-    """The library's ids of chunks as bytes. This tokenizer's normaliser and splitter never look past a space."""
-    if path not in _memory:
-        import os
+class _Encoder:
+    """The library's ids of chunks, as bytes. This tokenizer's normaliser and splitter never look past a space.
+
+    Most chunks are a word and perhaps signs. On Latin-1 letters the normaliser only lowers them, and the splitter parts
+    letters from signs, so such a chunk is the word's ids, from the library's model, and the signs' ids, each found once.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(path)
+        self.model, self.words, self.signs = self.library.model, {}, {"": b""}
+
+    def whole(self, chunk: str) -> bytes:
+        return array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-        def compute(chunks: list[str]) -> Iterator[bytes]:
-            for k in range(0, len(chunks), 4096):
-                for e in library.encode_batch_fast(chunks[k : k + 4096], add_special_tokens=False):
-                    yield np.array(e.ids, np.uint32).tobytes()
+    def __call__(self, chunk: str) -> bytes:
+        found = _WORD.fullmatch(chunk)
+        if found is None:
+            return self.whole(chunk)
+        word, sign = found.groups()
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+            self.signs = {"": b""}
+        word = word.lower()
+        ids = self.words.get(word)
+        if ids is None:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if sign not in self.signs:
+            self.signs[sign] = self.whole(sign)
+        return ids + self.signs[sign]
 
-        _memory[path] = ChunkMemory(compute)
+
+_memory: dict[str, EachChunk] = {}
+
+
+def _encoder(path: str) -> EachChunk:
+    if path not in _memory:
+        _memory[path] = EachChunk(_Encoder(path))
     return _memory[path]
 
 
