@@ -1,17 +1,23 @@
-"""The queries over the reference operators and the SQL that gives the same rows."""
+"""All queries over the reference operators, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from . import rank_queries, search_queries, store_queries, text_queries
+from .base import QUERIES, SQL, Query
+
+__all__ = ["flagship", "oracle_sql", "queries", "rank_queries", "search_queries", "store_queries", "text_queries"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search: BM25 and dense, fused."""
+    return search_queries.i5_hybrid_search(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
