@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rank_queries, search_queries, store_queries, text_queries
+from . import plugin_queries, rank_queries, search_queries, store_queries, text_queries
 from .base import QUERIES, SQL, Query
 
-__all__ = ["flagship", "oracle_sql", "queries", "rank_queries", "search_queries", "store_queries", "text_queries"]
+__all__ = ["flagship", "oracle_sql", "plugin_queries", "queries", "rank_queries", "search_queries", "store_queries", "text_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
