@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Chunks remembered by one Python worker before it starts anew; bounds its memory to a few hundred MB.
-REMEMBERED = 800_000
+#: Entries of one generation of a worker's memory; two generations stay below a hundred MB.
+REMEMBERED = 150_000
 
 # A space between two characters that are not white space. No match of the usual pre-token patterns holds one
 # anywhere but at its start, so cutting there changes no match.
@@ -46,28 +49,54 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, fields)
 
 
-class _OneByOne(dict):
-    """Finds the value of an absent chunk on its own."""
+_kept: dict[tuple, object] = {}
 
-    def __init__(self, one: Callable[[str], object], lead: str):
-        self.one, self.lead = one, lead
 
-    def __missing__(self, chunk: str) -> object:
-        value = self[chunk] = self.one(self.lead + chunk)
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in this Python worker for its next task, until another operator's turn comes.
+
+    Workers outlive a stage; one slot keeps the memories of several operators from adding up, and what it held goes
+    back to the system.
+    """
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        _kept[key] = make()
+    return _kept[key]
+
+
+class Memory(dict):
+    """Values by key, found when first asked for. What was not asked for during a generation or two is forgotten."""
+
+    def __init__(self, find: Callable[[str], object], limit: int = REMEMBERED):
+        self.find, self.limit, self.old = find, limit, {}
+
+    def __missing__(self, key: str) -> object:
+        value = self.old.get(key)
+        if value is None:
+            value = self.find(key)
+        self[key] = value
         return value
 
+    def age(self) -> None:
+        """Begin a new generation if this one is full."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
 
 class EachChunk:
     """What ``one`` gives for chunks of text, remembered within one Python worker."""
 
     def __init__(self, one: Callable[[str], object]):
-        self.first, self.later = _OneByOne(one, ""), _OneByOne(one, " ")
+        self.first, self.later = Memory(one), Memory(lambda chunk: one(" " + chunk))
 
     def values(self, texts: list[str]) -> list[list]:
         """For each text the values of its chunks, in order."""
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first.clear()
-            self.later.clear()
+        self.first.age()
+        self.later.age()
         first, later = self.first, self.later.__getitem__
         return [[first[p[0]], *map(later, p[1:])] for p in map(_CUT.split, texts)]
 
@@ -76,20 +105,20 @@ class ChunkMemory:
     """The same for a ``compute`` that takes many distinct chunks at once and returns a value for each."""
 
     def __init__(self, compute: Callable[[list[str]], Iterable]):
-        self.compute, self.first, self.later = compute, {}, {}
+        self.compute, self.first, self.later = compute, Memory(None), Memory(None)
 
     def values(self, texts: list[str]) -> list[list]:
         """For each text the values of its chunks, in order."""
         parts = [_CUT.split(t) for t in texts]
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first.clear()
-            self.later.clear()
+        self.first.age()
+        self.later.age()
         for memory, lead, some in ((self.first, "", (p[:1] for p in parts)), (self.later, " ", (p[1:] for p in parts))):
             missing: set[str] = set()
             for p in some:
                 missing.update(set(p).difference(memory))
-            if missing:
-                order = list(missing)
+            again = missing.intersection(memory.old)
+            memory.update((x, memory.old[x]) for x in again)
+            if order := list(missing - again):
                 memory.update(zip(order, self.compute([lead + x for x in order]), strict=True))
         first, later = self.first, self.later
         return [[first[p[0]], *map(later.__getitem__, p[1:])] for p in parts]

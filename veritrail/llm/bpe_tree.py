@@ -15,6 +15,7 @@ already, hence only the two borders of the window need the test.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from array import array
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..runtime import prepare
-from .batches import REMEMBERED, EachChunk, doc_columns, map_batches
+from .batches import REMEMBERED, EachChunk, Memory, doc_columns, kept, map_batches
 from .token_counts import PRE_TOKEN
 
 LEAF_BYTES = 8
@@ -128,61 +129,77 @@ class _Chunks:
     """Chunks to ids as bytes, by distinct pre-token."""
 
     def __init__(self, encoder: TreeEncoder):
-        self.encoder, self.known = encoder, {}
+        self.encoder = encoder
+        self.known = Memory(lambda piece: array("I", encoder.encode(piece.encode())).tobytes())
 
     def __call__(self, chunk: str) -> bytes:
-        pre = PRE_TOKEN.findall(chunk)
-        out = []
-        for piece in pre:
-            ids = self.known.get(piece)
-            if ids is None:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                ids = self.known[piece] = array("I", self.encoder.encode(piece.encode())).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        self.known.age()
+        return b"".join(map(self.known.__getitem__, PRE_TOKEN.findall(chunk)))
 
 
-_memory: dict[str, tuple[TreeEncoder, EachChunk]] = {}
+class Codec:
+    """An encoder with its memories, and the bytes of ids."""
 
+    def __init__(self, path: str):
+        self.encoder = TreeEncoder(path)
+        self.memory = EachChunk(_Chunks(self.encoder))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [b"".join(x) for x in self.memory.values(texts)]
+
+    def decode(self, ids: bytes | None) -> bytes:
+        return self.encoder.decode(np.frombuffer(ids or b"", np.uint32).tolist())
 
-def _loaded(path: str) -> tuple[TreeEncoder, EachChunk]:
-    if path not in _memory:
-        encoder = TreeEncoder(path)
-        _memory[path] = encoder, EachChunk(_Chunks(encoder))
-    return _memory[path]
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def encode_texts(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """doc_id and ids (unsigned 32-bit little-endian, as binary) of every whole text; a null text counts as empty."""
-    path = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    path = ranks or public_tokenizers.path(RANKS)
     prepare(docs.sparkSession)
 
     def make() -> object:
-        memory = _loaded(path)[1]
-        return lambda batch: {"doc_id": batch.column("doc_id"), "ids": pa.array([b"".join(x) for x in memory.values(batch.column("text").to_pylist())], pa.binary())}
+        codec = kept(("bpe_tree", path), lambda: Codec(path))
+        return lambda batch: {"doc_id": batch.column("doc_id"), "ids": pa.array(codec.encode(batch.column("text").to_pylist()), pa.binary())}
 
     return map_batches(doc_columns(docs), make, "doc_id long, ids binary")
 
 
 def decode_ids(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     """doc_id, ids and bytes (binary) of encoded texts; null ids count as none."""
-    path = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    path = ranks or public_tokenizers.path(RANKS)
     prepare(encoded.sparkSession)
 
     def make() -> object:
-        encoder = _loaded(path)[0]
-        return lambda batch: {"doc_id": batch.column("doc_id"), "ids": batch.column("ids"), "bytes": pa.array([encoder.decode(np.frombuffer(x or b"", np.uint32).tolist()) for x in batch.column("ids").to_pylist()], pa.binary())}
+        codec = kept(("bpe_tree", path), lambda: Codec(path))
+        return lambda batch: {"doc_id": batch.column("doc_id"), "ids": batch.column("ids"), "bytes": pa.array([codec.decode(x) for x in batch.column("ids").to_pylist()], pa.binary())}
 
     return map_batches(encoded.select("doc_id", "ids"), make, "doc_id long, ids binary, bytes binary")
 
 
 def bpe_digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, then decode, then digest. Nothing is shuffled.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, decode the ids, digest both. Nothing is shuffled.
 
-    Repeated rows are encoded each for itself; an empty or null text has no ids and the digest of no bytes.
+    Both steps run in one Python worker, which holds the vocabulary once. Repeated rows are encoded each for itself; an
+    empty or null text has no ids and the digest of no bytes.
     """
-    from pyspark.sql import functions as F
+    path = ranks or public_tokenizers.path(RANKS)
+    prepare(docs.sparkSession)
+
+    def make() -> object:
+        codec = kept(("bpe_tree", path), lambda: Codec(path))
+
+        def convert(batch: pa.RecordBatch) -> dict:
+            n, digests, decoded = [], [], []
+            texts = batch.column("text").to_pylist()
+            for k in range(0, len(texts), 100):
+                for ids in codec.encode(texts[k : k + 100]):
+                    n.append(len(ids) // 4)
+                    digests.append(hashlib.sha256(ids).hexdigest())
+                    decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            return {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+
+        return convert
 
-    out = decode_ids(encode_texts(docs, ranks), ranks)
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return map_batches(doc_columns(docs), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

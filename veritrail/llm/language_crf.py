@@ -13,6 +13,7 @@ runs on numpy arrays; prediction is a narrow map over all documents.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from .batches import REMEMBERED, crc_of_id, doc_columns, map_batches
+from .batches import REMEMBERED, crc_of_id, doc_columns, kept, map_batches
 from .word_hashes import mixed
 
 #: Documents of each language that training reads at most, and the longest that it takes.
@@ -207,7 +208,7 @@ class Labeller:
         docs = [_WORD.findall(t.lower()) for t in texts]
         if k == 0:
             return [(UNKNOWN, 0.0)] * len(texts)
-        if len(self.ids) > REMEMBERED:
+        if len(self.ids) > 2 * REMEMBERED:
             self.reset()
         new: set[str] = set()
         for d in docs:
@@ -250,10 +251,10 @@ def languages(docs: DataFrame, folds: int = 5, held: int = 0, carry: tuple[str,
     """
     spark = prepare(docs.sparkSession)
     held_out = crc_of_id(F.col("doc_id")) % folds == held
-    model = spark.sparkContext.broadcast(fit(docs, ~held_out))
+    model, key = spark.sparkContext.broadcast(fit(docs, ~held_out)), uuid.uuid4().hex
 
     def make() -> object:
-        label = Labeller(model.value)
+        label = kept(("language_crf", key), lambda: Labeller(model.value))
 
         def convert(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text").to_pylist()

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ..runtime import prepare
-from .batches import REMEMBERED, ChunkMemory, doc_columns, map_batches
+from .batches import REMEMBERED, ChunkMemory, doc_columns, kept, map_batches
 
 #: The byte-level pre-token pattern with white space by its Unicode property, as the library has it.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -117,9 +117,6 @@ class Counter:
         return [n + sum(map(self.known.__getitem__, p)) for n, p in zip(extra, pre, strict=True)]
 
 
-_memory: dict[str, ChunkMemory] = {}
-
-
 def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every whole text; a null text counts as empty.
 
@@ -129,9 +126,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
     prepare(docs.sparkSession)
 
     def make() -> object:
-        if path not in _memory:
-            _memory[path] = ChunkMemory(Counter(path))
-        memory = _memory[path]
+        memory = kept(("token_counts", path), lambda: ChunkMemory(Counter(path)))
 
         def convert(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text").to_pylist()
