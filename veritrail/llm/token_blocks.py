@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import prepare, stored
-from .batches import REMEMBERED, EachChunk, doc_columns, map_batches
+from .batches import REMEMBERED, Memory, doc_columns, kept, map_batches
 from .token_counts import byte_letters
 
 BLOCK = 256
@@ -129,16 +129,17 @@ def read_segment(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     return doc_ids, np.frombuffer(image[length:index], np.uint32), unpack_blocks(starts, image[index + 8 * (blocks + 1) :], n_ids)
 
 
-#: A space perhaps, a run of Latin-1 letters, and ASCII signs, but none that begin a contraction or a special string.
-_WORD = re.compile(r" ?([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+#: A run of Latin-1 letters, and ASCII signs, but none that begin a contraction or a special string.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 _LETTERS = {b: c for b, c in enumerate(byte_letters()) if chr(b) != c}
 
 
-class _Encoder:
-    """The library's ids of chunks, as bytes. This tokenizer's normaliser and splitter never look past a space.
+class _Encoder(Memory):
+    """The library's ids of chunks between spaces and line ends, as bytes, each found once.
 
-    Most chunks are a word and perhaps signs. On Latin-1 letters the normaliser only lowers them, and the splitter parts
-    letters from signs, so such a chunk is the word's ids, from the library's model, and the signs' ids, each found once.
+    This tokenizer's normaliser makes one space of white space and its splitter drops it, so no chunk's ids depend on its
+    neighbours. Most chunks are a word and perhaps signs. On Latin-1 letters the normaliser only lowers them, and the
+    splitter parts letters from signs, so such a chunk is the word's ids, from the library's model, and the signs' ids.
     """
 
     def __init__(self, path: str):
@@ -146,36 +147,33 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model, self.words, self.signs = self.library.model, {}, {"": b""}
+        super().__init__(self.found, 3 * REMEMBERED)
+        self.model, self.words, self.signs = self.library.model, Memory(self.word, 2 * REMEMBERED), {"": b""}
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        self.age()
+        self.words.age()
+        return (b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) for t in texts)
 
     def whole(self, chunk: str) -> bytes:
         return array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    def __call__(self, chunk: str) -> bytes:
+    def found(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
         found = _WORD.fullmatch(chunk)
         if found is None:
             return self.whole(chunk)
         word, sign = found.groups()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-            self.signs = {"": b""}
-        word = word.lower()
-        ids = self.words.get(word)
-        if ids is None:
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         if sign not in self.signs:
+            if len(self.signs) > REMEMBERED:
+                self.signs = {"": b""}
             self.signs[sign] = self.whole(sign)
-        return ids + self.signs[sign]
-
-
-_memory: dict[str, EachChunk] = {}
-
+        return self.words[word.lower()] + self.signs[sign]
 
-def _encoder(path: str) -> EachChunk:
-    if path not in _memory:
-        _memory[path] = EachChunk(_Encoder(path))
-    return _memory[path]
+    def word(self, word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
 
 def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
@@ -187,7 +185,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFram
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, part, seg = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, seg = kept(("token_blocks", tokenizer), lambda: _Encoder(tokenizer)), TaskContext.get().partitionId(), 0
         end = np.uint32(end_id).tobytes()
         own: list[int | None] = []
         encoded: list[bytes] = []
@@ -202,9 +200,9 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFram
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for k in range(0, len(texts), 64):
-                for doc_id, chunks in zip(doc_ids[k : k + 64], memory.values(texts[k : k + 64]), strict=True):
+                for doc_id, ids in zip(doc_ids[k : k + 64], encode.texts(texts[k : k + 64]), strict=True):
                     own.append(doc_id)
-                    encoded.append(b"".join(chunks) + end)
+                    encoded.append(ids + end)
                     held += len(encoded[-1]) // 4
                     if held >= SEGMENT_IDS:
                         yield closed()
