@@ -46,7 +46,7 @@ def test_profiles(spark):
     rows = [("a", ("Ann", ["sql"], [("x", 2018, 1, 2020, 1, False), ("y", 2019, 1, 2021, 1, False)], [("Master",), ("bachelor",)])), ("b", (None, [], [], []))]
     got = {x.resume_id: x for x in P.load_profiles(spark.createDataFrame(rows, schema), 2025 * 12).collect()}
     assert (got["a"].total_experience_months, got["a"].highest_degree, got["a"].issues) == (36, "master", [])
-    assert (got["b"].total_experience_months, got["b"].highest_degree, got["b"].issues) == (0, "unknown", ["no name", "no experience", "no skills", "no education"])
+    assert (got["b"].total_experience_months, got["b"].highest_degree, got["b"].issues) == (0, "unknown", ["no name found", "no work experience found", "no skills found", "no education found"])
 
 
 def test_duplicates(spark):

@@ -19,7 +19,7 @@ SECTION_HEADINGS = {
 # Sections that hold several entries.
 ENTRY_SECTIONS = ("EXPERIENCE", "EDUCATION", "PROJECTS", "PUBLICATIONS")
 # The order of sections in a rebuilt document.
-SECTION_ORDER = ("HEADER", "SUMMARY", "EXPERIENCE", "EDUCATION", "SKILLS", "PROJECTS", "CERTIFICATIONS", "ACHIEVEMENTS", "PUBLICATIONS", "OTHER")
+SECTION_ORDER = ("HEADER", "SUMMARY", "SKILLS", "EXPERIENCE", "PROJECTS", "EDUCATION", "CERTIFICATIONS", "ACHIEVEMENTS", "PUBLICATIONS", "OTHER")
 
 # Words that retrieval ignores.
 STOPWORDS = (
@@ -79,6 +79,9 @@ SKILLS = {
     "Unit Testing": ["pytest", "automated testing", "testing", "junit"],
 }
 
+# What a profile can lack.
+NO_NAME, NO_WORK, NO_SKILLS, NO_DATES, NO_EDUCATION = "no name found", "no work experience found", "no skills found", "experience found but no usable dates", "no education found"
+
 
 def skill_aliases() -> list[tuple[int, str, str]]:
     """(alias_pos, alias as written, canonical), a skill's own name before its aliases."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables as K
 from ..functions import text as T
 from ..functions.tables import skill_aliases
 
@@ -29,7 +30,7 @@ def month_spans(jobs: DataFrame, today: int) -> DataFrame:
 
 def completeness(name: Column, n_jobs: Column, n_skills: Column, months: Column, n_degrees: Column) -> Column:
     """What a profile lacks."""
-    said = [(name.isNull(), "no name"), (n_jobs == 0, "no experience"), (n_skills == 0, "no skills"), ((n_jobs > 0) & (months == 0), "experience without duration"), (n_degrees == 0, "no education")]
+    said = [(F.coalesce(name, F.lit("")) == "", K.NO_NAME), (n_jobs == 0, K.NO_WORK), (n_skills == 0, K.NO_SKILLS), ((n_jobs > 0) & (months == 0), K.NO_DATES), (n_degrees == 0, K.NO_EDUCATION)]
     return F.array_compact(F.array(*[F.when(test, text) for test, text in said]))
 
 

@@ -165,7 +165,7 @@ def rebuilt(chunked: DataFrame, key: str = "doc_id") -> DataFrame:
     ranked = chunked.withColumn("_place", F.when(place == 0, 100).otherwise(place)).withColumn("_first", F.min("chunk_index").over(Window.partitionBy(key, "section")))
     by_section = ranked.groupBy(key, "section", "_place", "_first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("body"))
     block = F.concat(F.lit("## "), F.col("section"), F.lit("\n"), F.col("body"))
-    return by_section.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_first", block.alias("block")))), lambda x: x["block"]), "\n\n").alias("text"))
+    return by_section.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_first", block.alias("block")))), lambda x: x["block"]), "\n\n").alias("text")).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
 
 
 def size_report(chunked: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def a3_junk(spark: SparkSession, d: str) -> DataFrame:
     return manifest(spark, d).select("entry_no", S.is_junk(F.col("entry_name")).alias("junk"))
 
 
-@query(f"WITH {_MANIFEST}, g AS (SELECT job_id, count(*) AS n, CAST(sum(file_size) AS BIGINT) AS total, bool_or(starts_with(entry_name, '/') OR starts_with(entry_name, '../') OR contains(entry_name, '/../') OR substr(entry_name, 2, 1) = ':') AS unsafe, bool_or(file_size > 1000000 AND file_size > 200 * greatest(compress_size, 1)) AS bomb FROM mf WHERE NOT {_JUNK} GROUP BY job_id) SELECT job_id, n, total, [x FOR x IN [CASE WHEN n > 1000 THEN 'too many files' END, CASE WHEN total > 524288000 THEN 'too large' END, CASE WHEN unsafe THEN 'unsafe path' END, CASE WHEN bomb THEN 'suspicious ratio' END] IF x IS NOT NULL] AS reasons FROM g")
+@query(f"WITH {_MANIFEST}, g AS (SELECT job_id, count(*) AS n, CAST(sum(file_size) AS BIGINT) AS total, bool_or(starts_with(entry_name, '/') OR starts_with(entry_name, '../') OR contains(entry_name, '/../') OR substr(entry_name, 2, 1) = ':') AS unsafe, bool_or(file_size > 1000000 AND compress_size > 0 AND file_size > 200 * compress_size) AS bomb FROM mf WHERE NOT {_JUNK} GROUP BY job_id) SELECT job_id, n, total, [x FOR x IN [CASE WHEN n > 1000 THEN 'too many files' END, CASE WHEN total > 524288000 THEN 'too large' END, CASE WHEN unsafe THEN 'unsafe path' END, CASE WHEN bomb THEN 'suspicious ratio' END] IF x IS NOT NULL] AS reasons FROM g")
 def a2_manifest_validation(spark: SparkSession, d: str) -> DataFrame:
     return S.manifest_report(manifest(spark, d))
 

@@ -123,7 +123,7 @@ def jobs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", "o_custkey", F.year(when).alias("start_year"), F.month(when).alias("start_month"), (F.year(when) + k % 4 - 1).cast("int").alias("end_year"), F.when(k % 5 != 0, 1 + k % 12).cast("int").alias("end_month"), (F.col("o_orderstatus") == "O").alias("is_current"))
 
 
-@query("SELECT resume_id, [x FOR x IN [CASE WHEN id % 10 = 0 THEN 'no name' END, CASE WHEN degree = 'unknown' THEN 'no experience' END, CASE WHEN s.n IS NULL THEN 'no skills' END, CASE WHEN degree <> 'unknown' AND months = 0 THEN 'experience without duration' END, CASE WHEN degree IN ('unknown', 'school') THEN 'no education' END] IF x IS NOT NULL] AS issues FROM cand LEFT JOIN (SELECT resume_id, count(*) AS n FROM skill GROUP BY 1) s USING (resume_id)", "cand", "skill")
+@query("SELECT resume_id, [x FOR x IN [CASE WHEN id % 10 = 0 THEN 'no name found' END, CASE WHEN degree = 'unknown' THEN 'no work experience found' END, CASE WHEN s.n IS NULL THEN 'no skills found' END, CASE WHEN degree <> 'unknown' AND months = 0 THEN 'experience found but no usable dates' END, CASE WHEN degree IN ('unknown', 'school') THEN 'no education found' END] IF x IS NOT NULL] AS issues FROM cand LEFT JOIN (SELECT resume_id, count(*) AS n FROM skill GROUP BY 1) s USING (resume_id)", "cand", "skill")
 def b16_completeness(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.profile import completeness
     from .base import candidate_skills, candidates

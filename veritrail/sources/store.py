@@ -52,7 +52,7 @@ def manifest_report(manifest: DataFrame) -> DataFrame:
     """A2: per batch the reasons to reject it, over its entries without junk; empty if it is accepted."""
     name = F.regexp_replace("entry_name", r"\\", "/")
     unsafe = name.startswith("/") | name.startswith("../") | name.contains("/../") | (F.substring(name, 2, 1) == ":")
-    bomb = (F.col("file_size") > RATIO_FROM) & (F.col("file_size") > MAX_RATIO * F.greatest(F.col("compress_size"), F.lit(1)))
+    bomb = (F.col("compress_size") > 0) & (F.col("file_size") > RATIO_FROM) & (F.col("file_size") > MAX_RATIO * F.col("compress_size"))
     own = manifest.where(~is_junk(F.col("entry_name"))).groupBy("job_id").agg(F.count("*").alias("n"), F.sum("file_size").alias("total"), F.coalesce(F.bool_or(unsafe), F.lit(False)).alias("unsafe"), F.coalesce(F.bool_or(bomb), F.lit(False)).alias("bomb"))
     said = [(F.col("n") > MAX_ENTRIES, "too many files"), (F.col("total") > MAX_TOTAL, "too large"), (F.col("unsafe"), "unsafe path"), (F.col("bomb"), "suspicious ratio")]
     return own.select("job_id", "n", "total", F.array_compact(F.array(*[F.when(t, r) for t, r in said])).alias("reasons"))
