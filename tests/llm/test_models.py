@@ -142,6 +142,17 @@ def test_layers_are_unwrapped_and_placed(coded):
     assert 8 <= s < e <= 8 + len(coded) and e - s >= len(coded) // 2
 
 
+def test_long_layers_lose_nothing_at_borders(monkeypatch):
+    import veritrail.llm.secret_worklist as m
+
+    monkeypatch.setattr(m, "PIECE", 40)
+    for pad in range(60):
+        coded = b64(gzip.compress(("é" * pad + SECRET + "x" * 100).encode()))
+        assert [x[:3] for x in find_secrets(coded) if x[1] == 0] == [(0, 0, len(coded))]
+        nested = b64(gzip.compress(bz2.compress(("é" * pad + SECRET + " x" * 100).encode())))
+        assert [x[:3] for x in find_secrets(nested) if x[1] == 0] == [(0, 0, len(nested))]
+
+
 def test_partly_coded_line():
     assert find_secrets("tok%65n = abcdefgh") == [(0, 0, 18, "url/")]
 
