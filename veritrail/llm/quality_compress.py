@@ -29,11 +29,11 @@ LEVEL = 3
 THRESHOLD = 0.7
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """Whole texts end to end, as raw dictionary content. A text over a tenth of the size would leave too few others."""
+def _dictionary(texts: list[bytes], limit: int = DICT_BYTES) -> bytes:
+    """Whole texts end to end, as raw dictionary content. A text over a tenth of the limit would leave too few others."""
     own, size = [], 0
     for t in texts:
-        if len(t) <= DICT_BYTES // 10 and size + len(t) < DICT_BYTES:
+        if len(t) <= max(limit // 10, 1000) and size + len(t) < limit:
             own.append(t)
             size += len(t) + 1
     return b"\n".join(own)
@@ -73,7 +73,9 @@ class Model:
         self.prior = (len(good) + 1) / (len(good) + len(bad) + 2)
         if good and bad:
             half = lambda x, k: x[k::2] or x  # noqa: E731  a class of one text serves for both
-            self.good, self.bad = _dictionary(half(good, 0)), _dictionary(half(bad, 0))
+            into = half(good, 0), half(bad, 0)
+            limit = min(DICT_BYTES, *(sum(map(len, x)) + len(x) + 1 for x in into))  # of one size, so that neither gains by it
+            self.good, self.bad = (_dictionary(x, limit) for x in into)
             rest = half(good, 1), half(bad, 1)
             x = Sizes(self.good, self.bad).features(rest[0] + rest[1])
             self.weights = _logistic(x, np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])]))
