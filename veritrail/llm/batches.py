@@ -90,8 +90,8 @@ class Memory(dict):
 class EachChunk:
     """What ``one`` gives for chunks of text, remembered within one Python worker."""
 
-    def __init__(self, one: Callable[[str], object]):
-        self.first, self.later = Memory(one), Memory(lambda chunk: one(" " + chunk))
+    def __init__(self, one: Callable[[str], object], limit: int = REMEMBERED):
+        self.first, self.later = Memory(one, limit), Memory(lambda chunk: one(" " + chunk), limit)
 
     def values(self, texts: list[str]) -> list[list]:
         """For each text the values of its chunks, in order."""

@@ -18,6 +18,7 @@ import base64
 import hashlib
 import heapq
 from array import array
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -29,6 +30,7 @@ from .batches import REMEMBERED, EachChunk, Memory, doc_columns, kept, map_batch
 from .token_counts import PRE_TOKEN
 
 LEAF_BYTES = 8
+NONE = 1 << 62
 #: Tokens that a join takes together without halving again, when decoding.
 LEAF_TOKENS = 512
 
@@ -41,23 +43,23 @@ class TreeEncoder:
         for piece, rank in self.ranks.items():
             self.bytes_of[rank] = piece
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.leaves = Memory(self.direct)
 
     def direct(self, piece: bytes) -> list[int]:
         """Merge the lowest-ranked neighbours, leftmost first, until none has a rank."""
-        ranks = self.ranks
-        if len(piece) > 64:
+        n = len(piece)
+        if n > 64:
             return self._direct_long(piece)
-        parts = [piece[k : k + 1] for k in range(len(piece))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                rank = ranks.get(parts[k] + parts[k + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        get, cut = self.ranks.get, list(range(n + 1))
+        rank = [get(piece[k : k + 2], NONE) for k in range(n - 1)]  # of the parts between cuts k, k + 1 and k + 2
+        while rank and (best := min(rank)) != NONE:
+            k = rank.index(best)
+            del cut[k + 1], rank[k]
+            if k < len(rank):
+                rank[k] = get(piece[cut[k] : cut[k + 2]], NONE)
+            if k:
+                rank[k - 1] = get(piece[cut[k - 1] : cut[k + 1]], NONE)
+        return [self.ranks[piece[a:b]] for a, b in pairwise(cut)]
 
     def _direct_long(self, piece: bytes) -> list[int]:
         """The same with a heap over a linked list: long windows stay near-linear."""
@@ -87,7 +89,7 @@ class TreeEncoder:
     def compatible(self, x: int, y: int) -> bool:
         known = self.pairs.get((x, y))
         if known is None:
-            if len(self.pairs) > REMEMBERED:
+            if len(self.pairs) > 2 * REMEMBERED:
                 self.pairs.clear()
             known = self.pairs[x, y] = self.direct(self.bytes_of[x] + self.bytes_of[y]) == [x, y]
         return known
@@ -108,7 +110,7 @@ class TreeEncoder:
 
     def tree(self, piece: bytes) -> list[int]:
         if len(piece) <= LEAF_BYTES:
-            return self.direct(piece)
+            return self.leaves[piece]
         half = len(piece) // 2
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
@@ -134,6 +136,7 @@ class _Chunks:
 
     def __call__(self, chunk: str) -> bytes:
         self.known.age()
+        self.encoder.leaves.age()
         return b"".join(map(self.known.__getitem__, PRE_TOKEN.findall(chunk)))
 
 
@@ -142,7 +145,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.encoder = TreeEncoder(path)
-        self.memory = EachChunk(_Chunks(self.encoder))
+        self.memory = EachChunk(_Chunks(self.encoder), 3 * REMEMBERED // 2)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [b"".join(x) for x in self.memory.values(texts)]
