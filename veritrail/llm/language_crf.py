@@ -28,6 +28,8 @@ from .word_hashes import mixed
 
 #: Documents of each language that training reads at most, and the longest that it takes.
 SAMPLE, SAMPLE_CHARS = 80, 20_000
+#: Parts of a language's ids from which the sample is drawn.
+PARTS = 64
 CHAIN = 128
 NGRAMS = 5
 BITS = 18
@@ -236,8 +238,11 @@ class Labeller:
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` documents of each language among those that ``learn`` admits."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = own.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang")
+    ids = own.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.expr(f"pmod(h, {PARTS})"))
+    for keys in (("lang", "part"), ("lang",)):  # a language may hold most rows: its parts are cut down first
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id")) <= sample
+        ids = ids.withColumn("first", first).where("first").drop("first")
+    ids = ids.select("doc_id", "lang")
     rows = own.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text", "doc_id").distinct().collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return Model([(r["lang"], r["text"]) for r in rows])
