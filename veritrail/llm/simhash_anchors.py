@@ -272,5 +272,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     linked = root.join(nodes, "fp")
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     known = root.join(lowest, "root").select("fp", "component_id")
-    of_node = nodes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # stored, so that the last join has nothing but its two exchanges below it and a frequent fingerprint can be split
+    of_node = stored(nodes.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "fingerprint-components")
     return own.join(of_node, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
