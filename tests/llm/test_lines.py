@@ -88,3 +88,11 @@ def test_columns_and_empty_table(spark):
     d = spark.createDataFrame([], "doc_id long, text string, lang string, n_lines int, dropped string")
     out = drop_lines(d)
     assert out.collect() == [] and out.columns == ["doc_id", "text", "lang", "n_lines", "dropped"]
+
+
+def test_unique_lines_of_a_large_leaf_stay(spark):
+    """Four tokens, three of them shared: the last one alone tells the lines apart, each from thousands of others."""
+    words = ["".join(chr(97 + (k * 7919 + 13) // 26**j % 26) for j in range(6)) for k in range(4000)]
+    assert len(set(words)) == len(words)
+    docs = [(k, "\n".join(f"posted by user {w}" for w in words[k * 40 : k * 40 + 40])) for k in range(100)]
+    assert all(x.dropped == [] for x in drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect())

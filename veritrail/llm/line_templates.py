@@ -6,8 +6,9 @@ form comes first and stands for it, so templates don't drift and don't depend on
 occurs in two documents or more is recurring: its lines stay in the document with the smallest id and are dropped from
 all others. Lines under three tokens are left alone, they coincide by chance.
 
-What moves is small: per distinct line form one 2-byte hash a token (unlike tokens look alike once in 65,536); per line
-its leaf and form. Texts are joined once with the places to drop.
+What moves is small: per distinct line form one 8-byte hash a token; per line its leaf and form. Texts are joined once
+with the places to drop. A line meets all templates of its leaf, so with R of them an unrelated line of n tokens passes
+for a copy with a chance of at most R * n / 2^64: below one in ten million for a billion templates and a thousand tokens.
 """
 
 from __future__ import annotations
@@ -108,13 +109,12 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, doc_ids = [t.encode() for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
         for part in _groups(texts):
             x = Lines(texts[part])
-            tokens = (x.token >> np.uint64(48)).astype(np.uint16)
             for leaf, form, text, first, n in zip(x.leaf.tolist(), x.form.tolist(), x.text.tolist(), x.first.tolist(), x.n.tolist(), strict=True):
                 doc_id = doc_ids[text + part.start]
                 row = held.get((leaf, form))
                 if row is None:
-                    held[leaf, form] = [tokens[first : first + n].tobytes(), doc_id, doc_id, 1]
-                    size += 2 * n + 400
+                    held[leaf, form] = [x.token[first : first + n].tobytes(), doc_id, doc_id, 1]
+                    size += 8 * n + 400
                     continue
                 row[1], row[2], row[3] = min(row[1], doc_id), max(row[2], doc_id), row[3] + 1
             if size > HELD_BYTES:
@@ -137,14 +137,14 @@ class Leaf:
     """Templates of one leaf, as the token hashes of the form that stands for each, with their lowest and highest doc_id."""
 
     def __init__(self, width: int):
-        self.reps = np.zeros((4, width), np.uint16)
+        self.reps = np.zeros((4, width), np.uint64)
         self.low: list[int] = []
         self.high: list[int] = []
         self.forms: list[int] = []
         self.template: list[int] = []
 
     def add(self, form: int, tokens: bytes, low: int, high: int) -> None:
-        row, n = np.frombuffer(tokens, np.uint16), len(self.low)
+        row, n = np.frombuffer(tokens, np.uint64), len(self.low)
         best = -1
         if n:
             agree = (self.reps[:n] == row).mean(axis=1)
@@ -187,7 +187,7 @@ def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not same[k]:
                 if leaf is not None and (found := leaf.recurring()):
                     out = [out[0] + [int(open_leaf)] * len(found), out[1] + [f for f, _ in found], out[2] + [x for _, x in found]]
-                leaf, open_leaf = Leaf(len(tokens[k].as_py()) // 2), of[k]
+                leaf, open_leaf = Leaf(len(tokens[k].as_py()) // 8), of[k]
             leaf.add(int(forms[k]), tokens[k].as_py(), int(low[k]), int(high[k]))
         if out[0]:
             yield rows(*out)
