@@ -189,3 +189,10 @@ def test_damaged_and_cyclic_layers_end():
     for _ in range(12):
         deep = b64(deep).encode()
     assert [x[1] for x in find_secrets(deep.decode())] == [0]
+
+
+def test_a_repeated_blob_is_unwrapped_at_each_place():
+    blob = b64(gzip.compress(SECRET.encode()))
+    text = f"a {blob} b\nc {blob} d"
+    n, second = len(blob), text.rindex(blob)
+    assert [x[:3] for x in find_secrets(text) if x[1] == 0] == [(2, 0, 2 + n), (second, 0, second + n)]

@@ -3,7 +3,7 @@
 The text is the first layer. Each layer is scanned for secrets, then searched for encoded parts: lines with URL or
 Unicode escapes, and base64 runs, whose bytes may be compressed in turn. What a part decodes to is a new layer on the
 worklist, with the place in the text that each of its characters came from, so a secret found at any depth is reported
-where it stands in the text. Layers already seen are not taken again, which ends cycles such as streams that
+where it stands in the text. Layers already seen at a place are not taken again there, which ends cycles such as streams that
 decompress to themselves; all other decoding makes a layer shorter, so the worklist runs empty.
 """
 
@@ -159,7 +159,7 @@ def _unicode(layer: Layer, line: re.Match) -> Layer | None:
     return _replaced(layer, line.start(), line.end(), found, "unicode/") if found else None
 
 
-def _base64(layer: Layer, m: re.Match, seen: set[bytes]) -> Iterator[Layer]:
+def _base64(layer: Layer, m: re.Match, seen: set[tuple[int, int, bytes]]) -> Iterator[Layer]:
     run = m.group().rstrip("=").translate(_PLAIN)
     run = run[: len(run) - (len(run) % 4 == 1)]
     try:
@@ -174,7 +174,7 @@ def _base64(layer: Layer, m: re.Match, seen: set[bytes]) -> Iterator[Layer]:
     work = deque([(data, layer.via + "base64/")])
     while work:
         data, via = work.popleft()
-        key = hashlib.sha256(data).digest()
+        key = a, b, hashlib.sha256(data).digest()
         if key in seen:
             continue
         seen.add(key)
