@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -11,6 +12,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from veritrail.llm.language_crf import Chains, Model, languages
 from veritrail.llm.quality_compress import quality
@@ -196,3 +198,25 @@ def test_a_repeated_blob_is_unwrapped_at_each_place():
     text = f"a {blob} b\nc {blob} d"
     n, second = len(blob), text.rindex(blob)
     assert [x[:3] for x in find_secrets(text) if x[1] == 0] == [(2, 0, 2 + n), (second, 0, second + n)]
+
+
+@pytest.mark.parametrize("odd", ["﻿", " ", "　", "​", "­", "\x1b[0m"])
+def test_layers_with_unusual_characters_are_scanned(odd):
+    plain_text = f"{odd}été {SECRET} {odd}"
+    for data in (plain_text.encode(), plain_text.encode("utf-8") + b"\xff\xfe", plain_text.encode() + b"\0"):
+        for coded in (b64(data), b64(gzip.compress(data))):
+            assert [x[1] for x in find_secrets(coded)] == [0]
+
+
+def test_streams_end_to_end_are_all_scanned():
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        for first in (b"nothing here", b""):
+            coded = b64(pack(first) + pack(SECRET.encode()) + b"\0\0\0\0" + pack(gzip.compress(b"token: abcdefgh")))
+            # two secrets at one place are one span
+            assert [x[:3] for x in find_secrets(coded) if "compressed" in x[3]] == [(0, 0, len(coded))]
+        split = b64(pack(b"passwo") + pack(b"rd = hunter2secret"))
+        assert (0, 0, len(split), "base64/compressed/") in find_secrets(split)
+        nested = b64(pack(b"nothing") + pack(gzip.compress(b"token: abcdefgh")))
+        assert (0, 0, len(nested), "base64/compressed/compressed/") in find_secrets(nested)
+    coded = b64(zstandard.compress(b"x") + b"\x50\x2a\x4d\x18\x03\0\0\0abc" + zstandard.compress(SECRET.encode()))
+    assert (0, 0, len(coded), "base64/compressed/") in find_secrets(coded)

@@ -11,14 +11,12 @@ from __future__ import annotations
 
 import base64
 import bz2
-import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +42,12 @@ _PLAIN = str.maketrans("-_", "+/")
 #: Bytes of a decompressed stream that make one layer. Longer streams make several, each with the end of the one
 #: before; all places in them are the stream's, so what is found twice counts once and nothing is lost at a border.
 PIECE, OVERLAP = 4_000_000, 65_536
+_ZSTD = b"\x28\xb5\x2f\xfd"
+#: Bytes that a decompressor gets at a time.
+FED = 65_536
+#: What decoded bytes must hold to give anything: the name of an assigned secret, an escape, or a run of characters that
+#: a base64 part, an access key or a hex number may be. All patterns are ASCII, so any bytes can be read as Latin-1.
+_HINT = re.compile(rb"[A-Za-z0-9+/_-]{12}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|(?i:passw|secret|token|api_?key)")
 
 
 def scan(text: str) -> Iterator[tuple[int, int, int]]:
@@ -58,7 +62,7 @@ def scan(text: str) -> Iterator[tuple[int, int, int]]:
         yield 2, m.start(), m.end()
 
 
-def _streams(data: bytes) -> object | None:
+def _decompressor(data: bytes) -> object | None:
     """A decompressor for the bytes' format, by its magic number."""
     if data[:2] == b"\x1f\x8b":
         return zlib.decompressobj(31)
@@ -68,41 +72,66 @@ def _streams(data: bytes) -> object | None:
         return bz2.BZ2Decompressor()
     if data[:6] == b"\xfd7zXZ\x00":
         return lzma.LZMADecompressor()
+    if data[:4] == _ZSTD:
+        return zstandard.ZstdDecompressor().decompressobj()
     return None
 
 
-def _decompressed(data: bytes) -> Iterator[bytes]:
-    """The stream in pieces; what came before damage counts."""
-    try:
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                while piece := reader.read(PIECE):
-                    yield piece
-            return
-        own = _streams(data)
-        if own is None:
-            return
-        piece = own.decompress(data, PIECE)
-        while piece:
-            yield piece
-            if own.eof:
-                break
-            piece = own.decompress(own.unconsumed_tail, PIECE) if hasattr(own, "unconsumed_tail") else own.decompress(b"", PIECE)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return
-
-
-def _printable(text: str) -> bool:
-    return text.isprintable() or all(c.isprintable() or c in "\t\n\r\x0b\x0c" for c in text)
-
-
-def _text(data: bytes) -> str | None:
-    """UTF-8 text of printable characters; anything else is no layer."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and _printable(text) else None
+class Streams:
+    """Compressed streams that stand end to end from a place of some bytes on, and the place where they end."""
+
+    def __init__(self, data: bytes, at: int = 0):
+        self.data, self.end = memoryview(data), at
+
+    def _skipped(self) -> None:
+        """Go over zstd's skippable frames and the zeros that may fill up between streams."""
+        while True:
+            head = bytes(self.data[self.end : self.end + 8])
+            if len(head) == 8 and 0x50 <= head[0] <= 0x5F and head[1:4] == b"\x2a\x4d\x18":
+                self.end = min(self.end + 8 + int.from_bytes(head[4:], "little"), len(self.data))
+            elif head[:1] == b"\0":
+                self.end += 1
+            else:
+                return
+
+    def __iter__(self) -> Iterator[tuple[int, bytes]]:
+        """Where a stream begins and its pieces; what came before damage counts."""
+        while True:
+            begin = self.end
+            own = _decompressor(bytes(self.data[begin : begin + 8]))
+            if own is None:
+                return
+            held = bytearray()
+            try:
+                for piece in self._pieces(own):
+                    held += piece
+                    if len(held) >= PIECE:
+                        yield begin, bytes(held)
+                        held = bytearray()
+            except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+                self.end = len(self.data)
+            if held:
+                yield begin, bytes(held)
+            end = self.end
+            self._skipped()
+            if _decompressor(bytes(self.data[self.end : self.end + 8])) is None:
+                self.end = end
+                return
+
+    def _pieces(self, own: object) -> Iterator[bytes]:
+        # a few bytes of zstd may make 128 KB, and its decompressor has no limit
+        limited = self.data[self.end : self.end + 4] != _ZSTD
+        step = FED if limited else FED // 256
+        while self.end < len(self.data) and not own.eof:
+            part = self.data[self.end : self.end + step]
+            self.end += len(part)
+            piece = own.decompress(part, PIECE) if limited else own.decompress(part)
+            while piece:
+                yield piece
+                if own.eof or not limited:
+                    break
+                piece = own.decompress(getattr(own, "unconsumed_tail", b""), PIECE)
+        self.end -= len(own.unused_data)
 
 
 class Layer:
@@ -166,35 +195,45 @@ def _base64(layer: Layer, m: re.Match, seen: set[tuple[int, int, bytes]]) -> Ite
         data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
     except ValueError:
         return
-    if (text := _text(data)) is not None:
+    if _HINT.search(data):
         j = np.arange(len(data))
-        yield Layer(text, *_by_bytes(data, text, layer.start[m.start() + j * 8 // 6], layer.end[m.start() + (j * 8 + 7) // 6]), layer.via + "base64/")
-        return
-    a, b = layer.span(m.start(), m.end())
-    work = deque([(data, layer.via + "base64/")])
+        yield Layer(data.decode("latin-1"), layer.start[m.start() + j * 8 // 6], layer.end[m.start() + (j * 8 + 7) // 6], layer.via + "base64/")
+    yield from _unpacked(data, *layer.span(m.start(), m.end()), layer.via + "base64/", seen)
+
+
+def _unpacked(data: bytes, a: int, b: int, via: str, seen: set[tuple[int, int, bytes]]) -> Iterator[Layer]:
+    """Layers of compressed streams, and of those in them, that stand at a to b of the document."""
+    work = deque([(data, via)])
     while work:
         data, via = work.popleft()
+        if _decompressor(data) is None:
+            continue
         key = a, b, hashlib.sha256(data).digest()
         if key in seen:
             continue
         seen.add(key)
-        pieces = _decompressed(data)
-        first = next(pieces, b"")
-        if _streams(first) is not None or first[:4] == b"\x28\xb5\x2f\xfd":
-            work.append((b"".join(chain((first,), pieces)), via + "compressed/"))
-            continue
-        decoder, before = codecs.getincrementaldecoder("utf-8")(), ""
-        for piece in chain((first,), pieces):
-            try:
-                text = decoder.decode(piece)
-            except UnicodeDecodeError:
-                break
-            if not _printable(text):
-                break
-            text = before + text
-            if text:
-                yield Layer(text, np.full(len(text), a), np.full(len(text), b), via + "compressed/")
-            before = text[-OVERLAP:]
+        via += "compressed/"
+        last, nested, held, before = -1, None, bytearray(), b""
+
+        def layers() -> Iterator[Layer]:
+            if _HINT.search(text := before + held):
+                yield Layer(text.decode("latin-1"), np.full(len(text), a), np.full(len(text), b), via)
+
+        for begin, piece in Streams(data):
+            if begin != last:
+                if nested:
+                    work.append((bytes(nested), via))
+                last, nested = begin, None if _decompressor(piece) is None else bytearray()
+            if nested is not None:
+                nested += piece
+            held += piece
+            if len(held) >= PIECE:
+                yield from layers()
+                held, before = bytearray(), (before + held)[-OVERLAP:]
+        if held:
+            yield from layers()
+        if nested:
+            work.append((bytes(nested), via))
 
 
 def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
