@@ -200,7 +200,7 @@ def test_a_repeated_blob_is_unwrapped_at_each_place():
     assert [x[:3] for x in find_secrets(text) if x[1] == 0] == [(2, 0, 2 + n), (second, 0, second + n)]
 
 
-@pytest.mark.parametrize("odd", ["﻿", " ", "　", "​", "­", "\x1b[0m"])
+@pytest.mark.parametrize("odd", ["\ufeff", "\u00a0", "\u3000", "\u200b", "\u00ad", "\x1b[0m"])
 def test_layers_with_unusual_characters_are_scanned(odd):
     plain_text = f"{odd}été {SECRET} {odd}"
     for data in (plain_text.encode(), plain_text.encode("utf-8") + b"\xff\xfe", plain_text.encode() + b"\0"):
@@ -220,3 +220,26 @@ def test_streams_end_to_end_are_all_scanned():
         assert (0, 0, len(nested), "base64/compressed/compressed/") in find_secrets(nested)
     coded = b64(zstandard.compress(b"x") + b"\x50\x2a\x4d\x18\x03\0\0\0abc" + zstandard.compress(SECRET.encode()))
     assert (0, 0, len(coded), "base64/compressed/") in find_secrets(coded)
+
+
+def test_base64_over_line_ends():
+    filler = "".join(random.Random(3).choice("abcdefghijklmnop qrstuvwxyz") for _ in range(900))
+    for data, width in ((filler[:50] + SECRET + filler[50:]).encode(), 76), (gzip.compress((filler + SECRET).encode()), 64), (b64(filler.encode() + SECRET.encode()).encode(), 20):
+        for end in ("\n", "\r\n", "\n    "):
+            coded = b64(data)
+            lines = end.join(coded[k : k + width] for k in range(0, len(coded), width))
+            text = f"é certificate\n{lines}\nnext words here"
+            found = [x for x in find_secrets(text) if x[1] == 0]
+            assert found and all(text.index(lines) <= x[0] < x[2] <= text.index(lines) + len(lines) for x in found)
+    coded = base64.encodebytes((filler[:50] + SECRET).encode()).decode()
+    (s, _, e, via), = find_secrets(coded)
+    assert via == "base64/" and s == 66 and coded[s:e].count("\n") == 1
+
+
+@pytest.mark.parametrize("before", ["x/", "id_", "abc-", "a", "ab", "abc", "abcd", "path/to/x_"])
+def test_base64_behind_characters_of_its_alphabet(before):
+    for data in (SECRET.encode(), gzip.compress(SECRET.encode()), zlib.compress(SECRET.encode()), zstandard.compress(SECRET.encode() * 3)):
+        coded = b64(data)
+        found = [x[:3] for x in find_secrets(f"é {before}{coded} end") if x[1] == 0]
+        start = 2 + len(before)
+        assert found and all(start <= s < e <= start + len(coded) for s, _, e in found)

@@ -1,7 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 The text is the first layer. Each layer is scanned for secrets, then searched for encoded parts: lines with URL or
-Unicode escapes, and base64 runs, whose bytes may be compressed in turn. What a part decodes to is a new layer on the
+Unicode escapes, and base64 runs, each line for itself and joined over line ends, whose bytes may be compressed in turn.
+A secret that ends a line's run may be reported with and without what the next line adds. What a part decodes to is a new layer on the
 worklist, with the place in the text that each of its characters came from, so a secret found at any depth is reported
 where it stands in the text. Layers already seen at a place are not taken again there, which ends cycles such as streams that
 decompress to themselves; all other decoding makes a layer shorter, so the worklist runs empty.
@@ -9,7 +10,7 @@ decompress to themselves; all other decoding makes a layer shorter, so the workl
 
 from __future__ import annotations
 
-import base64
+import binascii
 import bz2
 import hashlib
 import lzma
@@ -37,17 +38,21 @@ KINDS = ("assign", "access", "hex")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: Runs of any length that go on over line ends.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t\r]*+\n[ \t\r]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _LINE = re.compile(r"[^\n]+")
-_PLAIN = str.maketrans("-_", "+/")
+_PLAIN = str.maketrans("-_", "+/", " \t\r\n")
+_LEAST = 12
 #: Bytes of a decompressed stream that make one layer. Longer streams make several, each with the end of the one
 #: before; all places in them are the stream's, so what is found twice counts once and nothing is lost at a border.
 PIECE, OVERLAP = 4_000_000, 65_536
 _ZSTD = b"\x28\xb5\x2f\xfd"
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 #: Bytes that a decompressor gets at a time.
 FED = 65_536
 #: What decoded bytes must hold to give anything: the name of an assigned secret, an escape, or a run of characters that
 #: a base64 part, an access key or a hex number may be. All patterns are ASCII, so any bytes can be read as Latin-1.
-_HINT = re.compile(rb"[A-Za-z0-9+/_-]{12}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|(?i:passw|secret|token|api_?key)")
+_HINT = re.compile(rb"[A-Za-z0-9+/_-]{12}|[A-Za-z0-9+/_-][ \t\r]*\n[ \t\r]*[A-Za-z0-9+/_-]|%[0-9A-Fa-f]{2}|\\[uUx]|&#|(?i:passw|secret|token|api_?key)")
 
 
 def scan(text: str) -> Iterator[tuple[int, int, int]]:
@@ -78,10 +83,10 @@ def _decompressor(data: bytes) -> object | None:
 
 
 class Streams:
-    """Compressed streams that stand end to end from a place of some bytes on, and the place where they end."""
+    """Compressed streams that stand end to end from a place of some bytes on, where they end, and if the last is whole."""
 
     def __init__(self, data: bytes, at: int = 0):
-        self.data, self.end = memoryview(data), at
+        self.data, self.end, self.whole = memoryview(data), at, False
 
     def _skipped(self) -> None:
         """Go over zstd's skippable frames and the zeros that may fill up between streams."""
@@ -109,7 +114,7 @@ class Streams:
                         yield begin, bytes(held)
                         held = bytearray()
             except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-                self.end = len(self.data)
+                self.end, self.whole = len(self.data), False
             if held:
                 yield begin, bytes(held)
             end = self.end
@@ -131,7 +136,7 @@ class Streams:
                 if own.eof or not limited:
                     break
                 piece = own.decompress(getattr(own, "unconsumed_tail", b""), PIECE)
-        self.end -= len(own.unused_data)
+        self.end, self.whole = self.end - len(own.unused_data), own.eof
 
 
 class Layer:
@@ -189,16 +194,41 @@ def _unicode(layer: Layer, line: re.Match) -> Layer | None:
 
 
 def _base64(layer: Layer, m: re.Match, seen: set[tuple[int, int, bytes]]) -> Iterator[Layer]:
-    run = m.group().rstrip("=").translate(_PLAIN)
-    run = run[: len(run) - (len(run) % 4 == 1)]
-    try:
-        data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-    except ValueError:
+    """Layers of a run on one line or over several.
+
+    What stands before the coded part, a path or a word, may belong to the alphabet too. So a run is decoded from each
+    of its first four characters, one of which is in step with the part, and streams may begin at any byte.
+    """
+    run = m.group().rstrip("=")
+    at = np.arange(m.start(), m.start() + len(run))
+    if "\n" in run:
+        raw = np.frombuffer(run.encode(), np.uint8)
+        at = at[raw > 0x20]
+    run = run.translate(_PLAIN)
+    if len(run) < _LEAST:
         return
-    if _HINT.search(data):
-        j = np.arange(len(data))
-        yield Layer(data.decode("latin-1"), layer.start[m.start() + j * 8 // 6], layer.end[m.start() + (j * 8 + 7) // 6], layer.via + "base64/")
-    yield from _unpacked(data, *layer.span(m.start(), m.end()), layer.via + "base64/", seen)
+    via = layer.via + "base64/"
+    for shift in range(4):
+        n = len(run) - shift
+        n -= n % 4 == 1
+        data = binascii.a2b_base64(run[shift : shift + n] + "=" * (-n % 4))
+        if _HINT.search(data):
+            j = np.arange(len(data))
+            yield Layer(data.decode("latin-1"), layer.start[at[shift + j * 8 // 6]], layer.end[at[shift + (j * 8 + 7) // 6]], via)
+        done = 0
+        for x in _MAGIC.finditer(data):
+            begin = x.start()
+            if begin < done:
+                continue
+            streams = Streams(data, begin)
+            if not any([True for _ in streams]):
+                continue
+            a, b = int(layer.start[at[shift + begin * 8 // 6]]), int(layer.end[m.end() - 1])
+            if streams.whole:
+                done = streams.end
+            if streams.end < len(data):
+                b = int(layer.end[at[shift + (streams.end * 8 - 1) // 6]])
+            yield from _unpacked(data[begin : streams.end], a, b, via, seen)
 
 
 def _unpacked(data: bytes, a: int, b: int, via: str, seen: set[tuple[int, int, bytes]]) -> Iterator[Layer]:
@@ -240,7 +270,7 @@ def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind, end, via) sorted; via is empty for what stands in the text itself, else the layers it was under."""
     found = {(s, k, e): "" for k, s, e in scan(text)}
     coded = [f for f, there in ((_url, "%" in text), (_unicode, "\\" in text or "&#" in text)) if there]
-    if coded or _BASE64.search(text):
+    if coded or _BASE64.search(text) or "\n" in text and _WRAPPED.search(text):
         n = np.arange(len(text) + 1)
         work, seen, own = deque([Layer(text, n[:-1], n[1:], "")]), set(), set()
         while work:
@@ -256,8 +286,9 @@ def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
             for decode, sign in ((_url, "%"), (_unicode, "")):
                 if sign in layer.text and (_URL if sign else _UNICODE).search(layer.text):
                     work.extend(x for line in _LINE.finditer(layer.text) if (x := decode(layer, line)) is not None)
-            for m in _BASE64.finditer(layer.text):
-                work.extend(_base64(layer, m, seen))
+            for runs in (_BASE64, _WRAPPED) if "\n" in layer.text else (_BASE64,):
+                for m in runs.finditer(layer.text):
+                    work.extend(_base64(layer, m, seen))
     return sorted((s, k, e, via) for (s, k, e), via in found.items())
 
 
