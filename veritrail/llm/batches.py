@@ -9,6 +9,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +50,16 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, fields)
 
 
+def by_bytes(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of text; a longer text makes a slice of its own."""
+    k = held = 0
+    for stop, n in enumerate(pc.binary_length(batch.column("text")).to_pylist(), 1):
+        held += n or 0
+        if held >= size or stop == batch.num_rows:
+            yield batch.slice(k, stop - k)
+            k, held = stop, 0
+
+
 _kept: dict[tuple, object] = {}
 
 

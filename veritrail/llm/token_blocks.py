@@ -15,24 +15,29 @@ bits keep their low bits in place and stand in full in the exception list.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import prepare, stored
-from .batches import REMEMBERED, Memory, doc_columns, kept, map_batches
+from .batches import REMEMBERED, by_bytes, doc_columns, kept, map_batches
 from .token_counts import byte_letters
 
 BLOCK = 256
+#: Bytes of a block before its exceptions: minimum, width, number of exceptions.
+HEAD = 7
 PERCENTILE = 0.92
 #: Ids after which a segment is closed; a longer document makes a longer segment.
 SEGMENT_IDS = 32_768
@@ -76,17 +81,24 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.nda
     low = rows.min(axis=1, initial=np.iinfo(np.uint32).max)
     rest = (rows - low[:, None]).astype(np.uint64)
     width = _bits(np.partition(rest, at := min(BLOCK - 1, int(BLOCK * percentile)), axis=1)[:, at] if n else np.zeros(0))
-    odd = _bits(rest) > width[:, None]
-    blocks: list[bytes] = [b""] * n
-    for w in np.unique(width):
+    fits = (np.uint64(1) << width.astype(np.uint64))[:, None]
+    block, place = np.nonzero(rest >= fits)
+    odd = np.bincount(block, minlength=n)
+    starts = np.zeros(n + 1, np.int64)
+    np.cumsum(HEAD + 5 * odd + BLOCK // 8 * width.astype(np.int64), out=starts[1:])
+    area = np.zeros(starts[-1], np.uint8)
+    at = starts[:-1]
+    area[at[:, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(n, 4)
+    area[at + 4] = width
+    area[at[:, None] + np.arange(5, HEAD)] = odd.astype("<u2").view(np.uint8).reshape(n, 2)
+    nth = np.arange(len(block)) - (np.cumsum(odd) - odd)[block]
+    area[at[block] + HEAD + nth] = place
+    area[(at + HEAD + odd)[block][:, None] + 4 * nth[:, None] + np.arange(4)] = rest[block, place].astype("<u4").view(np.uint8).reshape(-1, 4)
+    for w in map(int, np.unique(width[width > 0])):
         which = np.flatnonzero(width == w)
-        packed = _pack(rest[which] & np.uint64((1 << int(w)) - 1), int(w)) if w else np.zeros((len(which), 0), np.uint64)
-        for k, words in zip(which, packed, strict=True):
-            at = np.flatnonzero(odd[k])
-            blocks[k] = low[k].tobytes() + bytes([w]) + np.uint16(len(at)).tobytes() + at.astype(np.uint8).tobytes() + rest[k, at].astype(np.uint32).tobytes() + words.tobytes()
-    starts = np.zeros(n + 1, np.uint64)
-    np.cumsum([len(b) for b in blocks], out=starts[1:])
-    return starts, b"".join(blocks)
+        packed = _pack(rest[which] & np.uint64((1 << w) - 1), w)
+        area[(at + HEAD + 5 * odd)[which][:, None] + np.arange(BLOCK // 8 * w)] = packed.view(np.uint8)
+    return starts.astype(np.uint64), area.tobytes()
 
 
 def unpack_blocks(starts: np.ndarray, area: bytes, n_ids: int) -> np.ndarray:
@@ -99,12 +111,13 @@ def unpack_blocks(starts: np.ndarray, area: bytes, n_ids: int) -> np.ndarray:
     rows = np.zeros((n, BLOCK), np.uint64)
     for w in np.unique(width[width > 0]):
         which = np.flatnonzero(width == w)
-        size = 32 * int(w)
-        words = raw[(at[which] + 7 + 5 * odd[which])[:, None] + np.arange(size)].copy().view(np.uint64)
+        size = BLOCK // 8 * int(w)
+        words = raw[(at[which] + HEAD + 5 * odd[which])[:, None] + np.arange(size)].copy().view(np.uint64)
         rows[which] = _unpack(words, int(w))
-    for k in np.flatnonzero(odd):
-        p, m = at[k] + 7, odd[k]
-        rows[k, raw[p : p + m]] = raw[p + m : p + 5 * m].copy().view(np.uint32)
+    block = np.repeat(np.arange(n), odd)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(odd) - odd, odd)
+    value = raw[(at + HEAD + odd)[block][:, None] + 4 * nth[:, None] + np.arange(4)].copy().view(np.uint32).reshape(-1)
+    rows[block, raw[at[block] + HEAD + nth]] = value
     return (rows + low[:, None].astype(np.uint64)).astype(np.uint32).reshape(-1)[:n_ids]
 
 
@@ -133,13 +146,33 @@ def read_segment(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 _LETTERS = {b: c for b, c in enumerate(byte_letters()) if chr(b) != c}
 
-
-class _Encoder(Memory):
-    """The library's ids of chunks between spaces and line ends, as bytes, each found once.
-
-    This tokenizer's normaliser makes one space of white space and its splitter drops it, so no chunk's ids depend on its
-    neighbours. Most chunks are a word and perhaps signs. On Latin-1 letters the normaliser only lowers them, and the
-    splitter parts letters from signs, so such a chunk is the word's ids, from the library's model, and the signs' ids.
+# The normaliser and the splitter for which words can be encoded each for itself.
+_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def parts_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer makes one space of white space, drops it when it splits, parts letters from signs and knows no
+    special string that white space or a sign of ``_WORD`` could be in. Then no chunk's ids depend on its neighbours."""
+    special = [x["content"] for x in spec["added_tokens"]]
+    return (
+        spec["normalizer"] == _NORMALISER
+        and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+        and spec["model"]["type"] == "BPE"
+        and not spec["model"]["dropout"]
+        and all(x.startswith("<") and not re.search(r"\s", x) for x in special)
+    )
+
+
+class _Encoder:
+    """The library's ids of texts, as bytes.
+
+    Texts are cut at spaces and line ends; each distinct chunk of a batch is looked up once, and the ids of the texts are
+    gathered from those of their chunks. Most chunks are a word and perhaps signs. On Latin-1 letters the normaliser only
+    lowers them, and the splitter parts letters from signs, so such a chunk is the word's ids, from the library's model,
+    and the signs' ids. Any other chunk goes through the whole library, and so does every text where a tokenizer is not
+    ``parts_at_spaces``. Chunks and words of the last generation or two are remembered.
     """
 
     def __init__(self, path: str):
@@ -147,33 +180,71 @@ class _Encoder(Memory):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        super().__init__(self.found, 3 * REMEMBERED)
-        self.model, self.words, self.signs = self.library.model, Memory(self.word, 2 * REMEMBERED), {"": b""}
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        self.age()
-        self.words.age()
-        return (b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) for t in texts)
-
-    def whole(self, chunk: str) -> bytes:
-        return array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
-
-    def found(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
-        found = _WORD.fullmatch(chunk)
-        if found is None:
-            return self.whole(chunk)
-        word, sign = found.groups()
-        if sign not in self.signs:
-            if len(self.signs) > REMEMBERED:
-                self.signs = {"": b""}
-            self.signs[sign] = self.whole(sign)
-        return self.words[word.lower()] + self.signs[sign]
+        self.tokenize = self.library.model.tokenize
+        self.by_chunk = parts_at_spaces(json.loads(self.library.to_str()))
+        self.image = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size(True))]
+        self.chunks, self.old_chunks = {}, {}
+        self.words, self.old_words = {}, {}
+
+    def texts(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
+        """The ids of each text, and those in ``end``."""
+        if not self.by_chunk:
+            return [x + end for x in self.whole(texts.to_pylist())]
+        if len(self.chunks) > 3 * REMEMBERED:
+            self.chunks, self.old_chunks = {}, self.chunks
+        if len(self.words) > 2 * REMEMBERED:
+            self.words, self.old_words = {}, self.words
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        own = parts.flatten().dictionary_encode()
+        distinct = own.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.chunks.get, distinct))
+        if missing := [k for k, ids in enumerate(known) if ids is None]:
+            self.learn([distinct[k] for k in missing])
+            for k in missing:
+                known[k] = self.chunks[distinct[k]]
+        known.append(end)
+        pool = np.frombuffer(b"".join(known), np.uint32)
+        length = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first = np.cumsum(length) - length
+        which = np.insert(own.indices.to_numpy(), stops := np.cumsum(parts.value_lengths().to_numpy()), len(distinct))  # an end after each text
+        n = length[which]
+        after = np.cumsum(n)
+        ids = pool[np.repeat(first[which] - after + n, n) + np.arange(n.sum())]
+        edges = [0, *after[stops + np.arange(len(stops))].tolist()]
+        return [ids[a:b].tobytes() for a, b in pairwise(edges)]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, missing: list[str]) -> None:
+        """Find the ids of chunks."""
+        old, words, chunks, word = self.old_chunks, self.words, self.chunks, self.word
+        other = []
+        for chunk in missing:
+            if (ids := old.get(chunk)) is not None:
+                chunks[chunk] = ids
+            elif found := _WORD.fullmatch(chunk):
+                letters, sign = found.groups()
+                letters = letters.lower()
+                ids = words.get(letters)
+                if ids is None:
+                    ids = words[letters] = word(letters)
+                if sign:
+                    if sign not in chunks:
+                        chunks[sign] = self.whole([sign])[0]
+                    ids += chunks[sign]
+                chunks[chunk] = ids
+            else:
+                other.append(chunk)
+        if other:
+            chunks.update(zip(other, self.whole(other), strict=True))
 
     def word(self, word: str) -> bytes:
-        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        ids = self.old_words.get(word)
+        if ids is None:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            ids = b"".join([self.image[t.id] for t in self.tokenize(letters)])
+        return ids
 
 
 def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
@@ -198,12 +269,11 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFram
             return row
 
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for k in range(0, len(texts), 64):
-                for doc_id, ids in zip(doc_ids[k : k + 64], encode.texts(texts[k : k + 64]), strict=True):
+            for some in by_bytes(batch):
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encode.texts(some.column("text"), end), strict=True):
                     own.append(doc_id)
-                    encoded.append(ids + end)
-                    held += len(encoded[-1]) // 4
+                    encoded.append(ids)
+                    held += len(ids) // 4
                     if held >= SEGMENT_IDS:
                         yield closed()
         if own:
@@ -247,5 +317,10 @@ def read_segments(segments: DataFrame) -> DataFrame:
 
 
 def token_blocks(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """Write and read back; an empty table gives an empty result."""
+    """doc_id, start, n_tokens, ids_crc32 of every whole text, from the stored segments: write and read back.
+
+    A null or empty text has the end id alone. Rows with a null doc_id come first and keep it; rows with one id are
+    ordered by text, and repeated rows are encoded each for itself. A long text makes a longer segment. Further columns
+    are not read. An empty table gives an empty result.
+    """
     return read_segments(write_segments(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id))
