@@ -2,17 +2,20 @@
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from veritrail.llm.bpe_tree import TreeEncoder, bpe_digests
-from veritrail.llm.token_blocks import pack_blocks, read_segment, segment_image, token_blocks, unpack_blocks
+from veritrail.llm.batches import ChunkMemory
+from veritrail.llm.token_blocks import _Encoder, pack_blocks, parts_at_spaces, read_segment, segment_image, token_blocks, unpack_blocks
 from veritrail.llm.token_counts import Merges, count_symbols, token_counts
 
 ALPHABET = ["a", "b", " ", "  ", "\n", "\t", "<|endoftext|>", "é", "é", "\x1c", "\x85", " ", "　", "1", "23", "!!", "'s", "'re", "Σ", "日本", "<|startoftext|>", "aaaaaaa", "​", "ſ", "İ", "The", "Word,"]
@@ -107,3 +110,39 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     for op in (token_blocks, token_counts, bpe_digests):
         assert op(none).collect() == []
+
+
+def test_looking_up_costs_what_the_texts_hold():
+    """Not what is remembered: set operations with a subclass of dict would walk all its keys for each text."""
+    seen = []
+    memory = ChunkMemory(lambda chunks: (seen.extend(chunks), [len(c) for c in chunks])[1])
+
+    class Counted(type(memory.first)):
+        walked = 0
+
+        def __iter__(self):
+            Counted.walked += len(self)
+            return super().__iter__()
+
+    memory.first, memory.later = Counted(None, 4), Counted(None, 4)
+    texts = [f"w{k} w{k + 1} w{k + 2}" for k in range(50)]
+    got = [memory.values([t])[0] for t in texts]
+    assert got == [[len(p) + (j > 0) for j, p in enumerate(t.split(" "))] for t in texts]
+    assert Counted.walked == 0
+    assert memory.values(texts[-1:]) == got[-1:] and len(seen) < 200
+
+
+def test_other_tokenizers_go_through_the_library(tmp_path, docs):
+    """A tokenizer whose normaliser keeps case and white space isn't cut at spaces."""
+    spec = json.loads(Tokenizer.from_file(P.path("word_bpe_49k.json")).to_str())
+    assert parts_at_spaces(spec)
+    spec["normalizer"] = {"type": "NFC"}
+    assert not parts_at_spaces(spec)
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    t = Tokenizer.from_file(path)
+    texts = ["Ab  ab\tAB", "", "x<|endoftext|>y Z"]
+    assert _Encoder(path).texts(pa.array(texts), b"\2\0\0\0") == [np.array([*t.encode(x, add_special_tokens=False).ids, 2], np.uint32).tobytes() for x in texts]
+    with pytest.raises(ValueError, match="byte-level"):
+        Merges(P.path("word_bpe_49k.json"))

@@ -124,12 +124,11 @@ class ChunkMemory:
         self.first.age()
         self.later.age()
         for memory, lead, some in ((self.first, "", (p[:1] for p in parts)), (self.later, " ", (p[1:] for p in parts))):
-            missing: set[str] = set()
-            for p in some:
-                missing.update(set(p).difference(memory))
-            again = missing.intersection(memory.old)
-            memory.update((x, memory.old[x]) for x in again)
-            if order := list(missing - again):
+            # one lookup a chunk: set operations with a dict's subclass or with the old generation would walk all of it
+            missing = list({x for p in some for x in p if x not in memory})
+            old = memory.old
+            memory.update([(x, old[x]) for x in missing if x in old])
+            if order := [x for x in missing if x not in old]:
                 memory.update(zip(order, self.compute([lead + x for x in order]), strict=True))
         first, later = self.first, self.later
         return [[first[p[0]], *map(later.__getitem__, p[1:])] for p in parts]

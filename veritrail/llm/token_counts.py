@@ -39,6 +39,9 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        if spec["model"]["type"] != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            raise ValueError("not a byte-level BPE with the usual pre-tokens and no normaliser")
         vocab = spec["model"]["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         made = {a + b: rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
