@@ -2,10 +2,15 @@
 
 The text is the first layer. Each layer is scanned for secrets, then searched for encoded parts: lines with URL or
 Unicode escapes, and base64 runs, each line for itself and joined over line ends, whose bytes may be compressed in turn.
-A secret that ends a line's run may be reported with and without what the next line adds. What a part decodes to is a new layer on the
-worklist, with the place in the text that each of its characters came from, so a secret found at any depth is reported
-where it stands in the text. Layers already seen at a place are not taken again there, which ends cycles such as streams that
-decompress to themselves; all other decoding makes a layer shorter, so the worklist runs empty.
+A secret that ends a line's run may be reported with and without what the next line adds. What a part decodes to is a
+new layer on the worklist, with the place in the text that each of its characters came from, so a secret found at any
+depth is reported where it stands in the text. Everything in a compressed stream stands where the stream does. Layers
+already seen at a place are not taken again there, which ends cycles such as streams that decompress to themselves; all
+other decoding makes a layer shorter, so the worklist runs empty.
+
+Memory is bounded by stretches, not by texts or streams: both are cut at characters that no pattern, escape or base64
+run can hold, so nothing stands across a cut. Streams in streams are decompressed one into the other, never joined. Only
+a run without any such character is held whole, as one byte a character.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import lzma
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +46,17 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 #: Runs of any length that go on over line ends.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t\r]*+\n[ \t\r]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _LINE = re.compile(r"[^\n]+")
+#: The same for bytes.
+_BYTES = [re.compile(p.pattern.encode(), p.flags & re.IGNORECASE) for p in (ASSIGN, ACCESS, HEX)]
+_URL_BYTES, _UNICODE_BYTES = (re.compile(p.pattern.encode()) for p in (_URL, _UNICODE))
 _PLAIN = str.maketrans("-_", "+/", " \t\r\n")
 _LEAST = 12
-#: Bytes of a decompressed stream that make one layer. Longer streams make several, each with the end of the one
-#: before; all places in them are the stream's, so what is found twice counts once and nothing is lost at a border.
-PIECE, OVERLAP = 4_000_000, 65_536
+#: Characters of a text or a decompressed stream that make one layer, unless no border comes in them.
+PIECE = 1_000_000
+#: Borders: whatever isn't in a secret, an escape, a base64 run, its line ends, or between a secret's name and value.
+_BORDER = re.compile(r"""[^A-Za-z0-9+/_=.\- \t\r\n"':%\\&#;{}]""")
+_INNER = bytes(b for b in range(256) if not _BORDER.match(chr(b)))
+_IS_BORDER = bytes(b not in _INNER for b in range(256))
 _ZSTD = b"\x28\xb5\x2f\xfd"
 _MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 #: Bytes that a decompressor gets at a time.
@@ -55,6 +66,16 @@ FED = 65_536
 _HINT = re.compile(rb"[A-Za-z0-9+/_-]{12}|[A-Za-z0-9+/_-][ \t\r]*\n[ \t\r]*[A-Za-z0-9+/_-]|%[0-9A-Fa-f]{2}|\\[uUx]|&#|(?i:passw|secret|token|api_?key)")
 
 
+def _url_byte(m: re.Match) -> bytes:
+    return bytes.fromhex(m.group().replace(b"%", b"").decode())
+
+
+def _unicode_byte(m: re.Match) -> bytes:
+    """A character beyond ASCII is in no pattern, so any byte beyond it will do."""
+    code = int(m.group(m.lastindex), 10 if m.lastindex == 6 else 16)
+    return m.group() if code >= 0x110000 or 0xD800 <= code < 0xE000 else bytes([min(code, 0x80)])
+
+
 def scan(text: str) -> Iterator[tuple[int, int, int]]:
     """(kind, start, end), leftmost and without overlap within a kind."""
     for m in ASSIGN.finditer(text):
@@ -82,61 +103,84 @@ def _decompressor(data: bytes) -> object | None:
     return None
 
 
+class Feed:
+    """Bytes that come in pieces, with a look ahead; ``given`` counts what was taken."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.held, self.at, self.given = iter(pieces), b"", 0, 0
+
+    def ahead(self, n: int) -> bytes:
+        while len(self.held) - self.at < n and (piece := next(self.pieces, None)) is not None:
+            self.held, self.at = self.held[self.at :] + piece, 0
+        return self.held[self.at : self.at + n]
+
+    def take(self, n: int) -> bytes:
+        if self.at == len(self.held):
+            self.ahead(1)
+        part = self.held[self.at : self.at + n]
+        self.at += len(part)
+        self.given += len(part)
+        return part
+
+    def back(self, data: bytes) -> None:
+        self.held, self.at = data + self.held[self.at :], 0
+        self.given -= len(data)
+
+
+def _fed(data: bytes, begin: int = 0, end: int | None = None) -> Iterator[bytes]:
+    stop = len(data) if end is None else end
+    return (data[k : min(k + FED, stop)] for k in range(begin, stop, FED))
+
+
 class Streams:
-    """Compressed streams that stand end to end from a place of some bytes on, where they end, and if the last is whole."""
+    """Compressed streams that stand end to end: pieces of what they hold, each with its stream's number.
+
+    Afterwards ``end`` is where the last one ends, null if it is damaged or cut off; what came before damage counts.
+    """
 
-    def __init__(self, data: bytes, at: int = 0):
-        self.data, self.end, self.whole = memoryview(data), at, False
+    def __init__(self, pieces: Iterable[bytes]):
+        self.feed, self.end = Feed(pieces), 0
 
     def _skipped(self) -> None:
         """Go over zstd's skippable frames and the zeros that may fill up between streams."""
-        while True:
-            head = bytes(self.data[self.end : self.end + 8])
+        while head := self.feed.ahead(8):
             if len(head) == 8 and 0x50 <= head[0] <= 0x5F and head[1:4] == b"\x2a\x4d\x18":
-                self.end = min(self.end + 8 + int.from_bytes(head[4:], "little"), len(self.data))
+                left = 8 + int.from_bytes(head[4:], "little")
+                while left and (part := self.feed.take(min(left, FED))):
+                    left -= len(part)
             elif head[:1] == b"\0":
-                self.end += 1
+                self.feed.take(1)
             else:
                 return
 
     def __iter__(self) -> Iterator[tuple[int, bytes]]:
-        """Where a stream begins and its pieces; what came before damage counts."""
-        while True:
-            begin = self.end
-            own = _decompressor(bytes(self.data[begin : begin + 8]))
-            if own is None:
-                return
-            held = bytearray()
+        number = 0
+        while (own := _decompressor(self.feed.ahead(8))) is not None:
             try:
                 for piece in self._pieces(own):
-                    held += piece
-                    if len(held) >= PIECE:
-                        yield begin, bytes(held)
-                        held = bytearray()
+                    if piece:
+                        yield number, piece
             except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-                self.end, self.whole = len(self.data), False
-            if held:
-                yield begin, bytes(held)
-            end = self.end
-            self._skipped()
-            if _decompressor(bytes(self.data[self.end : self.end + 8])) is None:
-                self.end = end
+                self.end = None
                 return
+            if not own.eof:
+                self.end = None
+                return
+            self.feed.back(own.unused_data)
+            self.end = self.feed.given
+            self._skipped()
+            number += 1
 
     def _pieces(self, own: object) -> Iterator[bytes]:
         # a few bytes of zstd may make 128 KB, and its decompressor has no limit
-        limited = self.data[self.end : self.end + 4] != _ZSTD
-        step = FED if limited else FED // 256
-        while self.end < len(self.data) and not own.eof:
-            part = self.data[self.end : self.end + step]
-            self.end += len(part)
+        limited = self.feed.ahead(4) != _ZSTD
+        while not own.eof and (part := self.feed.take(FED if limited else FED // 256)):
             piece = own.decompress(part, PIECE) if limited else own.decompress(part)
             while piece:
                 yield piece
                 if own.eof or not limited:
                     break
                 piece = own.decompress(getattr(own, "unconsumed_tail", b""), PIECE)
-        self.end, self.whole = self.end - len(own.unused_data), own.eof
 
 
 class Layer:
@@ -193,77 +237,167 @@ def _unicode(layer: Layer, line: re.Match) -> Layer | None:
     return _replaced(layer, line.start(), line.end(), found, "unicode/") if found else None
 
 
-def _base64(layer: Layer, m: re.Match, seen: set[tuple[int, int, bytes]]) -> Iterator[Layer]:
-    """Layers of a run on one line or over several.
+Found = dict[tuple[int, int, int], str]
+
+
+def _decoded(run: str) -> Iterator[tuple[int, bytes]]:
+    """(shift, bytes) of a base64 run without line ends.
 
     What stands before the coded part, a path or a word, may belong to the alphabet too. So a run is decoded from each
-    of its first four characters, one of which is in step with the part, and streams may begin at any byte.
+    of its first four characters, one of which is in step with the part.
     """
+    for shift in range(4 if len(run) >= _LEAST else 0):
+        n = len(run) - shift
+        n -= n % 4 == 1
+        yield shift, binascii.a2b_base64(run[shift : shift + n] + "=" * (-n % 4))
+
+
+def _streams(data: bytes) -> Iterator[tuple[int, int]]:
+    """Where compressed streams begin and end in some bytes. They may begin at any byte."""
+    done = 0
+    for x in _MAGIC.finditer(data):
+        begin = x.start()
+        if begin < done:
+            continue
+        streams = Streams(_fed(data, begin))
+        some = False
+        for _ in streams:
+            some = True
+        if some:
+            if streams.end is not None:
+                done = begin + streams.end
+            yield begin, len(data) if streams.end is None else done
+
+
+def _base64(layer: Layer, m: re.Match, seen: set, found: Found) -> Iterator[Layer]:
+    """Layers of a run on one line or over several; what is compressed in it goes to ``found`` at once."""
     run = m.group().rstrip("=")
     at = np.arange(m.start(), m.start() + len(run))
     if "\n" in run:
         raw = np.frombuffer(run.encode(), np.uint8)
         at = at[raw > 0x20]
-    run = run.translate(_PLAIN)
-    if len(run) < _LEAST:
-        return
     via = layer.via + "base64/"
-    for shift in range(4):
-        n = len(run) - shift
-        n -= n % 4 == 1
-        data = binascii.a2b_base64(run[shift : shift + n] + "=" * (-n % 4))
+    for shift, data in _decoded(run.translate(_PLAIN)):
         if _HINT.search(data):
             j = np.arange(len(data))
             yield Layer(data.decode("latin-1"), layer.start[at[shift + j * 8 // 6]], layer.end[at[shift + (j * 8 + 7) // 6]], via)
-        done = 0
-        for x in _MAGIC.finditer(data):
-            begin = x.start()
-            if begin < done:
-                continue
-            streams = Streams(data, begin)
-            if not any([True for _ in streams]):
-                continue
-            a, b = int(layer.start[at[shift + begin * 8 // 6]]), int(layer.end[m.end() - 1])
-            if streams.whole:
-                done = streams.end
-            if streams.end < len(data):
-                b = int(layer.end[at[shift + (streams.end * 8 - 1) // 6]])
-            yield from _unpacked(data[begin : streams.end], a, b, via, seen)
-
-
-def _unpacked(data: bytes, a: int, b: int, via: str, seen: set[tuple[int, int, bytes]]) -> Iterator[Layer]:
-    """Layers of compressed streams, and of those in them, that stand at a to b of the document."""
-    work = deque([(data, via)])
-    while work:
-        data, via = work.popleft()
-        if _decompressor(data) is None:
-            continue
-        key = a, b, hashlib.sha256(data).digest()
-        if key in seen:
+        for begin, end in _streams(data):
+            a = int(layer.start[at[shift + begin * 8 // 6]])
+            b = int(layer.end[m.end() - 1 if end == len(data) else at[shift + (end * 8 - 1) // 6]])
+            _unpacked(lambda data=data, begin=begin, end=end: _fed(data, begin, end), Place(a, b, seen, found), via)
+
+
+class Place:
+    """A part of the document that compressed data stands at: what was seen and found there."""
+
+    def __init__(self, a: int, b: int, seen: set, found: Found):
+        self.a, self.b, self.all_seen, self.found = a, b, seen, found
+
+    def new(self, pieces: Iterable[bytes]) -> bool:
+        """Whether data was not seen here before."""
+        digest = hashlib.sha256()
+        for piece in pieces:
+            digest.update(piece)
+        key = self.a, self.b, digest.digest()
+        if key in self.all_seen:
+            return False
+        self.all_seen.add(key)
+        return True
+
+    def scan(self, data: bytes, via: str) -> None:
+        for kind, pattern in enumerate(_BYTES):
+            key = self.a, kind, self.b
+            if key not in self.found and any(kind or m.end(2) - m.start(2) >= ASSIGN_VALUE for m in pattern.finditer(data)):
+                self.found[key] = via
+
+    def done(self) -> bool:
+        """Whether every kind was found, so that nothing below can add to it."""
+        return all((self.a, kind, self.b) in self.found for kind in range(len(_BYTES)))
+
+
+def _unpacked(coded: Callable[[], Iterable[bytes]], place: Place, via: str) -> None:
+    """Scan what compressed streams hold, at any depth. Each layer is a generator of those below it."""
+    work = [_stream_layers(coded, place, via)]
+    while work and not place.done():
+        if (below := next(work[-1], None)) is None:
+            work.pop()
+        else:
+            work.append(below)
+
+
+def _stream_layers(coded: Callable[[], Iterable[bytes]], place: Place, via: str) -> Iterator[Iterator]:
+    """``coded`` gives the streams' bytes, each time anew: they are hashed, decompressed, and again for streams in them."""
+    if not place.new(coded()):
+        return
+    via += "compressed/"
+    nested: list[int] = []
+
+    def text() -> Iterator[bytes]:
+        last = -1
+        for number, piece in Streams(coded()):
+            if number != last:
+                last = number
+                if _decompressor(piece) is not None:
+                    nested.append(number)
+            yield piece
+
+    yield _byte_layers(text(), place, via)
+    for number in nested:
+        own = lambda number=number: (piece for n, piece in Streams(coded()) if n == number)
+        held, size = [], 0
+        for piece in own():
+            held.append(piece)
+            size += len(piece)
+            if size > PIECE:
+                break
+        yield _stream_layers(own if size > PIECE else lambda data=b"".join(held): _fed(data), place, via)
+
+
+def _byte_layers(pieces: Iterable[bytes], place: Place, via: str) -> Iterator[Iterator]:
+    """Scan bytes and give the layers of their escapes and base64 runs."""
+    for data in _stretches(pieces):
+        if not _HINT.search(data):
             continue
-        seen.add(key)
-        via += "compressed/"
-        last, nested, held, before = -1, None, bytearray(), b""
-
-        def layers() -> Iterator[Layer]:
-            if _HINT.search(text := before + held):
-                yield Layer(text.decode("latin-1"), np.full(len(text), a), np.full(len(text), b), via)
-
-        for begin, piece in Streams(data):
-            if begin != last:
-                if nested:
-                    work.append((bytes(nested), via))
-                last, nested = begin, None if _decompressor(piece) is None else bytearray()
-            if nested is not None:
-                nested += piece
-            held += piece
-            if len(held) >= PIECE:
-                yield from layers()
-                held, before = bytearray(), (before + held)[-OVERLAP:]
-        if held:
-            yield from layers()
-        if nested:
-            work.append((bytes(nested), via))
+        place.scan(data, via)
+        for name, sign, pattern, put in (("url/", b"%", _URL_BYTES, _url_byte), ("unicode/", b"", _UNICODE_BYTES, _unicode_byte)):
+            if sign in data and pattern.search(data):
+                lines = b"\0".join([pattern.sub(put, x) for x in data.split(b"\n") if pattern.search(x)])
+                if place.new([lines]):
+                    yield _byte_layers([lines], place, via + name)
+        text = data.decode("latin-1")
+        for runs in (_BASE64, _WRAPPED) if b"\n" in data else (_BASE64,):
+            for m in runs.finditer(text):
+                run = m.group().rstrip("=").translate(_PLAIN)
+                if len(run) < _LEAST or not place.new([run.encode()]):
+                    continue
+                for _, own in _decoded(run):
+                    if _HINT.search(own):
+                        yield _byte_layers([own], place, via + "base64/")
+                    for begin, end in _streams(own):
+                        yield _stream_layers(lambda own=own, begin=begin, end=end: _fed(own, begin, end), place, via + "base64/")
+
+
+def _stretches(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """Bytes up to a border, PIECE at least."""
+    held = bytearray()
+    for piece in pieces:
+        cut = piece.translate(_IS_BORDER).rfind(1) + 1 if len(held) + len(piece) >= PIECE else 0
+        held += piece[:cut] if cut else piece
+        if cut:
+            yield bytes(held)
+            held = bytearray(piece[cut:])
+    if held:
+        yield bytes(held)
+
+
+def _parts(text: str) -> Iterator[tuple[int, int]]:
+    """The same for a text, as places."""
+    a = 0
+    while a < len(text):
+        m = _BORDER.search(text, a + PIECE)
+        b = m.end() if m else len(text)
+        yield a, b
+        a = b
 
 
 def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
@@ -271,34 +405,41 @@ def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
     found = {(s, k, e): "" for k, s, e in scan(text)}
     coded = [f for f, there in ((_url, "%" in text), (_unicode, "\\" in text or "&#" in text)) if there]
     if coded or _BASE64.search(text) or "\n" in text and _WRAPPED.search(text):
-        n = np.arange(len(text) + 1)
-        work, seen, own = deque([Layer(text, n[:-1], n[1:], "")]), set(), set()
-        while work:
-            layer = work.popleft()
-            key = hashlib.sha256(layer.text.encode(errors="surrogatepass") + (layer.start[:1].tobytes() + layer.end[-1:].tobytes())).digest()
-            if key in own:
-                continue
-            own.add(key)
-            if layer.via:
-                for k, s, e in scan(layer.text):
-                    a, b = layer.span(s, e)
-                    found.setdefault((a, k, b), layer.via)
-            for decode, sign in ((_url, "%"), (_unicode, "")):
-                if sign in layer.text and (_URL if sign else _UNICODE).search(layer.text):
-                    work.extend(x for line in _LINE.finditer(layer.text) if (x := decode(layer, line)) is not None)
-            for runs in (_BASE64, _WRAPPED) if "\n" in layer.text else (_BASE64,):
-                for m in runs.finditer(layer.text):
-                    work.extend(_base64(layer, m, seen))
+        for a, b in _parts(text):
+            n = np.arange(a, b + 1)
+            _decode_all(Layer(text[a:b], n[:-1], n[1:], ""), found)
     return sorted((s, k, e, via) for (s, k, e), via in found.items())
 
 
+def _decode_all(first: Layer, found: Found) -> None:
+    work, seen, own = deque([first]), set(), set()
+    while work:
+        layer = work.popleft()
+        key = hashlib.sha256(layer.text.encode(errors="surrogatepass") + (layer.start[:1].tobytes() + layer.end[-1:].tobytes())).digest()
+        if key in own:
+            continue
+        own.add(key)
+        if layer.via:
+            for k, s, e in scan(layer.text):
+                a, b = layer.span(s, e)
+                found.setdefault((a, k, b), layer.via)
+        for decode, sign in ((_url, "%"), (_unicode, "")):
+            if sign in layer.text and (_URL if sign else _UNICODE).search(layer.text):
+                work.extend(x for line in _LINE.finditer(layer.text) if (x := decode(layer, line)) is not None)
+        for runs in (_BASE64, _WRAPPED) if "\n" in layer.text else (_BASE64,):
+            for m in runs.finditer(layer.text):
+                work.extend(_base64(layer, m, seen, found))
+
+
 SPANS = "doc_id long, kinds array<string>, starts array<long>, ends array<long>, via array<string>"
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id and parallel arrays kinds, starts, ends (code points, end exclusive), via, ordered by start and kind.
 
-    A narrow map over whole texts; a null or empty text has none; repeated rows are scanned each for itself.
+    A narrow map over whole texts, however long; a null or empty text has none, in an empty table there are none;
+    repeated rows and null ids are scanned each for itself; spans of one start come by kind, then by end. Further columns
+    are not read, whatever their names.
     """
     prepare(docs.sparkSession)
 
