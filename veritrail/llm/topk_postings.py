@@ -6,8 +6,9 @@ and their weights); queries are packed into blocks of sparse rows. Every block o
 candidates: each query row scatters its weighted postings, term by term, into a dense array of scores, partition
 selection keeps its k best, and the k best of all blocks are merged per query.
 
-Query blocks are replicated once to each bucket of candidates and joined by bucket, so neither side has to be small
-enough to broadcast, and a task holds a few blocks at a time.
+Query blocks are replicated once to each bucket of candidates and joined by bucket. The join is a sort-merge join: it
+streams the candidates and keeps a bucket's query blocks in a buffer that spills, so neither side has to fit in memory,
+and a task holds a few blocks at a time.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import prepare
+from ..runtime import prepare, stored
 
 #: Weights (vectors x dimensions) of one block, which bounds a joined row to about 128 KB.
 BLOCK_CELLS = 32_768
@@ -36,33 +37,33 @@ def _weights(vectors: list[list[float]]) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (vec_id, embedding) sorted by vec_id as blocks (ids, dims, weights). A vec_id that comes again is one vector."""
+    """Rows (vec_id, key, embedding) as blocks (ids, keys, dims, weights)."""
     ids: list[int] = []
+    keys: list[int] = []
     vectors: list[list[float]] = []
-    last = None
 
     def block() -> pa.RecordBatch:
         w = _weights(vectors)
-        return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([w.shape[1]], pa.int32()), pa.array([w.astype(np.int32).tobytes() if not w.size or np.abs(w.astype(float)).max() < LIMIT else w.tobytes()], pa.binary())], names=["ids", "dims", "weights"])
+        narrow = not w.size or np.abs(w.astype(float)).max() < LIMIT
+        cells = [np.array(ids, np.int64), np.array(keys, np.int64), w.astype(np.int32) if narrow else w]
+        return pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in cells), pa.array([w.shape[1]], pa.int32())], names=["ids", "keys", "weights", "dims"])
 
     for batch in batches:
-        for vec_id, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-            if vec_id == last:
-                continue
-            last = vec_id
+        for vec_id, key, v in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "key", "embedding")), strict=True):
             ids.append(vec_id)
+            keys.append(key)
             vectors.append(v)
             if len(ids) * max(len(v), 1) >= BLOCK_CELLS:
                 yield block()
-                ids, vectors = [], []
+                ids, keys, vectors = [], [], []
     if ids:
         yield block()
 
 
-def _unpacked(ids: bytes, dims: int, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(ids: bytes, keys: bytes, weights: bytes, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = np.frombuffer(ids, np.int64)
     wide = len(weights) == 8 * len(own) * dims and dims > 0
-    return own, np.frombuffer(weights, np.int64 if wide else np.int32).astype(np.int64).reshape(len(own), dims)
+    return own, np.frombuffer(keys, np.int64), np.frombuffer(weights, np.int64 if wide else np.int32).astype(np.int64).reshape(len(own), dims)
 
 
 class Postings:
@@ -83,38 +84,41 @@ class Postings:
             scores[rows] += weights * weight
 
 
+PARTS = ("ids", "keys", "weights", "dims")
+
+
 def _scored(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names = ["q_ids", "q_dims", "q_weights", "ids", "dims", "weights"]
     for batch in batches:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         last, postings = None, None
-        for row in zip(*(batch.column(c) for c in names), strict=True):
-            q_ids, q = _unpacked(*(x.as_py() for x in row[:3]))
-            raw = row[3].as_py()
+        for row in zip(*(batch.column(c) for c in (*(f"q_{c}" for c in PARTS), *PARTS)), strict=True):
+            q_ids, q_keys, q = _unpacked(*(x.as_py() for x in row[:4]))
+            raw = row[5].as_py()
             if raw != last:
                 last = raw
-                ids, w = _unpacked(raw, row[4].as_py(), row[5].as_py())
+                ids, keys, w = _unpacked(*(x.as_py() for x in row[4:]))
                 top_w, postings = float(np.abs(w.astype(float)).max(initial=0)), {}
             bound = top_w * float(np.abs(q.astype(float)).max(initial=0)) * max(1, min(q.shape[1], w.shape[1]))
             kind = np.int32 if bound < LIMIT else np.int64 if bound < 2.0**62 else object
             if kind not in postings:
                 postings[kind] = Postings(w, kind)
             own, scores, spare = postings[kind], np.zeros(len(ids), kind), np.zeros(len(ids), kind)
-            for query_id, weights in zip(q_ids.tolist(), q, strict=True):
+            for query_id, key, weights in zip(q_ids.tolist(), q_keys.tolist(), q, strict=True):
                 scores[:] = 0
                 terms = np.flatnonzero(weights[: w.shape[1]])
                 for term, weight in zip(terms.tolist(), weights[terms].tolist(), strict=True):
                     own.add(scores, term, weight, spare)
                 s = scores if kind is not object else np.array([max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in scores], np.int64)
-                at = np.flatnonzero(ids != query_id)
+                at = np.flatnonzero(keys != key)
                 if len(at) > k:
                     cut = np.partition(s[at], len(at) - k)[len(at) - k]
                     at = at[s[at] >= cut]
-                    at = at[np.lexsort((ids[at], -s[at].astype(float) if kind is object else -s[at].astype(np.int64)))][:k]
+                    at = at[np.lexsort((ids[at], ~s[at]))][:k]  # ~ turns the order round without an overflow
                 out[0] += [query_id] * len(at)
-                out[1] += ids[at].tolist()
-                out[2] += s[at].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+                out[1] += [key] * len(at)
+                out[2] += ids[at].tolist()
+                out[3] += s[at].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "key", "vec_id", "score"])
 
 
 def usable(embedding: str = "embedding") -> Column:
@@ -123,34 +127,48 @@ def usable(embedding: str = "embedding") -> Column:
     return F.col(embedding).isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
+def _taken(df: DataFrame, key: Column) -> DataFrame:
+    return df.select(F.col("vec_id").cast("long").alias("vec_id"), key.cast("long").alias("key"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable() & F.col("vec_id").isNotNull())
+
+
+def _top(candidates: DataFrame, queries: DataFrame, k: int, buckets: int | None) -> DataFrame:
+    """The k best of each query row (vec_id, key, embedding) among the candidate rows with another key."""
+    n = buckets or int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = lambda df: df.mapInArrow(_blocks, "ids binary, keys binary, weights binary, dims int")
+    own = packed(candidates).withColumn("bucket", F.expr(f"pmod(xxhash64(keys, ids), {n})"))
+    asked = packed(queries).select(*[F.col(c).alias(f"q_{c}") for c in PARTS], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("bucket"))
+    met = own.join(asked.hint("merge"), "bucket").select(*[f"q_{c}" for c in PARTS], *PARTS)
+    best = met.mapInArrow(lambda batches: _scored(batches, k), "query_id long, key long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, buckets: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best candidates of each query but itself, ties to the smaller vec_id.
+    """query_id, rank, vec_id, score: the k best candidates of each query, ties to the smaller vec_id.
 
-    Both tables have vec_id and embedding. Rows with a null id or an unusable vector take no part; of rows with one
-    vec_id one takes part; vectors of different lengths are compared where both have components. With fewer than k
-    candidates all are returned. ``buckets``: parts of the candidates, the session's shuffle partitions by default.
+    Both tables have vec_id and embedding; a query has one row, and candidates with its vec_id take no part. Rows with a
+    null id or an unusable vector take no part; vectors of different lengths are compared where both have components.
+    With fewer than k candidates all are returned; scores beyond a long become the nearest long. Further columns are not
+    read. ``buckets``: parts of the candidates, the session's shuffle partitions by default.
     """
-    spark = prepare(vectors.sparkSession)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    taken = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable() & F.col("vec_id").isNotNull())
-    packed = lambda df, parts: df.repartition(parts, "vec_id").sortWithinPartitions("vec_id", "embedding").mapInArrow(_blocks, "ids binary, dims int, weights binary")
-    candidates = packed(taken(vectors), n).withColumn("bucket", F.expr(f"pmod(xxhash64(ids), {n})"))
-    asked = packed(taken(queries), max(1, n // 4)).select(F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("weights").alias("q_weights"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("bucket"))
-    met = candidates.join(asked.hint("shuffle_hash"), "bucket").select("q_ids", "q_dims", "q_weights", "ids", "dims", "weights")
-    best = met.mapInArrow(lambda batches: _scored(batches, k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    prepare(vectors.sparkSession)
+    return _top(_taken(vectors, F.col("vec_id")), _taken(queries, F.col("vec_id")), k, buckets)
 
 
-def top_k_self(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """Queries are the rows whose vec_id is divisible by ``every``; all rows are candidates."""
-    return top_k(vectors, vectors.where(F.col("vec_id") % every == 0), k)
+def top_k_self(vectors: DataFrame, every: int = 50, k: int = 5, buckets: int | None = None) -> DataFrame:
+    """Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows but the query's own.
+
+    Rows are numbered and written once, since rows may repeat: each repeated row is a query, and a candidate for its likes.
+    """
+    prepare(vectors.sparkSession)
+    own = stored(_taken(vectors, F.monotonically_increasing_id()), "numbered-vectors")
+    return _top(own, own.where(F.col("vec_id") % every == 0), k, buckets)
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS w FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS w FROM embeddings),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.r <> q.r)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
