@@ -13,9 +13,12 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
-from veritrail.llm.language_crf import Chains, Model, languages
-from veritrail.llm.quality_compress import quality
+from veritrail.llm import language_crf
+from veritrail.llm.batches import crc_of_id
+from veritrail.llm.language_crf import Chains, Labeller, Model, languages
+from veritrail.llm.quality_compress import logistic, quality
 from veritrail.llm.secret_worklist import find_secrets, secret_digests
 from veritrail.llm.topk_postings import top_k, top_k_self
 
@@ -48,10 +51,14 @@ def test_languages_without_labels(spark):
     assert {x.lang_pred for x in languages(one).collect()} == {"xx"}
 
 
-def test_forward_backward_sums_over_all_paths():
+def test_forward_backward_sums_over_all_paths(monkeypatch):
     rng = np.random.default_rng(3)
     e, start, step = rng.normal(size=(5, 3)), rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3)
     gamma, pairs, first = Chains(np.array([0, 4]), 5).marginals(e, start, step, pairs=True)
+    for part in (1, 2, 3):  # parts of a chain, joined by messages, are the chain
+        monkeypatch.setattr(language_crf, "PART", part)
+        for a, b in zip(Chains(np.array([0, 4]), 5).marginals(e, start, step, pairs=True), (gamma, pairs, first), strict=True):
+            assert np.allclose(a, b)
     want, total = np.zeros((4, 3)), 0.0
     for path in np.ndindex(3, 3, 3, 3):
         p = start[path[0]] * np.exp(e[0, path[0]])
@@ -69,6 +76,66 @@ def test_crf_learns_that_languages_last():
     assert (m.step.diagonal() > 0.5).all()
 
 
+def switched(r, n):
+    """Words with their languages: runs of 3 to 9 words."""
+    words, truth = [], []
+    while len(words) < n:
+        lang = r.choice([x for x in SYLLABLES if not truth or x != truth[-1]])
+        own = line(r, lang, r.randrange(3, 10)).split()
+        words += own
+        truth += [lang] * len(own)
+    return words, truth
+
+
+def test_words_of_code_switched_text_are_labelled():
+    """Word by word, on words not seen in training, over switches; transitions alone would carry one language on."""
+    r = random.Random(12)
+    m = Model([(lang, "\n".join(line(r, lang) for _ in range(4))) for lang in SYLLABLES for _ in range(30)])
+    label = Labeller(m)
+    assert all(0 < m.step[i, j] < m.step[i, i] for i in range(3) for j in range(3) if i != j)
+    right = total = 0
+    for _ in range(30):
+        words, truth = switched(r, 60)
+        label.learn([w for w in set(words) if w not in label.ids])
+        gamma, *_ = Chains(np.array([0]), len(words)).marginals(label.emission[[label.ids[w] for w in words]].astype(float), m.start, m.step)
+        right += sum(m.languages[k] == t for k, t in zip(gamma.argmax(axis=1), truth, strict=True))
+        total += len(words)
+    assert right / total > 0.97
+
+
+def test_predictions_match_plain_forward_backward(spark):
+    """Whole result, from texts to scores, with loops over words and labels; one line is longer than a part."""
+    r = random.Random(13)
+    rows = [(k, "\n".join(line(r, lang) for _ in range(3)), lang, "x") for k in range(60) for lang in [r.choice(list(SYLLABLES))]]
+    rows += [(100, " ".join(switched(r, 700)[0]), None, "x"), (101, "\n\n12 " + line(r, "aa", 2) + "\n" + line(r, "bb", 2), None, "x"), (100, " ".join(switched(r, 5)[0]), None, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    m = language_crf.fit(d, ~(crc_of_id(F.col("doc_id")) % 5 == 0))
+    features = language_crf.Features(m.lexicon)
+    for x, (doc_id, text, *_) in zip(languages(d.coalesce(1)).collect(), d.coalesce(1).collect(), strict=True):
+        total, words = np.zeros(3), 0
+        for one in text.lower().split("\n"):
+            own = re.findall(r"[^\W\d_]+", one)
+            e = [np.exp(m.weights[features([w])[0]].astype(float).sum(axis=0)) for w in own]
+            a, b = [], np.ones(3)
+            for t, x_t in enumerate(e):
+                v = (m.start if t == 0 else a[-1] @ m.step) * x_t
+                a.append(v / v.sum())
+            for t in range(len(e) - 1, -1, -1):
+                g = a[t] * b
+                total += g / g.sum()
+                b = m.step @ (e[t] * b)
+                b /= b.sum()
+            words += len(own)
+        assert x.doc_id == doc_id and x.lang_pred == m.languages[total.argmax()] and abs(x.score - total.max() / words) < 1e-6
+
+
+def test_long_labelled_texts_teach_too(spark):
+    r = random.Random(14)
+    rows = [(k, line(r, lang, 9000), lang) for k, lang in enumerate(["aa", "bb"] * 4)] + [(50, line(r, "bb"), None)]
+    got = {x.doc_id: x.lang_pred for x in languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[50] == "bb" and all(got[k] == ("aa", "bb")[k % 2] for k in range(8))
+
+
 def ints(v):
     return [int(np.floor(256 * x)) for x in v]
 
@@ -77,15 +144,28 @@ def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(int(k), [float(x) if rng.random() < 0.7 else 0.0 for x in rng.normal(size=8)]) for k in range(330)]
     rows[20] = (20, rows[10][1])  # a tie
-    odd = [(400, None), (450, [1.0, None]), (401, [float("nan")] * 8), (402, [float("inf")] * 8), (None, [1.0] * 8), (403, []), rows[7]]
+    odd = [(400, None), (450, [1.0, None]), (401, [float("nan")] * 8), (402, [float("inf")] * 8), (None, [1.0] * 8), (403, []), rows[7], rows[50], rows[50]]  # repeated rows are queries and candidates of their own
     d = spark.createDataFrame([(*x, "z") for x in rows + odd], "vec_id long, embedding array<double>, score string").repartition(5)
     got = sorted(tuple(x) for x in top_k_self(d).collect())
-    own = {**dict(rows), 403: []}
+    own = [*rows, (403, []), rows[7], rows[50], rows[50]]
     want = []
-    for q in [k for k in own if k % 50 == 0]:
-        s = sorted((-sum(a * b for a, b in zip(ints(own[q]), ints(v))), k) for k, v in own.items() if k != q)
-        want += [(q, n + 1, k, -x) for n, (x, k) in enumerate(s[:5])]
+    for at, (q, of_q) in enumerate(own):
+        if q % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(ints(of_q), ints(v))), k) for j, (k, v) in enumerate(own) if j != at)
+            want += [(q, n + 1, k, -x) for n, (x, k) in enumerate(s[:5])]
     assert got == sorted(want)
+    assert sorted(tuple(x) for x in top_k_self(d, buckets=1).collect()) == got
+    # a table of queries: candidates with a query's id take no part
+    asked = d.where("vec_id = 50").limit(1)
+    assert [x.vec_id for x in top_k(d, asked).orderBy("rank").collect()] == [k for _, k in sorted((-sum(a * b for a, b in zip(ints(rows[50][1]), ints(v))), k) for k, v in own if k != 50)[:5]]
+
+
+def test_top_k_orders_large_scores_exactly(spark):
+    """2^62 + 1, 2^62 and 2^62 + 2 are one number as doubles."""
+    q = [2.0**23, 1 / 256]
+    rows = [(0, q)] + [(k, [2.0**23, x / 256]) for k, x in ((1, 1), (2, 0), (3, 2))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(x.vec_id, x.score - 2**62) for x in top_k_self(d).orderBy("rank").collect()] == [(3, 2), (1, 1), (2, 0)]
 
 
 def test_top_k_with_few_candidates_and_large_weights(spark):
@@ -109,6 +189,35 @@ def test_quality(spark):
     assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.7) for x in got.values())
 
 
+def test_quality_scores_match_plain_compression(spark):
+    """Dictionaries, differences and scores once more, step by step; length alone doesn't move a score."""
+    r = random.Random(15)
+    good = lambda n=6: "\n".join(line(r, "aa") for _ in range(n))
+    bad = lambda n=60: " ".join("".join(r.choice("qwxzkvjpyfhd") for _ in range(5)) for _ in range(n))
+    rows = [(k, good() if k % 2 else bad(), 1) for k in range(200)]
+    rows += [(300, good(900), 1), (302, bad(9000), 1), (304, "", 1), (305, None, 1), (307, rows[1][1], 1), (307, rows[1][1], 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score int").coalesce(1)
+    # ids 190 to 199 have labels that disagree
+    labels = spark.createDataFrame([(k, k % 2, 0.5) for k in range(200)] + [(k, 1 - k % 2, 0.5) for k in range(190, 200)], "doc_id long, quality int, score double")
+    order = [(x.doc_id, x.doc_id % 2) for x in labels.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").collect() if x.doc_id < 190 and zlib.crc32(str(x.doc_id).encode()) % 4 != 2]
+    text = {k: t for k, t, _ in rows}
+    own = {q: [text[k] for k, of in order if of == q] for q in (1, 0)}
+    packs = {q: "\n".join(own[q][0::2]).encode() for q in own}
+    limit = min(map(len, packs.values()))
+    ways = {q: zstandard.ZstdCompressor(level=9, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(p[:limit], dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for q, p in packs.items()}
+    size = lambda q, t: sum(len(ways[q].compress(t[k : k + 4096])) for k in range(0, len(t), 4096))
+    difference = lambda t: (size(0, t) - size(1, t)) / (len(t) + 20)
+    pairs = sorted((q, difference(t.encode())) for q in own for t in own[q][1::2])
+    slope, offset = logistic(np.array([x for _, x in pairs]), np.array([float(q) for q, _ in pairs]))
+    got = quality(d, labels).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        z = difference((text[x.doc_id] or "").encode()) * slope + offset
+        assert abs(x.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+    by = {x.doc_id: x for x in got}
+    assert by[300].predicted == 1 and by[302].predicted == 0 and by[304].score == by[305].score
+
+
 def test_quality_without_both_classes(spark):
     d = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -1,20 +1,24 @@
 """Language identification with a linear-chain conditional random field over words.
 
-A text is lines of words (runs of letters); a line is a chain, cut after ``CHAIN`` words. A word's score for a language
-sums the learned weights of its features: character n-grams of one to five, where those that touch a word's edge are its
-affixes, the word itself, and whether a lexicon counts it mostly to one language. Transitions between languages and the
-languages of first words are learned with them. Forward-backward gives each word's probability of each language; a
-text's language has the largest sum over its words, and the score is its mean. So a code-switched text gets the language
-of most of its words, while a foreign word within a sentence is carried by its neighbours.
-
-Training takes a bounded sample (``SAMPLE`` documents of each language, those with the smallest hash of their id) and
-runs on numpy arrays; prediction is a narrow map over all documents.
+A text is lines of words (runs of letters); a line is a chain of any length. A word's score for a language sums the
+learned weights of its features: character n-grams of one to five, where those that touch a word's edge are its affixes,
+the word itself, and whether a lexicon counts it mostly to one language. Transitions between languages and the languages
+of first words are learned with them. Forward-backward gives each word's probability of each language; a text's language
+has the largest sum over its words, and the score is its mean. So a code-switched text gets the language of most of its
+words, while a foreign word within a sentence is carried by its neighbours.
+
+Training takes a bounded sample: ``SAMPLE`` documents of each language, those with the smallest hash of their id, and of
+each the first ``SAMPLE_CHARS`` characters. Labels are those of documents; so that transitions see switches, a share
+``MIXED`` of the training chains is composed of runs of words from lines of several languages, each run with its own
+label. Prediction is a narrow map over all documents and whole texts.
 """
 
 from __future__ import annotations
 
+import random
 import uuid
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +30,14 @@ from ..runtime import prepare
 from .batches import REMEMBERED, crc_of_id, doc_columns, kept, map_batches
 from .word_hashes import mixed
 
-#: Documents of each language that training reads at most, and the longest that it takes.
+#: Documents of each language that training reads at most, and characters of each.
 SAMPLE, SAMPLE_CHARS = 80, 20_000
+#: Composed chains for each plain one, and the words of a run in them.
+MIXED, RUN = 0.25, (3, 12)
 #: Parts of a language's ids from which the sample is drawn.
 PARTS = 64
-CHAIN = 128
+#: Words of a chain that are gone through one by one; parts of this size run side by side, and exact messages join them.
+PART = 128
 NGRAMS = 5
 BITS = 18
 ROUNDS = 25
@@ -74,45 +81,105 @@ class Features:
 
 
 class Chains:
-    """Words in chains, longest first, so that at each step the chains still running come first."""
+    """Words in parts of chains, longest first, so that at each step the parts still running come first."""
 
     def __init__(self, breaks: np.ndarray, n: int):
         """breaks: places of words that begin a chain, ascending, among n words."""
-        start = breaks
-        length = np.diff(np.append(start, n))
-        parts = -(-length // CHAIN)
-        first = np.repeat(start, parts) + CHAIN * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        length = np.minimum(CHAIN, np.repeat(start + length, parts) - first)
+        self.heads = breaks
+        length = np.diff(np.append(breaks, n))
+        parts = -(-length // PART)
+        number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = np.repeat(breaks, parts) + PART * number
+        length = np.minimum(PART, np.repeat(breaks + length, parts) - first)
         order = np.argsort(-length, kind="stable")
-        self.first, self.length = first[order], length[order]
+        self.first, self.length, self.number = first[order], length[order], number[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        # by the number of a part in its chain: the places of such parts of longer chains, and of their successors
+        long = np.repeat(parts > 1, parts)
+        self.later = [place[np.flatnonzero((number == k) & long)] for k in range(int(parts.max(initial=1)))] if long.any() else []
         self.running = [int(np.searchsorted(-self.length, -t, "left")) for t in range(int(self.length.max(initial=0)))]
 
+    def _messages(self, e: np.ndarray, start: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each part gets from the left, before its first word, and from the right, after its last one.
+
+        A part of a longer chain is a matrix from the label before it to the label of its last word.
+        """
+        k = len(start)
+        left, right = np.broadcast_to(start, (len(self.first), k)).copy(), np.ones((len(self.first), k))
+        if not self.later:
+            return left, right
+        own = np.sort(np.concatenate(self.later))  # longest first too
+        first, length = self.first[own], self.length[own]
+        m = np.where(self.number[own][:, None, None] > 0, step, start) * e[first][:, None, :]
+        for t in range(1, int(length.max())):
+            r = int(np.searchsorted(-length, -t, "left"))
+            m[:r] = (m[:r] @ step) * e[first[:r] + t][:, None, :]
+            m[:r] /= m[:r].max(axis=(1, 2), keepdims=True)
+        at = np.searchsorted(own, np.arange(len(self.first)))
+        norm = lambda x: x / x.sum(axis=1, keepdims=True)
+        # parts number j + 1 in the order of their chains, which are the first of those that have a part number j
+        chain = [np.argsort(self.first[p], kind="stable") for p in self.later]
+        ordered = [p[o] for p, o in zip(self.later, chain, strict=True)]
+        of = [self.first[p] - PART * j for j, p in enumerate(ordered)]
+        before = [np.searchsorted(of[j], of[j + 1]) for j in range(len(of) - 1)]
+        done = norm(m[at[ordered[0]], 0])
+        for j in range(1, len(ordered)):
+            came = done[before[j - 1]]
+            left[ordered[j]] = came @ step
+            done = norm((came[:, None, :] @ m[at[ordered[j]]])[:, 0])
+        for j in range(len(ordered) - 1, 0, -1):
+            right[ordered[j - 1][before[j - 1]]] = norm((m[at[ordered[j]]] @ right[ordered[j]][:, :, None])[:, :, 0])
+        return left, right
+
     def marginals(self, emission: np.ndarray, start: np.ndarray, step: np.ndarray, pairs: bool = False) -> tuple:
         """Probabilities of each label for each word, and expected transitions and first labels if ``pairs``."""
         k = emission.shape[1]
         e = np.exp(emission - emission.max(axis=1, keepdims=True))
         alpha, gamma = np.zeros_like(e), np.zeros_like(e)
+        left, beta = self._messages(e, start, step)
         now = None
         for t, m in enumerate(self.running):
             at = self.first[:m] + t
-            now = (start if t == 0 else now[:m] @ step) * e[at]
+            now = (left if t == 0 else now[:m] @ step) * e[at]
             now /= now.sum(axis=1, keepdims=True)
             alpha[at] = now
-        expected, beta = np.zeros((k, k)), np.ones((len(self.first), k))
+        expected = np.zeros((k, k))
         for t in range(len(self.running) - 1, -1, -1):
             m = self.running[t]
             at = self.first[:m] + t
             g = alpha[at] * beta[:m]
             gamma[at] = g / g.sum(axis=1, keepdims=True)
+            b = e[at] * beta[:m]
+            if pairs:
+                own = slice(None) if t else self.number > 0
+                a = alpha[at[own] - 1]
+                z = ((a @ step) * b[own]).sum(axis=1, keepdims=True)
+                expected += step * (a.T @ (b[own] / z))
             if t:
-                b = e[at] * beta[:m]
-                if pairs:
-                    a = alpha[at - 1]
-                    z = ((a @ step) * b).sum(axis=1, keepdims=True)
-                    expected += step * (a.T @ (b / z))
                 b = b @ step.T
                 beta[:m] = b / b.sum(axis=1, keepdims=True)
-        return gamma, expected, gamma[self.first].sum(axis=0)
+        return gamma, expected, gamma[self.heads].sum(axis=0)
+
+
+def _composed(chains: list[tuple[int, list[int]]], n: int) -> list[list[tuple[int, int]]]:
+    """Chains of labelled words that switch: two to five runs, each from a line of another language than the one before."""
+    r = random.Random(1)
+    by: dict[int, list[list[int]]] = defaultdict(list)
+    for lang, own in chains:
+        by[lang].append(own)
+    out = []
+    for _ in range(n if len(by) > 1 else 0):
+        chain: list[tuple[int, int]] = []
+        lang = None
+        for _ in range(r.randint(2, 5)):
+            lang = r.choice([x for x in by if x != lang])
+            own = r.choice(by[lang])
+            size = r.randint(*RUN)
+            begin = r.randrange(max(1, len(own) - size + 1))
+            chain += [(w, lang) for w in own[begin : begin + size]]
+        out.append(chain)
+    return out
 
 
 class Model:
@@ -137,21 +204,12 @@ class Model:
             if most >= 3 and most >= 0.8 * sum(by.values()):
                 self.lexicon[w] = lang + 1
         ids = {w: i for i, w in enumerate(counts)}
-        place, breaks, gold = [], [], []
-        for lang, words in docs:
-            new = True
-            for w in words:
-                if w == "\n":
-                    new = True
-                    continue
-                if new:
-                    breaks.append(len(place))
-                    new = False
-                place.append(ids[w])
-                gold.append(lang)
-        if not place:
-            return
-        self._train(list(ids), np.array(place), np.array(breaks), np.array(gold))
+        chains = [(lang, [ids[w] for w in own]) for lang, words in docs for is_end, group in groupby(words, "\n".__eq__) if not is_end and (own := list(group))]
+        if chains:
+            labelled = [[(w, lang) for w in own] for lang, own in chains] + _composed(chains, int(MIXED * len(chains)))
+            size = np.array([len(c) for c in labelled])
+            place, gold = np.array([x for c in labelled for x in c]).T
+            self._train(list(ids), place, np.cumsum(size) - size, gold)
 
     def _train(self, vocabulary: list[str], place: np.ndarray, breaks: np.ndarray, gold: np.ndarray) -> None:
         """AdaGrad on the likelihood of the labels, all chains at once; every language weighs alike."""
@@ -164,11 +222,11 @@ class Model:
         each = np.bincount(gold, minlength=k)
         weight = (n / (k * np.maximum(each, 1)))[gold][:, None]
         inner = np.ones(n, bool)
-        inner[chains.first] = False
+        inner[chains.heads] = False
         at = np.flatnonzero(inner)
         pair_truth = np.zeros((k, k))
         np.add.at(pair_truth, (gold[at - 1], gold[at]), 1)
-        first_truth = truth[chains.first].sum(axis=0)
+        first_truth = truth[chains.heads].sum(axis=0)
         w, a, s = np.zeros((1 << BITS, k)), np.zeros((k, k)), np.zeros(k)
         seen = [np.full_like(x, 1e-6) for x in (w, a, s)]
         soft = lambda x: np.exp(x - x.max(axis=-1, keepdims=True)) / np.exp(x - x.max(axis=-1, keepdims=True)).sum(axis=-1, keepdims=True)
@@ -236,8 +294,11 @@ class Labeller:
 
 
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` documents of each language among those that ``learn`` admits."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    """A model from at most ``sample`` documents of each language among those that ``learn`` admits.
+
+    Equal rows teach once; a document in two languages teaches both.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = own.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.expr(f"pmod(h, {PARTS})"))
     for keys in (("lang", "part"), ("lang",)):  # a language may hold most rows: its parts are cut down first
         first = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id")) <= sample
@@ -252,7 +313,9 @@ def languages(docs: DataFrame, folds: int = 5, held: int = 0, carry: tuple[str,
     """doc_id, held_out, lang_pred, score of every document. Held-out ids (crc32 mod folds = held) teach nothing.
 
     ``und`` with score 0 stands for a null text, one without a letter, or any text where nothing could be learned. With
-    one known language every text with a letter is predicted that. A null id is not held out and teaches nothing.
+    one known language every text with a letter is predicted that. A null id is not held out and teaches nothing. Repeated
+    rows are labelled each for itself; of languages that tie, the first by name is taken; whole texts of any length count.
+    Further columns, whatever their names, are not read, but those named in ``carry`` pass through.
     """
     spark = prepare(docs.sparkSession)
     held_out = crc_of_id(F.col("doc_id")) % folds == held
@@ -263,7 +326,7 @@ def languages(docs: DataFrame, folds: int = 5, held: int = 0, carry: tuple[str,
 
         def convert(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text").to_pylist()
-            out = [x for k in range(0, len(texts), 250) for x in label(texts[k : k + 250])]
+            out = [x for k in range(0, len(texts), 500) for x in label(texts[k : k + 500])]
             return {"doc_id": batch.column("doc_id"), "lang_pred": pa.array([x[0] for x in out], pa.string()), "score": pa.array([x[1] for x in out], pa.float64())}
 
         return convert
