@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from veritrail.llm.line_templates import Lines, drop_lines, line_digests
+from veritrail.llm.line_templates import Lines, drop_lines, line_digests, recurring_lines
 
 
 def form_hash(form):
@@ -96,3 +96,37 @@ def test_unique_lines_of_a_large_leaf_stay(spark):
     assert len(set(words)) == len(words)
     docs = [(k, "\n".join(f"posted by user {w}" for w in words[k * 40 : k * 40 + 40])) for k in range(100)]
     assert all(x.dropped == [] for x in drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+
+
+def test_a_split_leaf_gives_what_a_whole_one_gives(spark):
+    """Templates that lie far apart are the same, however many tasks a leaf is dealt to."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    templates = [[word() for _ in range(9)] for _ in range(40)]
+    docs = []
+    for k in range(60):
+        lines = []
+        for t in r.sample(templates, 5):
+            own = list(t)
+            own[r.randrange(9)] = word()
+            lines.append("posted by user " + " ".join(own))
+        docs.append((k, "\n".join(lines)))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    whole, split = ({(x.leaf, x.form): x.keep for x in recurring_lines(d, leaf_forms=n).collect()} for n in (8192, 7))
+    assert len(whole) > 250 and split == whole
+    far = spark.createDataFrame([(k, "\n".join(f"posted by user {word()} {word()} {word()}" for _ in range(9))) for k in range(9)], "doc_id long, text string")
+    assert recurring_lines(far, leaf_forms=7).collect() == []
+
+
+def test_short_lines_and_no_first(spark):
+    d = spark.createDataFrame([(1, "Menu\nits own words here"), (2, "Menu\nother words stand there"), (2, "Menu\nother words stand there")], "doc_id long, text string")
+    assert all(x.dropped == [] for x in drop_lines(d).collect())
+    assert [x.dropped for x in drop_lines(d, min_tokens=1).orderBy("doc_id").collect()] == [[], [0], [0]]
+    assert [x.text for x in drop_lines(d, min_tokens=1, keep_first=False).orderBy("doc_id").collect()] == ["its own words here"] + ["other words stand there"] * 2
+
+
+def test_names_used_inside_and_very_long_texts(spark):
+    long = " ".join(f"w{'abcdefghij'[k % 10]}{'abcdefg'[k % 7]}" for k in range(900_000))
+    d = spark.createDataFrame([(1, long, 1, "a", "b", "c"), (2, "short line of words\n" + long, 2, "d", "e", "f")], "doc_id long, text string, row int, gone string, text_key string, leaf string")
+    out = {x.doc_id: x for x in drop_lines(d).collect()}
+    assert out[1].text == long and out[2].text == "short line of words" and (out[2].row, out[2].gone, out[2].text_key, out[2].leaf) == (2, "d", "e", "f")

@@ -1,13 +1,32 @@
-"""Connected components of a link table, in Spark."""
+"""Connected components: of some links in numpy, of a link table in Spark."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stored
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from every node to the smallest one it reaches: no more links than nodes, the same components."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[own], nodes[label[own]]
+
+
 def _smallest(pairs: DataFrame) -> DataFrame:
     """node, low: the smallest of a node and its partners in (node, other)."""
     return pairs.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("low"))

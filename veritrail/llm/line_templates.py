@@ -4,11 +4,16 @@ A line of n tokens goes to the leaf (n, its first three tokens); tokens that hol
 as ``<*>``. In a leaf, lines whose tokens agree at 80 % of the places or more share a template; the most frequent line
 form comes first and stands for it, so templates don't drift and don't depend on the order of rows. A template that
 occurs in two documents or more is recurring: its lines stay in the document with the smallest id and are dropped from
-all others. Lines under three tokens are left alone, they coincide by chance.
+all others: so the corpus keeps every line once, and copies of a document don't erase each other. ``keep_first=False``
+drops recurring lines from all documents. Lines under three tokens are left alone, they coincide by chance;
+``min_tokens`` says so, and down to 1 every line takes part.
 
 What moves is small: per distinct line form one 8-byte hash a token; per line its leaf and form. Texts are joined once
 with the places to drop. A line meets all templates of its leaf, so with R of them an unrelated line of n tokens passes
 for a copy with a chance of at most R * n / 2^64: below one in ten million for a billion templates and a thousand tokens.
+
+A leaf with more than ``LEAF_FORMS`` forms is dealt out in parts, each with templates of its own; then the parts'
+templates meet in pairs of parts, each pair a task of its own, and templates whose representatives agree become one.
 """
 
 from __future__ import annotations
@@ -21,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import prepare, stored
+from .graph import components, forest
 from .word_hashes import mixed
 
 DEPTH = 3
 ALIKE = 0.8
 MIN_TOKENS = 3
+#: Forms of a leaf that one task compares.
+LEAF_FORMS = 8192
 #: Bytes of text taken apart together.
 TOGETHER = 1 << 21
 #: Memory for line forms that a task sums up before it hands them on.
@@ -38,11 +46,15 @@ _tables: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    if len(_tables.get(base, ())) < n:
-        p = np.full(max(n, 1 << 20), base, np.uint64)
-        p[0] = 1
-        _tables[base] = np.cumprod(p, dtype=np.uint64)
-    return _tables[base][:n]
+    """Powers from 0 on. Those for a very long text are not kept."""
+    if len(_tables.get(base, ())) >= n:
+        return _tables[base][:n]
+    p = np.full(max(n, 2 * TOGETHER), base, np.uint64)
+    p[0] = 1
+    p = np.cumprod(p, dtype=np.uint64)
+    if n <= 2 * TOGETHER:
+        _tables[base] = p
+    return p[:n]
 
 
 def _running(x: np.ndarray) -> np.ndarray:
@@ -53,9 +65,9 @@ def _running(x: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """Lines of some texts with MIN_TOKENS tokens or more: text and line number, leaf, form, and token hashes."""
+    """Lines of some texts with enough tokens: text and line number, leaf, form, and token hashes."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], min_tokens: int = MIN_TOKENS):
         raw = b"\n".join([*texts, b""]).translate(_SPACES)
         a = np.frombuffer(raw, np.uint8)
         blank = (a == 0x20) | (a == 0x0A)
@@ -72,7 +84,7 @@ class Lines:
         n = np.diff(np.concatenate((first, [len(start)])))
         text_end = np.cumsum([len(t) + 1 for t in texts]) - 1
         text_of = np.searchsorted(text_end, line_end)
-        own = np.flatnonzero(n >= MIN_TOKENS)
+        own = np.flatnonzero(n >= min_tokens)
         self.n_lines = np.bincount(text_of, minlength=len(texts))
         self.text, self.first, self.n, self.token = text_of[own], first[own], n[own], token
         self.number = own - np.searchsorted(text_of, self.text)
@@ -82,7 +94,8 @@ class Lines:
         self.form = mixed(sums[self.first + self.n] - sums[self.first] + self.n.astype(np.uint64))
         leaf = self.n.astype(np.uint64)
         for k in range(DEPTH):
-            leaf = mixed(leaf * np.uint64(31) + token[self.first + k])
+            there = self.n > k
+            leaf[there] = mixed(leaf[there] * np.uint64(31) + token[self.first[there] + k])
         self.leaf = mixed(leaf)
 
 
@@ -95,7 +108,7 @@ def _groups(texts: list[bytes]) -> Iterator[slice]:
             k, size = stop, 0
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forms(batches: Iterator[pa.RecordBatch], min_tokens: int) -> Iterator[pa.RecordBatch]:
     """Line forms with their tokens, lowest and highest doc_id, and how many lines; summed up within the task first."""
     held: dict[tuple[int, int], list] = {}
     size = 0
@@ -108,7 +121,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, doc_ids = [t.encode() for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
         for part in _groups(texts):
-            x = Lines(texts[part])
+            x = Lines(texts[part], min_tokens)
             for leaf, form, text, first, n in zip(x.leaf.tolist(), x.form.tolist(), x.text.tolist(), x.first.tolist(), x.n.tolist(), strict=True):
                 doc_id = doc_ids[text + part.start]
                 row = held.get((leaf, form))
@@ -124,27 +137,26 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flushed()
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch], min_tokens: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t.encode() for t in batch.column("text").to_pylist()]
         for part in _groups(texts):
-            x = Lines(texts[part])
+            x = Lines(texts[part], min_tokens)
             at = pa.array(x.text + part.start)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(x.number.astype(np.int32)), pa.array(x.leaf.view(np.int64)), pa.array(x.form.view(np.int64))], names=["doc_id", "text_key", "line", "leaf", "form"])
 
 
 class Leaf:
-    """Templates of one leaf, as the token hashes of the form that stands for each, with their lowest and highest doc_id."""
+    """Templates of a leaf, or of a part of one, as the token hashes of the form that stands for each."""
 
     def __init__(self, width: int):
         self.reps = np.zeros((4, width), np.uint64)
-        self.low: list[int] = []
-        self.high: list[int] = []
-        self.forms: list[int] = []
+        self.rep: list[int] = []
+        self.forms: list[tuple[int, int, int]] = []
         self.template: list[int] = []
 
     def add(self, form: int, tokens: bytes, low: int, high: int) -> None:
-        row, n = np.frombuffer(tokens, np.uint64), len(self.low)
+        row, n = np.frombuffer(tokens, np.uint64), len(self.rep)
         best = -1
         if n:
             agree = (self.reps[:n] == row).mean(axis=1)
@@ -155,75 +167,131 @@ class Leaf:
             if n == len(self.reps):
                 self.reps = np.concatenate((self.reps, np.zeros_like(self.reps)))
             self.reps[n] = row
-            self.low.append(low)
-            self.high.append(high)
+            self.rep.append(form)
             best = n
-        else:
-            self.low[best], self.high[best] = min(self.low[best], low), max(self.high[best], high)
-        self.forms.append(form)
+        self.forms.append((form, low, high))
         self.template.append(best)
 
-    def recurring(self) -> list[tuple[int, int]]:
-        return [(f, self.low[t]) for f, t in zip(self.forms, self.template, strict=True) if self.low[t] != self.high[t]]
+    def rows(self, whole: bool) -> Iterator[tuple]:
+        """(form, rep, low, high, tokens): of a whole leaf the forms of recurring templates, with the template's documents;
+        of a part every form, with its own, and the tokens of those that stand for a template."""
+        low, high = {}, {}
+        for (_, a, b), t in zip(self.forms, self.template, strict=True):
+            low[t], high[t] = min(a, low.get(t, a)), max(b, high.get(t, b))
+        for (form, a, b), t in zip(self.forms, self.template, strict=True):
+            if not whole:
+                yield form, self.rep[t], a, b, self.reps[t].tobytes() if form == self.rep[t] else None
+            elif low[t] != high[t]:
+                yield form, self.rep[t], low[t], high[t], None
+
+
+ASSIGNED = "leaf long, part int, parts int, form long, rep long, low long, high long, tokens binary"
 
 
 def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From forms sorted by leaf, the most frequent first: (leaf, form, keep) of forms whose template recurs."""
-    open_leaf, leaf = None, None
+    """From forms sorted by leaf and part, the most frequent first: the rows of each leaf or part."""
+    key, leaf = None, None
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = ["leaf", "part", "parts", "form", "rep", "low", "high", "tokens"]
 
-    def rows(of: list[int], forms: list[int], keep: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (of, forms, keep)], names=["leaf", "form", "keep"])
+    def closed() -> list[tuple]:
+        return [(*key, *x) for x in leaf.rows(key[2] == 1)] if leaf is not None else []
 
     for batch in batches:
-        of, forms, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "form", "low", "high"))
+        of, part, parts, forms, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "part", "parts", "form", "low", "high"))
         tokens = batch.column("tokens")
         same = np.zeros(len(of), bool)
-        same[1:] = of[1:] == of[:-1]
-        same[0] = open_leaf is not None and of[0] == open_leaf
-        alone = ~same & ~np.append(same[1:], True)  # the last row's leaf may go on in the next batch
+        same[1:] = (of[1:] == of[:-1]) & (part[1:] == part[:-1])
+        same[0] = key is not None and (of[0], part[0]) == key[:2]
+        alone = ~same & ~np.append(same[1:], True) & (parts == 1)  # the last row's leaf may go on in the next batch
         at = np.flatnonzero(alone & (low != high))
-        out = [of[at].tolist(), forms[at].tolist(), low[at].tolist()]
+        out = [(int(of[k]), 0, 1, int(forms[k]), int(forms[k]), int(low[k]), int(high[k]), None) for k in at.tolist()]
         for k in np.flatnonzero(~alone).tolist():
             if not same[k]:
-                if leaf is not None and (found := leaf.recurring()):
-                    out = [out[0] + [int(open_leaf)] * len(found), out[1] + [f for f, _ in found], out[2] + [x for _, x in found]]
-                leaf, open_leaf = Leaf(len(tokens[k].as_py()) // 8), of[k]
+                out += closed()
+                key, leaf = (int(of[k]), int(part[k]), int(parts[k])), Leaf(len(tokens[k].as_py()) // 8)
             leaf.add(int(forms[k]), tokens[k].as_py(), int(low[k]), int(high[k]))
-        if out[0]:
-            yield rows(*out)
-    if leaf is not None and (found := leaf.recurring()):
-        yield rows([int(open_leaf)] * len(found), [f for f, _ in found], [x for _, x in found])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    if out := closed():
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between templates of two parts of a leaf, from rows sorted by (leaf, one, other), those of ``one`` first."""
+    key, first, second = None, [], []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        if not first or not second:
+            return
+        (f, g), (x, y) = ([r[0] for r in rows] for rows in (first, second)), (np.frombuffer(b"".join(r[1] for r in rows), np.uint64).reshape(len(rows), -1) for rows in (first, second))
+        a, b = [], []
+        for form, row in zip(f, x, strict=True):
+            at = np.flatnonzero((y == row).mean(axis=1) >= ALIKE)
+            a += [form] * len(at)
+            b += [g[k] for k in at]
+            if len(a) > LEAF_FORMS:
+                a, b = (z.tolist() for z in forest(np.array(a), np.array(b)))
+        if a:
+            a, b = forest(np.array(a), np.array(b))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    for batch in batches:
+        for leaf, one, other, part, form, tokens in zip(*(batch.column(c).to_pylist() for c in ("leaf", "one", "other", "part", "form", "tokens")), strict=True):
+            if (leaf, one, other) != key:
+                yield from links()
+                key, first, second = (leaf, one, other), [], []
+            (first if part == one else second).append((form, tokens))
+    yield from links()
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
+
+def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, leaf_forms: int | None = None) -> DataFrame:
     """leaf, form, keep: the line forms of templates that occur in two documents or more, and the document they stay in.
 
-    Forms are summed up in each task, then dealt by leaf once: that shuffle serves the counts and the templates.
+    Forms are summed up in each task and then by form; a task gets whole leaves, or parts of a leaf of many forms.
     """
     prepare(docs.sparkSession)
-    own = docs.select("doc_id", "text").mapInArrow(_forms, "leaf long, form long, tokens binary, low long, high long, n long")
-    forms = own.repartition("leaf").groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return forms.sortWithinPartitions("leaf", F.desc("n"), "form").mapInArrow(_assign, "leaf long, form long, keep long")
-
-
-def drop_lines(docs: DataFrame) -> DataFrame:
+    most = leaf_forms or LEAF_FORMS
+    own = docs.select("doc_id", "text").mapInArrow(lambda it: _forms(it, min_tokens), "leaf long, form long, tokens binary, low long, high long, n long")
+    forms = stored(own.groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), "line-forms")
+    large = forms.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") > most).select("leaf", F.ceil(F.col("c") / most).cast("int").alias("parts"))
+    dealt = forms.join(large, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.expr("cast(pmod(xxhash64(form), parts) as int)"))
+    of_part = stored(dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.desc("n"), "form").mapInArrow(_assign, ASSIGNED), "line-templates")
+    small = of_part.where("parts = 1 and low <> high").select("leaf", "form", F.col("low").alias("keep"))
+    split = of_part.where("parts > 1")
+    if split.isEmpty():
+        return small
+    reps = split.where("tokens is not null").select("leaf", "part", "form", "tokens", F.explode(F.expr("filter(sequence(0, parts - 1), q -> q <> part)")).alias("q"))
+    pairs = reps.select("leaf", F.least("part", "q").alias("one"), F.greatest("part", "q").alias("other"), "part", "form", "tokens")
+    links = pairs.repartition("leaf", "one", "other").sortWithinPartitions("leaf", "one", "other", "part").mapInArrow(_meet, "a long, b long")
+    root = components(links)
+    whole = stored(split.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("leaf", "form", "low", "high", F.coalesce("root", "rep").alias("template")), "line-templates")
+    found = whole.groupBy("template").agg(F.min("low").alias("keep"), F.max("high").alias("last")).where("keep <> last")
+    return small.unionByName(whole.join(found, "template").select("leaf", "form", "keep"))
+
+
+def drop_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, keep_first: bool = True) -> DataFrame:
     """The rows of docs with recurring lines taken out of ``text``, and n_lines, dropped (line numbers from 0).
 
-    All columns of docs stay. Null texts stay null with no lines; a text all of whose lines go becomes empty, its row
-    stays. Rows with a null doc_id lose no lines and make no template recur. Equal rows are treated alike.
+    All columns of docs stay, but for own columns named n_lines or dropped, which give way. Null texts stay null with no
+    lines; a text all of whose lines go becomes empty, its row stays. Rows with a null doc_id lose no lines and make no
+    template recur. Equal rows are treated alike; a line repeated within one document alone stays. Templates that are
+    equally frequent are taken in the order of their hash. A text of any length is one row of a batch.
     """
     prepare(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id is not null and text is not null")
-    again = stored(recurring_lines(base), "recurring-lines")
-    lines = base.withColumn("text_key", F.xxhash64("text")).mapInArrow(_places, "doc_id long, text_key long, line int, leaf long, form long")
-    gone = lines.join(again, ["leaf", "form"]).where("doc_id <> keep").groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).agg(F.sort_array(F.collect_set("line")).alias("_gone"))
-    out = docs.join(gone, (docs["doc_id"].cast("long") == F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_key")), "left")
-    parts = F.split(docs["text"], "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
+    # the row in one column: no other name can clash with those used here
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"), F.struct(*docs.columns).alias("row"))
+    base = rows.where("doc_id is not null and text is not null").select("doc_id", "text", "text_key")
+    again = stored(recurring_lines(base, min_tokens), "recurring-lines")
+    lines = base.mapInArrow(lambda it: _places(it, min_tokens), "doc_id long, text_key long, line int, leaf long, form long")
+    gone = lines.join(again, ["leaf", "form"]).where("doc_id <> keep" if keep_first else "true").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    out = rows.join(gone, ["doc_id", "text_key"], "left")
+    parts = F.split("text", "\n", -1)
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
     return out.select(
-        *[kept.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "dropped")],
-        F.when(docs["text"].isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.col("_gone"), F.array().cast("array<int>")).alias("dropped"),
+        *[kept.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "dropped")],
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.coalesce("gone", F.array().cast("array<int>")).alias("dropped"),
     )
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import prepare, stored
 from .batches import doc_columns, map_batches
-from .graph import components
+from .graph import components, forest
 
 WORDS = 4
 BITS = 4
@@ -120,24 +120,6 @@ def blocks_for(n: int) -> int:
     return 3 if n < 200_000_000 else 2
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links from every node to the smallest one it reaches: no more links than nodes, the same components."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    own = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[own], nodes[label[own]]
-
-
 class Matcher:
     """Compares residents with visitors in rows sorted by key, residents first."""
 
