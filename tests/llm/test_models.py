@@ -192,10 +192,10 @@ def test_quality(spark):
 def test_quality_scores_match_plain_compression(spark):
     """Dictionaries, differences and scores once more, step by step; length alone doesn't move a score."""
     r = random.Random(15)
-    good = lambda n=6: "\n".join(line(r, "aa") for _ in range(n))
-    bad = lambda n=60: " ".join("".join(r.choice("qwxzkvjpyfhd") for _ in range(5)) for _ in range(n))
-    rows = [(k, good() if k % 2 else bad(), 1) for k in range(200)]
-    rows += [(300, good(900), 1), (302, bad(9000), 1), (304, "", 1), (305, None, 1), (307, rows[1][1], 1), (307, rows[1][1], 1)]
+    words = {q: ["".join(r.choice(letters) for _ in range(r.randrange(3, 9))) for _ in range(600)] for q, letters in ((1, "etaoinshrdlu"), (0, "qwxzkvjpyfhd"))}
+    text_of = lambda q, n=70: " ".join(r.choice(words[q]) for _ in range(n))
+    rows = [(k, text_of(k % 2), 1) for k in range(200)]
+    rows += [(300, text_of(1, 30_000), 1), (302, text_of(0, 30_000), 1), (304, "", 1), (305, None, 1), (307, rows[1][1], 1), (307, rows[1][1], 1)]
     d = spark.createDataFrame(rows, "doc_id long, text string, score int").coalesce(1)
     # ids 190 to 199 have labels that disagree
     labels = spark.createDataFrame([(k, k % 2, 0.5) for k in range(200)] + [(k, 1 - k % 2, 0.5) for k in range(190, 200)], "doc_id long, quality int, score double")
@@ -205,7 +205,7 @@ def test_quality_scores_match_plain_compression(spark):
     packs = {q: "\n".join(own[q][0::2]).encode() for q in own}
     limit = min(map(len, packs.values()))
     ways = {q: zstandard.ZstdCompressor(level=9, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(p[:limit], dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for q, p in packs.items()}
-    size = lambda q, t: sum(len(ways[q].compress(t[k : k + 4096])) for k in range(0, len(t), 4096))
+    size = lambda q, t: sum(len(ways[q].compress(t[k : k + 2048])) for k in range(0, len(t), 2048))
     difference = lambda t: (size(0, t) - size(1, t)) / (len(t) + 20)
     pairs = sorted((q, difference(t.encode())) for q in own for t in own[q][1::2])
     slope, offset = logistic(np.array([x for _, x in pairs]), np.array([float(q) for q, _ in pairs]))

@@ -28,7 +28,7 @@ DICT_TEXT, DICT_BYTES = 20_000, 1 << 21
 #: At lower levels the matches found in a dictionary of this size are too coarse to tell the classes apart.
 LEVEL = 9
 #: Bytes that are compressed together.
-PIECE = 4096
+PIECE = 2048
 THRESHOLD = 0.7
 #: Bytes that count as every text's own, so that the shortest texts don't swing.
 LEAST_BYTES = 20
