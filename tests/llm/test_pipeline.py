@@ -1,9 +1,16 @@
 """The pipeline: contract of its stages, and each decision against its operator's plain form."""
 
+import base64
+import hashlib
 import random
 import re
+from array import array
 
 import corpus_pipeline
+import public_tokenizers as P
+import tiktoken
+from pyspark.sql import Row
+
 from .test_decontaminate import brute as contaminated
 from .test_lines import brute as repeated
 from .test_simhash import fingerprint, linked
@@ -37,4 +44,25 @@ def test_stages(spark, tmp_path):
     clean = {x[0] for x in contaminated([x[:2] for x in kept[2]], [(1, item)]) if not x[-1]}
     assert {x[0] for x in kept[3]} == clean and 42 not in clean
     assert {x[0] for x in kept[4]} == clean
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}, special_tokens={})
+    for x, row in zip(kept[4], kept[3], strict=True):
+        ids = encoding.encode_ordinary(row[1])
+        assert x == (row[0], len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(row[1].encode()).hexdigest())
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == kept[4]
+
+
+def test_clashing_columns_repeated_rows_and_empty_tables(spark, tmp_path):
+    text = "some words of a first line here\nand others of a second line there"
+    names = ["doc_id", "text", "lang", "n_lines", "dropped", "key", "_key", "row", "hits", "items", "component_id", "score", "gone", "source"]
+    rows = [(k, t, "en", *[f"{k}{n}" for n in names[3:]]) for k, t in ((1, text), (1, text), (2, "something else entirely stands in this one"), (None, "a row without an id has words too"))]
+    schema = "doc_id long, " + ", ".join(f"`{n}` string" for n in names[1:])
+    for k, own in enumerate((rows, [])):
+        path = f"{tmp_path}/{k}"
+        spark.createDataFrame(own, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        d = spark.read.parquet(f"{path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            d = stage(spark, d, path)
+            assert d.columns == names, name
+        assert sorted(map(str, d.collect())) == sorted({str(Row(**dict(zip(names, x, strict=True)))) for x in own})
+        assert corpus_pipeline.run(spark, path).count() == len(own[1:])

@@ -27,6 +27,11 @@ def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
+def boxed(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text, the columns named in ``more`` that docs has, and ``row``: all columns of docs, out of the way of others."""
+    return docs.select("doc_id", "text", *(c for c in more if c in docs.columns), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text."""
     return F.crc32(doc_id.cast("string").cast("binary"))

@@ -63,7 +63,7 @@ class Lookup:
 class Windows:
     """The distinct windows of some items."""
 
-    def __init__(self, items: list[tuple[int | None, str]], window: int, shingle: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int, shingle: int):
         found: dict[bytes, set] = defaultdict(set)
         hashes: dict[bytes, np.ndarray] = {}
         for item_id, text in items:
@@ -147,7 +147,7 @@ def _mark(w: Words, windows: Windows, prefixes: dict[int, tuple], hits: np.ndarr
 
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple]]:
     """Items in blocks of about ``block`` windows at most (an item's windows are fewer than its characters)."""
-    own = benchmark.select(F.col("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
+    own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // block) or 1
     if n == 1:
@@ -162,11 +162,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
 
     A null or empty text has no words; an item without words has no window; an empty benchmark hits nothing. Repeated
-    items and windows count once, repeated documents each for itself. An item with a null id hits words but is not
-    listed. Columns of docs named in ``carry`` pass through.
+    items and windows count once, repeated documents each for itself. Item ids may be of any type and are listed as
+    strings; an item with a null id hits words but is not listed. Of equally rare shingles the first is the prefix. Texts
+    of any length are one row of a batch. Columns of docs named in ``carry`` pass through, no others are read.
     """
     spark = prepare(docs.sparkSession)
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<long>").alias("items"), *carry)
+    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"), *carry)
     source = state
     for number, items in enumerate(_blocks(benchmark, BLOCK_WINDOWS * 8)):
         if number:
@@ -194,15 +195,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                     "doc_id": batch.column("doc_id"),
                     "text": batch.column("text"),
                     "hits": pa.array([m[2] for m in marked], pa.binary()),
-                    "items": pa.array([m[3] for m in marked], pa.list_(pa.int64())),
+                    "items": pa.array([m[3] for m in marked], pa.list_(pa.string())),
                     "n_words": pa.array([m[0] for m in marked], pa.int64()),
                     "n_hit": pa.array([m[1] for m in marked], pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(sorted(map(str, m[3]))).encode()).hexdigest() for m in marked]),
+                    "items_sha256": pa.array([hashlib.sha256(",".join(m[3]).encode()).hexdigest() for m in marked]),
                 }
 
             return convert
 
-        state = map_batches(state.select("doc_id", "text", "hits", "items", *carry), make, "doc_id long, text string, hits binary, items array<long>, n_words long, n_hit long, items_sha256 string", carry)
+        state = map_batches(state.select("doc_id", "text", "hits", "items", *carry), make, "doc_id long, text string, hits binary, items array<string>, n_words long, n_hit long, items_sha256 string", carry)
     return state.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), *carry)
 
 

@@ -28,8 +28,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
-    """node, low: the smallest of a node and its partners in (node, other)."""
-    return pairs.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("low"))
+    """node, low: the smallest of a node and its partners in (node, other).
+
+    Stored, so that the join it goes into has nothing but its two exchanges below it and a frequent node can be split.
+    """
+    return stored(pairs.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("low")), "smallest")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -43,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.select(F.col("v").alias("node"), F.col("u").alias("other")).unionByName(now.select(F.col("u").alias("node"), F.col("v").alias("other")))
-        large = both.join(_smallest(both), "node").where("other > node").select(F.col("other").alias("v"), F.col("low").alias("u")).where("v <> u").distinct()
+        large = stored(both.join(_smallest(both), "node").where("other > node").select(F.col("other").alias("v"), F.col("low").alias("u")).where("v <> u").distinct(), "links")
         down = large.select(F.col("v").alias("node"), F.col("u").alias("other"))
         low = _smallest(down)
         small = down.join(low, "node").select(F.col("other").alias("v"), F.col("low").alias("u")).unionByName(low.select(F.col("node").alias("v"), F.col("low").alias("u"))).where("v <> u").distinct()

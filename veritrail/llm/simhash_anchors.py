@@ -116,8 +116,12 @@ def coverings(blocks: int, bits: int = BITS) -> list[Covering]:
     return [Covering(k, a, b - a, r if b - a >= (1 << r) - 1 else 3, 1 + bits // blocks) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
 
 
-def blocks_for(n: int) -> int:
-    return 3 if n < 200_000_000 else 2
+#: Distinct fingerprints from which two wide blocks cost less than three narrow ones.
+MANY = 200_000_000
+
+
+def blocks_for(n: int, many: int = MANY) -> int:
+    return 3 if n < many else 2
 
 
 class Matcher:
@@ -241,15 +245,17 @@ def near_links(nodes: DataFrame, bits: int = BITS, blocks: int = 3) -> DataFrame
     return first.where("key is null").select("a", "b").unionByName(rest.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, many: int = MANY) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links, itself included).
 
     Copies share a fingerprint and collapse to one node before anything is compared. Texts without words share
-    fingerprint zero. Rows with a null doc_id take part; a component of such rows alone has a null component_id.
+    fingerprint zero. Rows with a null doc_id take part; a component of such rows alone has a null component_id. Repeated
+    rows come back repeated; texts may be of any length; further columns are not read. ``many``: see ``MANY``; both ways
+    give the same result.
     """
     own = stored(fingerprints(docs, words), "fingerprints")
     nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
-    links = near_links(nodes, bits, blocks_for(nodes.count()))
+    links = near_links(nodes, bits, blocks_for(nodes.count(), many))
     root = components(links).withColumnRenamed("node", "fp")
     linked = root.join(nodes, "fp")
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
