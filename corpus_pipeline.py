@@ -7,7 +7,9 @@
 5. byte-level BPE: what is left, as token counts and digests of ids and of the decoded bytes
 
 Rows with a null doc_id stay in stages 1, 2 and 4 by the operators' rules; in stage 3 they stay if their group has no
-other id. Among rows with one doc_id and one text, one stays in stage 3.
+other id. Among rows with one doc_id and one text, one stays in stage 3. All stages but the last carry every column of
+documents, whatever its name; empty tables give empty tables. Repeated lines go in stage 2, so that documents that hold
+nothing else become empty there: empty texts are one group of stage 3, of which one stays.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritrail.llm.batches import boxed
 from veritrail.llm.bpe_tree import bpe_digests
 from veritrail.llm.decontaminate import contamination
 from veritrail.llm.language_crf import UNKNOWN, languages
@@ -23,30 +26,27 @@ from veritrail.llm.simhash_anchors import near_duplicates
 from veritrail.runtime import stored, table
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-
-
-def _boxed(docs: DataFrame) -> DataFrame:
-    """docs with the whole row in one column, to be carried past an operator without a join."""
-    return docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else []), F.struct(*docs.columns).alias("row"))
+#: Stands for a null doc_id in joins.
+NO_ID = -(1 << 63)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return languages(_boxed(docs), carry=("row",)).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    return languages(boxed(docs, "lang"), carry=("row",)).where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_lines(docs).select(*docs.columns)
+    left = drop_lines(boxed(docs))
+    return left.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_key")).distinct()
-    return _keyed(docs).join(kept, "_key", "left_semi").dropDuplicates(["_key", "text"]).select(*docs.columns)
+    kept = near_duplicates(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key")).distinct()
+    keyed = boxed(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), "text", "row")
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key", "text"]).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return contamination(_boxed(docs), table(spark, sf_dir, "benchmark"), carry=("row",)).where(~F.col("contaminated")).select("row.*")
+    return contamination(boxed(docs), table(spark, sf_dir, "benchmark"), carry=("row",)).where(~F.col("contaminated")).select("row.*")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
