@@ -36,24 +36,53 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where the session names none (tests, local runs)."""
+    """The folder named by ``spark.checkpoint.dir``. Only a local session (tests) may do without; it gets a temporary one."""
     sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        named = tempfile.mkdtemp(prefix="veritrail-shared-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veritrail-shared-"))
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+    return named
+
+
+_written: dict[str, list[str]] = {}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh Parquet table in the shared folder and read it back, which cuts its lineage.
 
-    A lost executor costs nothing afterwards: the files are committed by Spark's writer, not held by a machine.
+    A lost executor costs nothing afterwards: the files are committed by Spark's writer, not held by a machine. Results
+    may still read such tables; ``discard_stored`` removes them once the results have been used.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_stored(spark: SparkSession) -> int:
+    """Remove the tables that ``stored`` wrote in this application, and say how many there were."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system for a path, and the path for it."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, of = file_system(spark, path)
+    fs.delete(of, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
