@@ -137,6 +137,29 @@ def _forms(batches: Iterator[pa.RecordBatch], min_tokens: int) -> Iterator[pa.Re
         yield flushed()
 
 
+def _leaf_sizes(batches: Iterator[pa.RecordBatch], min_tokens: int) -> Iterator[pa.RecordBatch]:
+    """(leaf, n): forms of a leaf within the task; one that comes again after many others may count again."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flushed() -> pa.RecordBatch:
+        distinct = np.unique(np.concatenate(held), axis=0)
+        leaf, n = np.unique(distinct[:, 0], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(leaf.view(np.int64)), pa.array(n)], names=["leaf", "n"])
+
+    for batch in batches:
+        texts = [t.encode() for t in batch.column("text").to_pylist()]
+        for part in _groups(texts):
+            x = Lines(texts[part], min_tokens)
+            held.append(np.stack((x.leaf, x.form), axis=1))
+            size += len(x.leaf)
+            if size > HELD_BYTES // 32:
+                yield flushed()
+                held, size = [], 0
+    if held:
+        yield flushed()
+
+
 def _places(batches: Iterator[pa.RecordBatch], min_tokens: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t.encode() for t in batch.column("text").to_pylist()]
@@ -248,15 +271,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, leaf_forms: int | None = None) -> DataFrame:
     """leaf, form, keep: the line forms of templates that occur in two documents or more, and the document they stay in.
 
-    Forms are summed up in each task and then by form; a task gets whole leaves, or parts of a leaf of many forms.
+    Forms are summed up in each task and dealt once, by leaf, or by leaf and part where a leaf has many: that shuffle
+    serves the counts and the templates. Which leaves those are is found in a pass of its own, which moves counts only.
     """
     prepare(docs.sparkSession)
     most = leaf_forms or LEAF_FORMS
+    sizes = docs.select("text").mapInArrow(lambda it: _leaf_sizes(it, min_tokens), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    # stored, so that its size is known when the join is planned: one in `most` forms at most
+    large = stored(sizes.where(F.col("n") > most).select("leaf", F.ceil(F.col("n") / most).cast("int").alias("parts")), "large-leaves")
     own = docs.select("doc_id", "text").mapInArrow(lambda it: _forms(it, min_tokens), "leaf long, form long, tokens binary, low long, high long, n long")
-    forms = stored(own.groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), "line-forms")
-    large = forms.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") > most).select("leaf", F.ceil(F.col("c") / most).cast("int").alias("parts"))
-    dealt = forms.join(large, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.expr("cast(pmod(xxhash64(form), parts) as int)"))
-    of_part = stored(dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.desc("n"), "form").mapInArrow(_assign, ASSIGNED), "line-templates")
+    own = own.join(large, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.expr("cast(pmod(xxhash64(form), parts) as int)"))
+    forms = own.repartition("leaf", "part").groupBy("leaf", "part", "form").agg(F.first("tokens").alias("tokens"), F.first("parts").alias("parts"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    of_part = stored(forms.sortWithinPartitions("leaf", "part", F.desc("n"), "form").mapInArrow(_assign, ASSIGNED), "line-templates")
     small = of_part.where("parts = 1 and low <> high").select("leaf", "form", F.col("low").alias("keep"))
     split = of_part.where("parts > 1")
     if split.isEmpty():
