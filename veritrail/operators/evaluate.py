@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 RELEVANT = 2
 
 
@@ -19,12 +21,17 @@ def _gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1)
 
 
-def ndcg_at(ranked: DataFrame, labels: DataFrame, k: int, *keys: str) -> DataFrame:
-    """I16: discounted gain of the first k over that of the best order of all labels; null if that is 0."""
+def ndcg_at(ranked: DataFrame, labels: DataFrame, k: int, *keys: str, of: tuple[str, ...] | None = None) -> DataFrame:
+    """I16: discounted gain of the first k over that of the best order of all labels; null if that is 0.
+
+    ``of``: the keys of labels, where ``keys`` has more of them: several runs are held against one set of labels.
+    """
+    of = of or keys
     dcg = ranked.where(F.col("rank") <= k).groupBy(*keys).agg(F.sum(_gain(F.coalesce("grade", F.lit(0)), F.col("rank"))).alias("dcg"))
-    best = labels.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("grade")))).where(F.col("_r") <= k)
-    ideal = best.groupBy(*keys).agg(F.sum(_gain(F.col("grade"), F.col("_r"))).alias("ideal"))
-    return ideal.join(dcg, list(keys), "left").select(*keys, F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias(f"ndcg_{k}"))
+    best = labels.withColumn("_r", F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("grade")))).where(F.col("_r") <= k)
+    ideal = best.groupBy(*of).agg(F.sum(_gain(F.col("grade"), F.col("_r"))).alias("ideal"))
+    every = ideal.join(ranked.select(*keys).distinct(), list(of), "inner" if of != keys else "left")
+    return every.join(dcg, list(keys), "left").select(*keys, F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias(f"ndcg_{k}"))
 
 
 def mrr(ranked: DataFrame, *keys: str) -> DataFrame:
@@ -38,13 +45,12 @@ def compare_configs(runs: DataFrame, labels: DataFrame, cutoffs: tuple[int, ...]
     Queries without a relevant label are undefined and don't count in the means.
     """
     graded = runs.join(labels, ["query_id", "doc_id"], "left")
-    every = runs.select("config").distinct().join(labels, F.lit(True), "cross")
     n_rel = labels.groupBy("query_id").agg(F.count_if(F.col("grade") >= RELEVANT).alias("n_rel")).where("n_rel > 0")
     out = mrr(graded, "config", "query_id").join(n_rel, "query_id")
     for k in cutoffs:
         found = graded.groupBy("config", "query_id").agg(F.count_if((F.col("grade") >= RELEVANT) & (F.col("rank") <= k)).alias("found"))
         out = out.join(found, ["config", "query_id"], "left").withColumn(f"recall_{k}", F.coalesce("found", F.lit(0)) / F.col("n_rel")).drop("found")
-        out = out.join(ndcg_at(graded, every, k, "config", "query_id"), ["config", "query_id"], "left")
+        out = out.join(ndcg_at(graded, labels, k, "config", "query_id", of=("query_id",)), ["config", "query_id"], "left")
     return out.groupBy("config").agg(F.avg("mrr").alias("mrr"), *[F.avg(f"{m}_{k}").alias(f"{m}_{k}") for k in cutoffs for m in ("recall", "ndcg")])
 
 
@@ -99,6 +105,69 @@ def matched_companies(found: DataFrame, truth: DataFrame, key: str) -> DataFrame
     return by.select(key, F.explode(F.aggregate("pairs", F.array().cast(kind), take)).alias("x")).select(key, "x.truth_no", "x.found_no")
 
 
+def canonicalised(names: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(name, canonical): the canonical of the longest surface that holds the name or stands in it, ties first by
+    surface; else the name itself. names: name; vocabulary: surface, canonical.
+
+    A string that stands in another begins with three of its letters in a row (or fewer, if it has fewer), so the two
+    meet by that piece instead of all with all.
+    """
+    pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda k: F.substring(c, k, n))).otherwise(F.array().cast("array<string>")))))
+    start = lambda c: F.substring(c, 1, 3)
+    n, v = names.select("name").distinct(), vocabulary.where("surface <> ''").select("surface", "canonical")
+    known = n.where("name <> ''")
+    holds = v.withColumn("piece", F.explode(pieces(F.col("surface")))).join(known.withColumn("piece", start(F.col("name"))), "piece").where(F.col("surface").contains(F.col("name")))
+    inside = known.withColumn("piece", F.explode(pieces(F.col("name")))).join(v.withColumn("piece", start(F.col("surface"))), "piece").where(F.col("name").contains(F.col("surface")))
+    best = holds.select("name", "surface", "canonical").unionByName(inside.select("name", "surface", "canonical")).groupBy("name").agg(F.min_by("canonical", F.struct(-F.length("surface"), "surface")).alias("canonical"))
+    return n.join(best, "name", "left").select("name", F.coalesce("canonical", "name").alias("canonical"))
+
+
+def lost_lines(truth: DataFrame, chunked: DataFrame, key: str) -> DataFrame:
+    """Lines (key, text) of truth that stand in no chunk (key, text) of the same document."""
+    body = chunked.groupBy(key).agg(F.array_join(F.collect_list("text"), "\n").alias("body"))
+    return truth.join(body, key, "left").where(~F.coalesce(F.col("body").contains(F.col("text")), F.lit(False))).drop("body")
+
+
+def mixed_chunks(chunked: DataFrame, employers: DataFrame, key: str, *chunk: str) -> DataFrame:
+    """Chunks (key, chunk.., text) that name more than one employer (key, employer) of their own document, and how many."""
+    met = chunked.join(employers.where("employer <> ''").distinct(), key).where(F.col("text").contains(F.col("employer")))
+    return met.groupBy(key, *chunk).agg(F.count("*").alias("n_employers")).where("n_employers > 1")
+
+
+def verbatim(truth: DataFrame, found: DataFrame, key: str, form: str) -> DataFrame:
+    """How many truth bullets there are, and how many have the form of a bullet found in the same document."""
+    there = found.select(key, form).distinct().withColumn("there", F.lit(1))
+    return truth.join(there, [key, form], "left").agg(F.count("*").alias("n"), F.count("there").alias("verbatim"))
+
+
+def field_accuracies(found: DataFrame, truth: DataFrame, key: str) -> DataFrame:
+    """Per field the share of documents whose profile is right.
+
+    Profiles: name, email, phone, level, jobs (array of structs company, start_year, end_year, in order), n_education.
+    Names are compared in B7 form, contact details by presence, years on jobs that have the same place in both, null equal
+    to null; a level counts as right if both or neither are postgraduate.
+    """
+    f, t = (lambda c: F.col(f"f.{c}")), (lambda c: F.col(f"t.{c}"))
+    own = truth.select(key, F.struct(*[c for c in truth.columns if c != key]).alias("t")).join(found.select(key, F.struct(*[c for c in found.columns if c != key]).alias("f")), key)
+    share = lambda c: F.avg(c.cast("int"))
+    post = lambda c: F.coalesce(c.isin("master", "doctorate"), F.lit(False))
+    both = F.arrays_zip(F.col("f.jobs").alias("f"), F.col("t.jobs").alias("t"))
+    pairs = own.withColumn("pair", F.filter(both, lambda x: x["f"].isNotNull() & x["t"].isNotNull()))
+    right = lambda c: F.size(F.filter("pair", lambda x: x["f"][c].eqNullSafe(x["t"][c])))
+    n = F.sum(F.size("pair"))
+    return pairs.agg(
+        F.count("*").alias("n"),
+        share(T.comparison_form(f("name")).eqNullSafe(T.comparison_form(t("name")))).alias("name"),
+        share(f("email").isNotNull() == t("email").isNotNull()).alias("email"),
+        share(f("phone").isNotNull() == t("phone").isNotNull()).alias("phone"),
+        share(F.size(f("jobs")) == F.size(t("jobs"))).alias("job_count"),
+        F.when(n > 0, F.sum(right("start_year")) / n).alias("start_year"),
+        F.when(n > 0, F.sum(right("end_year")) / n).alias("end_year"),
+        share(post(f("level")) == post(t("level"))).alias("postgraduate"),
+        share(f("n_education") == t("n_education")).alias("education_count"),
+    )
+
+
 def graded(sets: DataFrame) -> DataFrame:
     """Grade 0..3 from must, nice, skills (arrays), years_ok, degree_ok, role_ok."""
     missing = F.size(F.array_except("must", "skills")) > 0

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .retrieval import FLOOR
 
 IN_DATABASE, MET = 0.95, 0.5
 
@@ -57,6 +58,7 @@ def with_skills(candidates: DataFrame, skills: DataFrame) -> DataFrame:
 def reasons(spec: str = "spec") -> Column:
     """Why a candidate fails; empty if it passes. ``spec`` is a struct of filter_spec beside the candidate's columns."""
     s = F.col(spec)
+    # fixed values: the wording of reasons
     years = F.when((F.coalesce(s["min_years"], F.lit(0)) > 0) & (F.col("months") / 12 < s["min_years"]), F.format_string("%.1f years, needs %d+", F.col("months") / 12, s["min_years"]))
     degree = F.when(s["min_degree"].isNotNull() & (T.degree_rank(F.col("degree")) < T.degree_rank(s["min_degree"])), F.concat(F.col("degree"), F.lit(", needs "), s["min_degree"]))
     missing = F.transform(F.filter(s["required_skills"], lambda x: ~F.array_contains(F.col("skills"), F.lower(x))), lambda x: F.concat(F.lit("missing "), x))
@@ -72,19 +74,25 @@ def hard_filtered(candidates: DataFrame, specs: DataFrame) -> DataFrame:
     return own.withColumn("passed", F.size("reasons") == 0).drop("spec")
 
 
-def scored_requirements(filtered: DataFrame, rubric: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+def scored_requirements(filtered: DataFrame, rubric: DataFrame, hits: DataFrame | None = None, gate_database_quotes: bool = False) -> DataFrame:
     """A row for each passer and soft requirement: score, source, and with ``hits`` (jd_id, req_no, resume_id,
-    hit_score, quote) the evidence."""
+    hit_score, quote: the candidate's best chunk) the evidence.
+
+    A named skill counts by the database alone, with the best chunk as quote; only what names no skill is scored by
+    retrieval, and there a quote below the floor is not shown. ``gate_database_quotes`` holds all quotes to the floor.
+    """
     soft = rubric.where("kind = 'soft'").select("jd_id", "req_no", "weight", "canonical_skill", F.col("text").alias("requirement"))
     own = filtered.where("passed").select("jd_id", "resume_id", "skills").join(soft, "jd_id")
     if hits is not None:
-        own = own.join(hits, ["jd_id", "req_no", "resume_id"], "left")
+        own = own.join(hits.select("jd_id", "req_no", "resume_id", "hit_score", "quote"), ["jd_id", "req_no", "resume_id"], "left")
     else:
         own = own.withColumns({"hit_score": F.lit(None).cast("double"), "quote": F.lit(None).cast("string")})
     named, has = F.col("canonical_skill").isNotNull(), F.array_contains("skills", F.lower("canonical_skill"))
     score = F.when(named & has, IN_DATABASE).when(named, 0.0).otherwise(F.coalesce("hit_score", F.lit(0.0)))
     source = F.when(named & has, "database").when(named | F.col("hit_score").isNull(), "missing").otherwise("retrieval")
-    return own.select("jd_id", "resume_id", "req_no", "requirement", "weight", score.alias("score"), source.alias("source"), F.when(source != "missing", F.col("quote")).alias("quote"))
+    above = F.col("hit_score") >= FLOOR
+    shown = (source == "database") & (above if gate_database_quotes else F.lit(True)) | (source == "retrieval") & above
+    return own.select("jd_id", "resume_id", "req_no", "requirement", "weight", score.alias("score"), source.alias("source"), F.when(shown, F.col("quote")).alias("quote"))
 
 
 def candidate_scores(filtered: DataFrame, evidence: DataFrame) -> DataFrame:

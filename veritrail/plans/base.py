@@ -41,16 +41,13 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
     "cand": (("span", "pri"), "SELECT c_custkey AS id, 'c' || c_custkey AS resume_id, c_mktsegment AS job_id, c_name AS full_name, CAST(coalesce(year(hi) * 12 + month(hi) - year(lo) * 12 - month(lo), 0) AS INTEGER) AS months, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'doctorate' WHEN '2' THEN 'master' WHEN '3' THEN 'bachelor' WHEN '4' THEN 'diploma' WHEN '5' THEN 'school' ELSE 'unknown' END AS degree FROM customer LEFT JOIN span ON span.o_custkey = c_custkey LEFT JOIN (SELECT * FROM pri WHERE rn = 1) p ON p.o_custkey = c_custkey"),
     "skill": ((), "SELECT DISTINCT 'c' || o_custkey AS resume_id, lower(p_brand) AS skill, p_brand AS canonical FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"),
     "degrees": ((), "SELECT * FROM (VALUES ('unknown', 0), ('school', 1), ('diploma', 2), ('bachelor', 3), ('master', 4), ('doctorate', 5)) AS t(level, ladder)"),
-    "raw_req": ((), "SELECT n_regionkey AS jd_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS req_no, n_name AS text, CASE WHEN (n_nationkey + n_regionkey) % 3 = 0 THEN 'hard' ELSE 'soft' END AS kind, CAST((n_nationkey * 7) % 5 AS INTEGER) AS weight, CASE WHEN n_nationkey % 4 = 3 THEN NULL WHEN n_nationkey % 11 = 10 THEN 'Brand#99' ELSE 'Brand#' || CAST(1 + (n_nationkey * 3) % 20 AS VARCHAR) END AS skill, CASE WHEN n_nationkey % 6 = 0 THEN ['Brand#' || CAST(1 + n_nationkey % 25 AS VARCHAR), 'Brand#' || CAST(1 + (n_nationkey + 9) % 25 AS VARCHAR)] ELSE CAST([] AS VARCHAR[]) END AS skill_alternatives, CASE WHEN n_nationkey % 5 = 0 THEN CAST(1 + n_nationkey % 3 AS INTEGER) END AS min_years, CASE n_nationkey % 7 WHEN 0 THEN ' Diploma ' WHEN 1 THEN ' Bachelor' WHEN 2 THEN 'PhD' WHEN 6 THEN 'BACHELOR ' END AS degree_level, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE lower(n_name) END AS search_query FROM nation"),
+    "raw_req": ((), "SELECT n_regionkey AS jd_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS req_no, n_name AS text, CASE WHEN (n_nationkey + n_regionkey) % 3 = 0 THEN 'hard' ELSE 'soft' END AS kind, CAST((n_nationkey * 7) % 5 AS INTEGER) AS weight, CASE WHEN n_nationkey % 4 = 3 THEN NULL WHEN n_nationkey % 11 = 10 THEN 'Brand#99' ELSE 'Brand#' || CAST(1 + (n_nationkey * 3) % 20 AS VARCHAR) END AS skill, CASE WHEN n_nationkey % 6 = 0 THEN ['Brand#' || CAST(1 + n_nationkey % 25 AS VARCHAR), 'Brand#' || CAST(1 + (n_nationkey + 9) % 25 AS VARCHAR)] ELSE CAST([] AS VARCHAR[]) END AS skill_alternatives, CASE WHEN n_nationkey % 5 = 0 THEN CAST(1 + n_nationkey % 3 AS INTEGER) END AS min_years, CASE n_nationkey % 7 WHEN 0 THEN ' Diploma ' WHEN 1 THEN ' Bachelor' WHEN 2 THEN 'PhD' WHEN 6 THEN 'BACHELOR ' END AS degree_level, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE passage END AS search_query FROM nation LEFT JOIN (SELECT item_id, min(text) AS passage FROM benchmark GROUP BY 1) ON item_id = n_nationkey"),
     "req": (("raw_req",), "SELECT jd_id, req_no, text, CASE WHEN kind = 'hard' AND ((skill IS NULL AND min_years IS NULL AND deg IS NULL) OR (skill IS NOT NULL AND canonical IS NULL)) THEN 'soft' ELSE kind END AS kind, greatest(1, least(3, weight)) AS weight, skill, skill_alternatives, min_years, deg AS degree_level, canonical AS canonical_skill, coalesce(search_query, text) AS search_query FROM (SELECT r.*, CASE WHEN lower(trim(degree_level)) IN ('bachelor', 'master', 'doctorate') THEN lower(trim(degree_level)) END AS deg, v.p_brand AS canonical FROM raw_req r LEFT JOIN (SELECT DISTINCT p_brand FROM part) v ON lower(v.p_brand) = lower(skill))"),
     "rubric": (("req",), "SELECT * EXCLUDE (k, first, pick), CAST(row_number() OVER (PARTITION BY jd_id ORDER BY k IS NULL, first, req_no) - 1 AS INTEGER) AS pos FROM (SELECT *, min(req_no) OVER (PARTITION BY jd_id, coalesce(k, CAST(req_no AS VARCHAR))) AS first, row_number() OVER (PARTITION BY jd_id, coalesce(k, CAST(req_no AS VARCHAR)) ORDER BY weight DESC, kind = 'hard' DESC, req_no) AS pick FROM (SELECT *, lower(canonical_skill) AS k FROM req)) WHERE pick = 1"),
     "spec": (("rubric", "degrees"), "SELECT jd_id, max(min_years) FILTER (WHERE kind = 'hard') AS min_years, arg_max(degree_level, ladder) FILTER (WHERE kind = 'hard' AND degree_level IS NOT NULL) AS min_degree, list_sort(coalesce(list(DISTINCT canonical_skill) FILTER (WHERE kind = 'hard' AND canonical_skill IS NOT NULL), [])) AS required_skills, list_sort(coalesce(list(array_to_string(list_sort([lower(x) FOR x IN skill_alternatives]), ', ')) FILTER (WHERE kind = 'hard' AND len(skill_alternatives) > 0), [])) AS alternatives FROM rubric LEFT JOIN degrees ON level = degree_level GROUP BY jd_id"),
     "cskills": (("cand", "skill"), "SELECT cand.*, coalesce(list_sort(list(skill) FILTER (WHERE skill IS NOT NULL)), []) AS skills FROM cand LEFT JOIN skill USING (resume_id) GROUP BY ALL"),
     "filtered": (("cskills", "spec", "degrees"), "SELECT c.*, s.jd_id, list_concat(list_concat([x FOR x IN [CASE WHEN coalesce(s.min_years, 0) > 0 AND months / 12.0 < s.min_years THEN printf('%.1f years, needs %d+', months / 12.0, s.min_years) END, CASE WHEN s.min_degree IS NOT NULL AND h.ladder < n.ladder THEN c.degree || ', needs ' || s.min_degree END] IF x IS NOT NULL], ['missing ' || x FOR x IN s.required_skills IF NOT list_contains(c.skills, lower(x))]), ['none of ' || x FOR x IN s.alternatives IF NOT list_has_any(string_split(x, ', '), c.skills)]) AS reasons FROM cskills c CROSS JOIN spec s JOIN degrees h ON h.level = c.degree LEFT JOIN degrees n ON n.level = s.min_degree"),
-    "scored": (("filtered", "rubric"), "SELECT f.jd_id, f.id, f.resume_id, f.full_name, f.job_id, f.months, f.degree, f.reasons, len(f.reasons) = 0 AS passed, coalesce(a.score, 0) AS score, coalesce(a.met, 0) AS met, coalesce(a.n_soft, 0) AS n_soft FROM filtered f LEFT JOIN (SELECT jd_id, resume_id, sum(x * weight) / sum(weight) AS score, count(*) FILTER (WHERE x >= 0.5) AS met, count(*) AS n_soft FROM (SELECT f.jd_id, f.resume_id, r.weight, CASE WHEN list_contains(f.skills, lower(r.canonical_skill)) THEN 0.95 WHEN r.canonical_skill IS NULL AND f.id % 3 = 0 THEN CAST(f.id % 97 AS DOUBLE) / 97 ELSE 0.0 END AS x FROM filtered f JOIN rubric r ON r.jd_id = f.jd_id AND r.kind = 'soft' WHERE len(f.reasons) = 0) GROUP BY ALL) a ON a.jd_id = f.jd_id AND a.resume_id = f.resume_id"),
-    "ranked": (("scored",), "SELECT *, CASE WHEN passed THEN CAST(row_number() OVER (PARTITION BY jd_id ORDER BY passed DESC, score DESC, id) AS INTEGER) END AS rank FROM scored"),
     "attrs": ((), "SELECT 'c' || c_custkey AS resume_id, 'nation' AS attribute, n_name AS value FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'c' || c_custkey, 'region', r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'c' || c_custkey, 'segment', c_mktsegment FROM customer"),
-    "groups": (("ranked", "attrs"), "SELECT jd_id, attribute, value, count(*) AS total, count(*) FILTER (WHERE rank <= 100) AS selected, avg(score) AS mean_score FROM ranked JOIN attrs USING (resume_id) GROUP BY ALL"),
     "parts": ((), "SELECT p_partkey AS id, 'p' || p_partkey AS resume_id, p_type AS job_id, p_name AS full_name, p_brand AS email FROM part"),
     "dups": (("parts",), "SELECT *, CASE WHEN first_value(id) OVER w <> id THEN first_value(resume_id) OVER w END AS duplicate_of FROM parts WINDOW w AS (PARTITION BY job_id, lower(trim(full_name)), lower(trim(email)) ORDER BY id)"),
     "hit_grades": ((), "SELECT doc_id, CAST(2 * quality + (1 - toxic) AS INTEGER) AS grade FROM labels"),
@@ -74,7 +71,7 @@ def with_shared(sql: str, names: tuple[str, ...]) -> str:
     recursive = own.startswith("WITH RECURSIVE ")
     own = own.replace("WITH RECURSIVE ", "WITH ", 1) if recursive else own
     more = ", " + own[5:] if own.startswith("WITH ") else " " + own
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ", ".join(f"{n} AS ({SHARED[n][1]})" for n in order) + more
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ", ".join(f"{n} AS MATERIALIZED ({SHARED[n][1]})" for n in order) + more
 
 
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -112,12 +109,13 @@ def candidate_skills(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raw_requirements(spark: SparkSession, d: str) -> DataFrame:
-    """Rubric rows as written: one job per region, one requirement per nation."""
+    """Rubric rows as written: one job per region, one requirement per nation, every other one with a benchmark passage to search for."""
     n = F.col("n_nationkey")
     brand = lambda k: F.concat(F.lit("Brand#"), k.cast("string"))
     order = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
     level = n % 7
-    return table(spark, d, "nation").select(
+    passage = table(spark, d, "benchmark").groupBy("item_id").agg(F.min("text").alias("passage"))
+    return table(spark, d, "nation").join(passage, F.col("item_id") == n, "left").select(
         F.col("n_regionkey").alias("jd_id"),
         (F.row_number().over(order) - 1).alias("req_no"),
         F.col("n_name").alias("text"),
@@ -127,7 +125,7 @@ def raw_requirements(spark: SparkSession, d: str) -> DataFrame:
         F.when(n % 6 == 0, F.array(brand(1 + n % 25), brand(1 + (n + 9) % 25))).otherwise(F.array().cast("array<string>")).alias("skill_alternatives"),
         F.when(n % 5 == 0, (1 + n % 3).cast("int")).alias("min_years"),
         F.when(level == 0, " Diploma ").when(level == 1, " Bachelor").when(level == 2, "PhD").when(level == 6, "BACHELOR ").alias("degree_level"),
-        F.when(n % 2 != 0, F.lower("n_name")).alias("search_query"),
+        F.when(n % 2 != 0, F.col("passage")).alias("search_query"),
     )
 
 

@@ -13,7 +13,7 @@ from ..operators import retrieval as R
 from ..runtime import prepare, shared_dir, table
 from ..streaming.ingest import current, ingest
 from .base import AS_OF, query
-from .search_queries import _BM25, _FUSED, _reranked
+from .search_queries import _BM25, _FUSED, _RERANKED, _reranked
 from .text_queries import _COHERENT, _JOB, FLAT_CHUNKS, jobs
 
 _WORDS = "[x FOR x IN regexp_split_to_array(lower({}), '\\s+') IF x <> '']"
@@ -42,8 +42,7 @@ def l2_reranker(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_FUSED.format(depth=30)} SELECT 'bm25' AS config, query_id, doc_id, rank FROM kw WHERE rank <= 5 AND score > 0 UNION ALL SELECT 'dense', query_id, doc_id, rank FROM dn WHERE rank <= 5")
 def l3_search_functions(spark: SparkSession, d: str) -> DataFrame:
     docs, asked = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text")
-    vec = lambda df, i: R.dense_of(R.hash_embeddings(df, i, "text"), i).withColumnRenamed(i, "id")
-    return L.compared({"bm25": lambda: R.bm25_search(docs, asked, "doc_id", "item_id", 5), "dense": lambda: R.dense_search(vec(docs, "doc_id"), vec(asked, "item_id"), 5).withColumnRenamed("id", "doc_id")}, 5)
+    return L.compared({"bm25": lambda: R.bm25_search(docs, asked, "doc_id", "item_id", 5), "dense": lambda: R.dense_search(R.dense_vectors(docs, "doc_id"), R.dense_vectors(asked, "item_id"), 5).withColumnRenamed("id", "doc_id")}, 5)
 
 
 @query("WITH a AS (SELECT label AS query_id, vec_id AS vector_key, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS rank FROM embeddings), b AS (SELECT label AS query_id, vec_id AS vector_key, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS INTEGER) AS rank FROM embeddings), u AS (SELECT * FROM a WHERE rank <= 40 UNION ALL SELECT * FROM b WHERE rank <= 40) SELECT query_id, vector_key, round(sum(1.0 / (60 + rank)), 9) AS rrf_score FROM u GROUP BY ALL")
@@ -69,9 +68,10 @@ def d9_ranked_merge(spark: SparkSession, d: str) -> DataFrame:
     return fused.select("query_id", "doc_id", F.col("ranks")[0].isNotNull().alias("in_dense"), F.col("ranks")[1].isNotNull().alias("in_keyword"))
 
 
-@query(f"WITH {_FUSED.format(depth=30)}, rr AS (SELECT query_id, doc_id, rank FROM fused WHERE rank <= 10) SELECT query_id, count(*) AS n, CAST(max(rank) AS INTEGER) AS deepest FROM rr GROUP BY query_id")
+@query(f"WITH {_FUSED.format(depth=30)}, {_RERANKED} SELECT query_id, doc_id, round(score, 6) AS relevance, rank FROM re")
 def g4_rerank_order(spark: SparkSession, d: str) -> DataFrame:
-    return _reranked(spark, d).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("deepest"))
+    """All hits, by relevance and then by the order they came in."""
+    return _reranked(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("relevance"), "rank")
 
 
 _LEVEL = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 5 WHEN '2' THEN 4 WHEN '3' THEN 3 WHEN '4' THEN 2 ELSE 1 END"

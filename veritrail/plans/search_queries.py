@@ -106,8 +106,7 @@ def c7_metadata_prefilter(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_FUSED.format(depth=10)} SELECT query_id, doc_id, rank, round(rrf_score, 9) AS rrf_score, r0 AS semantic_rank, r1 AS keyword_rank FROM fused")
 def i4_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
     docs, asked = _docs(spark, d), _asked(spark, d)
-    vec = lambda df, i: R.dense_of(R.hash_embeddings(df, i, "text"), i).withColumnRenamed(i, "id")
-    dense = R.dense_search(vec(docs, "doc_id"), vec(asked, "item_id"), 10).withColumnRenamed("id", "doc_id")
+    dense = R.dense_search(R.dense_vectors(docs, "doc_id"), R.dense_vectors(asked, "item_id"), 10).withColumnRenamed("id", "doc_id")
     fused = R.fuse([dense, R.bm25_search(docs, asked, "doc_id", "item_id", 10)], "doc_id")
     return fused.select("query_id", "doc_id", "rank", F.round("rrf_score", 9).alias("rrf_score"), F.col("ranks")[0].alias("semantic_rank"), F.col("ranks")[1].alias("keyword_rank"))
 
@@ -131,8 +130,9 @@ _RERANKED = f"rr AS (SELECT query_id, fused.doc_id, fused.rank AS old, rrf_score
 
 def _reranked(spark: SparkSession, d: str, n: int | None = None) -> DataFrame:
     docs, asked = _docs(spark, d), _asked(spark, d)
-    hits = R.hybrid(docs, asked, 10).join(docs, "doc_id").join(asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
-    return R.rerank(hits, R.overlap_logit(F.col("query"), F.col("text")), "doc_id", n, "rrf_score")
+    terms = asked.select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
+    hits = R.hybrid(docs, asked, 10).join(docs, "doc_id").join(terms, "query_id")
+    return R.rerank(hits, R.overlap_logit(F.col("asked"), T.tokens(F.col("text"))), "doc_id", n, "rrf_score")
 
 
 @query(f"WITH {_FUSED.format(depth=30)}, {_RERANKED} SELECT query_id, doc_id, rank, round(score, 6) AS score, round(rrf_score, 9) AS retrieval_score, round(logit, 6) AS rerank_logit, score >= 0.15 AS above_floor FROM re")

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import retrieval as R
-from ..operators.profile import first_of_each
-from ..runtime import table
+from ..operators import segment as G
+from ..operators.profile import coherent_dates, first_of_each
+from ..runtime import shared_dir, stored, table
 from ..sources import store as S
-from .base import candidate_skills, candidates, query
+from .base import SQL, candidate_skills, candidates, doc_lines, part_people, query
+from .rank_queries import ranked
 from .search_queries import _BM25, _FUSED
+from .text_queries import _COHERENT, _JOB, _SECTIONS, FLAT_CHUNKS, b16_completeness, jobs, section_lines
 
 _MANIFEST = "mf AS (SELECT split_part(url, '/', 4) AS job_id, CAST(page_id AS INTEGER) AS entry_no, CASE page_id % 9 WHEN 0 THEN '__MACOSX/x' || page_id WHEN 1 THEN 'a/.DS_Store' WHEN 2 THEN CASE WHEN page_id % 90 = 2 THEN '../up.pdf' ELSE 'b/cv.pdf' END WHEN 3 THEN 'c/cv.pdf' WHEN 4 THEN 'notes.txt' ELSE 'd' || page_id || '/Resume.DOCX' END AS entry_name, length(html) * CASE WHEN page_id % 50 = 7 THEN 10000 ELSE 1 END AS file_size, CAST(1 + length(html) // 10 AS BIGINT) AS compress_size FROM pages)"
 _JUNK = "(entry_name LIKE '%/' OR starts_with(entry_name, '__MACOSX/') OR split_part(entry_name, '/', -1) IN ('.DS_Store', 'Thumbs.db', 'desktop.ini') OR starts_with(split_part(entry_name, '/', -1), '.'))"
 
 
+_NORM = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9+#. ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
 def manifest(spark: SparkSession, d: str) -> DataFrame:
     """Pages as archive entries, with names of all kinds."""
     p, k = table(spark, d, "pages"), F.col("page_id")
@@ -131,36 +139,90 @@ def a15_cache_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.cache_key("v1", F.col("text")).alias("key"))
 
 
-@query("SELECT resume_id, count(*) AS n FROM skill WHERE resume_id IN (SELECT resume_id FROM cand WHERE job_id <> 'MACHINERY') GROUP BY 1", "cand", "skill")
+_BATCH = "t AS (SELECT 'skills' AS name, resume_id FROM skill UNION ALL SELECT 'vectors', 'c' || vec_id FROM embeddings UNION ALL SELECT 'files', 'c' || doc_id FROM documents UNION ALL SELECT 'candidates', resume_id FROM cand)"
+
+
+def batch_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Parents with children, vectors and files; some of them belong to nobody."""
+    own = lambda name, key: table(spark, d, name).select(F.concat(F.lit("c"), F.col(key)).alias("resume_id"))
+    return {"candidates": candidates(spark, d), "skills": candidate_skills(spark, d), "vectors": own("embeddings", "vec_id"), "files": own("documents", "doc_id")}
+
+
+@query(f"WITH {_BATCH} SELECT name, count(*) FILTER (WHERE job_id <> 'MACHINERY') AS kept, count(*) FILTER (WHERE job_id = 'MACHINERY') AS deleted, count(*) FILTER (WHERE job_id IS NULL) AS orphans, count(DISTINCT t.resume_id) FILTER (WHERE job_id <> 'MACHINERY') AS n_resumes FROM t LEFT JOIN cand ON cand.resume_id = t.resume_id GROUP BY name", "cand", "skill")
 def a16_batch_delete(spark: SparkSession, d: str) -> DataFrame:
-    left = S.batch_deleted({"candidates": candidates(spark, d), "skills": candidate_skills(spark, d)}, "candidates", "resume_id", "MACHINERY")
-    return left["skills"].groupBy("resume_id").agg(F.count("*").alias("n"))
+    tables = batch_tables(spark, d)
+    left = None
+    for name, df in S.batch_deleted(tables, "candidates", "resume_id", "MACHINERY").items():
+        own = df.agg(F.count_distinct("resume_id").alias("n_resumes")).select(F.lit(name).alias("name"), "n_resumes")
+        left = own if left is None else left.unionByName(own)
+    return S.delete_report(tables, "candidates", "resume_id", "MACHINERY").join(left, "name")
 
 
-@query("SELECT s_suppkey, s_name, CAST(NULL AS VARCHAR) AS duplicate_of FROM supplier")
+@query("SELECT resume_id, email, duplicate_of FROM dups", "dups")
 def a17_migration(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.types import StructType
+    return S.backfilled(part_people(spark, d)).select("resume_id", "email", "duplicate_of")
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written_texts(spark: SparkSession, d: str, key: str) -> str:
+    """Each benchmark item as a text file of its own, in a folder named by ``key``."""
+    path = _fresh(spark, "texts")
+    table(spark, d, "benchmark").select(F.col("item_id").alias(key), "text").repartition(key).write.partitionBy(key).text(path)
+    return path
+
+
+@query("SELECT 'b' AS job_id, CAST(item_id AS BIGINT) AS item_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS length, sha256(text || chr(10)) AS content_sha256 FROM benchmark")
+def a1_directory_scan(spark: SparkSession, d: str) -> DataFrame:
+    found = S.scan_directory(spark, written_texts(spark, d, "item_id"), "b", (".txt",))
+    return found.select("job_id", F.col("item_id").cast("long").alias("item_id"), "length", F.sha2("content", 256).alias("content_sha256"))
+
 
-    return S.migrated(table(spark, d, "supplier").select("s_suppkey", "s_name"), StructType.fromDDL("s_suppkey long, s_name string, duplicate_of string"))
+@query("SELECT lang AS job_id, doc_id, source, n_chars, sha256(text) AS text_sha256 FROM documents")
+def a5_json_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records as JSON, a folder per batch, and the union of all read back with their schema."""
+    path = _fresh(spark, "records")
+    docs = table(spark, d, "documents").select(F.col("lang").alias("job_id"), "doc_id", "source", "n_chars", "text")
+    docs.write.partitionBy("job_id").json(path)
+    back = S.read_records(spark, path, docs.select("doc_id", "source", "n_chars", "text", "job_id").schema, lines=True)
+    return back.select("job_id", "doc_id", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("SELECT source, lang, count(*) AS n FROM (SELECT * FROM documents WHERE lang = 'en' UNION SELECT * FROM documents WHERE doc_id % 2 = 0) GROUP BY ALL")
+@query("SELECT CAST(item_id AS BIGINT) AS key, text FROM benchmark")
+def a6_text_files(spark: SparkSession, d: str) -> DataFrame:
+    found = S.read_texts(spark, written_texts(spark, d, "key"))
+    return found.select(F.col("key").cast("long").alias("key"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+
+
+@query("SELECT vec_id, label, 'second' AS model FROM embeddings UNION ALL SELECT vec_id, label, 'other' FROM embeddings")
+def a11_index_reset(spark: SparkSession, d: str) -> DataFrame:
+    """An index is written, reset by writing it again with other rows, and another model's rows stay."""
+    path, own = _fresh(spark, "index"), table(spark, d, "embeddings").select("vec_id", "label")
+    S.write_index(own.withColumn("model", F.lit("other")), path)
+    S.write_index(own.select((F.col("vec_id") + 1).alias("vec_id"), "label", F.lit("second").alias("model")), path)
+    S.write_index(own.withColumn("model", F.lit("second")), path)
+    return spark.read.parquet(path).select("vec_id", "label", "model")
+
+
+@query("SELECT source, lang, count(*) AS n, count(quality) AS n_labelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
 def h1_chunk_union(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    both = docs.where("lang = 'en'").unionByName(docs.where("doc_id % 2 = 0"))
-    return first_of_each(both, ["doc_id"], ["n_chars"]).groupBy("source", "lang").agg(F.count("*").alias("n"))
+    """All documents and those with labels, which are in both sets and count once."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id", "quality")
+    both = docs.join(labels, "doc_id").unionByName(docs, allowMissingColumns=True)
+    return first_of_each(both, ["doc_id"], ["n_chars", F.col("quality").isNull()]).groupBy("source", "lang").agg(F.count("*").alias("n"), F.count("quality").alias("n_labelled"))
 
 
 # -- evaluation ----------------------------------------------------------------------------------------------------
 
-_RUN = f"{_BM25}, run AS (SELECT query_id, doc_id, rank FROM kw WHERE rank <= 50 AND score > 0), lab AS (SELECT q.item_id AS query_id, doc_id, CAST(CASE WHEN (doc_id + q.item_id) % 3 = 0 THEN 2 * quality + (1 - toxic) ELSE 0 END AS INTEGER) AS grade FROM labels, (SELECT DISTINCT item_id FROM benchmark) q), gr AS (SELECT run.*, grade FROM run LEFT JOIN lab USING (query_id, doc_id)), nr AS (SELECT query_id, count(*) AS n_rel FROM lab WHERE grade >= 2 GROUP BY 1)"
+_RUN = f"{_BM25}, run AS (SELECT query_id, doc_id, rank FROM kw WHERE rank <= 50 AND score > 0), lab AS (SELECT query_id, doc_id, CAST(2 * quality + (1 - toxic) AS INTEGER) AS grade FROM run JOIN labels USING (doc_id)), gr AS (SELECT run.*, grade FROM run LEFT JOIN lab USING (query_id, doc_id)), nr AS (SELECT query_id, count(*) AS n_rel FROM lab WHERE grade >= 2 GROUP BY 1)"
 
 
-def labels(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
-    own = table(spark, d, "labels").join(q, F.lit(True), "cross")
-    grade = F.when((F.col("doc_id") + F.col("query_id")) % 3 == 0, 2 * F.col("quality") + 1 - F.col("toxic")).otherwise(0).cast("int")
-    return own.select("query_id", "doc_id", grade.alias("grade"))
+def judged(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    """Pooled relevance: each document that was found for a query and has labels, with its grade."""
+    own = table(spark, d, "labels").select("doc_id", (2 * F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade"))
+    return hits.select("query_id", "doc_id").distinct().join(own, "doc_id").select("query_id", "doc_id", "grade")
 
 
 def run(spark: SparkSession, d: str) -> DataFrame:
@@ -168,13 +230,16 @@ def run(spark: SparkSession, d: str) -> DataFrame:
     return R.bm25_search(docs, asked, "doc_id", "item_id", 50).select("query_id", "doc_id", "rank")
 
 
-def graded_run(spark: SparkSession, d: str) -> DataFrame:
-    return run(spark, d).join(labels(spark, d), ["query_id", "doc_id"], "left")
+def graded_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A stored run with grades, and its labels."""
+    own = stored(run(spark, d), "run")
+    labels = judged(spark, d, own)
+    return own.join(labels, ["query_id", "doc_id"], "left"), labels
 
 
 @query(f"WITH {_RUN}, f AS (SELECT query_id, count(*) FILTER (WHERE grade >= 2 AND rank <= 10) AS a, count(*) FILTER (WHERE grade >= 2) AS b FROM gr GROUP BY 1) SELECT query_id, round(CASE WHEN b > 0 THEN a / b END, 6) AS recall_10 FROM f")
 def i15_recall(spark: SparkSession, d: str) -> DataFrame:
-    return E.recall_at(graded_run(spark, d), 10, "query_id").select("query_id", F.round("recall_10", 6).alias("recall_10"))
+    return E.recall_at(graded_run(spark, d)[0], 10, "query_id").select("query_id", F.round("recall_10", 6).alias("recall_10"))
 
 
 _NDCG = "dcg AS (SELECT query_id, sum((2 ** coalesce(grade, 0) - 1) / log2(rank + 1)) AS dcg FROM gr WHERE rank <= {k} GROUP BY 1), idl AS (SELECT query_id, sum((2 ** grade - 1) / log2(r + 1)) AS ideal FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS r FROM lab) WHERE r <= {k} GROUP BY 1)"
@@ -182,16 +247,16 @@ _NDCG = "dcg AS (SELECT query_id, sum((2 ** coalesce(grade, 0) - 1) / log2(rank
 
 @query(f"WITH {_RUN}, {_NDCG.format(k=20)} SELECT query_id, round(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal END, 6) AS ndcg_20 FROM idl LEFT JOIN dcg USING (query_id)")
 def i16_ndcg(spark: SparkSession, d: str) -> DataFrame:
-    return E.ndcg_at(graded_run(spark, d), labels(spark, d), 20, "query_id").select("query_id", F.round("ndcg_20", 6).alias("ndcg_20"))
+    return E.ndcg_at(*graded_run(spark, d), 20, "query_id").select("query_id", F.round("ndcg_20", 6).alias("ndcg_20"))
 
 
 @query(f"WITH {_RUN} SELECT query_id, round(coalesce(1.0 / min(rank) FILTER (WHERE grade >= 2), 0), 6) AS mrr FROM gr GROUP BY 1")
 def i17_mrr(spark: SparkSession, d: str) -> DataFrame:
-    return E.mrr(graded_run(spark, d), "query_id").select("query_id", F.round("mrr", 6).alias("mrr"))
+    return E.mrr(graded_run(spark, d)[0], "query_id").select("query_id", F.round("mrr", 6).alias("mrr"))
 
 
 _CONFIGS = f"""cf AS (SELECT 'bm25' AS config, query_id, doc_id, rank FROM kw WHERE rank <= 30 AND score > 0 UNION ALL SELECT 'dense', query_id, doc_id, rank FROM dn WHERE rank <= 30 UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM fused WHERE rank <= 30),
-lab AS (SELECT q.item_id AS query_id, doc_id, CAST(CASE WHEN (doc_id + q.item_id) % 3 = 0 THEN 2 * quality + (1 - toxic) ELSE 0 END AS INTEGER) AS grade FROM labels, (SELECT DISTINCT item_id FROM benchmark) q),
+lab AS (SELECT query_id, doc_id, CAST(2 * quality + (1 - toxic) AS INTEGER) AS grade FROM (SELECT DISTINCT query_id, doc_id FROM cf) JOIN labels USING (doc_id)),
 gr AS (SELECT cf.*, grade FROM cf LEFT JOIN lab USING (query_id, doc_id)), nr AS (SELECT query_id, count(*) AS n_rel FROM lab WHERE grade >= 2 GROUP BY 1),
 m AS (SELECT config, query_id, coalesce(1.0 / min(rank) FILTER (WHERE grade >= 2), 0) AS mrr, count(*) FILTER (WHERE grade >= 2 AND rank <= 10) AS f10, sum((2 ** coalesce(grade, 0) - 1) / log2(rank + 1)) FILTER (WHERE rank <= 10) AS dcg FROM gr GROUP BY ALL),
 idl AS (SELECT query_id, sum((2 ** grade - 1) / log2(r + 1)) AS ideal FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS r FROM lab) WHERE r <= 10 GROUP BY 1),
@@ -200,15 +265,15 @@ cm AS (SELECT config, avg(mrr) AS mrr, avg(f10 / n_rel) AS recall_10, avg(CASE W
 
 def configurations(spark: SparkSession, d: str) -> DataFrame:
     docs, asked = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text")
-    vec = lambda df, i: R.dense_of(R.hash_embeddings(df, i, "text"), i).withColumnRenamed(i, "id")
-    dense = R.dense_search(vec(docs, "doc_id"), vec(asked, "item_id"), 30).withColumnRenamed("id", "doc_id")
-    bm25 = R.bm25_search(docs, asked, "doc_id", "item_id", 30)
+    dense = stored(R.dense_search(R.dense_vectors(docs, "doc_id"), R.dense_vectors(asked, "item_id"), 30).withColumnRenamed("id", "doc_id"), "dense-hits")
+    bm25 = stored(R.bm25_search(docs, asked, "doc_id", "item_id", 30), "keyword-hits")
     fused = R.fuse([dense, bm25], "doc_id").where("rank <= 30")
     runs = None
     for name, hits in (("bm25", bm25), ("dense", dense), ("hybrid", fused)):
         own = hits.select(F.lit(name).alias("config"), "query_id", "doc_id", "rank")
         runs = own if runs is None else runs.unionByName(own)
-    return E.compare_configs(runs, labels(spark, d), (10,))
+    runs = stored(runs, "runs")  # each search is read once for every metric
+    return E.compare_configs(runs, judged(spark, d, runs), (10,))
 
 
 @query(f"WITH {_FUSED.format(depth=30)}, {_CONFIGS} SELECT config, round(mrr, 6) AS mrr, round(recall_10, 6) AS recall_10, round(ndcg_10, 6) AS ndcg_10 FROM cm")
@@ -221,10 +286,11 @@ def e37_best_marked(spark: SparkSession, d: str) -> DataFrame:
     return E.best_marked(configurations(spark, d), ["mrr", "ndcg_10"]).select("config", "best_mrr", "best_ndcg_10")
 
 
-@query(f"WITH {_RUN} SELECT round(avg(a / n_rel), 6) AS mean_recall, count(*) AS n_queries FROM (SELECT query_id, count(*) FILTER (WHERE grade >= 2) AS a FROM gr GROUP BY 1) JOIN nr USING (query_id)")
+@query(f"WITH {_RUN} SELECT round(avg(a / n_rel), 6) AS mean_recall, count(*) AS n_queries FROM (SELECT query_id, count(*) FILTER (WHERE grade >= 2) AS a FROM gr WHERE rank <= 10 GROUP BY 1) JOIN nr USING (query_id)")
 def e35_mean_recall(spark: SparkSession, d: str) -> DataFrame:
-    found = graded_run(spark, d).groupBy("query_id").agg(F.count_if(F.col("grade") >= E.RELEVANT).alias("a"))
-    rel = labels(spark, d).groupBy("query_id").agg(F.count_if(F.col("grade") >= E.RELEVANT).alias("n_rel"))
+    graded, labels = graded_run(spark, d)
+    found = graded.where("rank <= 10").groupBy("query_id").agg(F.count_if(F.col("grade") >= E.RELEVANT).alias("a"))
+    rel = labels.groupBy("query_id").agg(F.count_if(F.col("grade") >= E.RELEVANT).alias("n_rel"))
     value = F.when(F.col("n_rel") > 0, F.col("a") / F.col("n_rel"))
     return found.join(rel, "query_id").agg(F.round(F.avg(value), 6).alias("mean_recall"), F.count(value).alias("n_queries"))
 
@@ -254,11 +320,31 @@ def h4_set_compare(spark: SparkSession, d: str) -> DataFrame:
     return sets(spark, d).select("o_orderkey", F.size(F.array_intersect("found", "truth")).alias("hits"), F.size(F.array_except("found", "truth")).alias("extra"), F.size(F.array_except("truth", "found")).alias("missing"))
 
 
-@query("SELECT round(avg(CAST(a.quality = b.quality AS INTEGER)), 6) AS quality_accuracy, round(avg(CAST(a.toxic IS NOT DISTINCT FROM b.toxic AS INTEGER)), 6) AS toxic_accuracy, count(*) AS n FROM labels a JOIN labels b ON b.doc_id = a.doc_id + 1")
+_PROFILES = f"""j AS ({_JOB}), c AS ({_COHERENT}),
+tj AS (SELECT o_custkey, list({{'s': start_year, 'e': end_year}} ORDER BY o_orderkey) AS jobs FROM j GROUP BY 1),
+fj AS (SELECT o_custkey, list({{'s': start_year, 'e': end_year}} ORDER BY o_orderkey) AS jobs FROM c GROUP BY 1),
+pr AS (SELECT c_custkey, c_name, c_acctbal, cand.degree, tj.jobs AS t, fj.jobs AS f FROM customer JOIN cand ON cand.id = c_custkey JOIN tj ON tj.o_custkey = c_custkey JOIN fj ON fj.o_custkey = c_custkey)"""
+
+
+def profiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Profiles as extracted (dates put in order, names and contacts as found) and as they are known."""
+    c = table(spark, d, "customer").join(candidates(spark, d).select(F.col("id").alias("c_custkey"), "degree"), "c_custkey")
+    stated, found = jobs(spark, d), coherent_dates(jobs(spark, d))
+    of = lambda df: df.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "start_year", "end_year"))), lambda x: F.struct(F.lit("x").alias("company"), x["start_year"].alias("start_year"), x["end_year"].alias("end_year"))).alias("jobs"))
+    has = lambda c, test: F.when(test, F.col(c))
+    acct, known = F.col("c_acctbal"), F.col("degree") != "unknown"
+    profile = lambda df, name, email, phone, level: c.join(of(df), "c_custkey").select(F.col("c_custkey").alias("id"), name.alias("name"), email.alias("email"), phone.alias("phone"), level.alias("level"), "jobs", known.cast("int").alias("n_education"))
+    truth = profile(stated, F.col("c_name"), has("c_name", acct > 0), has("c_name", acct > 1000), F.col("degree"))
+    return profile(found, F.upper(F.translate("c_name", "#", "-")), has("c_name", acct > -500), has("c_name", acct > 1000), F.when(acct < 9000, F.col("degree"))), truth
+
+
+@query(f"""WITH {_PROFILES}
+SELECT count(*) AS n, round(avg(CAST({_NORM.format("translate(c_name, '#', '-')")} = {_NORM.format('c_name')} AS INTEGER)), 6) AS name, round(avg(CAST((c_acctbal > -500) = (c_acctbal > 0) AS INTEGER)), 6) AS email, round(1.0, 6) AS phone,
+round(avg(CAST(len(t) = len(f) AS INTEGER)), 6) AS job_count, round(sum(len([1 FOR x, i IN t IF x.s IS NOT DISTINCT FROM f[i].s])) / sum(len(t)), 6) AS start_year, round(sum(len([1 FOR x, i IN t IF x.e IS NOT DISTINCT FROM f[i].e])) / sum(len(t)), 6) AS end_year,
+round(avg(CAST((c_acctbal < 9000 AND degree IN ('master', 'doctorate')) = (degree IN ('master', 'doctorate')) AS INTEGER)), 6) AS postgraduate, round(1.0, 6) AS education_count FROM pr""", "cand")
 def e26_field_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "labels").select("doc_id", "quality", "toxic")
-    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("quality").alias("q"), F.col("toxic").alias("t"))
-    return a.join(b, "doc_id").agg(F.round(F.avg((F.col("quality") == F.col("q")).cast("int")), 6).alias("quality_accuracy"), F.round(F.avg(F.col("toxic").eqNullSafe(F.col("t")).cast("int")), 6).alias("toxic_accuracy"), F.count("*").alias("n"))
+    out = E.field_accuracies(*profiles(spark, d), "id")
+    return out.select("n", *[F.round(c, 6).alias(c) for c in out.columns if c != "n"])
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE abs(l_quantity - l_linenumber * 5) < 0.05) AS exact, count(*) FILTER (WHERE abs(l_quantity - l_linenumber * 5) <= 1) AS close FROM lineitem")
@@ -266,20 +352,20 @@ def e27_tolerance(spark: SparkSession, d: str) -> DataFrame:
     return E.tolerance(table(spark, d, "lineitem").select("l_quantity", (F.col("l_linenumber") * 5).alias("truth")), "l_quantity", "truth")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM documents e WHERE e.doc_id <> d.doc_id AND e.lang = d.lang AND e.text = d.text)) AS verbatim FROM documents d")
+@query(f"WITH b AS (SELECT source, {_NORM.format('lines.text')} AS norm, l.doc_id IS NOT NULL AS is_truth FROM lines JOIN documents USING (doc_id) LEFT JOIN labels l ON l.doc_id = lines.doc_id WHERE trim(lines.text) <> '') SELECT count(*) AS n, count(f.norm) AS verbatim FROM b LEFT JOIN (SELECT DISTINCT source, norm FROM b WHERE NOT is_truth) f ON f.source = b.source AND f.norm = b.norm WHERE is_truth", "lines")
 def e28_verbatim(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang", T.content_hash(F.col("text")).alias("h"))
-    repeated = docs.groupBy("lang", "h").agg(F.count("*").alias("c"))
-    return repeated.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("verbatim"))
-
-
-_D11 = "fo AS (SELECT p_type AS k, p_partkey AS found_no, lower(p_name) AS a FROM part WHERE p_partkey % 4 = 0), tr AS (SELECT p_type AS k, p_partkey AS truth_no, lower(split_part(p_name, ' ', 1)) AS b FROM part WHERE p_partkey % 40 = 1)"
+    """Lines of a source's labelled documents as truth, those of its other documents as found."""
+    docs = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", F.lit(True).alias("is_truth")), "doc_id", "left")
+    own = doc_lines(spark, d).where(F.trim("text") != "").join(docs, "doc_id").select("source", T.comparison_form(F.col("text")).alias("form"), "is_truth")
+    return E.verbatim(own.where("is_truth"), own.where("is_truth is null"), "source", "form")
 
 
 def _companies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = table(spark, d, "part").select(F.col("p_type").alias("k"), "p_partkey", F.lower("p_name").alias("name"))
-    found = p.where("p_partkey % 4 = 0").select("k", F.col("p_partkey").alias("found_no"), F.col("name").alias("found_name"))
-    return found, p.where("p_partkey % 40 = 1").select("k", F.col("p_partkey").alias("truth_no"), F.split("name", " ")[0].alias("truth_name"))
+    """Of each customer's orders the name on the first line as found, the kind of thing on the second as known."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name")), F.col("p_partkey") == F.col("l_partkey"))
+    own = lines.join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k")), F.col("o_orderkey") == F.col("l_orderkey"))
+    found = own.where("l_linenumber = 1").select("k", F.col("o_orderkey").alias("found_no"), F.col("name").alias("found_name"))
+    return found, own.where("l_linenumber = 2").select("k", F.col("o_orderkey").alias("truth_no"), F.element_at(F.split("name", " "), -1).alias("truth_name"))
 
 
 @query()
@@ -294,33 +380,26 @@ def e29_unmatched_companies(spark: SparkSession, d: str) -> DataFrame:
     return found.join(E.matched_companies(found, truth, "k"), ["k", "found_no"], "left_anti").groupBy("k").agg(F.count("*").alias("n"))
 
 
-_VARIANTS = "SELECT DISTINCT lower(p_name) AS surface, p_brand AS canonical FROM part WHERE p_partkey % 5 = 0"
-
-
-@query(f"WITH v AS (SELECT surface, min(canonical) AS canonical FROM ({_VARIANTS}) GROUP BY 1), n AS (SELECT DISTINCT split_part(lower(p_name), ' ', 2) AS name FROM part) SELECT name, coalesce(arg_min(canonical, printf('%05d', 10000 - length(surface)) || surface), name) AS canonical FROM n LEFT JOIN v ON contains(surface, name) OR contains(name, surface) GROUP BY name")
+@query("WITH v AS (SELECT lower(p_name) AS surface, min(p_brand) AS canonical FROM part GROUP BY 1), n AS (SELECT DISTINCT unnest(list_concat([lower(p_name), lower(p_name) || ' set', lower(p_type)], string_split(lower(p_name), ' '))) AS name FROM part) SELECT name, coalesce(arg_min(canonical, printf('%05d', 10000 - length(surface)) || surface), name) AS canonical FROM n LEFT JOIN v ON contains(surface, name) OR contains(name, surface) GROUP BY name")
 def d12_surface_containment(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    voc = p.where("p_partkey % 5 = 0").groupBy(F.lower("p_name").alias("surface")).agg(F.min("p_brand").alias("canonical"))
-    names = p.select(F.split(F.lower("p_name"), " ")[1].alias("name")).distinct()
-    met = names.join(voc, F.col("surface").contains(F.col("name")) | F.col("name").contains(F.col("surface")), "left")
-    best = F.min_by("canonical", F.struct(-F.length("surface"), "surface"))
-    return met.groupBy("name").agg(best.alias("canonical")).select("name", F.coalesce("canonical", "name").alias("canonical"))
+    own, names = F.lower("p_name"), p.select(F.explode(F.concat(F.array(F.lower("p_name"), F.concat(F.lower("p_name"), F.lit(" set")), F.lower("p_type")), F.split(F.lower("p_name"), " "))).alias("name"))
+    return E.canonicalised(names, p.groupBy(own.alias("surface")).agg(F.min("p_brand").alias("canonical")))
 
 
-@query("SELECT d.doc_id FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 7 WHERE NOT contains(e.text, split_part(d.text, ' ', 3))")
+@query(f"WITH {_SECTIONS}, body AS (SELECT doc_id, string_agg(text, chr(10)) AS body FROM s WHERE opens IS NULL GROUP BY 1) SELECT s.doc_id, s.line_no, trim(s.text) AS text FROM s LEFT JOIN body USING (doc_id) WHERE trim(s.text) <> '' AND NOT coalesce(contains(body, trim(s.text)), false)", "page_lines")
 def d13_completeness(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    truth = docs.select("doc_id", (F.col("doc_id") + 7).alias("other"), F.coalesce(F.get(F.split("text", " "), 2), F.lit("")).alias("word"))
-    there = docs.select(F.col("doc_id").alias("other"), F.col("text").alias("body"))
-    return truth.join(there, "other").where(~F.col("body").contains(F.col("word"))).select("doc_id")
+    """Lines of pages that no chunk of theirs holds: headings, which sections consume."""
+    lines = section_lines(spark, d)
+    truth = lines.select("doc_id", "line_no", F.trim("text").alias("text")).where("text <> ''")
+    return E.lost_lines(truth, G.chunks(lines).select("doc_id", "text"), "doc_id")
 
 
-@query("SELECT doc_id, count(DISTINCT b.p_brand) AS n_names FROM documents d JOIN (SELECT DISTINCT p_brand, lower(split_part(p_name, ' ', 1)) AS w, CAST(substr(p_brand, 7) AS INTEGER) AS k FROM part) b ON d.doc_id % 25 = b.k AND contains(lower(text), w[1:2]) GROUP BY doc_id HAVING count(DISTINCT b.w) > 1")
+@query(FLAT_CHUNKS + ", em AS (SELECT DISTINCT doc_id, regexp_extract(text, '^([A-Za-z]{4,})', 1) AS employer FROM lines) SELECT doc_id, part_index, count(*) AS n_employers FROM flat JOIN em USING (doc_id) WHERE employer <> '' AND contains(flat.text, employer) GROUP BY ALL HAVING count(*) > 1", "lines")
 def d14_citation_integrity(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "part").select("p_brand", F.split(F.lower("p_name"), " ")[0].alias("w"), F.substring("p_brand", 7, 9).cast("int").alias("k")).distinct()
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"), (F.col("doc_id") % 25).alias("k"))
-    met = docs.join(names, "k").where(F.col("text").contains(F.substring("w", 1, 2)))
-    return met.groupBy("doc_id").agg(F.count_distinct("p_brand").alias("n_names"), F.count_distinct("w").alias("n")).where("n > 1").drop("n")
+    """Chunks of documents that name several of their document's employers: the words that its lines begin with."""
+    employers = doc_lines(spark, d).select("doc_id", F.regexp_extract("text", "^([A-Za-z]{4,})", 1).alias("employer"))
+    return E.mixed_chunks(G.flat_chunks(table(spark, d, "documents")), employers, "doc_id", "part_index")
 
 
 @query("SELECT conv_id, r.role FROM (SELECT DISTINCT conv_id FROM conversations) c CROSS JOIN (SELECT DISTINCT role FROM conversations) r WHERE NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.role = r.role)")
@@ -335,9 +414,10 @@ def d10_record_truth(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select("doc_id", "quality").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
 
 
-@query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, value LIMIT 5")
+@query(SQL["b16_completeness"].replace("SELECT resume_id, [x FOR", "SELECT value, count(*) AS n FROM (SELECT unnest(issues) AS value FROM (SELECT resume_id, [x FOR", 1) + ")) GROUP BY value ORDER BY n DESC, value LIMIT 5")
 def e30_issue_counts(spark: SparkSession, d: str) -> DataFrame:
-    return E.most_common(table(spark, d, "events"), F.array("event_type"))
+    """What B16 reports of the candidates' profiles."""
+    return E.most_common(b16_completeness(spark, d), F.col("issues"))
 
 
 @query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem WHERE l_discount >= 0.05 GROUP BY ALL HAVING count(*) >= 3 ORDER BY n DESC, l_returnflag, l_linestatus, l_linenumber LIMIT 1")
@@ -347,10 +427,10 @@ def e32_failure_cluster(spark: SparkSession, d: str) -> DataFrame:
     return own.orderBy(F.desc("n"), *keys).limit(1)
 
 
-@query("SELECT doc_id, source FROM documents WHERE trim(coalesce(string_split(text, chr(10))[1], '')) = '' OR starts_with(text, ' ')")
+@query(f"WITH {_SECTIONS}, c AS (SELECT * FROM s WHERE opens IS NULL) SELECT doc_id FROM c GROUP BY doc_id HAVING count(*) FILTER (WHERE trim(text) <> '') > 0 AND coalesce(arg_min(text, line_no) FILTER (WHERE section_seq = 0 AND section = 'HEADER'), '') = ''", "page_lines")
 def e33_orphans(spark: SparkSession, d: str) -> DataFrame:
-    first = F.coalesce(F.split("text", "\n")[0], F.lit(""))
-    return table(spark, d, "documents").where((F.trim(first) == "") | F.startswith("text", F.lit(" "))).select("doc_id", "source")
+    """Pages with chunks that carry no candidate name: nothing stands before their first section."""
+    return G.chunks(section_lines(spark, d)).where(F.coalesce("candidate_name", F.lit("")) == "").select("doc_id").distinct()
 
 
 @query("SELECT lang, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents")
@@ -359,11 +439,10 @@ def f6_rank(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("lang", "doc_id", F.row_number().over(order).alias("rank"))
 
 
-@query(f"WITH {_BM25}, rk AS (SELECT query_id, doc_id, rank FROM kw WHERE rank <= 10 AND score > 0), rest AS (SELECT q.item_id AS query_id, doc_id FROM (SELECT DISTINCT item_id FROM benchmark) q, (SELECT doc_id FROM documents WHERE n_chars < 200) d WHERE NOT EXISTS (SELECT 1 FROM rk WHERE rk.query_id = q.item_id AND rk.doc_id = d.doc_id)), c AS (SELECT query_id, max(rank) AS m FROM rk GROUP BY 1) SELECT query_id, doc_id, rank, false AS excluded FROM rk UNION ALL SELECT query_id, doc_id, CAST(coalesce(m, 0) + row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS INTEGER), true FROM rest LEFT JOIN c USING (query_id)")
+@query("SELECT jd_id, resume_id, CAST(row_number() OVER (PARTITION BY jd_id ORDER BY passed DESC, round(score, 12) DESC, id) AS INTEGER) AS place, NOT passed AS excluded FROM scored", "scored")
 def h2_append_excluded(spark: SparkSession, d: str) -> DataFrame:
-    own = run(spark, d).where("rank <= 10")
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
-    short = table(spark, d, "documents").where("n_chars < 200").select("doc_id")
-    rest = asked.join(short, F.lit(True), "cross").join(own, ["query_id", "doc_id"], "left_anti").join(own.groupBy("query_id").agg(F.max("rank").alias("m")), "query_id", "left")
-    place = F.coalesce("m", F.lit(0)) + F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
-    return own.withColumn("excluded", F.lit(False)).unionByName(rest.select("query_id", "doc_id", place.alias("rank"), F.lit(True).alias("excluded")))
+    """A job's ranked candidates, then those that its filter excluded."""
+    own = ranked(spark, d)
+    last = own.groupBy("jd_id").agg(F.coalesce(F.max("rank"), F.lit(0)).alias("m"))
+    rest = own.where("rank is null").join(last, "jd_id").withColumn("place", F.col("m") + F.row_number().over(Window.partitionBy("jd_id").orderBy(F.round("score", 12).desc(), "id")))
+    return own.where("rank is not null").select("jd_id", "resume_id", F.col("rank").alias("place"), F.lit(False).alias("excluded")).unionByName(rest.select("jd_id", "resume_id", "place", F.lit(True).alias("excluded")))

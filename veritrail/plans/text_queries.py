@@ -144,13 +144,12 @@ def b18_error_status(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.error_status(F.col("text")).alias("status"), F.substring("text", 1, 120).alias("detail"))
 
 
-@query("SELECT resume_id, CASE WHEN months % 12 = 3 OR months % 12 = 9 THEN round(months / 12.0, 2) ELSE round(months / 12.0, 1) END AS years FROM cand", "cand")
+@query("SELECT resume_id, (tenths // 12 + CASE WHEN tenths % 12 > 6 OR (tenths % 12 = 6 AND tenths // 12 % 2 = 1) THEN 1 ELSE 0 END) / 10.0 AS years FROM (SELECT resume_id, CAST(months AS INTEGER) * 10 AS tenths FROM cand)", "cand")
 def b21_years(spark: SparkSession, d: str) -> DataFrame:
+    """Ties (three and nine months) go to the even digit."""
     from .base import candidates
 
-    # quarters of a year are ties at one digit; both sides keep two digits there
-    exact = F.when((F.col("months") % 12).isin(3, 9), F.bround(F.col("months") / 12, 2)).otherwise(T.years_of(F.col("months")))
-    return candidates(spark, d).select("resume_id", exact.alias("years"))
+    return candidates(spark, d).select("resume_id", T.years_of(F.col("months")).alias("years"))
 
 
 @query("SELECT url, regexp_replace(substr('chunks_' || regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 63), '[_-]+$', '') AS collection FROM (SELECT DISTINCT url FROM pages)")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..operators.dedupe import likely_duplicates
 
 # Limits of an upload.
 MAX_ENTRIES, MAX_TOTAL, MAX_FILE, MAX_RATIO, RATIO_FROM, MIN_CHARS = 1000, 500 * 1024 * 1024, 25 * 1024 * 1024, 200, 1_000_000, 200
@@ -22,23 +23,26 @@ VECTOR_FIELDS = ("resume_id", "source_file", "source_type", "candidate_name", "s
 
 
 
-def scan_directory(spark: SparkSession, path: str, job_id: str) -> DataFrame:
-    """A1: files with a known suffix, whatever its case, in order of name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+def scan_directory(spark: SparkSession, path: str, job_id: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """A1: files with a known suffix, whatever its case, in order of name. Columns of a partitioned folder come along."""
+    files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    wanted = F.lower(name).rlike("(" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$")
-    own = files.where(wanted).select(F.lit(job_id).alias("job_id"), name.alias("name"), "length", "modificationTime", "content")
+    wanted = F.lower(name).rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")
+    more = [c for c in files.columns if c not in ("path", "length", "modificationTime", "content")]
+    own = files.where(wanted).select(F.lit(job_id).alias("job_id"), name.alias("name"), "length", "modificationTime", "content", *more)
     return own.orderBy("name")
 
 
-def read_records(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """A5: JSON arrays of records; several files by a glob."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_records(spark: SparkSession, path: str, schema: str | T.StructType, lines: bool = False) -> DataFrame:
+    """A5: JSON arrays of records, or with ``lines`` one record a line, as Spark writes them; several files by a glob."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per text file: key (the file's stem) and text."""
+    """One row per text file: key (the file's stem) and text. Where the folder is partitioned by ``key``, that is the key."""
     own = spark.read.text(path, wholetext=True).withColumn("_f", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    if "key" in own.columns:
+        return own.select("key", F.col("value").alias("text"))
     return own.select(F.regexp_replace("_f", r"\.[^.]*$", "").alias("key"), F.col("value").alias("text"))
 
 
@@ -134,11 +138,28 @@ def to_compute(texts: DataFrame, cache: DataFrame, model: str, text: str = "text
 
 
 def batch_deleted(tables: dict[str, DataFrame], parent: str, key: str, job_id: str) -> dict[str, DataFrame]:
-    """The tables without a batch: parents by job_id, then children whose parent is gone, orphans included."""
+    """The tables without a batch: parents by job_id, then children, vectors and files whose parent is gone, orphans included."""
     parents = tables[parent].where(~F.col("job_id").eqNullSafe(job_id))
     return {name: parents if name == parent else df.join(parents.select(key), key, "left_semi") for name, df in tables.items()}
 
 
+def delete_report(tables: dict[str, DataFrame], parent: str, key: str, job_id: str) -> DataFrame:
+    """Per table the rows that stay, those that went with the batch, and the orphans that were swept with them."""
+    known = tables[parent].select(key, F.col("job_id").eqNullSafe(job_id).alias("goes"))
+    out = None
+    for name, df in tables.items():
+        own = (known if name == parent else df.select(key).join(known, key, "left")).agg(F.count_if(~F.col("goes")).alias("kept"), F.count_if("goes").alias("deleted"), F.count_if(F.col("goes").isNull()).alias("orphans"))
+        own = own.select(F.lit(name).alias("name"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def backfilled(people: DataFrame) -> DataFrame:
+    """A table that comes without duplicate_of gets it: the column first, then D5 over all rows."""
+    whole = migrated(people, T.StructType([T.StructField("duplicate_of", T.StringType())]))
+    return likely_duplicates(whole)
+
+
 def migrated(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns that the schema has and df lacks come as nulls."""
     return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in df.columns])
