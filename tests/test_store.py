@@ -2,10 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql.types import StructType
 
-from veritrail.runtime import shared_dir, stored
+from veritrail.runtime import discard_stored, shared_dir, stored
 from veritrail.sources import store as S
+from veritrail.streaming import ingest as I
 from veritrail.streaming.ingest import current, ingest
 
 
@@ -75,6 +77,59 @@ def test_incremental_ingest(spark, tmp_path):
     assert sorted((x.chunk_id, x.text) for x in current(spark, index).collect()) == again
 
 
+@pytest.mark.parametrize("when", ["before the rows", "between rows and manifest", "after the manifest"])
+def test_ingest_survives_a_crash(spark, tmp_path, monkeypatch, when):
+    """A run that dies leaves the index as it was or as it will be, and the next run ends at the same rows."""
+    source, index, checkpoint = (str(tmp_path / x) for x in ("in", "index", "checkpoint"))
+    schema = StructType.fromDDL("doc_id long, text string")
+    add = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    go = lambda: ingest(spark, source, schema, index, checkpoint, 4).awaitTermination()
+    rows = lambda: sorted((x.chunk_id, x.text) for x in current(spark, index).collect())
+    add([(k, f"text {k}") for k in range(20)])
+    go()
+    before = rows()
+    add([(3, "new"), (4, ""), (99, "more")])
+
+    def dies(*a):
+        if when == "after the manifest":
+            publish(*a)
+        raise RuntimeError("killed")
+
+    publish = I.publish
+    with monkeypatch.context() as m:
+        m.setattr(I, "chunk_rows" if when == "before the rows" else "publish", dies)
+        with pytest.raises(Exception, match="killed"):
+            go()
+    after = sorted([x for x in before if x[0] not in ("3_1", "4_1")] + [("3_1", "new"), ("99_1", "more")])
+    assert rows() == (after if when == "after the manifest" else before)
+    go()
+    assert rows() == after
+    go()
+    assert rows() == after
+    # what the dead run left behind is in no version
+    assert I.vacuum(spark, index, keep=1) == (when == "between rows and manifest") and rows() == after
+
+
+def test_ingest_touches_only_the_buckets_of_a_batch(spark, tmp_path):
+    index = str(tmp_path / "index")
+    I.upsert(spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string"), 0, index, 8)
+    first = I._read(spark, I._manifests(spark, index)[0])["folders"]
+    I.upsert(spark.createDataFrame([(5, "a"), (5, "b")], "doc_id long, text string"), 1, index)
+    second = I._read(spark, I._manifests(spark, index)[1])["folders"]
+    assert len(first) == 8 and sum(first[b] != second[b] for b in first) == 1
+    assert {x.text for x in current(spark, index).where("doc_id = 5").collect()} == {"b"} and current(spark, index).count() == 40
+
+
+def test_delete_report(spark):
+    t = {"p": spark.createDataFrame([("a", "j"), ("b", "k"), ("c", None)], "resume_id string, job_id string"), "kids": spark.createDataFrame([("a", 1), ("b", 2), ("z", 3), (None, 4)], "resume_id string, n int")}
+    assert sorted(map(tuple, S.delete_report(t, "p", "resume_id", "j").collect())) == [("kids", 1, 1, 2), ("p", 2, 1, 0)]
+
+
+def test_discard_stored(spark):
+    df = stored(spark.range(3), "numbers")
+    assert df.count() == 3 and discard_stored(spark) >= 1 and discard_stored(spark) == 0
+
+
 def test_stored_tables_are_in_the_shared_folder(spark):
     df = stored(spark.range(5), "numbers")
     assert df.count() == 5 and all(shared_dir(spark).removeprefix("file://") in f for f in df.inputFiles())

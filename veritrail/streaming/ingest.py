@@ -1,52 +1,117 @@
 """K1: incremental ingest. New files of lines become chunks and vectors, batch by batch, exactly once in effect.
 
-The file source remembers what it has read in the query's checkpoint; each micro-batch replaces rows by key, so a batch
-that is run again after a failure leaves the index as it was.
+The index is cut into buckets by document. A micro-batch reads and writes only the buckets that its documents fall into,
+into a folder of its own, and then publishes a manifest: a small file that says for each bucket where its rows are, put in
+place by one rename. Readers follow the newest manifest, so they see whole versions only, and whatever a run that died
+left behind is not in any. The file source remembers what it has read in the query's checkpoint; a batch that is run again
+after its manifest was published has nothing left to do.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.segment import flat_chunks
-from ..sources.store import upserted
+from ..runtime import file_system, remove
+
+#: Buckets of a new index; an index keeps the number it began with.
+BUCKETS = 64
+CHUNKS = "chunk_id string, doc_id long, part_index int, text string"
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
     chunks = flat_chunks(docs)
-    return chunks.withColumn("chunk_id", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("part_index").cast("string")))
+    chunk_id = F.concat_ws("_", F.col("doc_id").cast("string"), F.col("part_index").cast("string"))
+    return chunks.select(chunk_id.alias("chunk_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("part_index").cast("int").alias("part_index"), "text")
+
+
+def _manifests(spark: SparkSession, index: str) -> dict[int, str]:
+    """Published manifests by number. A folder that isn't there was never written; any other failure is one."""
+    fs, path = file_system(spark, f"{index}/manifest")
+    if not fs.exists(path):
+        return {}
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    return {int(n.removesuffix(".json")): f"{index}/manifest/{n}" for n in names if n.endswith(".json")}
+
+
+def _read(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def publish(spark: SparkSession, index: str, number: int, manifest: dict) -> None:
+    """Write a manifest under a name that nobody reads, then rename it."""
+    fs, temporary = file_system(spark, f"{index}/manifest/.{number}-{uuid.uuid4().hex}")
+    out = fs.create(temporary, True)
+    out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+    out.close()
+    if not fs.rename(temporary, file_system(spark, f"{index}/manifest/{number}.json")[1]):
+        raise OSError(f"manifest {number} of {index} could not be published")
 
 
-def ingest(spark: SparkSession, source: str, schema: StructType, index: str, checkpoint: str) -> StreamingQuery:
-    """Read all files that are new under ``source``, chunk them and upsert the chunks into ``index``.
+def _bucket(n: int) -> F.Column:
+    return F.expr(f"cast(pmod(xxhash64(cast(doc_id as long)), {n}) as int)")
 
-    Each micro-batch writes a new version of the index beside the old one and then names it in ``_current``, so that
-    readers see whole versions only.
+
+def _rows(spark: SparkSession, index: str, folders: list[str]) -> DataFrame:
+    return spark.read.schema(CHUNKS).parquet(*[f"{index}/{x}" for x in folders]) if folders else spark.createDataFrame([], CHUNKS)
+
+
+def upsert(batch: DataFrame, number: int, index: str, buckets: int = BUCKETS) -> None:
+    """Replace the documents of ``batch`` (doc_id, text) in the index: all their chunks go, the new ones come.
+
+    Of rows with one doc_id in a batch, the one whose text sorts last counts. Running a batch again changes nothing.
     """
+    spark = batch.sparkSession
+    known = _manifests(spark, index)
+    if known and max(known) >= number:
+        return
+    last = _read(spark, known[max(known)]) if known else {"buckets": buckets, "folders": {}}
+    n, folders = last["buckets"], dict(last["folders"])
+    docs = batch.groupBy("doc_id").agg(F.max("text").alias("text"))
+    touched = [str(r["bucket"]) for r in docs.select(_bucket(n).alias("bucket")).distinct().collect()]  # at most n rows
+    if not touched:
+        return
+    old = _rows(spark, index, sorted(folders[b] for b in touched if b in folders))
+    rows = old.join(docs.select("doc_id"), "doc_id", "left_anti").unionByName(chunk_rows(docs)).withColumn("bucket", _bucket(n))
+    home = f"data/{number}-{uuid.uuid4().hex}"
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{index}/{home}")
+    fs, path = file_system(spark, f"{index}/{home}")
+    written = {f.getPath().getName().removeprefix("bucket=") for f in fs.listStatus(path) if f.isDirectory()}
+    for b in touched:  # a bucket whose last chunk went has no folder
+        folders.pop(b, None)
+        if b in written:
+            folders[b] = f"{home}/bucket={b}"
+    publish(spark, index, number, {"buckets": n, "folders": folders})
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        new = chunk_rows(batch.select("doc_id", "text"))
-        if batch.isEmpty():
-            return
-        old = current(spark, index)
-        # chunks of a document that comes again are replaced as a whole: it may have fewer than before
-        rows = new if old is None else upserted(old.join(batch.select("doc_id").distinct(), "doc_id", "left_anti"), new, "chunk_id")
-        rows.write.mode("overwrite").parquet(f"{index}/version={number}")
-        spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{index}/_current")
 
+def ingest(spark: SparkSession, source: str, schema: StructType, index: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Read all files that are new under ``source``, chunk them and upsert the chunks into ``index``."""
     stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run = lambda batch, number: upsert(batch.select("doc_id", "text"), number, index, buckets)
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, index: str) -> DataFrame | None:
     """The newest whole version of the index, None before the first."""
-    from pyspark.errors import AnalysisException
+    known = _manifests(spark, index)
+    return _rows(spark, index, sorted(_read(spark, known[max(known)])["folders"].values())) if known else None
 
-    try:
-        version = spark.read.parquet(f"{index}/_current").first()["version"]
-    except AnalysisException:
-        return None
-    return spark.read.parquet(f"{index}/version={version}")
+
+def vacuum(spark: SparkSession, index: str, keep: int = 2) -> int:
+    """Remove data and manifests that none of the newest ``keep`` versions names, and say how many folders went.
+
+    Only between runs: a batch that is being written isn't named yet.
+    """
+    known = _manifests(spark, index)
+    used = {x.rsplit("/", 1)[0] for k in sorted(known)[-keep:] for x in _read(spark, known[k])["folders"].values()}
+    fs, path = file_system(spark, f"{index}/data")
+    gone = [f"data/{f.getPath().getName()}" for f in (fs.listStatus(path) if fs.exists(path) else []) if f"data/{f.getPath().getName()}" not in used]
+    for x in [*gone, *[f"manifest/{k}.json" for k in sorted(known)[:-keep]]]:
+        remove(spark, f"{index}/{x}")
+    return len(gone)
