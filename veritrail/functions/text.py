@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,6 +31,12 @@ def heading(text: Column) -> Column:
     return F.upper(F.trim(F.regexp_replace(bare, r"\s+", " ")))
 
 
+def heading_of(text: str) -> str:
+    """The same for one string."""
+    bare = re.sub(r"[:\-_–—]+\Z", "", re.sub(r"^#+", "", text.strip(" ")).strip(" \t\n\x0b\f\r"))
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", bare).strip(" ").upper()
+
+
 def _stripped(text: Column, chars: str) -> Column:
     return F.regexp_replace(text, rf"^[{chars}]+|[{chars}]+$", "")
 

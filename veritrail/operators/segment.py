@@ -1,16 +1,21 @@
 """From lines to sections, entries, parts and chunks.
 
 Lines carry (doc_id, line_no, text, is_bullet, is_bold, is_heading, font_size, page); an operator needs only the columns
-it names. Documents are the unit of parallelism: windows are partitioned by document, and the two steps that must see
-lines in sequence fold over one document's or one entry's array.
+it names. Documents are the unit of parallelism: windows are partitioned by document. Two steps must see lines in
+sequence; a pass over one document's or one entry's lines finds where its groups start, and Spark slices them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from ..functions import text as T
+from ..runtime import prepare
 from ..functions.tables import ENTRY_SECTIONS, SECTION_HEADINGS, SECTION_ORDER, heading_aliases
 
 MAX_ENTRY, MAX_FLAT = 900, 600
@@ -33,31 +38,65 @@ def merge_wrapped(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """rejoin lines that a page broke. A line goes on the one before if both are of one page and size, it is no
     bullet and doesn't begin upper case, and the text so far neither ends a sentence nor is a known heading.
 
-    The tests look at the merged text, so each document is folded once over its ordered lines.
+    The tests look at the merged text, so each document's lines are gone through once, in order.
     """
     fields = [c for c in lines.columns if c != key]
-    known = F.array(*[F.lit(h) for hs in SECTION_HEADINGS.values() for h in hs])
     rows = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", *[c for c in fields if c != "line_no"]))).alias("rows"))
+    each = rows.select(key, "rows", *[F.col("rows")[c].alias(f"_{c}") for c in ("text", "is_bullet", "font_size", "page")])
+    text = F.array_join(F.transform("own", lambda x: x["text"]), " ")
+    return _groups(each, "rows", _unbroken).select(key, F.col("own")[0].withField("text", text).alias("x")).select(key, "x.*")
+
+
+def _unbroken(texts: list, bullets: list, sizes: list, pages: list) -> list[int]:
+    """Places of the lines that don't go on the one before."""
+    starts: list[int] = []
+    merged: str | None = ""  # of the open group, while it may still be a heading
+    for k, text in enumerate(texts):
+        if starts:
+            head, last, letter = starts[-1], texts[k - 1], text[:1] if text is not None else ""
+            if (
+                last is not None
+                and text is not None
+                and pages[head] == pages[k]
+                and bullets[k] is False
+                and last[-1:] not in _ENDS
+                and not (letter.upper() == letter and letter.lower() != letter)
+                and sizes[head] is not None
+                and sizes[k] is not None
+                and abs(sizes[head] - sizes[k]) < 0.6
+                and not (merged is not None and T.heading_of(merged) in _KNOWN)
+            ):
+                merged = f"{merged} {text}" if merged is not None and len(merged) < _LONGEST else None
+                continue
+        starts.append(k)
+        merged = text
+    return starts
+
+
+_ENDS = (".", "!", "?", ":", ";")
+_KNOWN = {h for hs in SECTION_HEADINGS.values() for h in hs}
+#: No text of this length is a known heading, whatever marks and spaces stand around it.
+_LONGEST = 1000
+
+
+def _groups(df: DataFrame, rows: str, find: Callable[..., list[int]]) -> DataFrame:
+    """df exploded into groups of its array ``rows``: at (from 0) and own, the group's elements.
+
+    ``find`` gets the values of df's columns that begin with an underscore and gives the places where groups start.
+    """
+    prepare(df.sparkSession)
+    given = [c for c in df.columns if c.startswith("_")]
+    kept = [c for c in df.columns if c not in given]
+    schema = ST.StructType([df.schema[c] for c in kept] + [ST.StructField("starts", ST.ArrayType(ST.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = [find(*x) for x in zip(*(batch.column(c).to_pylist() for c in given), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(starts, pa.list_(pa.int32()))], names=[*kept, "starts"])
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        letter = F.substring(x["text"], 1, 1)
-        upper = (F.upper(letter) == letter) & (F.lower(letter) != letter)
-        goes_on = (
-            (F.size(done) > 0)
-            & last["page"].eqNullSafe(x["page"])
-            & ~x["is_bullet"]
-            & ~last["text"].rlike("[.!?:;]$")
-            & ~upper
-            & (F.abs(last["font_size"] - x["font_size"]) < 0.6)
-            & ~F.array_contains(known, T.heading(last["text"]))
-        )
-        merged = last.withField("text", F.concat(last["text"], F.lit(" "), x["text"]))
-        return F.when(goes_on, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(done, F.array(x)))
-
-    kind = rows.schema["rows"].dataType.simpleString()
-    folded = F.aggregate("rows", F.array().cast(kind), step)
-    return rows.select(key, F.explode(folded).alias("x")).select(key, "x.*")
+    found = df.mapInArrow(run, schema).select("*", F.posexplode("starts").alias("at", "start"))
+    stop = F.coalesce(F.get("starts", F.col("at") + 1), F.size(rows))
+    return found.withColumn("own", F.slice(rows, F.col("start") + 1, stop - F.col("start"))).drop("starts", "start")
 
 
 def alias_table(spark: object) -> DataFrame:
@@ -106,27 +145,28 @@ def packed(lines: DataFrame, keys: list[str], max_chars: Column | int) -> DataFr
     """parts of at most max_chars of each entry (``keys``): rows (keys, part_index, part), part = its lines.
 
     A part after the first begins with the entry's heading lines: those of its first three that are no bullets. A line
-    longer than the limit is a part of its own. Entries are folded one by one, so no more than an entry is gathered.
+    longer than the limit is a part of its own. No more than an entry is gathered.
     """
     limit = max_chars if isinstance(max_chars, Column) else F.lit(max_chars)
-    rows = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "text", "is_bullet"))).alias("rows"), F.sum(F.length("text") + 1).alias("total"))
-    size = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + F.length(x["text"]) + 1)
-    rows = rows.withColumn("head", F.filter(F.slice("rows", 1, 3), lambda x: ~x["is_bullet"])).withColumn("head_size", size(F.col("head")))
-    kind = rows.schema["rows"].dataType.simpleString()
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.array().cast(kind).alias("held"), F.lit(0).alias("size"))
-
-    def step(s: Column, x: Column) -> Column:
-        n = F.length(x["text"]) + 1
-        full = (F.size(s["held"]) > 0) & (s["size"] + n > limit)
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(s["held"]))).otherwise(s["done"]).alias("done"),
-            F.concat(F.when(full, F.col("head")).otherwise(s["held"]), F.array(x)).alias("held"),
-            (F.when(full, F.col("head_size")).otherwise(s["size"]) + n).alias("size"),
-        )
-
-    many = F.aggregate("rows", start, step, lambda s: F.concat(s["done"], F.array(s["held"])))
-    parts = F.when(F.col("total") <= limit, F.array("rows")).otherwise(many)
-    return rows.select(*keys, F.posexplode(parts).alias("at", "part")).select(*keys, (F.col("at") + 1).alias("part_index"), "part")
+    rows = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "text", "is_bullet"))).alias("rows"))
+    rows = rows.withColumn("head", F.filter(F.slice("rows", 1, 3), lambda x: ~x["is_bullet"]))
+    sizes = lambda c: F.transform(c, lambda x: F.coalesce(F.length(x["text"]), F.lit(0)) + 1)
+    parts = _groups(rows.withColumns({"_sizes": sizes("rows"), "_head": sizes("head"), "_limit": limit}), "rows", _full)
+    part = F.when(F.col("at") == 0, F.col("own")).otherwise(F.concat("head", "own"))
+    return parts.select(*keys, (F.col("at") + 1).alias("part_index"), part.alias("part"))
+
+
+def _full(sizes: list[int], head: list[int], limit: int) -> list[int]:
+    """Places of the lines that don't fit into the part so far."""
+    starts, size = [0], 0
+    if sum(sizes) <= limit:
+        return starts
+    for k, n in enumerate(sizes):
+        if k and size + n > limit:
+            starts.append(k)
+            size = sum(head)
+        size += n
+    return starts
 
 
 def part_text(part: Column) -> Column:
