@@ -158,3 +158,69 @@ def test_reranking(spark):
     got = sorted(X.rerank(h, F.col("logit"), "id").collect(), key=lambda x: x.rank)
     assert [x.id for x in got] == ["b", "c", "a"] and [x.above_floor for x in got] == [True, True, False] and got[0].retrieval_score == 0.4
     assert [x.id for x in X.rerank(h, F.col("logit"), "id", drop_below=True).orderBy("rank").collect()] == ["b", "c"]
+
+
+def test_canonical_by_containment(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("abc") for _ in range(r.randrange(0, 6))) for _ in range(60)] + ["", "a", "ab", "Zürich", "ürich"]
+    surfaces = {w: f"c{k}" for k, w in enumerate(words[::2])}
+    got = {x.name: x.canonical for x in E.canonicalised(spark.createDataFrame([(w,) for w in words], "name string"), spark.createDataFrame(list(surfaces.items()), "surface string, canonical string")).collect()}
+    for w in words:
+        held = [s for s in surfaces if w and s and (s in w or w in s)]
+        assert got[w] == (surfaces[min(held, key=lambda s: (-len(s), s))] if held else w)
+
+
+def test_extraction_measures(spark):
+    lines = spark.createDataFrame([(1, "Kept line"), (1, "HEADING"), (2, "no chunks at all")], "doc_id int, text string")
+    chunked = spark.createDataFrame([(1, 1, "- Kept line of Acme"), (1, 2, "Acme and Bolt and Acme")], "doc_id int, part int, text string")
+    assert sorted(x.text for x in E.lost_lines(lines, chunked, "doc_id").collect()) == ["HEADING", "no chunks at all"]
+    names = spark.createDataFrame([(1, "Acme"), (1, "Bolt"), (1, "Bolt"), (1, ""), (2, "Kept")], "doc_id int, employer string")
+    assert [(x.part, x.n_employers) for x in E.mixed_chunks(chunked, names, "doc_id", "part").collect()] == [(2, 2)]
+    truth = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a")], "k int, form string")
+    assert tuple(E.verbatim(truth, spark.createDataFrame([(1, "a"), (1, "a"), (3, "b")], "k int, form string"), "k", "form").first()) == (4, 2)
+
+
+def test_field_accuracies(spark):
+    schema = "id int, name string, email string, phone string, level string, jobs array<struct<company:string,start_year:int,end_year:int>>, n_education int"
+    truth = [(1, "Ann-Lee", "a@b", None, "master", [("x", 2001, None), ("y", 2005, 2007)], 1), (2, "Bo", None, "1", "school", [], 0), (3, "Cy", None, None, None, [("z", 1999, 2000)], 2)]
+    found = [(1, "ANN LEE", "a@b", "9", "doctorate", [("x", 2001, None), ("y", 2004, 2007)], 1), (2, "Bob", None, "1", "bachelor", [("w", 1, 2)], 0), (3, "cy", "c@d", None, None, [("z", 1999, 2001), ("q", 1, 2)], 1)]
+    got = E.field_accuracies(spark.createDataFrame(found, schema), spark.createDataFrame(truth, schema), "id").first().asDict()
+    want = {"n": 3, "name": 2 / 3, "email": 2 / 3, "phone": 2 / 3, "job_count": 1 / 3, "start_year": 2 / 3, "end_year": 2 / 3, "postgraduate": 1.0, "education_count": 2 / 3}
+    assert got == pytest.approx(want)
+
+
+def test_quotes_and_the_floor(spark):
+    f = spark.createDataFrame([("jd", 1, "a", ["x"], True, [])], "jd_id string, id int, resume_id string, skills array<string>, passed boolean, reasons array<string>")
+    rubric = spark.createDataFrame([("jd", 0, "soft", 3, "X", "t0"), ("jd", 1, "soft", 1, None, "t1"), ("jd", 2, "soft", 1, None, "t2"), ("jd", 3, "soft", 1, None, "t3"), ("jd", 4, "soft", 1, "Y", "t4")], "jd_id string, req_no int, kind string, weight int, canonical_skill string, text string")
+    hits = spark.createDataFrame([("jd", 0, "a", 0.1, "low"), ("jd", 1, "a", 0.6, "high"), ("jd", 2, "a", 0.1, "low"), ("jd", 4, "a", 0.9, "none")], "jd_id string, req_no int, resume_id string, hit_score double, quote string")
+    got = {gate: {x.req_no: (x.score, x.source, x.quote) for x in R.scored_requirements(f, rubric, hits, gate).collect()} for gate in (False, True)}
+    assert got[False] == {0: (0.95, "database", "low"), 1: (0.6, "retrieval", "high"), 2: (0.1, "retrieval", None), 3: (0.0, "missing", None), 4: (0.0, "missing", None)}
+    assert got[True] == {**got[False], 0: (0.95, "database", None)}
+
+
+def test_vectors_of_one_pass(spark):
+    """Dense vectors built within the row are those of the exploded form; texts without a word have none."""
+    rows = [(1, "a b a"), (2, "  "), (3, None), (4, "Ünïcode x y\tz"), (5, "one")]
+    d = spark.createDataFrame(rows, "id int, text string")
+    got = {x.id: x.embedding for x in X.dense_vectors(d, "id").collect()}
+    want = {x.id: x.embedding for x in X.dense_of(X.hash_embeddings(d, "id", "text"), "id").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_search_within_groups(spark):
+    """Each group's best chunks on the whole corpus' weights, as if each were ranked alone."""
+    r = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "kappa", "omega"]
+    rows = [(k, k % 4, " ".join(r.choice(words) for _ in range(r.randrange(1, 9)))) for k in range(60)]
+    d = spark.createDataFrame(rows, "chunk_id long, grp long, text string")
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "omega"), (3, "nothing")], "query_id long, text string")
+    every = {(x.query_id, x.chunk_id): round(x.score, 9) for x in X.bm25(d, asked, "chunk_id", "query_id").collect()}
+    got = sorted((x.query_id, x.grp, x.rank, x.chunk_id) for x in X.bm25_search(d, asked, "chunk_id", "query_id", 3, "grp").collect())
+    want = []
+    for q in (1, 2, 3):
+        for g in range(4):
+            own = sorted((-s, c) for (p, c), s in every.items() if p == q and c % 4 == g)
+            want += [(q, g, n + 1, c) for n, (s, c) in enumerate(own[:3]) if s < 0]
+    assert got == want
+    hits = X.hybrid_within(d, asked, 2, "grp").collect()
+    assert {(x.query_id, x.grp) for x in hits} == {(q, g) for q in (1, 2, 3) for g in range(4)} and all(x.rank <= 2 for x in hits)

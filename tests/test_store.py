@@ -1,6 +1,7 @@
 """Sources, sinks and the incremental ingest, by round trips through a temporary folder."""
 
 import json
+import zipfile
 
 import pytest
 from pyspark.sql.types import StructType
@@ -31,6 +32,18 @@ def test_manifest(spark):
     assert got == {"ok": [], "up": ["unsafe path"], "win": ["unsafe path"], "bomb": ["suspicious ratio"], "many": ["too many files"]}
 
 
+def test_archive_entries(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("d/x.pdf", "x" * 5000)
+        z.writestr("../up.pdf", "y")
+    (tmp_path / "b.zip").write_bytes(b"no archive")
+    archives = spark.read.format("binaryFile").load(str(tmp_path / "*.zip")).selectExpr("element_at(split(path, '/'), -1) AS job_id", "content")
+    got = sorted(map(tuple, S.archive_entries(archives).collect()))
+    assert [x[:4] for x in got] == [("a.zip", 0, "d/x.pdf", 5000), ("a.zip", 1, "../up.pdf", 1), ("b.zip", None, None, None)]
+    assert 0 < got[0][4] < 100 and got[2][5]
+    assert {x.job_id: x.reasons for x in S.manifest_report(S.archive_entries(archives).where("error is null")).collect()} == {"a.zip": ["unsafe path"]}
+
+
 def test_file_report(spark):
     rows = [("j", "a", "x" * 200), ("j", "b", "x" * 200), ("j", "c", "short"), ("j", "d", "short"), ("k", "e", "x" * 200)]
     got = {x.name: (x.status, x.duplicate_of) for x in S.file_report(spark.createDataFrame(rows, "job_id string, name string, content string")).collect()}

@@ -1,5 +1,7 @@
 """Scalar functions against hand-made cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,3 +43,10 @@ def test_numbers(spark):
     assert one(spark, T.sigmoid(F.col("m") * 1000), m=-1) == 0.0 and one(spark, T.sigmoid(F.col("m") * 0), m=1) == 0.5
     zero = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<double>").select(T.unit(F.col("v"))).collect()
     assert [r[0] for r in zero] == [[0.0, 0.0], [0.6, 0.8]]
+
+
+def test_heading_of_one_string_is_the_column(spark):
+    r = random.Random(4)
+    texts = ["".join(r.choice(["#", " ", "a", "Work", "é", ":", "-", "–", "_", "\t", "  "]) for _ in range(r.randrange(0, 9))) for _ in range(400)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(x.h == T.heading_of(x.t) for x in d.select("t", T.heading(F.col("t")).alias("h")).collect())

@@ -56,20 +56,21 @@ def resume_chunks(spark: SparkSession, d: str) -> DataFrame:
     return doc_lines(spark, d).where(F.trim("text") != "").select((F.shiftleft(F.col("doc_id").cast("long"), 32) + F.col("line_no")).alias("chunk_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def best_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """jd_id, req_no, resume_id, hit_score, quote: hybrid search within each candidate, reranked, the best chunk of each."""
+def best_chunks(spark: SparkSession, d: str, passed: DataFrame) -> DataFrame:
+    """jd_id, req_no, resume_id, hit_score, quote: hybrid search within each passer, reranked, the best chunk of each."""
     soft = rubric(spark, d).where("kind = 'soft'").select((F.col("jd_id") * 1000 + F.col("req_no")).cast("long").alias("query_id"), "jd_id", "req_no", F.col("search_query").alias("text"))
     chunks = resume_chunks(spark, d)
     terms = soft.select("query_id", "jd_id", "req_no", F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
     own = chunks.select("chunk_id", "text", T.tokens(F.col("text")).alias("tokens"))  # once a chunk, not once a hit
-    hits = S.hybrid_within(chunks, soft, 10, "doc_id").join(own, "chunk_id").join(terms, "query_id")
+    only = passed.where("passed").select(F.col("id").cast("long").alias("doc_id"))
+    hits = S.hybrid_within(chunks, soft, 10, "doc_id", only=only).join(own, "chunk_id").join(terms, "query_id")
     best = S.rerank(hits, S.overlap_logit(F.col("asked"), F.col("tokens")), "chunk_id", 1, "rrf_score", within="doc_id")
     return best.select("jd_id", "req_no", F.concat(F.lit("c"), F.col("doc_id")).alias("resume_id"), F.col("score").alias("hit_score"), F.col("text").alias("quote"))
 
 
 def evidence(spark: SparkSession, d: str, passed: DataFrame) -> DataFrame:
     """Stored: scores, counts and quotes all come from one search."""
-    return stored(R.scored_requirements(passed, rubric(spark, d), best_chunks(spark, d)), "evidence")
+    return stored(R.scored_requirements(passed, rubric(spark, d), best_chunks(spark, d, passed)), "evidence")
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ from ..operators import evaluate as E
 from ..operators import retrieval as R
 from ..operators import segment as G
 from ..operators.profile import coherent_dates, first_of_each
-from ..runtime import shared_dir, stored, table
+from ..runtime import prepare, shared_dir, stored, table
 from ..sources import store as S
 from .base import SQL, candidate_skills, candidates, doc_lines, part_people, query
 from .rank_queries import ranked
@@ -45,6 +49,26 @@ def a2_manifest_validation(spark: SparkSession, d: str) -> DataFrame:
     return S.manifest_report(manifest(spark, d))
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                z.writestr(zipfile.ZipInfo(f"{url.split('/')[-1]}.html"), html)
+                z.writestr(zipfile.ZipInfo("__MACOSX/x"), url)
+            out.append(held.getvalue())
+        yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.string()), pa.array(out, pa.binary())], names=["job_id", "content"])
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS job_id, 0 AS entry_no, split_part(url, '/', -1) || '.html' AS entry_name, CAST(octet_length(encode(html)) AS BIGINT) AS file_size, 1 AS n FROM pages UNION ALL SELECT CAST(page_id AS VARCHAR), 1, '__MACOSX/x', CAST(octet_length(encode(url)) AS BIGINT), 1 FROM pages")
+def a2_archive_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Each page as an archive, and the archives' directories."""
+    prepare(spark)
+    archives = table(spark, d, "pages").select("page_id", "url", "html").mapInArrow(_zipped, "job_id string, content binary")
+    return S.archive_entries(archives).where("error is null").select("job_id", "entry_no", "entry_name", "file_size", F.lit(1).alias("n"))
+
+
 @query(f"WITH {_MANIFEST}, b AS (SELECT *, split_part(entry_name, '/', -1) AS base, row_number() OVER (PARTITION BY job_id, split_part(entry_name, '/', -1) ORDER BY entry_no) AS n FROM mf WHERE NOT {_JUNK}) SELECT job_id, entry_no, CASE WHEN n = 1 THEN base ELSE CASE WHEN contains(entry_name, '/') THEN split_part(entry_name, '/', -2) ELSE 'dup' END || '_' || base END AS name, CASE WHEN NOT regexp_matches(lower(base), '\\.(pdf|docx)$') THEN 'unsupported_format' WHEN file_size > 26214400 THEN 'too_large' ELSE 'pending' END AS status FROM b")
 def a4_flatten(spark: SparkSession, d: str) -> DataFrame:
     return S.flattened(manifest(spark, d))

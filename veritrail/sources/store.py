@@ -6,6 +6,11 @@ are the partition column, so a delete rewrites only its own partition.
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +57,26 @@ def is_junk(name: Column) -> Column:
     return name.endswith("/") | name.startswith("__MACOSX/") | base.isin(*JUNK) | base.startswith(".")
 
 
+def _directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[tuple] = []
+        for job_id, content in zip(batch.column("job_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                    out += [(job_id, k, x.filename, x.file_size, x.compress_size, None) for k, x in enumerate(z.infolist())]
+            except (zipfile.BadZipFile, NotImplementedError, ValueError, OSError) as e:
+                out.append((job_id, None, None, None, None, str(e)))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["job_id", "entry_no", "entry_name", "file_size", "compress_size", "error"])
+
+
+def archive_entries(archives: DataFrame) -> DataFrame:
+    """A2: the entries of archives (job_id, content), as ``binaryFile`` reads them, from their directories alone: nothing is
+    unpacked. An archive that can't be read gives one row with its error."""
+    return archives.select(F.col("job_id").cast("string").alias("job_id"), "content").mapInArrow(_directories, "job_id string, entry_no int, entry_name string, file_size long, compress_size long, error string")
+
+
 def manifest_report(manifest: DataFrame) -> DataFrame:
     """A2: per batch the reasons to reject it, over its entries without junk; empty if it is accepted."""
     name = F.regexp_replace("entry_name", r"\\", "/")
