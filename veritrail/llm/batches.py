@@ -72,7 +72,7 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
     """What ``make`` gives, kept in this Python worker for its next task, until another operator's turn comes.
 
     Workers outlive a stage; one slot keeps the memories of several operators from adding up, and what it held goes
-    back to the system.
+    back to the system. So an operator that keeps nothing large takes its turn too.
     """
     if key not in _kept:
         _kept.clear()

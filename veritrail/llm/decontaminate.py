@@ -29,7 +29,7 @@ WINDOW = 10
 SHINGLE = 3
 BLOCK_WINDOWS = 200_000
 #: Documents whose words are hashed together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 
 
 def _groups(texts: list[bytes]) -> Iterator[slice]:

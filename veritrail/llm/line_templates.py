@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import prepare, stored
+from .batches import kept
 from .graph import components, forest
 from .word_hashes import mixed
 
@@ -35,25 +36,25 @@ MIN_TOKENS = 3
 #: Forms of a leaf that one task compares.
 LEAF_FORMS = 8192
 #: Bytes of text taken apart together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 #: Memory for line forms that a task sums up before it hands them on.
 HELD_BYTES = 64_000_000
 
 _SPACES = bytes(0x20 if b in b"\t\x0b\x0c\r" else b for b in range(256))
 _FIELD = np.uint64(0x5DEECE66D1234567)
 _BASE, _INVERSE = 0x100000001B3, pow(0x100000001B3, -1, 1 << 64)
-_tables: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """Powers from 0 on. Those for a very long text are not kept."""
-    if len(_tables.get(base, ())) >= n:
-        return _tables[base][:n]
-    p = np.full(max(n, 2 * TOGETHER), base, np.uint64)
+    """Powers from 0 on, kept while this operator has its turn; those for a very long text are not kept."""
+    tables = kept(("line_templates",), dict)
+    if len(tables.get(base, ())) >= n:
+        return tables[base][:n]
+    p = np.full(max(n, TOGETHER + TOGETHER // 4), base, np.uint64)
     p[0] = 1
     p = np.cumprod(p, dtype=np.uint64)
     if n <= 2 * TOGETHER:
-        _tables[base] = p
+        tables[base] = p
     return p[:n]
 
 
@@ -153,7 +154,7 @@ def _leaf_sizes(batches: Iterator[pa.RecordBatch], min_tokens: int) -> Iterator[
             x = Lines(texts[part], min_tokens)
             held.append(np.stack((x.leaf, x.form), axis=1))
             size += len(x.leaf)
-            if size > HELD_BYTES // 32:
+            if size > HELD_BYTES // 128:
                 yield flushed()
                 held, size = [], 0
     if held:

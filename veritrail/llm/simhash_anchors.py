@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import prepare, stored
-from .batches import doc_columns, map_batches
+from .batches import doc_columns, kept, map_batches
 from .graph import components, forest
 
 WORDS = 4
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     prepare(docs.sparkSession)
 
     def convert(batch: pa.RecordBatch) -> dict:
+        kept(("simhash",), dict)  # what an operator before this one kept goes
         fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
         return {"doc_id": batch.column("doc_id"), "fp": pa.array(fps.view(np.int64))}
 

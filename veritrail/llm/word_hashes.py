@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .batches import kept
+
 _PRIME = np.uint64(0x100000001B3)
 _INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 
@@ -11,17 +13,23 @@ _INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 #: words' characters too, so the class of characters can be told byte by byte.
 TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Places of which the powers are kept.
+KEPT = 1 << 22
 
 
 def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_PRIME, _INVERSE)):
-            p = np.full(max(n, 1 << 20), base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+    """Powers of the base and of its inverse, kept while the operator that reads words has its turn, but not for a very long text."""
+    held = kept(("word_hashes",), list)
+    if held and len(held[0]) >= n:
+        return held[0][:n], held[1][:n]
+    both = []
+    for base in (_PRIME, _INVERSE):
+        p = np.full(max(n, 5 << 18), base, np.uint64)
+        p[0] = 1
+        both.append(np.cumprod(p, dtype=np.uint64))
+    if n <= KEPT:
+        held[:] = both
+    return both[0][:n], both[1][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
