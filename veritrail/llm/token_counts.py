@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from ..runtime import prepare
 from .batches import REMEMBERED, ChunkMemory, doc_columns, kept, map_batches
 
-#: The byte-level pre-token pattern with white space by its Unicode property, as the library has it.
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: The byte-level pre-token pattern with white space by its Unicode property, as the libraries have it.
+PRE_TOKEN = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 NO_PAIR = np.iinfo(np.int64).max
 
