@@ -19,7 +19,7 @@ REMEMBERED = 150_000
 
 # A space between two characters that are not white space. No match of the usual pre-token patterns holds one
 # anywhere but at its start, so cutting there changes no match.
-_CUT = re.compile(r" (?<=\S )(?=\S)")
+CUT = re.compile(r" (?<=\S )(?=\S)")
 
 
 def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
@@ -114,7 +114,7 @@ class EachChunk:
         self.first.age()
         self.later.age()
         first, later = self.first, self.later.__getitem__
-        return [[first[p[0]], *map(later, p[1:])] for p in map(_CUT.split, texts)]
+        return [[first[p[0]], *map(later, p[1:])] for p in map(CUT.split, texts)]
 
 
 class ChunkMemory:
@@ -125,7 +125,7 @@ class ChunkMemory:
 
     def values(self, texts: list[str]) -> list[list]:
         """For each text the values of its chunks, in order."""
-        parts = [_CUT.split(t) for t in texts]
+        parts = [CUT.split(t) for t in texts]
         self.first.age()
         self.later.age()
         for memory, lead, some in ((self.first, "", (p[:1] for p in parts)), (self.later, " ", (p[1:] for p in parts))):

@@ -16,6 +16,7 @@ from .line_templates import line_digests
 from .quality_compress import quality
 from .secret_worklist import secret_digests
 from .simhash_anchors import near_duplicates
+from .token_alignment import token_alignment
 from .token_counts import token_counts
 from .topk_postings import ORACLE as TOPK_SQL
 from .topk_postings import top_k_self
@@ -63,8 +64,12 @@ def op10_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(table(spark, sf_dir, "documents")).withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op5_language_crf, op6_line_templates, op7_topk_postings, op8_bpe_tree, op9_quality, op10_secret_worklist]
+    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op5_language_crf, op6_line_templates, op7_topk_postings, op8_bpe_tree, op9_quality, op10_secret_worklist, op13_token_alignment]
     return {f.__name__: f for f in found}
 
 
