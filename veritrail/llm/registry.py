@@ -13,6 +13,8 @@ from .decontaminate import ORACLE as DECONTAMINATION_SQL
 from .decontaminate import contamination
 from .language_crf import languages
 from .line_templates import line_digests
+from .prefix_trie import ORACLE as TRIE_SQL
+from .prefix_trie import prefix_trie
 from .quality_compress import quality
 from .secret_worklist import secret_digests
 from .simhash_anchors import near_duplicates
@@ -64,14 +66,18 @@ def op10_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), openings=True)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment(table(spark, sf_dir, "documents")).withColumnRenamed("groups", "groups_sha256")
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op5_language_crf, op6_line_templates, op7_topk_postings, op8_bpe_tree, op9_quality, op10_secret_worklist, op13_token_alignment]
+    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op5_language_crf, op6_line_templates, op7_topk_postings, op8_bpe_tree, op9_quality, op10_secret_worklist, op11_prefix_trie, op13_token_alignment]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": DECONTAMINATION_SQL, "op7_topk_postings": TOPK_SQL}
+    return {"op4_decontamination": DECONTAMINATION_SQL, "op7_topk_postings": TOPK_SQL, "op11_prefix_trie": TRIE_SQL}
