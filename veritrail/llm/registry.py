@@ -11,6 +11,7 @@ from .bpe_tree import bpe_digests
 from .token_blocks import token_blocks
 from .decontaminate import ORACLE as DECONTAMINATION_SQL
 from .decontaminate import contamination
+from .hash_ring import shard_documents
 from .language_crf import languages
 from .line_templates import line_digests
 from .prefix_trie import ORACLE as TRIE_SQL
@@ -70,12 +71,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"), openings=True)
 
 
+def op12_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment(table(spark, sf_dir, "documents")).withColumnRenamed("groups", "groups_sha256")
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op5_language_crf, op6_line_templates, op7_topk_postings, op8_bpe_tree, op9_quality, op10_secret_worklist, op11_prefix_trie, op13_token_alignment]
+    found = [op1_token_blocks, op2_token_counts, op3_simhash_anchors, op4_decontamination, op5_language_crf, op6_line_templates, op7_topk_postings, op8_bpe_tree, op9_quality, op10_secret_worklist, op11_prefix_trie, op12_hash_ring, op13_token_alignment]
     return {f.__name__: f for f in found}
 
 
