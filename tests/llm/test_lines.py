@@ -3,41 +3,38 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from veritrail.llm.line_templates import Lines, drop_lines, line_digests, recurring_lines
 
 
-def form_hash(form):
-    return int(Lines([" ".join("1" if x == "<*>" else x for x in form).encode()]).form.view(np.int64)[0])
+def templates_of(form):
+    """A line's templates: each band behind the first three tokens left open."""
+    wide = len(form) // 5
+    if not wide:
+        return [form]
+    return [(k, form[:k], form[k + wide :], len(form)) for k in range(3, len(form), wide)]
 
 
 def brute(docs):
     """Line numbers to drop by document."""
-    forms, leaves, drop = defaultdict(list), defaultdict(list), defaultdict(set)
+    held, lines, drop = defaultdict(set), [], defaultdict(set)
     for doc_id, text in docs:
         for k, line in enumerate((text or "").split("\n")):
             w = re.findall(r"[^ \t\x0b\x0c\r]+", line)
             if len(w) >= 3 and doc_id is not None:
-                forms[tuple("<*>" if any("0" <= c <= "9" for c in x) else x for x in w)].append((doc_id, k))
-    for f in forms:
-        leaves[len(f), f[:3]].append(f)
-    for own in leaves.values():
-        own.sort(key=lambda f: (-len(forms[f]), form_hash(f)))
-        templates = []
-        for f in own:
-            best = max(templates, key=lambda t: sum(a == b for a, b in zip(t[0], f, strict=True)), default=None)
-            if best and sum(a == b for a, b in zip(best[0], f, strict=True)) / len(f) >= 0.8:
-                best[1].extend(forms[f])
-            else:
-                templates.append((f, list(forms[f])))
-        for _, places in templates:
-            keep = min(i for i, _ in places)
-            for i, k in places:
-                if i != keep:
-                    drop[i].add(k)
+                form = tuple("<*>" if any("0" <= c <= "9" for c in x) else x for x in w)
+                lines.append((doc_id, k, form))
+                for t in templates_of(form):
+                    held[t].add(doc_id)
+    for doc_id, k, form in lines:
+        again = [min(held[t]) for t in templates_of(form) if len(held[t]) > 1]
+        if again and min(again) != doc_id:
+            drop[doc_id].add(k)
     return drop
 
 
@@ -98,24 +95,38 @@ def test_unique_lines_of_a_large_leaf_stay(spark):
     assert all(x.dropped == [] for x in drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect())
 
 
-def test_a_split_leaf_gives_what_a_whole_one_gives(spark):
-    """Templates that lie far apart are the same, however many tasks a leaf is dealt to."""
+@pytest.mark.parametrize("leaf_forms", [8192, 60, 20, 5, 1])
+def test_the_size_of_a_leaf_does_not_matter(spark, leaf_forms):
+    """Forms in one leaf that are chained, each a token away from the next, and forms that lie far apart."""
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
-    templates = [[word() for _ in range(9)] for _ in range(40)]
-    docs = []
-    for k in range(60):
-        lines = []
-        for t in r.sample(templates, 5):
-            own = list(t)
-            own[r.randrange(9)] = word()
-            lines.append("posted by user " + " ".join(own))
-        docs.append((k, "\n".join(lines)))
-    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    whole, split = ({(x.leaf, x.form): x.keep for x in recurring_lines(d, leaf_forms=n).collect()} for n in (8192, 7))
-    assert len(whole) > 250 and split == whole
-    far = spark.createDataFrame([(k, "\n".join(f"posted by user {word()} {word()} {word()}" for _ in range(9))) for k in range(9)], "doc_id long, text string")
-    assert recurring_lines(far, leaf_forms=7).collect() == []
+    rows, form = [], [word() for _ in range(9)]
+    for k in range(180):
+        form[r.randrange(9)] = word()
+        rows.append((k // 3, "posted by user " + " ".join(form)))
+    rows += [(r.randrange(60), "posted by user " + " ".join(word() for _ in range(9))) for _ in range(60)]
+    rows += [(70 + k, "posted by user " + " ".join([*form[:4], word(), word(), *form[6:]])) for k in range(9)]
+    docs = [(k, "\n".join(t for i, t in rows if i == k)) for k in range(80)]
+    got = recurring_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), leaf_forms=leaf_forms).collect()
+    own = Lines(["\n".join(t for _, t in rows).encode()], templates=True)
+    form_of = dict(zip(own.form.view(np.int64).tolist(), [t for _, t in rows], strict=True))
+    held = defaultdict(set)
+    for i, t in rows:
+        for x in templates_of(tuple(t.split())):
+            held[x].add(i)
+    want = {t: min(m) for _, t in rows if (m := [min(held[x]) for x in templates_of(tuple(t.split())) if len(held[x]) > 1])}
+    assert 20 < len(want) < 200
+    assert {form_of[x.form]: x.keep for x in got} == want
+
+
+def test_many_lines_in_one_text(spark):
+    """100,000 lines, half of which go: time in proportion to them."""
+    lines = [f"line of words {a}{b}{c}{e}{g}" for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghij" for e in "abcdefghij" for g in "abcdefghij"]
+    docs = spark.createDataFrame([(1, "\n".join(lines[::2])), (2, "\n".join(lines))], "doc_id long, text string")
+    began = time.time()
+    out = {x.doc_id: x for x in drop_lines(docs).collect()}
+    assert out[2].text == "\n".join(lines[1::2]) and out[2].dropped == list(range(0, 100_000, 2)) and out[1].dropped == []
+    assert time.time() - began < 60
 
 
 def test_short_lines_and_no_first(spark):

@@ -1,19 +1,21 @@
 """Line dedup by a fixed-depth template tree.
 
 A line of n tokens goes to the leaf (n, its first three tokens); tokens that hold a digit are variable fields and count
-as ``<*>``. In a leaf, lines whose tokens agree at 80 % of the places or more share a template; the most frequent line
-form comes first and stands for it, so templates don't drift and don't depend on the order of rows. A template that
-occurs in two documents or more is recurring: its lines stay in the document with the smallest id and are dropped from
-all others: so the corpus keeps every line once, and copies of a document don't erase each other. ``keep_first=False``
-drops recurring lines from all documents. Lines under three tokens are left alone, they coincide by chance;
-``min_tokens`` says so, and down to 1 every line takes part.
-
-What moves is small: per distinct line form one 8-byte hash a token; per line its leaf and form. Texts are joined once
-with the places to drop. A line meets all templates of its leaf, so with R of them an unrelated line of n tokens passes
-for a copy with a chance of at most R * n / 2^64: below one in ten million for a billion templates and a thousand tokens.
-
-A leaf with more than ``LEAF_FORMS`` forms is dealt out in parts, each with templates of its own; then the parts'
-templates meet in pairs of parts, each pair a task of its own, and templates whose representatives agree become one.
+as ``<*>``. The tokens behind the first three are cut into bands of a fifth of n, and each band left open makes a template
+of the line: lines of a leaf that agree outside one band, at 80 % of their tokens or more, share it. Lines under five
+tokens have one template, without an open band. A template that occurs in two documents or more is recurring; a line with a
+recurring template stays in the smallest document of its recurring templates and is dropped from all others: so the
+corpus keeps every line once, and copies of a document don't erase each other. Of lines in a chain, each like the next,
+at least one stays. ``keep_first=False`` drops recurring lines from all documents. Lines under three tokens are left
+alone, they coincide by chance; ``min_tokens`` says so, and down to 1 every line takes part.
+
+A template is a key that a line has or hasn't, whatever else is in its leaf: no order of lines and no size of a leaf
+changes it. What moves is small: per distinct line form the 8-byte keys of its templates (six at most); per line its
+leaf and form. Texts are joined once with the places to drop. With N line forms a line passes for a copy by accident with a
+chance of at most 6 N / 2^64.
+
+Forms are dealt by leaf and templates found where they arrive. A leaf with more than ``LEAF_FORMS`` forms is dealt out in
+parts, and its templates are found by an aggregation over keys instead, in which no task sees a whole leaf.
 """
 
 from __future__ import annotations
@@ -27,18 +29,18 @@ from pyspark.sql import functions as F
 
 from ..runtime import prepare, stored
 from .batches import kept
-from .graph import components, forest
 from .word_hashes import mixed
 
 DEPTH = 3
-ALIKE = 0.8
+#: One in so many of a line's tokens may lie in the open band.
+OPEN = 5
 MIN_TOKENS = 3
-#: Forms of a leaf that one task compares.
-LEAF_FORMS = 8192
+#: Forms of a leaf that one task takes together, and of all leaves that it takes at once.
+LEAF_FORMS, TOGETHER_FORMS = 8192, 50_000
 #: Bytes of text taken apart together.
 TOGETHER = 1 << 20
-#: Memory for line forms that a task sums up before it hands them on.
-HELD_BYTES = 64_000_000
+#: Lines whose forms a task sums up before it hands them on.
+HELD_LINES = 400_000
 
 _SPACES = bytes(0x20 if b in b"\t\x0b\x0c\r" else b for b in range(256))
 _FIELD = np.uint64(0x5DEECE66D1234567)
@@ -66,9 +68,9 @@ def _running(x: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """Lines of some texts with enough tokens: text and line number, leaf, form, and token hashes."""
+    """Lines of some texts with enough tokens: text and line number, leaf and form; with ``templates``, their keys too."""
 
-    def __init__(self, texts: list[bytes], min_tokens: int = MIN_TOKENS):
+    def __init__(self, texts: list[bytes], min_tokens: int = MIN_TOKENS, templates: bool = False):
         raw = b"\n".join([*texts, b""]).translate(_SPACES)
         a = np.frombuffer(raw, np.uint8)
         blank = (a == 0x20) | (a == 0x0A)
@@ -87,17 +89,28 @@ class Lines:
         text_of = np.searchsorted(text_end, line_end)
         own = np.flatnonzero(n >= min_tokens)
         self.n_lines = np.bincount(text_of, minlength=len(texts))
-        self.text, self.first, self.n, self.token = text_of[own], first[own], n[own], token
+        self.text, self.n = text_of[own], n[own]
+        first = first[own]
         self.number = own - np.searchsorted(text_of, self.text)
-        place = np.arange(len(token)) - np.repeat(first, n)
+        place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
         by_place = mixed(token + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         sums = _running(by_place)
-        self.form = mixed(sums[self.first + self.n] - sums[self.first] + self.n.astype(np.uint64))
+        whole = sums[first + self.n] - sums[first] + self.n.astype(np.uint64)
+        self.form = mixed(whole)
         leaf = self.n.astype(np.uint64)
         for k in range(DEPTH):
             there = self.n > k
-            leaf[there] = mixed(leaf[there] * np.uint64(31) + token[self.first[there] + k])
+            leaf[there] = mixed(leaf[there] * np.uint64(31) + token[first[there] + k])
         self.leaf = mixed(leaf)
+        if templates:
+            wide = self.n // OPEN
+            self.n_keys = np.where(wide > 0, -((DEPTH - self.n) // np.maximum(1, wide)), 1)
+            line = np.repeat(np.arange(len(own)), self.n_keys)
+            band = np.arange(len(line)) - np.repeat(np.cumsum(self.n_keys) - self.n_keys, self.n_keys)
+            begin = np.minimum(DEPTH + band * wide[line], self.n[line])
+            stop = np.where(wide[line] > 0, np.minimum(begin + wide[line], self.n[line]), begin)
+            open_band = sums[first[line] + stop] - sums[first[line] + begin]
+            self.keys = mixed(whole[line] - open_band + np.where(wide[line] > 0, band + 1, 0).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + self.leaf[line])
 
 
 def _groups(texts: list[bytes]) -> Iterator[slice]:
@@ -110,30 +123,32 @@ def _groups(texts: list[bytes]) -> Iterator[slice]:
 
 
 def _forms(batches: Iterator[pa.RecordBatch], min_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Line forms with their tokens, lowest and highest doc_id, and how many lines; summed up within the task first."""
-    held: dict[tuple[int, int], list] = {}
+    """Line forms with the keys of their templates and their lowest and highest doc_id; summed up within the task first."""
+    held: list[tuple] = []
     size = 0
 
     def flushed() -> pa.RecordBatch:
-        keys, rows = np.array(list(held), np.uint64).reshape(-1, 2).view(np.int64), list(held.values())
-        longs = [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]
-        return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([r[0] for r in rows], pa.binary()), *longs], names=["leaf", "form", "tokens", "low", "high", "n"])
+        leaf, form, doc, n_keys, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((form, leaf))
+        begins = np.flatnonzero(np.append(True, (form[order][1:] != form[order][:-1]) | (leaf[order][1:] != leaf[order][:-1])))
+        first = order[begins]
+        low, high = np.minimum.reduceat(doc[order], begins), np.maximum.reduceat(doc[order], begins)
+        n = n_keys[first]
+        ends = np.cumsum(n)
+        own = keys[np.repeat((np.cumsum(n_keys) - n_keys)[first] - ends + n, n) + np.arange(ends[-1])]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(own.view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(leaf[first].view(np.int64)), pa.array(form[first].view(np.int64)), lists, pa.array(low), pa.array(high)], names=["leaf", "form", "keys", "low", "high"])
 
     for batch in batches:
-        texts, doc_ids = [t.encode() for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
+        texts, doc_ids = [t.encode() for t in batch.column("text").to_pylist()], batch.column("doc_id").to_numpy()
         for part in _groups(texts):
-            x = Lines(texts[part], min_tokens)
-            for leaf, form, text, first, n in zip(x.leaf.tolist(), x.form.tolist(), x.text.tolist(), x.first.tolist(), x.n.tolist(), strict=True):
-                doc_id = doc_ids[text + part.start]
-                row = held.get((leaf, form))
-                if row is None:
-                    held[leaf, form] = [x.token[first : first + n].tobytes(), doc_id, doc_id, 1]
-                    size += 8 * n + 400
-                    continue
-                row[1], row[2], row[3] = min(row[1], doc_id), max(row[2], doc_id), row[3] + 1
-            if size > HELD_BYTES:
+            x = Lines(texts[part], min_tokens, templates=True)
+            if len(x.form):
+                held.append((x.leaf, x.form, doc_ids[x.text + part.start], x.n_keys, x.keys))
+                size += len(x.form)
+            if size > HELD_LINES:
                 yield flushed()
-                held, size = {}, 0
+                held, size = [], 0
     if held:
         yield flushed()
 
@@ -154,7 +169,7 @@ def _leaf_sizes(batches: Iterator[pa.RecordBatch], min_tokens: int) -> Iterator[
             x = Lines(texts[part], min_tokens)
             held.append(np.stack((x.leaf, x.form), axis=1))
             size += len(x.leaf)
-            if size > HELD_BYTES // 128:
+            if size > HELD_LINES:
                 yield flushed()
                 held, size = [], 0
     if held:
@@ -170,131 +185,73 @@ def _places(batches: Iterator[pa.RecordBatch], min_tokens: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(x.number.astype(np.int32)), pa.array(x.leaf.view(np.int64)), pa.array(x.form.view(np.int64))], names=["doc_id", "text_key", "line", "leaf", "form"])
 
 
-class Leaf:
-    """Templates of a leaf, or of a part of one, as the token hashes of the form that stands for each."""
-
-    def __init__(self, width: int):
-        self.reps = np.zeros((4, width), np.uint64)
-        self.rep: list[int] = []
-        self.forms: list[tuple[int, int, int]] = []
-        self.template: list[int] = []
-
-    def add(self, form: int, tokens: bytes, low: int, high: int) -> None:
-        row, n = np.frombuffer(tokens, np.uint64), len(self.rep)
-        best = -1
-        if n:
-            agree = (self.reps[:n] == row).mean(axis=1)
-            best = int(agree.argmax())
-            if agree[best] < ALIKE:
-                best = -1
-        if best < 0:
-            if n == len(self.reps):
-                self.reps = np.concatenate((self.reps, np.zeros_like(self.reps)))
-            self.reps[n] = row
-            self.rep.append(form)
-            best = n
-        self.forms.append((form, low, high))
-        self.template.append(best)
-
-    def rows(self, whole: bool) -> Iterator[tuple]:
-        """(form, rep, low, high, tokens): of a whole leaf the forms of recurring templates, with the template's documents;
-        of a part every form, with its own, and the tokens of those that stand for a template."""
-        low, high = {}, {}
-        for (_, a, b), t in zip(self.forms, self.template, strict=True):
-            low[t], high[t] = min(a, low.get(t, a)), max(b, high.get(t, b))
-        for (form, a, b), t in zip(self.forms, self.template, strict=True):
-            if not whole:
-                yield form, self.rep[t], a, b, self.reps[t].tobytes() if form == self.rep[t] else None
-            elif low[t] != high[t]:
-                yield form, self.rep[t], low[t], high[t], None
-
-
-ASSIGNED = "leaf long, part int, parts int, form long, rep long, low long, high long, tokens binary"
-
-
-def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From forms sorted by leaf and part, the most frequent first: the rows of each leaf or part."""
-    key, leaf = None, None
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    names = ["leaf", "part", "parts", "form", "rep", "low", "high", "tokens"]
-
-    def closed() -> list[tuple]:
-        return [(*key, *x) for x in leaf.rows(key[2] == 1)] if leaf is not None else []
+#: ``keys`` is set where a leaf is split: its templates are still to be found.
+FOUND = "leaf long, form long, keep long, high long, keys array<long>"
 
-    for batch in batches:
-        of, part, parts, forms, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "part", "parts", "form", "low", "high"))
-        tokens = batch.column("tokens")
-        same = np.zeros(len(of), bool)
-        same[1:] = (of[1:] == of[:-1]) & (part[1:] == part[:-1])
-        same[0] = key is not None and (of[0], part[0]) == key[:2]
-        alone = ~same & ~np.append(same[1:], True) & (parts == 1)  # the last row's leaf may go on in the next batch
-        at = np.flatnonzero(alone & (low != high))
-        out = [(int(of[k]), 0, 1, int(forms[k]), int(forms[k]), int(low[k]), int(high[k]), None) for k in at.tolist()]
-        for k in np.flatnonzero(~alone).tolist():
-            if not same[k]:
-                out += closed()
-                key, leaf = (int(of[k]), int(part[k]), int(parts[k])), Leaf(len(tokens[k].as_py()) // 8)
-            leaf.add(int(forms[k]), tokens[k].as_py(), int(low[k]), int(high[k]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-    if out := closed():
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between templates of two parts of a leaf, from rows sorted by (leaf, one, other), those of ``one`` first."""
-    key, first, second = None, [], []
-
-    def links() -> Iterator[pa.RecordBatch]:
-        if not first or not second:
-            return
-        (f, g), (x, y) = ([r[0] for r in rows] for rows in (first, second)), (np.frombuffer(b"".join(r[1] for r in rows), np.uint64).reshape(len(rows), -1) for rows in (first, second))
-        a, b = [], []
-        for form, row in zip(f, x, strict=True):
-            at = np.flatnonzero((y == row).mean(axis=1) >= ALIKE)
-            a += [form] * len(at)
-            b += [g[k] for k in at]
-            if len(a) > LEAF_FORMS:
-                a, b = (z.tolist() for z in forest(np.array(a), np.array(b)))
-        if a:
-            a, b = forest(np.array(a), np.array(b))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From forms sorted by leaf: those of whole leaves with a recurring template, and all of split leaves as they are."""
+    names = ["leaf", "form", "keep", "high", "keys"]
+    held: list[pa.RecordBatch] = []
+
+    def found() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        lists = table.column("keys").chunk(0)
+        key, line = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        low, high = table.column("low").to_numpy()[line], table.column("high").to_numpy()[line]
+        order = np.argsort(key, kind="stable")
+        begins = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        n = np.diff(np.append(begins, len(key)))
+        first, last = np.repeat(np.minimum.reduceat(low[order], begins), n), np.repeat(np.maximum.reduceat(high[order], begins), n)
+        keep = np.full(len(lists), np.iinfo(np.int64).max)
+        again = first != last
+        np.minimum.at(keep, line[order][again], first[again])
+        at = np.unique(line[order][again])
+        return pa.RecordBatch.from_arrays([pa.array(table.column(c).to_numpy()[at]) for c in ("leaf", "form")] + [pa.array(keep[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.list_(pa.int64()))], names=names)
 
     for batch in batches:
-        for leaf, one, other, part, form, tokens in zip(*(batch.column(c).to_pylist() for c in ("leaf", "one", "other", "part", "form", "tokens")), strict=True):
-            if (leaf, one, other) != key:
-                yield from links()
-                key, first, second = (leaf, one, other), [], []
-            (first if part == one else second).append((form, tokens))
-    yield from links()
+        parts = batch.column("parts").to_numpy()
+        if (split := np.flatnonzero(parts > 1)).size:
+            some = batch.take(pa.array(split))
+            yield pa.RecordBatch.from_arrays([some.column(c) for c in ("leaf", "form", "low", "high", "keys")], names=names)
+        whole = batch.take(pa.array(np.flatnonzero(parts == 1)))
+        if whole.num_rows and held and sum(b.num_rows for b in held) >= TOGETHER_FORMS:
+            # what is held ends where its last leaf ends: at most LEAF_FORMS rows of this batch and those behind it
+            last = held[-1].column("leaf")[-1].as_py()
+            n = int(np.argmax(np.append(whole.column("leaf").to_numpy() != last, True)))
+            held.append(whole.slice(0, n))
+            whole = whole.slice(n)
+            if whole.num_rows:
+                yield found()
+                held = []
+        if whole.num_rows:
+            held.append(whole)
+    if held:
+        yield found()
 
 
 def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, leaf_forms: int | None = None) -> DataFrame:
-    """leaf, form, keep: the line forms of templates that occur in two documents or more, and the document they stay in.
+    """leaf, form, keep: the line forms with a template that occurs in two documents or more, and the document they stay in.
 
-    Forms are summed up in each task and dealt once, by leaf, or by leaf and part where a leaf has many: that shuffle
-    serves the counts and the templates. Which leaves those are is found in a pass of its own, which moves counts only.
+    Forms are summed up in each task and dealt once, by leaf, or by leaf and part where a leaf has many. Which leaves those
+    are is found in a pass of its own, which moves counts only. Both ways find the same.
     """
     prepare(docs.sparkSession)
     most = leaf_forms or LEAF_FORMS
     sizes = docs.select("text").mapInArrow(lambda it: _leaf_sizes(it, min_tokens), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
     # stored, so that its size is known when the join is planned: one in `most` forms at most
     large = stored(sizes.where(F.col("n") > most).select("leaf", F.ceil(F.col("n") / most).cast("int").alias("parts")), "large-leaves")
-    own = docs.select("doc_id", "text").mapInArrow(lambda it: _forms(it, min_tokens), "leaf long, form long, tokens binary, low long, high long, n long")
+    own = docs.select("doc_id", "text").mapInArrow(lambda it: _forms(it, min_tokens), "leaf long, form long, keys array<long>, low long, high long")
     own = own.join(large, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.expr("cast(pmod(xxhash64(form), parts) as int)"))
-    forms = own.repartition("leaf", "part").groupBy("leaf", "part", "form").agg(F.first("tokens").alias("tokens"), F.first("parts").alias("parts"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    of_part = stored(forms.sortWithinPartitions("leaf", "part", F.desc("n"), "form").mapInArrow(_assign, ASSIGNED), "line-templates")
-    small = of_part.where("parts = 1 and low <> high").select("leaf", "form", F.col("low").alias("keep"))
-    split = of_part.where("parts > 1")
+    forms = own.repartition("leaf", "part").groupBy("leaf", "part", "form").agg(F.first("keys").alias("keys"), F.first("parts").alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = stored(forms.sortWithinPartitions("leaf", "part").mapInArrow(_recurring, FOUND), "line-templates")
+    small = found.where("keys is null").select("leaf", "form", "keep")
+    split = found.where("keys is not null")
     if split.isEmpty():
         return small
-    reps = split.where("tokens is not null").select("leaf", "part", "form", "tokens", F.explode(F.expr("filter(sequence(0, parts - 1), q -> q <> part)")).alias("q"))
-    pairs = reps.select("leaf", F.least("part", "q").alias("one"), F.greatest("part", "q").alias("other"), "part", "form", "tokens")
-    links = pairs.repartition("leaf", "one", "other").sortWithinPartitions("leaf", "one", "other", "part").mapInArrow(_meet, "a long, b long")
-    root = components(links)
-    whole = stored(split.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("leaf", "form", "low", "high", F.coalesce("root", "rep").alias("template")), "line-templates")
-    found = whole.groupBy("template").agg(F.min("low").alias("keep"), F.max("high").alias("last")).where("keep <> last")
-    return small.unionByName(whole.join(found, "template").select("leaf", "form", "keep"))
+    keys = split.select("leaf", "form", F.col("keep").alias("low"), "high", F.explode("keys").alias("key"))
+    again = stored(keys.groupBy("key").agg(F.min("low").alias("keep"), F.max("high").alias("last")).where("keep <> last").drop("last"), "line-keys")
+    return small.unionByName(keys.join(again, "key").groupBy("leaf", "form").agg(F.min("keep").alias("keep")))
 
 
 def drop_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, keep_first: bool = True) -> DataFrame:
@@ -302,8 +259,8 @@ def drop_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, keep_first: bool =
 
     All columns of docs stay, but for own columns named n_lines or dropped, which give way. Null texts stay null with no
     lines; a text all of whose lines go becomes empty, its row stays. Rows with a null doc_id lose no lines and make no
-    template recur. Equal rows are treated alike; a line repeated within one document alone stays. Templates that are
-    equally frequent are taken in the order of their hash. A text of any length is one row of a batch.
+    template recur. Equal rows are treated alike; a line repeated within one document alone stays. A text of any length or
+    number of lines is one row of a batch.
     """
     prepare(docs.sparkSession)
     # the row in one column: no other name can clash with those used here
@@ -314,7 +271,11 @@ def drop_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, keep_first: bool =
     gone = lines.join(again, ["leaf", "form"]).where("doc_id <> keep" if keep_first else "true").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("gone"))
     out = rows.join(gone, ["doc_id", "text_key"], "left")
     parts = F.split("text", "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+    # gone lines as 2k and all lines as 2k + 1, sorted: a line stays if the one before it isn't its own 2k
+    marks = F.sort_array(F.concat(F.transform("gone", lambda k: 2 * k), F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: 2 * k + 1)))
+    before = F.concat(F.array(F.lit(-1)), marks)
+    stays = F.filter(F.zip_with(marks, before, lambda m, b: F.when(m % 2 == 1, b != m - 1)), lambda x: x.isNotNull())
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.zip_with(parts, stays, lambda x, s: F.when(s, x)), "\n"))
     return out.select(
         *[kept.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "dropped")],
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
@@ -322,7 +283,7 @@ def drop_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, keep_first: bool =
     )
 
 
-def line_digests(docs: DataFrame) -> DataFrame:
+def line_digests(docs: DataFrame, min_tokens: int = MIN_TOKENS, keep_first: bool = True) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped, text_sha256 (of what stays; null for a null text)."""
-    out = drop_lines(docs.select("doc_id", "text"))
+    out = drop_lines(docs.select("doc_id", "text"), min_tokens, keep_first)
     return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

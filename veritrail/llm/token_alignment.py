@@ -38,7 +38,7 @@ from .batches import CUT, by_bytes, doc_columns, kept
 from .token_counts import byte_letters
 
 #: Bytes of text after which a block of documents is closed; a longer document makes a longer block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Links of one slice that are expanded one by one; beyond, equal pairs are counted instead.
 EXPANDED = 4096
 
@@ -212,8 +212,8 @@ class Aligner:
             apart = set(edged)
             missing = [x for x in missing if x not in apart]
         for some in (missing, edged):
-            for k in range(0, len(some), 50_000):
-                found.update(zip(some[k : k + 50_000], self.chunks(some[k : k + 50_000]), strict=True))
+            for k in range(0, len(some), 25_000):
+                found.update(zip(some[k : k + 25_000], self.chunks(some[k : k + 25_000]), strict=True))
         self.known = found
         return [found[x] for x in chunks]
 
