@@ -15,8 +15,8 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from veritrail.llm import language_crf
-from veritrail.llm.batches import crc_of_id
+from veritrail.llm import language_crf, quality_compress
+from veritrail.llm.batches import crc_of_id, spread
 from veritrail.llm.language_crf import Chains, Labeller, Model, languages
 from veritrail.llm.quality_compress import logistic, quality
 from veritrail.llm.secret_worklist import find_secrets, secret_digests
@@ -352,3 +352,23 @@ def test_base64_behind_characters_of_its_alphabet(before):
         found = [x[:3] for x in find_secrets(f"é {before}{coded} end") if x[1] == 0]
         start = 2 + len(before)
         assert found and all(start <= s < e <= start + len(coded) for s, _, e in found)
+
+
+def test_fits_are_bounded_by_rows(spark, monkeypatch):
+    """Two ids with very many texts each: one row of each is collected."""
+    docs = spark.range(4000).selectExpr("id % 2 as doc_id", "concat('text of some words ', id) as text", "if(id % 2 = 0, 'aa', 'bb') as lang")
+    seen = []
+    monkeypatch.setattr(language_crf, "Model", lambda rows: seen.append(len(rows)))
+    language_crf.fit(docs, F.lit(True), sample=1)
+    assert seen == [2]
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
+    kept, real = [], quality_compress.dictionary
+    monkeypatch.setattr(quality_compress, "dictionary", lambda texts, limit: kept.append(len(texts)) or real(texts, limit))
+    quality_compress.fit(docs, labels, F.lit(True), sample=1)
+    assert max(kept) == 1
+
+
+def test_pieces_come_from_all_of_a_text(spark):
+    text = "".join(chr(97 + k * 26 // 1000) for k in range(1000))
+    short, long = spark.createDataFrame([("abc",), (text,)], "t string").select(spread(F.col("t"), 200).alias("x")).collect()
+    assert short.x == "abc" and len(long.x) <= 220 and long.x[0] == "a" and long.x[-1] == "z" and len(set(long.x)) > 12

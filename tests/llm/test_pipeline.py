@@ -51,6 +51,14 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == kept[4]
 
 
+def test_unlabelled_corpus_stays(spark, tmp_path):
+    text = lambda k: f"own words of document {'abcdefgh'[k]} and {'stuvwxyz'[k]} more here"
+    rows = [(k, text(k), None, "s", 1) for k in range(5)] + [(5, "123 456", None, "s", 1), (6, None, None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()
+    assert sorted(x.doc_id for x in kept) == [0, 1, 2, 3, 4]
+
+
 def test_clashing_columns_repeated_rows_and_empty_tables(spark, tmp_path):
     text = "some words of a first line here\nand others of a second line there"
     names = ["doc_id", "text", "lang", "n_lines", "dropped", "key", "_key", "row", "hits", "items", "component_id", "score", "gone", "source"]

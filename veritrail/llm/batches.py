@@ -27,6 +27,13 @@ def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
+def spread(text: Column, chars: int, pieces: int = 10) -> Column:
+    """At most about ``chars`` characters of a text: all of it, or pieces of one size from its beginning to its end."""
+    size = max(1, chars // pieces)
+    at = lambda k: F.floor((F.length(text) - size) * k / (pieces - 1)).cast("int") + 1
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws("\n", *[F.substring(text, at(k), F.lit(size)) for k in range(pieces)]))
+
+
 def boxed(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text, the columns named in ``more`` that docs has, and ``row``: all columns of docs, out of the way of others."""
     return docs.select("doc_id", "text", *(c for c in more if c in docs.columns), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -8,7 +8,7 @@ has the largest sum over its words, and the score is its mean. So a code-switche
 words, while a foreign word within a sentence is carried by its neighbours.
 
 Training takes a bounded sample: ``SAMPLE`` documents of each language, those with the smallest hash of their id, and of
-each the first ``SAMPLE_CHARS`` characters. Labels are those of documents; so that transitions see switches, a share
+each at most ``SAMPLE_CHARS`` characters, in pieces from all of the text. Labels are those of documents; so that transitions see switches, a share
 ``MIXED`` of the training chains is composed of runs of words from lines of several languages, each run with its own
 label. Prediction is a narrow map over all documents and whole texts.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from .batches import REMEMBERED, crc_of_id, doc_columns, kept, map_batches
+from .batches import crc_of_id, doc_columns, kept, map_batches, REMEMBERED, spread
 from .word_hashes import mixed
 
 #: Documents of each language that training reads at most, and characters of each.
@@ -293,33 +293,35 @@ class Labeller:
         return [(self.model.languages[b], min(1.0, float(s))) if n else (UNKNOWN, 0.0) for b, s, n in zip(best, share, words, strict=True)]
 
 
-def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from at most ``sample`` documents of each language among those that ``learn`` admits.
 
-    Equal rows teach once; a document in two languages teaches both.
+    A document in two languages teaches both; of rows with one id and language the text that sorts first teaches.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", spread(F.col("text"), sample_chars).alias("text")).where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = own.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.expr(f"pmod(h, {PARTS})"))
     for keys in (("lang", "part"), ("lang",)):  # a language may hold most rows: its parts are cut down first
         first = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id")) <= sample
         ids = ids.withColumn("first", first).where("first").drop("first")
     ids = ids.select("doc_id", "lang")
-    rows = own.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text", "doc_id").distinct().collect()
+    # as many rows as ids, however many rows an id has
+    rows = own.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return Model([(r["lang"], r["text"]) for r in rows])
 
 
-def languages(docs: DataFrame, folds: int = 5, held: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+def languages(docs: DataFrame, folds: int = 5, held: int = 0, carry: tuple[str, ...] = (), sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document. Held-out ids (crc32 mod folds = held) teach nothing.
 
     ``und`` with score 0 stands for a null text, one without a letter, or any text where nothing could be learned. With
     one known language every text with a letter is predicted that. A null id is not held out and teaches nothing. Repeated
     rows are labelled each for itself; of languages that tie, the first by name is taken; whole texts of any length count.
-    Further columns, whatever their names, are not read, but those named in ``carry`` pass through.
+    Further columns, whatever their names, are not read, but those named in ``carry`` pass through. The fit reads at most
+    ``sample`` documents of each language, and of each at most ``sample_chars`` characters, in pieces from all of it.
     """
     spark = prepare(docs.sparkSession)
     held_out = crc_of_id(F.col("doc_id")) % folds == held
-    model, key = spark.sparkContext.broadcast(fit(docs, ~held_out)), uuid.uuid4().hex
+    model, key = spark.sparkContext.broadcast(fit(docs, ~held_out, sample, sample_chars)), uuid.uuid4().hex
 
     def make() -> object:
         label = kept(("language_crf", key), lambda: Labeller(model.value))

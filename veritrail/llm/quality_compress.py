@@ -6,7 +6,7 @@ on labelled texts that went into neither dictionary. Nothing else about a text c
 it shrinks at all.
 
 Fitting takes a bounded sample of labelled rows (``SAMPLE`` of each class, those with the smallest hash of their id):
-every other one lends its first ``DICT_TEXT`` characters to a dictionary, the rest are compressed on executors, and only
+every other one lends at most ``DICT_TEXT`` characters to a dictionary, in pieces from all of its text; the rest are compressed on executors, and only
 their differences are collected. Scoring is a narrow map over all documents.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from .batches import crc_of_id, doc_columns, map_batches
+from .batches import crc_of_id, doc_columns, map_batches, spread
 
 #: Labelled rows of each class that the fit may read.
 SAMPLE = 3000
@@ -79,10 +79,11 @@ class Model:
         return lambda texts: 1 / (1 + np.exp(-np.clip(difference(texts) * self.curve[0] + self.curve[1], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, dict_text: int = DICT_TEXT, dict_bytes: int = DICT_BYTES) -> Model:
     """A model from at most ``sample`` rows of each class among the labels that ``learn`` admits.
 
-    A document whose labels disagree teaches nothing. A class of one text serves for dictionary and curve.
+    A document whose labels disagree teaches nothing; of rows with one id the text that sorts first teaches. A class of one
+    text serves for dictionary and curve.
     """
     spark = docs.sparkSession
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(learn & F.col("quality").isin(0, 1))
@@ -90,12 +91,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
     picked = [own.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     of_class = Window.partitionBy("quality")  # over 2 x sample rows at most, so the broadcast has a fixed bound too
     ids = picked[0].unionByName(picked[1]).withColumns({"n": F.row_number().over(of_class.orderBy(F.xxhash64("doc_id"), "doc_id")), "of": F.count("*").over(of_class)})
-    rows = doc_columns(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text", "n", "of").distinct()
-    lent = rows.where("n % 2 = 1").select("doc_id", "quality", F.substring("text", 1, DICT_TEXT).alias("text"), "n").collect()
+    rows = doc_columns(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality", "n", "of").agg(F.min("text").alias("text"))
+    lent = rows.where("n % 2 = 1").select("doc_id", "quality", spread(F.col("text"), dict_text).alias("text"), "n").collect()
     lent.sort(key=lambda r: (r["n"], r["doc_id"], r["text"]))
     texts = [[r["text"] for r in lent if r["quality"] == q] for q in (1, 0)]
     prior = (len(texts[0]) + 1) / (len(texts[0]) + len(texts[1]) + 2)
-    limit = min(DICT_BYTES, *(len(dictionary(t, DICT_BYTES)) for t in texts))  # of one size, so that neither gains by it
+    limit = min(dict_bytes, *(len(dictionary(t, dict_bytes)) for t in texts))  # of one size, so that neither gains by it
     if not limit:
         return Model(prior)
     good, bad = (dictionary(t, limit) for t in texts)
@@ -112,16 +113,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
     return Model(prior, good, bad, logistic(np.array([r["x"] for r in curve]), np.array([float(r["quality"]) for r in curve])))
 
 
-def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = THRESHOLD, sample: int = SAMPLE, dict_text: int = DICT_TEXT, dict_bytes: int = DICT_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted of every document. Labels of held-out ids (crc32 mod folds = held) are not read.
 
     A null text counts as empty; an empty text has a score like any other, and so has one of any length. Without usable
     labels of both classes every score is the share of good labels (one half without any). A null id is never held out nor
-    learnt from; repeated rows are scored each for itself, and equal texts alike. Further columns are not read.
+    learnt from; repeated rows are scored each for itself, and equal texts alike. Further columns are not read. The fit
+    reads at most ``sample`` documents of each label; a dictionary has at most ``dict_text`` characters of one text and
+    ``dict_bytes`` bytes.
     """
     spark = prepare(docs.sparkSession)
     held_out = crc_of_id(F.col("doc_id")) % folds == held
-    model = spark.sparkContext.broadcast(fit(docs, labels, ~held_out))
+    model = spark.sparkContext.broadcast(fit(docs, labels, ~held_out, sample, dict_text, dict_bytes))
 
     def make() -> object:
         score = model.value.scorer()
