@@ -1,6 +1,7 @@
 """A training corpus in five stages, each written as Parquet and read again as the next one's input.
 
-1. language ID: documents without a letter (predicted ``und``) go
+1. language ID: documents without a letter go, which have no language; a label is kept from none of the others, so that a
+   corpus of which nothing teaches a language stays whole
 2. line dedup: lines of recurring templates are taken out of the texts; documents stay, even if empty
 3. SimHash near-dedup: of each group of linked documents the one with the smallest id stays
 4. benchmark decontamination: documents that hold a benchmark window go
@@ -31,7 +32,8 @@ NO_ID = -(1 << 63)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return languages(boxed(docs, "lang"), carry=("row",)).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    found = languages(boxed(docs, "lang"), carry=("row",))
+    return found.where((F.col("lang_pred") != UNKNOWN) | F.coalesce(F.col("row.text").rlike(r"\p{L}"), F.lit(False))).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
