@@ -265,7 +265,7 @@ def test_long_layers_lose_nothing_at_borders(monkeypatch):
 
 
 def test_partly_coded_line():
-    assert find_secrets("tok%65n = abcdefgh") == [(0, 0, 18, "url/")]
+    assert find_secrets("tok%65n = abcdefgh") == [(0, 0, 18, "escapes/")]
 
 
 def plain(text):

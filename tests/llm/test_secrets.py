@@ -7,6 +7,7 @@ import lzma
 import random
 import re
 import resource
+import time
 import urllib.parse
 import zlib
 
@@ -85,6 +86,118 @@ def test_random_nestings_match_plain_recursion(monkeypatch, piece):
     assert some > 60
 
 
+WAYS = {
+    "url": lambda d: "".join(f"%{c:02X}" for c in d).encode(),
+    "quoted": lambda d: urllib.parse.quote_from_bytes(d, safe="").encode(),
+    "hex": lambda d: "".join(f"\\x{c:02x}" for c in d).encode(),
+    "unicode": lambda d: "".join(f"\\u{c:04x}" for c in d).encode(),
+    "braces": lambda d: "".join(f"\\u{{{c:x}}}" for c in d).encode(),
+    "entity": lambda d: "".join(f"&#{c};" for c in d).encode(),
+    "base64": lambda d: b64(d).encode(),
+    "gzip": gzip.compress,
+    "bz2": bz2.compress,
+    "zlib": zlib.compress,
+    "xz": lzma.compress,
+    "zstd": zstandard.compress,
+}
+TEXTUAL = ("url", "quoted", "hex", "unicode", "braces", "entity", "base64")
+
+
+@pytest.mark.parametrize("chain", [
+    ("gzip", "url"), ("bz2", "url"), ("gzip", "quoted"), ("gzip", "hex"), ("zlib", "unicode"), ("xz", "braces"), ("zstd", "entity"),
+    ("gzip", "url", "base64"), ("url", "gzip", "base64"), ("gzip", "url", "gzip", "base64"), ("bz2", "hex", "url"), ("gzip", "hex", "bz2", "url", "quoted"),
+    ("url", "url", "url"), ("hex", "url"), ("url", "hex"), ("entity", "url", "unicode"), ("base64", "url"), ("base64", "gzip", "hex", "base64"),
+])
+def test_chains_of_encodings_are_placed(chain):
+    data = SECRET.encode()
+    for way in chain:
+        data = WAYS[way](data)
+    text = f"é before, {data.decode()}, after"
+    a, b = text.index(data.decode()), text.index(", after")
+    found = [(s, e) for s, k, e, _ in find_secrets(text) if k == 0]
+    if not set(chain) & {"gzip", "bz2", "zlib", "xz", "zstd", "base64"}:
+        # the closing quote isn't part of the secret
+        quote = b'"'
+        for way in chain:
+            quote = WAYS[way](quote)
+        assert found == [(a, b - len(quote))]
+    else:
+        assert found and all(a <= s < e <= b for s, e in found) and max(e - s for s, e in found) >= (b - a) // 2
+
+
+def plain_layers(text, places, seen, out):
+    """All spans under a text by whole-string recursion: escapes from left to right until none is left, base64, streams."""
+    key = (text, places[0], places[-1])
+    if not text or key in seen:
+        return
+    seen.add(key)
+    for k, s, e in m.scan(text):
+        out.add((places[s][0], k, places[e - 1][1]))
+    for line in re.finditer(r"[^\n]+", text):
+        own, at = line.group(), places[line.start() : line.end()]
+        if not m._ESCAPE.search(own):
+            continue
+        while (x := min(m._ESCAPE.finditer(own), key=lambda y: y.end(), default=None)) is not None:
+            code = int(x[x.lastindex], 10 if x.lastindex == 7 else 16)
+            own, at = own[: x.start()] + chr(code) + own[x.end() :], [*at[: x.start()], (at[x.start()][0], at[x.end() - 1][1]), *at[x.end() :]]
+        plain_layers(own, at, seen, out)
+        plain_streams(own.encode("latin-1"), at, seen, out)
+    for run in re.finditer(r"[A-Za-z0-9+/_-]{12,}={0,2}", text):
+        own = run.group().rstrip("=")
+        for shift in range(4):
+            part = own[shift:]
+            part = part[: len(part) - (len(part) % 4 == 1)].replace("-", "+").replace("_", "/")
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+            at = [(places[run.start() + shift + k * 8 // 6][0], places[run.start() + shift + (k * 8 + 7) // 6][1]) for k in range(len(data))]
+            plain_layers(data.decode("latin-1"), at, seen, out)
+            plain_streams(data, [*at[:-1], (at[-1][0], places[run.end() - 1][1])], seen, out)
+
+
+def plain_streams(data, places, seen, out):
+    for magic, unpack in PACKS.items():
+        for x in re.finditer(re.escape(magic), data):
+            try:
+                inner = unpack(data[x.start() :])
+            except Exception:  # not a stream
+                continue
+            if inner:
+                here = (places[x.start()][0], places[-1][1])
+                plain_layers(inner.decode("latin-1"), [here] * len(inner), seen, out)
+                plain_streams(inner, [here] * len(inner), seen, out)
+
+
+def test_places_match_plain_recursion():
+    """All spans with their places, streams at the end of what they stand in."""
+    r = random.Random(9)
+    some = 0
+    for _ in range(150):
+        data = r.choice([SECRET, "token: abcdefgh", "AKIA" + "ABCDEFGH12345678", "0123456789abcdef01234567", "nothing"]).encode()
+        chain = []
+        for _ in range(r.randrange(1, 4)):
+            way = r.choice(list(WAYS) if not chain or chain[-1] in TEXTUAL else TEXTUAL)
+            if len(data) > 4000:
+                way = "base64"
+            data = WAYS[way](data if chain and chain[-1] not in TEXTUAL else b"x, " + data)
+            chain.append(way)
+        if chain[-1] not in TEXTUAL:
+            data = WAYS["url"](data)
+        text = "a, " + data.decode("latin-1")
+        want: set = set()
+        plain_layers(text, [(k, k + 1) for k in range(len(text))], set(), want)
+        got = {(s, k, e) for s, k, e, _ in find_secrets(text)}
+        assert got == want, (chain, text)
+        some += bool(want)
+    assert some > 90
+
+
+def test_escapes_of_escapes_take_linear_time():
+    for part in ("25", "5Cx25"):
+        text = "%" + part * 50_000 + "41" + " password = hunter%32secret"
+        began = time.time()
+        found = find_secrets(text[: 100_000] + " " + text[-60:])
+        assert time.time() - began < 10 and any(k == 0 for _, k, _, _ in found)
+
+
 def test_long_runs_stay_whole(monkeypatch):
     """A base64 run far longer than a piece, inside a stream, with the secret at any place of it."""
     monkeypatch.setattr(m, "PIECE", 5_000)

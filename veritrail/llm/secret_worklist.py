@@ -1,7 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
 The text is the first layer. Each layer is scanned for secrets, then searched for encoded parts: lines with URL or
-Unicode escapes, and base64 runs, each line for itself and joined over line ends, whose bytes may be compressed in turn.
+Unicode escapes, and base64 runs, each line for itself and joined over line ends. The bytes of both may be compressed in
+turn. Escapes of escapes, of both kinds in any order, are resolved in one pass from left to right, in time proportional to
+the line: no secret can hold an escape, so what it is part of half resolved it is part of in the end.
 A secret that ends a line's run may be reported with and without what the next line adds. What a part decodes to is a
 new layer on the worklist, with the place in the text that each of its characters came from, so a secret found at any
 depth is reported where it stands in the text. Everything in a compressed stream stands where the stream does. Layers
@@ -40,15 +42,18 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_VALUE = 6
 KINDS = ("assign", "access", "hex")
 
-_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: A URL escape (a byte) or a Unicode escape (a character): groups hold the digits, those of the last are decimal.
+_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_OPENERS = re.compile(r"[%\\&]")
+#: Characters of the longest escape.
+_LONGEST = 10
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 #: Runs of any length that go on over line ends.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t\r]*+\n[ \t\r]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _LINE = re.compile(r"[^\n]+")
 #: The same for bytes.
 _BYTES = [re.compile(p.pattern.encode(), p.flags & re.IGNORECASE) for p in (ASSIGN, ACCESS, HEX)]
-_URL_BYTES, _UNICODE_BYTES = (re.compile(p.pattern.encode()) for p in (_URL, _UNICODE))
+_ESCAPE_BYTES = re.compile(_ESCAPE.pattern.encode())
 _PLAIN = str.maketrans("-_", "+/", " \t\r\n")
 _LEAST = 12
 #: Characters of a text or a decompressed stream that make one layer, unless no border comes in them.
@@ -66,14 +71,50 @@ FED = 65_536
 _HINT = re.compile(rb"[A-Za-z0-9+/_-]{12}|[A-Za-z0-9+/_-][ \t\r]*\n[ \t\r]*[A-Za-z0-9+/_-]|%[0-9A-Fa-f]{2}|\\[uUx]|&#|(?i:passw|secret|token|api_?key)")
 
 
-def _url_byte(m: re.Match) -> bytes:
-    return bytes.fromhex(m.group().replace(b"%", b"").decode())
+def _resolved(text: str) -> tuple[str, list[int], list[int]]:
+    """A text with its escapes and those that they make resolved, and where each character begins and ends in it.
+
+    URL escapes are read as Latin-1, one character a byte, so that compressed bytes stay what they are.
+    """
+    out: list[str] = []
+    first: list[int] = []
+    last: list[int] = []
+    open_at: list[int] = []
+    k, n = 0, len(text)
+    while k < n:
+        if not open_at:  # up to the next opener nothing can change
+            m = _OPENERS.search(text, k)
+            stop = m.start() if m else n
+            out += text[k:stop]
+            first += range(k, stop)
+            last += range(k + 1, stop + 1)
+            k = stop
+            if k == n:
+                break
+        out.append(text[k])
+        first.append(k)
+        k += 1
+        last.append(k)
+        while True:
+            if out[-1] in "%\\&":
+                open_at.append(len(out) - 1)
+                break
+            while open_at and len(out) - open_at[-1] > _LONGEST:
+                open_at.pop()
+            if not open_at or (m := _ESCAPE.fullmatch("".join(out[open_at[-1] :]))) is None:
+                break
+            at = open_at.pop()
+            code = int(m.group(m.lastindex), 10 if m.lastindex == 7 else 16)
+            if code >= 0x110000 or 0xD800 <= code < 0xE000:
+                break
+            out[at:], first[at + 1 :], last[at:] = [chr(code)], [], [last[-1]]
+    return "".join(out), first, last
 
 
-def _unicode_byte(m: re.Match) -> bytes:
-    """A character beyond ASCII is in no pattern, so any byte beyond it will do."""
-    code = int(m.group(m.lastindex), 10 if m.lastindex == 6 else 16)
-    return m.group() if code >= 0x110000 or 0xD800 <= code < 0xE000 else bytes([min(code, 0x80)])
+def _resolved_bytes(data: bytes) -> bytes:
+    """The same for bytes. A character beyond Latin-1 is in no pattern, so any byte beyond ASCII will do."""
+    text = _resolved(data.decode("latin-1"))[0]
+    return text.encode("latin-1") if max(text, default="") <= "\xff" else "".join([c if c <= "\xff" else "\x80" for c in text]).encode("latin-1")
 
 
 def scan(text: str) -> Iterator[tuple[int, int, int]]:
@@ -193,48 +234,12 @@ class Layer:
         return int(self.start[a]), int(self.end[b - 1])
 
 
-def _replaced(layer: Layer, a: int, b: int, found: list[tuple[int, int, str, np.ndarray, np.ndarray]], via: str) -> Layer:
-    """Characters a to b of a layer with parts (from, to, text, start, end) put in."""
-    text, start, end = [], [], []
-    for x, y, put, s, e in [*found, (b, b, "", layer.start[:0], layer.end[:0])]:
-        text += [layer.text[a:x], put]
-        start += [layer.start[a:x], s]
-        end += [layer.end[a:x], e]
-        a = y
-    return Layer("".join(text), np.concatenate(start), np.concatenate(end), layer.via + via)
-
-
-def _by_bytes(data: bytes, text: str, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of characters from places of their UTF-8 bytes."""
-    raw = np.frombuffer(data, np.uint8)
-    lead = np.flatnonzero((raw & 0xC0) != 0x80)
-    last = np.append(lead[1:], len(raw)) - 1
-    return start[lead], end[last]
-
-
-def _url(layer: Layer, line: re.Match) -> Layer | None:
-    found = []
-    for m in _URL.finditer(layer.text, line.start(), line.end()):
-        data = bytes.fromhex(m.group().replace("%", ""))
-        text = data.decode(errors="replace")
-        at = np.arange(m.start(), m.end(), 3)
-        start, end = layer.start[at], layer.end[at + 2]
-        if len(text.encode()) == len(data) and "\ufffd" not in text:
-            start, end = _by_bytes(data, text, start, end)
-        else:  # not UTF-8: one character a byte
-            text = data.decode("latin-1")
-        found.append((m.start(), m.end(), text, start, end))
-    return _replaced(layer, line.start(), line.end(), found, "url/") if found else None
-
-
-def _unicode(layer: Layer, line: re.Match) -> Layer | None:
-    found = []
-    for m in _UNICODE.finditer(layer.text, line.start(), line.end()):
-        digits = m.group(m.lastindex)
-        code = int(digits, 10 if m.lastindex == 6 else 16)
-        if code < 0x110000 and not 0xD800 <= code < 0xE000:
-            found.append((m.start(), m.end(), chr(code), layer.start[m.start() : m.start() + 1], layer.end[m.end() - 1 : m.end()]))
-    return _replaced(layer, line.start(), line.end(), found, "unicode/") if found else None
+def _escapes(layer: Layer, line: re.Match) -> Layer | None:
+    """A line of a layer with its escapes resolved."""
+    if not _ESCAPE.search(layer.text, line.start(), line.end()):
+        return None
+    text, first, last = _resolved(line.group())
+    return Layer(text, layer.start[line.start() + np.array(first)], layer.end[line.start() - 1 + np.array(last)], layer.via + "escapes/")
 
 
 Found = dict[tuple[int, int, int], str]
@@ -287,6 +292,13 @@ def _base64(layer: Layer, m: re.Match, seen: set, found: Found) -> Iterator[Laye
             _unpacked(lambda data=data, begin=begin, end=end: _fed(data, begin, end), Place(a, b, seen, found), via)
 
 
+def _escaped_streams(layer: Layer, seen: set, found: Found) -> None:
+    """What is compressed in the bytes that a layer's escapes stood for."""
+    data = "".join([c if c <= "\xff" else "?" for c in layer.text]).encode("latin-1")
+    for begin, end in _streams(data) if _MAGIC.search(data) else ():
+        _unpacked(lambda begin=begin, end=end: _fed(data, begin, end), Place(*layer.span(begin, end), seen, found), layer.via)
+
+
 class Place:
     """A part of the document that compressed data stands at: what was seen and found there."""
 
@@ -359,11 +371,12 @@ def _byte_layers(pieces: Iterable[bytes], place: Place, via: str) -> Iterator[It
         if not _HINT.search(data):
             continue
         place.scan(data, via)
-        for name, sign, pattern, put in (("url/", b"%", _URL_BYTES, _url_byte), ("unicode/", b"", _UNICODE_BYTES, _unicode_byte)):
-            if sign in data and pattern.search(data):
-                lines = b"\0".join([pattern.sub(put, x) for x in data.split(b"\n") if pattern.search(x)])
-                if place.new([lines]):
-                    yield _byte_layers([lines], place, via + name)
+        if _ESCAPE_BYTES.search(data):
+            for line in [_resolved_bytes(x) for x in data.split(b"\n") if _ESCAPE_BYTES.search(x)]:
+                if place.new([b"resolved ", line]):  # a stream of the very same bytes is another layer
+                    yield _byte_layers([line], place, via + "escapes/")
+                    for begin, end in _streams(line):
+                        yield _stream_layers(lambda line=line, begin=begin, end=end: _fed(line, begin, end), place, via + "escapes/")
         text = data.decode("latin-1")
         for runs in (_BASE64, _WRAPPED) if b"\n" in data else (_BASE64,):
             for m in runs.finditer(text):
@@ -403,8 +416,7 @@ def _parts(text: str) -> Iterator[tuple[int, int]]:
 def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind, end, via) sorted; via is empty for what stands in the text itself, else the layers it was under."""
     found = {(s, k, e): "" for k, s, e in scan(text)}
-    coded = [f for f, there in ((_url, "%" in text), (_unicode, "\\" in text or "&#" in text)) if there]
-    if coded or _BASE64.search(text) or "\n" in text and _WRAPPED.search(text):
+    if _OPENERS.search(text) or _BASE64.search(text) or "\n" in text and _WRAPPED.search(text):
         for a, b in _parts(text):
             n = np.arange(a, b + 1)
             _decode_all(Layer(text[a:b], n[:-1], n[1:], ""), found)
@@ -423,9 +435,11 @@ def _decode_all(first: Layer, found: Found) -> None:
             for k, s, e in scan(layer.text):
                 a, b = layer.span(s, e)
                 found.setdefault((a, k, b), layer.via)
-        for decode, sign in ((_url, "%"), (_unicode, "")):
-            if sign in layer.text and (_URL if sign else _UNICODE).search(layer.text):
-                work.extend(x for line in _LINE.finditer(layer.text) if (x := decode(layer, line)) is not None)
+        if _ESCAPE.search(layer.text):
+            lines = [x for line in _LINE.finditer(layer.text) if (x := _escapes(layer, line)) is not None]
+            for x in lines:
+                _escaped_streams(x, seen, found)
+            work.extend(lines)
         for runs in (_BASE64, _WRAPPED) if "\n" in layer.text else (_BASE64,):
             for m in runs.finditer(layer.text):
                 work.extend(_base64(layer, m, seen, found))
