@@ -93,7 +93,9 @@ def test_ranking_metrics(spark):
     assert E.ndcg_at(run, labels, 2, "query_id").first()["ndcg_2"] == pytest.approx(1 / math.log2(3))
     late = spark.createDataFrame([("q", k, 2 if k == 4 else 1) for k in range(1, 6)] + [("p", 1, None)], "query_id string, rank int, grade int")
     assert {x.query_id: x.mrr for x in E.mrr(late, "query_id").collect()} == {"q": 0.25, "p": 0.0}
-    assert {x.query_id: x.recall_3 for x in E.recall_at(late, 3, "query_id").collect()} == {"q": 0.0, "p": None}
+    known = spark.createDataFrame([("q", 3), ("q", 2), ("p", 1), ("unseen", 2)], "query_id string, grade int")
+    assert {x.query_id: x.recall_3 for x in E.recall_at(late, known, 3, "query_id").collect()} == {"q": 0.0, "p": None, "unseen": 0.0}
+    assert {x.query_id: x.recall_9 for x in E.recall_at(late, known, 9, "query_id").collect()} == {"q": 0.5, "p": None, "unseen": 0.0}
 
 
 def test_grades(spark):
@@ -222,5 +224,81 @@ def test_search_within_groups(spark):
             own = sorted((-s, c) for (p, c), s in every.items() if p == q and c % 4 == g)
             want += [(q, g, n + 1, c) for n, (s, c) in enumerate(own[:3]) if s < 0]
     assert got == want
-    hits = X.hybrid_within(d, asked, 2, "grp").collect()
-    assert {(x.query_id, x.grp) for x in hits} == {(q, g) for q in (1, 2, 3) for g in range(4)} and all(x.rank <= 2 for x in hits)
+
+
+@pytest.mark.parametrize("group_rows", [4096, 4])
+def test_search_by_pairs(spark, monkeypatch, group_rows):
+    """Only the pairs asked for, each as if its group were searched alone, in one part or several."""
+    monkeypatch.setattr(X, "GROUP_ROWS", group_rows)
+    r = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "kappa", "omega"]
+    rows = [(k, k % 4, " ".join(r.choice(words) for _ in range(r.randrange(0, 9)))) for k in range(60)]
+    d = spark.createDataFrame(rows, "chunk_id long, grp long, text string")
+    asked = spark.createDataFrame([(1, "alpha beta beta"), (2, "omega"), (3, "nothing"), (4, "")], "query_id long, text string")
+    pairs = [(1, 0), (1, 2), (2, 2), (3, 1), (4, 3), (1, 0), (9, 0), (2, 77)]
+    p = spark.createDataFrame(pairs, "query_id long, grp long")
+    score = [{(x.query_id, x.chunk_id): x.score for x in hits.collect()} for hits in (
+        X.dense_search(X.dense_vectors(d, "chunk_id"), X.dense_vectors(asked, "query_id"), 1000).withColumnRenamed("id", "chunk_id"), X.bm25(d, asked, "chunk_id", "query_id"))]
+    want = []
+    for q, g in {x for x in pairs if x[0] < 9}:
+        for index in (0, 1):
+            own = sorted((-round(s, 9), c) for (a, c), s in score[index].items() if a == q and c % 4 == g and (index == 0 or s > 0))
+            want += [(q, g, c, index, n + 1, -s) for n, (s, c) in enumerate(own[:5])]
+    got = X.lists_within(d, asked, p, 5, "grp").collect()
+    assert sorted((x.query_id, x.grp, x.chunk_id, x.list_index, x["rank"]) for x in got) == sorted(x[:5] for x in want if x[1] < 4)
+    assert sorted(x.score for x in got) == pytest.approx(sorted(x[5] for x in want if x[1] < 4))
+    fused = X.hybrid_within(d, asked, p, 2, "grp", depth=5).collect()
+    rrf = {}
+    for q, g, c, _, n, _ in want:
+        rrf[q, g, c] = rrf.get((q, g, c), 0) + 1 / (60 + n)
+    assert {(x.query_id, x.grp, x.chunk_id): pytest.approx(x.rrf_score) for x in fused}.items() <= rrf.items()
+    best = {}
+    for (q, g, _), s in rrf.items():
+        best[q, g] = max(best.get((q, g), 0), s)
+    assert {(x.query_id, x.grp): x.rrf_score for x in fused if x["rank"] == 1} == pytest.approx(best)
+
+
+def test_configurations_against_whole_rankings(spark):
+    """Recall, nDCG and MRR of rankings over all candidates, with labels that no ranking found near its top."""
+    r = random.Random(4)
+    scores, labels, place = [], {}, {}
+    for q in range(6):
+        for c in range(90):
+            if r.random() < 0.2 and q:
+                labels[q, c] = r.randrange(1, 4)
+        for config in ("a", "b"):
+            own = []
+            for c in range(90):
+                s, allowed = r.choice([0.0, 0.5, r.random()]), config == "a" or r.random() < 0.5
+                scores.append((config, q, c, s, allowed))
+                own.append(((not allowed, -s if allowed else 0, -c if allowed else c), c))
+            place[config, q] = [c for _, c in sorted(own)]
+    labels[5, 0] = 1
+    for k in [k for k in labels if k[0] == 5]:
+        labels[k] = 1  # nothing relevant for query 5
+    df = spark.createDataFrame(scores, "config string, query_id long, candidate long, score double, allowed boolean")
+    df = df.select("config", "query_id", "candidate", E.ranking_place(F.col("allowed"), F.col("score"), F.col("candidate")).alias("place"))
+    lab = spark.createDataFrame([(*k, g) for k, g in labels.items()], "query_id long, candidate long, grade int")
+    got = {x.config: x.asDict() for x in E.compare_configs(df, lab, (10, 45)).collect()}
+    for config in ("a", "b"):
+        values = []
+        for q in range(1, 5):
+            order, own = place[config, q], {c: g for (p, c), g in labels.items() if p == q}
+            rel, row = {c for c, g in own.items() if g >= 2}, {}
+            row["mrr"] = 1 / (1 + min(order.index(c) for c in rel))
+            for k in (10, 45):
+                gain = lambda gs: sum((2**g - 1) / math.log2(n + 2) for n, g in enumerate(gs))
+                row[f"recall_{k}"] = len(rel & set(order[:k])) / len(rel)
+                row[f"ndcg_{k}"] = gain([own.get(c, 0) for c in order[:k]]) / gain(sorted(own.values(), reverse=True)[:k])
+            values.append(row)
+        assert got[config]["n_queries"] == 4
+        for m in values[0]:
+            assert got[config][m] == pytest.approx(sum(v[m] for v in values) / 4), (config, m)
+
+
+def test_best_of_every_candidate(spark):
+    hits = spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.7), (2, "b", 0.1)], "query_id long, candidate string, score double")
+    every = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "candidate string")
+    asked = spark.createDataFrame([(1,), (2,), (2,)], "query_id long")
+    got = {(x.query_id, x.candidate): x.score for x in X.best_per_candidate(hits, every, asked).collect()}
+    assert got == {(1, "a"): 0.7, (1, "b"): 0.0, (1, "c"): 0.0, (2, "a"): 0.0, (2, "b"): 0.1, (2, "c"): 0.0}

@@ -10,11 +10,17 @@ from ..functions import text as T
 RELEVANT = 2
 
 
-def recall_at(ranked: DataFrame, k: int, *keys: str) -> DataFrame:
-    """Share of the relevant (grade 2 or more) within the first k; null without any. Rows: keys, rank, grade."""
-    rel = F.coalesce(F.col("grade") >= RELEVANT, F.lit(False))
-    own = ranked.groupBy(*keys).agg(F.count_if(rel & (F.col("rank") <= k)).alias("a"), F.count_if(rel).alias("b"))
-    return own.select(*keys, F.when(F.col("b") > 0, F.col("a") / F.col("b")).alias(f"recall_{k}"))
+def recall_at(ranked: DataFrame, labels: DataFrame, k: int, *keys: str, of: tuple[str, ...] | None = None) -> DataFrame:
+    """Share of the relevant labels (grade 2 or more) that are within the first k; null where there are none.
+
+    ranked: keys, rank, grade of what was found; labels: ``of`` (keys, or fewer of them, if several runs are held against
+    one set of labels) and grade, of all that is known, found or not.
+    """
+    of = of or keys
+    every = labels.groupBy(*of).agg(F.count_if(F.col("grade") >= RELEVANT).alias("b"))
+    every = every.join(ranked.select(*keys).distinct(), list(of), "inner" if of != keys else "left")
+    found = ranked.where((F.col("grade") >= RELEVANT) & (F.col("rank") <= k)).groupBy(*keys).agg(F.count("*").alias("a"))
+    return every.join(found, list(keys), "left").select(*keys, F.when(F.col("b") > 0, F.coalesce("a", F.lit(0)) / F.col("b")).alias(f"recall_{k}"))
 
 
 def _gain(grade: Column, rank: Column) -> Column:
@@ -39,19 +45,33 @@ def mrr(ranked: DataFrame, *keys: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.coalesce(1 / F.min(F.when(F.col("grade") >= RELEVANT, F.col("rank"))), F.lit(0.0)).alias("mrr"))
 
 
-def compare_configs(runs: DataFrame, labels: DataFrame, cutoffs: tuple[int, ...] = (10, 20, 45)) -> DataFrame:
-    """Mean recall, nDCG and MRR of each configuration; runs: config, query_id, doc_id, rank; labels: query_id, doc_id, grade.
+def ranking_place(allowed: Column, score: Column, number: Column) -> Column:
+    """What candidates are ordered by, ascending: by score and then the later number first; those that a filter
+    excluded are appended by number."""
+    return F.struct((~allowed).cast("int").alias("last"), F.when(allowed, -F.round(score, 9)).otherwise(0.0).alias("score"), F.when(allowed, -number).otherwise(number).alias("number"))
+
+
+def compare_configs(scores: DataFrame, labels: DataFrame, cutoffs: tuple[int, ...] = (10, 20, 45)) -> DataFrame:
+    """Mean recall, nDCG and MRR of each configuration.
 
-    Queries without a relevant label are undefined and don't count in the means.
+    scores: config, query_id, candidate, place (a struct that orders a configuration's candidates for a query); every
+    candidate has a row, so nobody is missing from a ranking. labels: query_id, candidate, grade. Queries without a relevant
+    label are undefined and don't count in the means. Only the first of each ranking are sorted; where the first relevant
+    candidate stands is a count of those before it.
     """
-    graded = runs.join(labels, ["query_id", "doc_id"], "left")
-    n_rel = labels.groupBy("query_id").agg(F.count_if(F.col("grade") >= RELEVANT).alias("n_rel")).where("n_rel > 0")
-    out = mrr(graded, "config", "query_id").join(n_rel, "query_id")
+    keys = ("config", "query_id")
+    known = labels.groupBy("query_id").agg(F.count_if(F.col("grade") >= RELEVANT).alias("n_rel")).where("n_rel > 0").select("query_id")
+    own = scores.join(known, "query_id", "left_semi")
+    first = own.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("place"))).where(F.col("rank") <= max(cutoffs))
+    graded = first.select(*keys, "candidate", "rank").join(labels, ["query_id", "candidate"], "left")
+    best = own.join(labels.where(F.col("grade") >= RELEVANT), ["query_id", "candidate"], "left_semi").groupBy(*keys).agg(F.min("place").alias("best"))
+    before = own.join(best, list(keys)).where("place < best").groupBy(*keys).agg(F.count("*").alias("before"))
+    out = own.select(*keys).distinct().join(best, list(keys), "left").join(before, list(keys), "left")
+    out = out.select(*keys, F.when(F.col("best").isNull(), 0.0).otherwise(1 / (1 + F.coalesce("before", F.lit(0)))).alias("mrr"))
     for k in cutoffs:
-        found = graded.groupBy("config", "query_id").agg(F.count_if((F.col("grade") >= RELEVANT) & (F.col("rank") <= k)).alias("found"))
-        out = out.join(found, ["config", "query_id"], "left").withColumn(f"recall_{k}", F.coalesce("found", F.lit(0)) / F.col("n_rel")).drop("found")
-        out = out.join(ndcg_at(graded, labels, k, "config", "query_id", of=("query_id",)), ["config", "query_id"], "left")
-    return out.groupBy("config").agg(F.avg("mrr").alias("mrr"), *[F.avg(f"{m}_{k}").alias(f"{m}_{k}") for k in cutoffs for m in ("recall", "ndcg")])
+        for metric in (recall_at, ndcg_at):
+            out = out.join(metric(graded, labels, k, *keys, of=("query_id",)), list(keys), "left")
+    return out.groupBy("config").agg(F.count("*").alias("n_queries"), F.avg("mrr").alias("mrr"), *[F.avg(f"{m}_{k}").alias(f"{m}_{k}") for k in cutoffs for m in ("recall", "ndcg")])
 
 
 def best_marked(metrics: DataFrame, names: list[str]) -> DataFrame:

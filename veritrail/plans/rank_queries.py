@@ -51,6 +51,11 @@ def filtered(spark: SparkSession, d: str) -> DataFrame:
     return R.hard_filtered(own, R.filter_spec(rubric(spark, d)))
 
 
+def filtered_once(spark: SparkSession, d: str) -> DataFrame:
+    """Stored: pairs to search, scores and the ranking all come from it."""
+    return stored(filtered(spark, d), "filtered")
+
+
 def resume_chunks(spark: SparkSession, d: str) -> DataFrame:
     """chunk_id, doc_id, text: the lines of the document with a candidate's number are the candidate's chunks."""
     return doc_lines(spark, d).where(F.trim("text") != "").select((F.shiftleft(F.col("doc_id").cast("long"), 32) + F.col("line_no")).alias("chunk_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -59,11 +64,11 @@ def resume_chunks(spark: SparkSession, d: str) -> DataFrame:
 def best_chunks(spark: SparkSession, d: str, passed: DataFrame) -> DataFrame:
     """jd_id, req_no, resume_id, hit_score, quote: hybrid search within each passer, reranked, the best chunk of each."""
     soft = rubric(spark, d).where("kind = 'soft'").select((F.col("jd_id") * 1000 + F.col("req_no")).cast("long").alias("query_id"), "jd_id", "req_no", F.col("search_query").alias("text"))
+    pairs = passed.where("passed").select("jd_id", F.col("id").cast("long").alias("doc_id")).join(soft.select("jd_id", "query_id"), "jd_id")
     chunks = resume_chunks(spark, d)
     terms = soft.select("query_id", "jd_id", "req_no", F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
-    own = chunks.select("chunk_id", "text", T.tokens(F.col("text")).alias("tokens"))  # once a chunk, not once a hit
-    only = passed.where("passed").select(F.col("id").cast("long").alias("doc_id"))
-    hits = S.hybrid_within(chunks, soft, 10, "doc_id", only=only).join(own, "chunk_id").join(terms, "query_id")
+    own = chunks.select("chunk_id", "text", T.tokens(F.col("text")).alias("tokens"))
+    hits = S.hybrid_within(chunks, soft, pairs, 10, "doc_id").join(own, "chunk_id").join(terms, "query_id")
     best = S.rerank(hits, S.overlap_logit(F.col("asked"), F.col("tokens")), "chunk_id", 1, "rrf_score", within="doc_id")
     return best.select("jd_id", "req_no", F.concat(F.lit("c"), F.col("doc_id")).alias("resume_id"), F.col("score").alias("hit_score"), F.col("text").alias("quote"))
 
@@ -74,7 +79,7 @@ def evidence(spark: SparkSession, d: str, passed: DataFrame) -> DataFrame:
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    own = filtered(spark, d)
+    own = filtered_once(spark, d)
     return R.candidate_scores(own, evidence(spark, d, own))
 
 
@@ -212,7 +217,7 @@ def e23_duplicate_pressure(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT jd_id, resume_id, req_no, round(score, 6) AS score, source, quote FROM ev", "ev")
 def i9_requirement_scores(spark: SparkSession, d: str) -> DataFrame:
-    return evidence(spark, d, filtered(spark, d)).select("jd_id", "resume_id", "req_no", F.round("score", 6).alias("score"), "source", "quote")
+    return evidence(spark, d, filtered_once(spark, d)).select("jd_id", "resume_id", "req_no", F.round("score", 6).alias("score"), "source", "quote")
 
 
 @query("SELECT jd_id, resume_id, count(*) AS n_pairs FROM filtered JOIN rubric USING (jd_id) WHERE len(reasons) = 0 AND kind = 'soft' GROUP BY ALL", "filtered", "rubric")
@@ -257,7 +262,7 @@ def g3_evaluation_order(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT jd_id, resume_id, list(req_no ORDER BY round(score * weight, 9) DESC, req_no) AS req_nos FROM ev GROUP BY ALL", "ev")
 def g5_evidence_order(spark: SparkSession, d: str) -> DataFrame:
     key = F.struct((-F.round(F.col("score") * F.col("weight"), 9)).alias("k"), "req_no")
-    return evidence(spark, d, filtered(spark, d)).groupBy("jd_id", "resume_id").agg(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["req_no"]).alias("req_nos"))
+    return evidence(spark, d, filtered_once(spark, d)).groupBy("jd_id", "resume_id").agg(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["req_no"]).alias("req_nos"))
 
 
 @query("SELECT job_id, newest, CAST(row_number() OVER (ORDER BY newest DESC, job_id) AS INTEGER) AS place FROM (SELECT lang || '-' || source AS job_id, max(doc_id) AS newest FROM documents GROUP BY 1)")
@@ -273,7 +278,7 @@ def g8_first_n(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH rk AS ({_RANKED}), e AS (SELECT jd_id, resume_id, list(req_no ORDER BY round(score * weight, 9) DESC, req_no) AS req_nos, list(round(score, 4) ORDER BY round(score * weight, 9) DESC, req_no) AS req_scores FROM ev GROUP BY ALL) SELECT rk.jd_id, pos AS rank, rk.resume_id, round(score, 4) AS score, met, n_soft, req_nos, req_scores FROM rk LEFT JOIN e ON e.jd_id = rk.jd_id AND e.resume_id = rk.resume_id WHERE pos <= 45", "scored", "ev")
 def b26_response(spark: SparkSession, d: str) -> DataFrame:
-    own = filtered(spark, d)
+    own = filtered_once(spark, d)
     ev = evidence(spark, d, own)
     out = R.response(R.shortlist(R.candidate_scores(own, ev)), ev, 45)
     return out.select("jd_id", "rank", "resume_id", "score", "met", "n_soft", F.transform("evidence", lambda x: x["req_no"]).alias("req_nos"), F.transform("evidence", lambda x: x["score"]).alias("req_scores"))

@@ -166,6 +166,6 @@ def c9_evidence(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_BM25}, b AS (SELECT query_id, source AS candidate, max(score) AS score FROM kw JOIN documents USING (doc_id) WHERE rank <= 10 AND score > 0 GROUP BY ALL) SELECT q.item_id AS query_id, c.candidate, round(coalesce(score, 0), 6) AS score FROM (SELECT DISTINCT item_id FROM benchmark) q CROSS JOIN (SELECT DISTINCT source AS candidate FROM documents) c LEFT JOIN b ON b.query_id = q.item_id AND b.candidate = c.candidate")
 def e34_best_per_candidate(spark: SparkSession, d: str) -> DataFrame:
     docs, asked = table(spark, d, "documents"), _asked(spark, d)
-    hits = R.bm25_search(_docs(spark, d), asked, "doc_id", "item_id", 10)
     owners = docs.select("doc_id", F.col("source").alias("candidate"))
-    return R.best_per_candidate(hits, owners, owners.select("candidate").distinct(), asked.select(F.col("item_id").alias("query_id")).distinct(), "doc_id").select("query_id", "candidate", F.round("score", 6).alias("score"))
+    hits = R.bm25_search(_docs(spark, d), asked, "doc_id", "item_id", 10).join(owners, "doc_id")
+    return R.best_per_candidate(hits, owners, asked.select(F.col("item_id").alias("query_id"))).select("query_id", "candidate", F.round("score", 6).alias("score"))

@@ -6,6 +6,7 @@ import io
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,10 +19,10 @@ from ..operators import segment as G
 from ..operators.profile import coherent_dates, first_of_each
 from ..runtime import prepare, shared_dir, stored, table
 from ..sources import store as S
-from .base import SQL, candidate_skills, candidates, doc_lines, part_people, query
-from .rank_queries import ranked
-from .search_queries import _BM25, _FUSED
-from .text_queries import _COHERENT, _JOB, _SECTIONS, FLAT_CHUNKS, b16_completeness, jobs, section_lines
+from .base import SHARED, SQL, candidate_skills, candidates, doc_lines, part_people, query
+from .rank_queries import _GRADE, _MUST, graded_sets, ranked, resume_chunks, rubric
+from .search_queries import _BM25, _HASH
+from .text_queries import _COHERENT, _JOB, _SECTIONS, FLAT_CHUNKS, TOKENS_SQL, b16_completeness, jobs, section_lines
 
 _MANIFEST = "mf AS (SELECT split_part(url, '/', 4) AS job_id, CAST(page_id AS INTEGER) AS entry_no, CASE page_id % 9 WHEN 0 THEN '__MACOSX/x' || page_id WHEN 1 THEN 'a/.DS_Store' WHEN 2 THEN CASE WHEN page_id % 90 = 2 THEN '../up.pdf' ELSE 'b/cv.pdf' END WHEN 3 THEN 'c/cv.pdf' WHEN 4 THEN 'notes.txt' ELSE 'd' || page_id || '/Resume.DOCX' END AS entry_name, length(html) * CASE WHEN page_id % 50 = 7 THEN 10000 ELSE 1 END AS file_size, CAST(1 + length(html) // 10 AS BIGINT) AS compress_size FROM pages)"
 _JUNK = "(entry_name LIKE '%/' OR starts_with(entry_name, '__MACOSX/') OR split_part(entry_name, '/', -1) IN ('.DS_Store', 'Thumbs.db', 'desktop.ini') OR starts_with(split_part(entry_name, '/', -1), '.'))"
@@ -261,11 +262,6 @@ def graded_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return own.join(labels, ["query_id", "doc_id"], "left"), labels
 
 
-@query(f"WITH {_RUN}, f AS (SELECT query_id, count(*) FILTER (WHERE grade >= 2 AND rank <= 10) AS a, count(*) FILTER (WHERE grade >= 2) AS b FROM gr GROUP BY 1) SELECT query_id, round(CASE WHEN b > 0 THEN a / b END, 6) AS recall_10 FROM f")
-def i15_recall(spark: SparkSession, d: str) -> DataFrame:
-    return E.recall_at(graded_run(spark, d)[0], 10, "query_id").select("query_id", F.round("recall_10", 6).alias("recall_10"))
-
-
 _NDCG = "dcg AS (SELECT query_id, sum((2 ** coalesce(grade, 0) - 1) / log2(rank + 1)) AS dcg FROM gr WHERE rank <= {k} GROUP BY 1), idl AS (SELECT query_id, sum((2 ** grade - 1) / log2(r + 1)) AS ideal FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS r FROM lab) WHERE r <= {k} GROUP BY 1)"
 
 
@@ -279,35 +275,83 @@ def i17_mrr(spark: SparkSession, d: str) -> DataFrame:
     return E.mrr(graded_run(spark, d)[0], "query_id").select("query_id", F.round("mrr", 6).alias("mrr"))
 
 
-_CONFIGS = f"""cf AS (SELECT 'bm25' AS config, query_id, doc_id, rank FROM kw WHERE rank <= 30 AND score > 0 UNION ALL SELECT 'dense', query_id, doc_id, rank FROM dn WHERE rank <= 30 UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM fused WHERE rank <= 30),
-lab AS (SELECT query_id, doc_id, CAST(2 * quality + (1 - toxic) AS INTEGER) AS grade FROM (SELECT DISTINCT query_id, doc_id FROM cf) JOIN labels USING (doc_id)),
-gr AS (SELECT cf.*, grade FROM cf LEFT JOIN lab USING (query_id, doc_id)), nr AS (SELECT query_id, count(*) AS n_rel FROM lab WHERE grade >= 2 GROUP BY 1),
-m AS (SELECT config, query_id, coalesce(1.0 / min(rank) FILTER (WHERE grade >= 2), 0) AS mrr, count(*) FILTER (WHERE grade >= 2 AND rank <= 10) AS f10, sum((2 ** coalesce(grade, 0) - 1) / log2(rank + 1)) FILTER (WHERE rank <= 10) AS dcg FROM gr GROUP BY ALL),
-idl AS (SELECT query_id, sum((2 ** grade - 1) / log2(r + 1)) AS ideal FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS r FROM lab) WHERE r <= 10 GROUP BY 1),
-cm AS (SELECT config, avg(mrr) AS mrr, avg(f10 / n_rel) AS recall_10, avg(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal END) AS ndcg_10 FROM m JOIN nr USING (query_id) LEFT JOIN idl USING (query_id) GROUP BY config)"""
-
-
-def configurations(spark: SparkSession, d: str) -> DataFrame:
-    docs, asked = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text")
-    dense = stored(R.dense_search(R.dense_vectors(docs, "doc_id"), R.dense_vectors(asked, "item_id"), 30).withColumnRenamed("id", "doc_id"), "dense-hits")
-    bm25 = stored(R.bm25_search(docs, asked, "doc_id", "item_id", 30), "keyword-hits")
-    fused = R.fuse([dense, bm25], "doc_id").where("rank <= 30")
-    runs = None
-    for name, hits in (("bm25", bm25), ("dense", dense), ("hybrid", fused)):
-        own = hits.select(F.lit(name).alias("config"), "query_id", "doc_id", "rank")
-        runs = own if runs is None else runs.unionByName(own)
-    runs = stored(runs, "runs")  # each search is read once for every metric
-    return E.compare_configs(runs, judged(spark, d, runs), (10,))
-
-
-@query(f"WITH {_FUSED.format(depth=30)}, {_CONFIGS} SELECT config, round(mrr, 6) AS mrr, round(recall_10, 6) AS recall_10, round(ndcg_10, 6) AS ndcg_10 FROM cm")
+#: Chunks of a candidate that are reranked for a job.
+RERANKED = 10
+CUTOFFS = (10, 20, 45)
+CONFIGURATIONS = {"dense": ("dense", False), "bm25": ("bm25", False), "hybrid": ("hybrid", False), "rerank": ("rerank", False), "prefilter": ("rerank", True)}
+
+SHARED |= {
+    "jq": (("rubric",), f"SELECT query_id, text, {TOKENS_SQL.format('text')} AS toks FROM (SELECT jd_id AS query_id, array_to_string(list_concat(list_concat(list_sort(list(DISTINCT lower(canonical_skill)) FILTER (WHERE canonical_skill IS NOT NULL AND weight >= 2)), list_sort(list(DISTINCT lower(canonical_skill)) FILTER (WHERE canonical_skill IS NOT NULL AND weight < 2))), list(search_query ORDER BY req_no) FILTER (WHERE kind = 'soft')), ' ') AS text FROM rubric GROUP BY jd_id)"),
+    "jterm": (("jq",), SHARED["sterm"][1].replace("sq", "jq")),
+    "jkw": (("ctf", "csize", "craw", "jterm", "chunk"), SHARED["ckw"][1].replace("sterm", "jterm")),
+    "jhv": (("jq",), _HASH.format(i="query_id", t="jq").split(" AS (", 1)[1][:-1]),
+    "jdn": (("chv", "jhv", "chunk"), SHARED["cdn"][1].replace("shv", "jhv").replace("SELECT query_id, doc_id, chunk_id, row_number()", "SELECT query_id, doc_id, chunk_id, round(coalesce(score, 0), 9) AS score, row_number()", 1)),
+    "jfr": (("jkw", "jdn"), SHARED["cfr"][1].replace("cdn", "jdn").replace("ckw", "jkw").replace("rank <= 30", f"rank <= {3 * RERANKED}")),
+}
+
+_RANKINGS = f"""{_MUST}, sc AS (SELECT 'dense' AS base, query_id, doc_id, score FROM jdn WHERE rank = 1 UNION ALL SELECT 'bm25', query_id, doc_id, score FROM jkw WHERE rank = 1 AND score > 0 UNION ALL SELECT 'hybrid', query_id, doc_id, rrf FROM jfr WHERE rank = 1
+UNION ALL SELECT 'rerank', query_id, doc_id, max(1 / (1 + exp(-CASE WHEN len(jq.toks) = 0 THEN -3.0 ELSE 6.0 * len(list_intersect(list_distinct(jq.toks), chunk.toks)) / len(list_distinct(jq.toks)) - 3.0 END))) FROM (SELECT query_id, doc_id, chunk_id FROM jfr WHERE rank <= {RERANKED}) JOIN chunk USING (doc_id, chunk_id) JOIN jq USING (query_id) GROUP BY ALL),
+cf AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{b}', {str(p).lower()})" for k, (b, p) in CONFIGURATIONS.items())}) v(config, base, pre)),
+gr AS (SELECT config, gs.jd_id, gs.id, NOT pre OR list_has_all(skills, must) AND years_ok AS allowed, coalesce(round(sc.score, 9), 0) AS score, {_GRADE} AS grade FROM gs CROSS JOIN cf LEFT JOIN sc ON sc.base = cf.base AND sc.query_id = gs.jd_id AND sc.doc_id = gs.id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY config, jd_id ORDER BY allowed DESC, CASE WHEN allowed THEN -score ELSE 0 END, CASE WHEN allowed THEN -id ELSE id END) AS rank, row_number() OVER (PARTITION BY config, jd_id ORDER BY grade DESC) AS ir, count(*) FILTER (WHERE grade >= 2) OVER (PARTITION BY config, jd_id) AS n_rel FROM gr)"""
+_METRICS = ", ".join(f"count(*) FILTER (WHERE grade >= 2 AND rank <= {k}) / any_value(n_rel) AS recall_{k}, sum((2 ** grade - 1) / log2(rank + 1)) FILTER (WHERE rank <= {k}) / sum((2 ** grade - 1) / log2(ir + 1)) FILTER (WHERE ir <= {k}) AS ndcg_{k}" for k in CUTOFFS)
+_CONFIGS = f"{_RANKINGS}, m AS (SELECT config, jd_id, 1.0 / min(rank) FILTER (WHERE grade >= 2) AS mrr, {_METRICS} FROM rk WHERE n_rel > 0 GROUP BY ALL), cm AS (SELECT config, count(*) AS n_queries, avg(mrr) AS mrr, {', '.join(f'avg({c}_{k}) AS {c}_{k}' for k in CUTOFFS for c in ('recall', 'ndcg'))} FROM m GROUP BY config)"
+_NEEDS = ("jkw", "jdn", "jfr", "chunk", "jq", "cskills", "rubric")
+_NAMES = ["mrr", *[f"{m}_{k}" for k in CUTOFFS for m in ("recall", "ndcg")]]
+
+
+def job_queries(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, text: one query a job, of its skills and its soft requirements, the same for all configurations."""
+    r = rubric(spark, d)
+    skills = lambda test: F.array_sort(F.collect_set(F.when(test, F.lower("canonical_skill"))))
+    soft = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "soft", F.struct("req_no", "search_query")))), lambda x: x["search_query"])
+    return r.groupBy("jd_id").agg(F.array_join(F.concat(skills(F.col("weight") >= 2), skills(F.col("weight") < 2), soft), " ").alias("text")).select(F.col("jd_id").cast("long").alias("query_id"), "text")
+
+
+def candidate_rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Stored: (config, query_id, candidate, place) of every candidate for every job in five configurations, and labels.
+
+    One search within candidates serves them all: the best chunk by embedding, by keyword, fused, and reranked.
+    """
+    asked, chunks = job_queries(spark, d), resume_chunks(spark, d)
+    sets = stored(E.graded(graded_sets(spark, d)).select(F.col("jd_id").cast("long").alias("query_id"), F.col("id").alias("candidate"), "grade", (F.size(F.array_except("must", "skills")) == 0).alias("has_all"), "years_ok"), "graded-sets")
+    pairs = chunks.select("doc_id").distinct().join(sets.select("query_id", F.col("candidate").alias("doc_id")), "doc_id")
+    lists = stored(R.lists_within(chunks, asked, pairs, 3 * RERANKED, "doc_id"), "candidate-lists")
+    fused = stored(R.fused(lists.withColumn("part", F.lit(1.0) / (R.RRF_K + F.col("rank"))), "chunk_id", ["query_id", "doc_id"]).where(F.col("rank") <= RERANKED).select("query_id", "doc_id", "chunk_id", "rank", "rrf_score"), "candidate-fused")
+    tokens, terms = chunks.select("chunk_id", T.tokens(F.col("text")).alias("tokens")), asked.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
+    reranked = R.rerank(fused.join(tokens, "chunk_id").join(terms, "query_id"), R.overlap_logit(F.col("asked"), F.col("tokens")), "chunk_id", 1, "rrf_score", within="doc_id")
+    best = {"dense": lists.where("list_index = 0 and rank = 1"), "bm25": lists.where("list_index = 1 and rank = 1"), "hybrid": fused.where("rank = 1").withColumn("score", F.col("rrf_score")), "rerank": reranked}
+    # one pass over candidates: the scores of all methods side by side
+    hits = reduce(DataFrame.unionByName, [df.select(F.struct("query_id", F.lit(name).alias("base")).alias("query_id"), F.col("doc_id").alias("candidate"), "score") for name, df in best.items()])
+    methods = asked.select(F.explode(F.array(*[F.struct(F.col("query_id"), F.lit(name).alias("base")) for name in best])).alias("query_id"))
+    scores = R.best_per_candidate(hits, sets.select("candidate"), methods).select("query_id.query_id", "query_id.base", "candidate", "score")
+    own = scores.join(sets.select("query_id", "candidate", (F.col("has_all") & F.col("years_ok")).alias("passes")), ["query_id", "candidate"])
+    kinds = F.array(*[F.struct(F.lit(k).alias("config"), F.lit(b).alias("base"), F.lit(p).alias("pre")) for k, (b, p) in CONFIGURATIONS.items()])
+    own = own.select("*", F.explode(F.filter(kinds, lambda x: x["base"] == F.col("base"))).alias("kind"))
+    place = E.ranking_place(~F.col("kind.pre") | F.col("passes"), F.col("score"), F.col("candidate"))
+    return stored(own.select("kind.config", "query_id", "candidate", place.alias("place")), "rankings"), sets.select("query_id", "candidate", "grade")
+
+
+@query(f"WITH {_CONFIGS} SELECT config, n_queries, {', '.join(f'round({c}, 6) AS {c}' for c in _NAMES)} FROM cm", *_NEEDS)
 def i18_configurations(spark: SparkSession, d: str) -> DataFrame:
-    return configurations(spark, d).select("config", *[F.round(c, 6).alias(c) for c in ("mrr", "recall_10", "ndcg_10")])
+    """Dense, BM25, fusion, reranking, and reranking of whom the prefilter lets through, over all candidates of all jobs."""
+    return E.compare_configs(*candidate_rankings(spark, d), CUTOFFS).select("config", "n_queries", *[F.round(c, 6).alias(c) for c in _NAMES])
 
 
-@query(f"WITH {_FUSED.format(depth=30)}, {_CONFIGS} SELECT config, abs(mrr - max(mrr) OVER ()) < 1e-9 AS best_mrr, abs(ndcg_10 - max(ndcg_10) OVER ()) < 1e-9 AS best_ndcg_10 FROM cm")
+@query(f"WITH {_CONFIGS} SELECT config, {', '.join(f'abs({c} - max({c}) OVER ()) < 1e-9 AS best_{c}' for c in _NAMES)} FROM cm", *_NEEDS)
 def e37_best_marked(spark: SparkSession, d: str) -> DataFrame:
-    return E.best_marked(configurations(spark, d), ["mrr", "ndcg_10"]).select("config", "best_mrr", "best_ndcg_10")
+    return E.best_marked(E.compare_configs(*candidate_rankings(spark, d), CUTOFFS), _NAMES).select("config", *[f"best_{c}" for c in _NAMES])
+
+
+@query(f"WITH {_RANKINGS} SELECT config, jd_id AS query_id, {', '.join(f'round(CASE WHEN any_value(n_rel) > 0 THEN count(*) FILTER (WHERE grade >= 2 AND rank <= {k}) / any_value(n_rel) END, 6) AS recall_{k}' for k in CUTOFFS)} FROM rk GROUP BY ALL", *_NEEDS)
+def i15_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of all candidates with a grade of two or more, how many each configuration has within its first k."""
+    scores, labels = candidate_rankings(spark, d)
+    keys = ("config", "query_id")
+    first = scores.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("place"))).where(F.col("rank") <= max(CUTOFFS))
+    graded = stored(first.join(labels, ["query_id", "candidate"]).select(*keys, "rank", "grade"), "graded-first")
+    out = reduce(lambda a, b: a.join(b, list(keys)), [E.recall_at(graded, labels, k, *keys, of=("query_id",)) for k in CUTOFFS])
+    return out.select("config", F.col("query_id").cast("int").alias("query_id"), *[F.round(f"recall_{k}", 6).alias(f"recall_{k}") for k in CUTOFFS])
 
 
 @query(f"WITH {_RUN} SELECT round(avg(a / n_rel), 6) AS mean_recall, count(*) AS n_queries FROM (SELECT query_id, count(*) FILTER (WHERE grade >= 2) AS a FROM gr WHERE rank <= 10 GROUP BY 1) JOIN nr USING (query_id)")
