@@ -1,16 +1,21 @@
 """Sources, sinks and the incremental ingest, by round trips through a temporary folder."""
 
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql.types import StructType
 
+from veritrail.operators import retrieval as R
+from veritrail.plans.registry import queries
 from veritrail.runtime import discard_stored, shared_dir, stored
 from veritrail.sources import store as S
 from veritrail.streaming import ingest as I
 from veritrail.streaming.ingest import current, ingest
 
+QUERIES = queries()
+
 
 def test_directory_scan(spark, tmp_path):
     for name in ("b.PDF", "a.docx", "c.txt"):
@@ -126,13 +131,61 @@ def test_ingest_survives_a_crash(spark, tmp_path, monkeypatch, when):
 def test_ingest_touches_only_the_buckets_of_a_batch(spark, tmp_path):
     index = str(tmp_path / "index")
     I.upsert(spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string"), 0, index, 8)
-    first = I._read(spark, I._manifests(spark, index)[0])["folders"]
+    first = I._read(spark, I._manifests(spark, index)[0])["folders"]["chunks"]
     I.upsert(spark.createDataFrame([(5, "a"), (5, "b")], "doc_id long, text string"), 1, index)
-    second = I._read(spark, I._manifests(spark, index)[1])["folders"]
+    second = I._read(spark, I._manifests(spark, index)[1])["folders"]["chunks"]
     assert len(first) == 8 and sum(first[b] != second[b] for b in first) == 1
     assert {x.text for x in current(spark, index).where("doc_id = 5").collect()} == {"b"} and current(spark, index).count() == 40
 
 
+def test_two_streams_into_one_index(spark, tmp_path):
+    """Each stream numbers its batches from 0 in a checkpoint of its own; none is taken for the other's."""
+    schema, index = StructType.fromDDL("doc_id long, text string"), str(tmp_path / "index")
+    for turn in range(2):
+        for k in ("a", "b"):
+            source, first = str(tmp_path / k), 10 * turn + (100 if k == "b" else 0)
+            spark.createDataFrame([(first + i, f"{k} {turn} {i}") for i in range(3)], schema).coalesce(1).write.mode("append").parquet(source)
+            ingest(spark, source, schema, index, str(tmp_path / f"checkpoint-{k}"), 4).awaitTermination()
+    assert sorted(x.text for x in current(spark, index).collect()) == sorted(f"{k} {t} {i}" for k in "ab" for t in range(2) for i in range(3))
+
+
+def test_a_published_number_is_not_overwritten(spark, tmp_path):
+    index = str(tmp_path / "index")
+    I.upsert(spark.createDataFrame([(1, "one")], "doc_id long, text string"), 0, index, 2)
+    with pytest.raises(Exception, match="exist"):
+        I.publish(spark, index, 0, {})
+    assert [x.text for x in current(spark, index).collect()] == ["one"]
+
+
+def test_vectors_postings_and_statistics_follow_changes(spark, tmp_path, monkeypatch):
+    """After every batch, also when changes are added up, tables and statistics are those of an index built anew."""
+    monkeypatch.setattr(I, "CHANGES", 2)
+    index, have, r = str(tmp_path / "index"), {}, random.Random(3)
+    words = ["alpha", "beta", "gamma", "c++", "node.js", ""]
+    asked = spark.createDataFrame([(1, "alpha gamma"), (2, "node")], "item_id long, text string")
+    for number in range(4):
+        rows = [(r.randrange(12), "\n".join(" ".join(r.choice(words) for _ in range(r.randrange(5))) for _ in range(r.randrange(60)))) for _ in range(5)]
+        for k, t in rows:
+            have[k] = max(t, *(x for i, x in rows if i == k), "")
+        I.upsert(spark.createDataFrame(rows, "doc_id long, text string"), number, index, 3, "s")
+        new = I.chunk_rows(spark.createDataFrame(list(have.items()), "doc_id long, text string"))
+        want = {t: sorted(map(str, df.select(*current(spark, index, t).columns).collect())) for t, df in I._derived(new).items()}
+        assert {t: sorted(map(str, current(spark, index, t).collect())) for t in I.TABLES} == want
+        df, n, length = I.statistics(spark, index)
+        terms = I._derived(new)["postings"]
+        assert sorted(map(tuple, df.collect())) == sorted((x.term, x["count"]) for x in terms.groupBy("term").count().collect())
+        assert n == new.count() and length == (terms.agg({"tf": "sum"}).first()[0] or 0)
+        hits = {(x.query_id, x.chunk_id): (x.rank, round(x.score, 9)) for x in I.keyword_search(spark, index, asked, "item_id", 3).collect()}
+        assert hits == {(x.query_id, x.chunk_id): (x.rank, round(x.score, 9)) for x in R.bm25_search(new, asked, "chunk_id", "item_id", 3).collect()}
+
+
+def test_pages_are_ingested_as_structured_chunks(spark):
+    """k1_structured_ingest has the chunks that I19 makes of all pages at once."""
+    d = "/root/testdata/sf0.001"
+    got, want = QUERIES["k1_structured_ingest"](spark, d), QUERIES["i19_chunking"](spark, d)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
 def test_delete_report(spark):
     t = {"p": spark.createDataFrame([("a", "j"), ("b", "k"), ("c", None)], "resume_id string, job_id string"), "kids": spark.createDataFrame([("a", 1), ("b", 2), ("z", 3), (None, 4)], "resume_id string, n int")}
     assert sorted(map(tuple, S.delete_report(t, "p", "resume_id", "j").collect())) == [("kids", 1, 1, 2), ("p", 2, 1, 0)]

@@ -82,13 +82,18 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("line_no"), "text", (F.col("role") == "assistant").alias("is_bullet"), (F.col("role") == "system").alias("is_bold"))
 
 
-def page_lines(spark: SparkSession, d: str) -> DataFrame:
-    tags = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(F.regexp_extract_all("html", F.lit("(<(?:h1|h2|li|b|p)>[^<]*)"), 1)).alias("line_no", "x"))
+def html_lines(pages: DataFrame) -> DataFrame:
+    """Pages (doc_id, html) as formatted lines."""
+    tags = pages.select("doc_id", F.posexplode(F.regexp_extract_all("html", F.lit("(<(?:h1|h2|li|b|p)>[^<]*)"), 1)).alias("line_no", "x"))
     starts = lambda s: F.startswith("x", F.lit(s))
     size = F.when(starts("<h1>"), 16.0).when(starts("<h2>"), 13.0).when(starts("<b>"), 11.5).otherwise(10.0)
     return tags.select("doc_id", "line_no", F.regexp_replace("x", "^<[a-z0-9]+>", "").alias("text"), starts("<li>").alias("is_bullet"), (starts("<b>") | starts("<h")).alias("is_bold"), starts("<h").alias("is_heading"), size.alias("font_size"))
 
 
+def page_lines(spark: SparkSession, d: str) -> DataFrame:
+    return html_lines(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "html"))
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """id, resume_id, job_id, full_name, months, degree: a customer as a candidate."""
     orders = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderpriority")

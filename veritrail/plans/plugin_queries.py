@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import plugins as L
 from ..operators import profile as P
 from ..operators import retrieval as R
-from ..runtime import prepare, shared_dir, table
-from ..streaming.ingest import current, ingest
-from .base import AS_OF, query
+from ..runtime import fresh_dir, prepare, table
+from ..streaming.ingest import current, ingest, keyword_search, statistics, structured_rows
+from .base import AS_OF, html_lines, query
 from .search_queries import _BM25, _FUSED, _RERANKED, _reranked
-from .text_queries import _COHERENT, _JOB, FLAT_CHUNKS, jobs
+from .search_queries import _HASH as HASH_SQL
+from .text_queries import _COHERENT, _JOB, FLAT_CHUNKS, TOKENS_SQL, jobs, with_headings
 
 _WORDS = "[x FOR x IN regexp_split_to_array(lower({}), '\\s+') IF x <> '']"
 
@@ -93,10 +92,55 @@ def i20_load_profiles(spark: SparkSession, d: str) -> DataFrame:
     return out.select("resume_id", "total_experience_months", "highest_degree", "currently_employed")
 
 
-@query(FLAT_CHUNKS + " SELECT doc_id || '_' || part_index AS chunk_id, text FROM flat", "lines")
+def ingested(spark: SparkSession, d: str) -> str:
+    """An index fed by two streams with checkpoints of their own: all documents, and the benchmark's passages under negative ids."""
+    place = fresh_dir(spark, "ingest")
+    for name, key, own_id in (("documents", "doc_id", "doc_id"), ("benchmark", "item_id", F.expr("-1 - item_id"))):
+        # a pattern, as the table may be one file or a folder
+        own = table(spark, d, name).select(key, "text")
+        ingest(spark, f"{d}/{name}.parque[t]", own.schema, f"{place}/index", f"{place}/{name}", id_col=own_id).awaitTermination()
+    return f"{place}/index"
+
+
+#: Documents and passages as ``ingested`` has them, and their chunks.
+_TWO = FLAT_CHUNKS.replace("WITH RECURSIVE l AS", "WITH RECURSIVE documents AS (SELECT doc_id, text FROM main.documents UNION ALL SELECT -1 - item_id, text FROM benchmark), own_lines AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no, unnest(string_split(text, chr(10))) AS text FROM documents), l AS").replace("FROM lines)", "FROM own_lines)")
+_TWO += f", chunk AS (SELECT doc_id || '_' || part_index AS chunk_id, text, {TOKENS_SQL.format('text')} AS toks FROM flat), ctf AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(toks) AS term FROM chunk) GROUP BY ALL)"
+
+
+@query(_TWO + " SELECT chunk_id, text FROM chunk")
 def k1_incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """All documents through the streaming ingest into a fresh index."""
-    place = f"{shared_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
-    source = f"{d}/documents.parque[t]"  # a pattern, as the table may be one file or a folder
-    ingest(spark, source, table(spark, d, "documents").select("doc_id", "text").schema, f"{place}/index", f"{place}/checkpoint").awaitTermination()
-    return current(spark, f"{place}/index").select("chunk_id", "text")
+    """All documents and passages through the streaming ingest into a fresh index."""
+    return current(spark, ingested(spark, d)).select("chunk_id", "text")
+
+
+@query(_TWO + ", " + HASH_SQL.format(i="chunk_id", t="chunk") + " SELECT id AS chunk_id, bucket, round(v, 6) AS value FROM hv")
+def k1_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors that the ingest kept beside the chunks."""
+    own = current(spark, ingested(spark, d), "vectors")
+    return own.select("chunk_id", F.posexplode("embedding").alias("bucket", "value")).where("value <> 0").select("chunk_id", "bucket", F.round("value", 6).alias("value"))
+
+
+@query(_TWO + " SELECT term, count(*) AS df FROM ctf GROUP BY term")
+def k1_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequencies that the ingest kept by changes."""
+    return statistics(spark, ingested(spark, d))[0]
+
+
+@query(_TWO + f""", sz AS (SELECT (SELECT count(*) FROM chunk) AS n, (SELECT sum(tf) FROM ctf) / (SELECT count(*) FROM chunk) AS avgdl),
+raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM ctf, sz GROUP BY term, n),
+q AS (SELECT query_id, term, count(*) AS qn FROM (SELECT item_id AS query_id, unnest({TOKENS_SQL.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT query_id, chunk_id, sum(qn * CASE WHEN raw < 0 THEN (SELECT 0.25 * avg(raw) FROM raw) ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN raw USING (term) JOIN ctf USING (term) JOIN (SELECT chunk_id, sum(tf) AS dl FROM ctf GROUP BY 1) USING (chunk_id), sz GROUP BY ALL)
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5 AND score > 0""")
+def k1_keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 on the index as the ingest left it; a chunk of a passage is a hit like any other."""
+    asked = table(spark, d, "benchmark").select("item_id", "text")
+    return keyword_search(spark, ingested(spark, d), asked, "item_id", 5).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def k1_structured_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Pages through the ingest as I19's chunks; tests hold them against i19_chunking."""
+    place, pages = fresh_dir(spark, "ingest"), table(spark, d, "pages").select("page_id", "html")
+    lines_of = lambda docs: with_headings(html_lines(docs.select("doc_id", F.col("text").alias("html"))))
+    ingest(spark, f"{d}/pages.parque[t]", pages.schema, f"{place}/index", f"{place}/checkpoint", chunker=structured_rows(lines_of), id_col="page_id", text_col="html").awaitTermination()
+    return current(spark, f"{place}/index").drop("doc_id")

@@ -200,10 +200,15 @@ o AS (SELECT *, coalesce(canonical, CASE WHEN seen AND NOT is_bullet AND len([w
 s AS (SELECT doc_id, line_no, text, is_bullet, is_bold, opens, canonical, CAST(count(opens) OVER w AS INTEGER) AS section_seq, coalesce(last_value(opens IGNORE NULLS) OVER w, 'HEADER') AS section FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
-def section_lines(spark: SparkSession, d: str) -> DataFrame:
+def with_headings(lines: DataFrame) -> DataFrame:
+    """The first heading of a page becomes one that sections know."""
     first = F.row_number().over(Window.partitionBy("doc_id", "is_heading").orderBy("line_no")) == 1
     name = F.when(F.col("doc_id") % 3 == 0, "Work Experience:").when(F.col("doc_id") % 3 == 1, "# Projects").otherwise("skills")
-    return page_lines(spark, d).withColumn("text", F.when(F.col("is_heading") & first, name).otherwise(F.col("text")))
+    return lines.withColumn("text", F.when(F.col("is_heading") & first, name).otherwise(F.col("text")))
+
+
+def section_lines(spark: SparkSession, d: str) -> DataFrame:
+    return with_headings(page_lines(spark, d))
 
 
 @query(f"WITH {_SECTIONS} SELECT doc_id, line_no, section_seq, section FROM s WHERE opens IS NULL", "page_lines")

@@ -57,15 +57,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     A lost executor costs nothing afterwards: the files are committed by Spark's writer, not held by a machine. Results
     may still read such tables; ``discard_stored`` removes them once the results have been used.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one, for ``discard_stored`` to remove."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def discard_stored(spark: SparkSession) -> int:
-    """Remove the tables that ``stored`` wrote in this application, and say how many there were."""
+    """Remove the tables that ``stored`` wrote, and what stands under ``fresh_dir``, in this application, and say how many there were."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         remove(spark, path)

@@ -1,34 +1,55 @@
-"""K1: incremental ingest. New files of lines become chunks and vectors, batch by batch, exactly once in effect.
-
-The index is cut into buckets by document. A micro-batch reads and writes only the buckets that its documents fall into,
-into a folder of its own, and then publishes a manifest: a small file that says for each bucket where its rows are, put in
-place by one rename. Readers follow the newest manifest, so they see whole versions only, and whatever a run that died
-left behind is not in any. The file source remembers what it has read in the query's checkpoint; a batch that is run again
-after its manifest was published has nothing left to do.
+"""K1: incremental ingest. New files become chunks, vectors and postings, batch by batch, exactly once in effect.
+
+The index holds three tables, chunks (I19 or flat), vectors (A9) and postings (E7), each cut into buckets by document, and
+the corpus' statistics: how many chunks have a term, as one small table of changes a batch, and two totals. A micro-batch reads and
+writes only the buckets that its documents fall into, into a folder of its own, and then publishes a manifest: a small
+file that says for each table and bucket where its rows are, which changes of statistics count, and which batch of
+which stream was the last; it is put in place by one rename. Readers follow the newest manifest, so they see whole
+versions only, and whatever a run that died left behind is not in any. Any number of streams, each with a checkpoint of
+its own, may feed an index: a batch that a stream runs again after its manifest was published has nothing left to do.
+Two that publish at once get in each other's way: the later one fails and runs again.
+
+BM25 reads postings and statistics as they are: nothing is rebuilt when documents come, change or go.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.segment import flat_chunks
+from ..operators import retrieval as R
+from ..operators.segment import chunks, flat_chunks
 from ..runtime import file_system, remove
 
 #: Buckets of a new index; an index keeps the number it began with.
 BUCKETS = 64
-CHUNKS = "chunk_id string, doc_id long, part_index int, text string"
+#: Tables of changes in statistics after which they are added up into one, no larger than the vocabulary.
+CHANGES = 16
+TABLES = {
+    "chunks": "chunk_id string, doc_id long, section string, part_index int, text string, embedding_text string, candidate_name string",
+    "vectors": "chunk_id string, doc_id long, embedding array<double>",
+    "postings": "chunk_id string, doc_id long, term string, tf long, dl long",
+}
+TERMS = "term string, df long"
+#: From documents (doc_id, text) to rows of the table of chunks.
+Chunker = Callable[[DataFrame], DataFrame]
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    chunks = flat_chunks(docs)
+    """Documents without structure: lines packed into parts."""
     chunk_id = F.concat_ws("_", F.col("doc_id").cast("string"), F.col("part_index").cast("string"))
-    return chunks.select(chunk_id.alias("chunk_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("part_index").cast("int").alias("part_index"), "text")
+    return flat_chunks(docs).select(chunk_id.alias("chunk_id"), F.col("doc_id").cast("long").alias("doc_id"), F.lit("TEXT").alias("section"), F.col("part_index").cast("int").alias("part_index"), "text", F.col("text").alias("embedding_text"), F.lit("").alias("candidate_name"))
+
+
+def structured_rows(lines_of: Callable[[DataFrame], DataFrame]) -> Chunker:
+    """I19 over the formatted lines that ``lines_of`` makes of documents."""
+    return lambda docs: chunks(lines_of(docs)).select("chunk_id", F.col("doc_id").cast("long").alias("doc_id"), "section", "part_index", "text", "embedding_text", "candidate_name")
 
 
 def _manifests(spark: SparkSession, index: str) -> dict[int, str]:
@@ -45,62 +66,127 @@ def _read(spark: SparkSession, path: str) -> dict:
 
 
 def publish(spark: SparkSession, index: str, number: int, manifest: dict) -> None:
-    """Write a manifest under a name that nobody reads, then rename it."""
+    """Write a manifest under a name that nobody reads, then rename it; a number that is taken is an error."""
     fs, temporary = file_system(spark, f"{index}/manifest/.{number}-{uuid.uuid4().hex}")
     out = fs.create(temporary, True)
     out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
     out.close()
-    if not fs.rename(temporary, file_system(spark, f"{index}/manifest/{number}.json")[1]):
-        raise OSError(f"manifest {number} of {index} could not be published")
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs
+    own = hadoop.FileContext.getFileContext(temporary.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    # without the option to overwrite
+    own.rename(temporary, jvm.org.apache.hadoop.fs.Path(f"{index}/manifest/{number}.json"), spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
 
 
 def _bucket(n: int) -> F.Column:
     return F.expr(f"cast(pmod(xxhash64(cast(doc_id as long)), {n}) as int)")
 
 
-def _rows(spark: SparkSession, index: str, folders: list[str]) -> DataFrame:
-    return spark.read.schema(CHUNKS).parquet(*[f"{index}/{x}" for x in folders]) if folders else spark.createDataFrame([], CHUNKS)
+def _rows(spark: SparkSession, index: str, name: str, folders: list[str]) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(*[f"{index}/{x}" for x in folders]) if folders else spark.createDataFrame([], TABLES[name])
+
 
+def _changes(spark: SparkSession, index: str, folders: list[str]) -> DataFrame:
+    own = spark.read.schema(TERMS).parquet(*[f"{index}/{x}" for x in folders]) if folders else spark.createDataFrame([], TERMS)
+    return own.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
 
-def upsert(batch: DataFrame, number: int, index: str, buckets: int = BUCKETS) -> None:
+
+def _derived(new: DataFrame) -> dict[str, DataFrame]:
+    """Vectors and postings of chunks, each counted where the chunk stands."""
+    of = F.struct("chunk_id", "doc_id").alias("id")
+    vectors = R.dense_vectors(new.select(of, "embedding_text"), "id", "embedding_text").select("id.chunk_id", "id.doc_id", "embedding")
+    counted = R.counted_terms(new.select(of, "text"), "id").select("id.chunk_id", "id.doc_id", "term", "tf", "dl")
+    return {"chunks": new, "vectors": vectors, "postings": counted}
+
+
+def upsert(batch: DataFrame, number: int, index: str, buckets: int = BUCKETS, source: str = "", chunker: Chunker | None = None) -> None:
     """Replace the documents of ``batch`` (doc_id, text) in the index: all their chunks go, the new ones come.
 
-    Of rows with one doc_id in a batch, the one whose text sorts last counts. Running a batch again changes nothing.
+    Of rows with one doc_id in a batch, the one whose text sorts last counts. ``source`` names the stream that numbers its
+    batches; running one again changes nothing.
     """
     spark = batch.sparkSession
     known = _manifests(spark, index)
-    if known and max(known) >= number:
+    last = _read(spark, known[max(known)]) if known else {"buckets": buckets, "folders": {t: {} for t in TABLES}, "terms": [], "n": 0, "length": 0, "sources": {}}
+    if last["sources"].get(source, -1) >= number:
         return
-    last = _read(spark, known[max(known)]) if known else {"buckets": buckets, "folders": {}}
-    n, folders = last["buckets"], dict(last["folders"])
+    n = last["buckets"]
     docs = batch.groupBy("doc_id").agg(F.max("text").alias("text"))
     touched = [str(r["bucket"]) for r in docs.select(_bucket(n).alias("bucket")).distinct().collect()]  # at most n rows
     if not touched:
         return
-    old = _rows(spark, index, sorted(folders[b] for b in touched if b in folders))
-    rows = old.join(docs.select("doc_id"), "doc_id", "left_anti").unionByName(chunk_rows(docs)).withColumn("bucket", _bucket(n))
-    home = f"data/{number}-{uuid.uuid4().hex}"
-    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{index}/{home}")
+    home, folders = f"data/{uuid.uuid4().hex}", {t: dict(last["folders"][t]) for t in TABLES}
+    (chunker or chunk_rows)(docs).write.parquet(f"{index}/{home}/new")
+    new = spark.read.schema(TABLES["chunks"]).parquet(f"{index}/{home}/new")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    old = {t: _rows(spark, index, t, sorted(folders[t][b] for b in touched if b in folders[t])) for t in TABLES}
     fs, path = file_system(spark, f"{index}/{home}")
-    written = {f.getPath().getName().removeprefix("bucket=") for f in fs.listStatus(path) if f.isDirectory()}
-    for b in touched:  # a bucket whose last chunk went has no folder
-        folders.pop(b, None)
-        if b in written:
-            folders[b] = f"{home}/bucket={b}"
-    publish(spark, index, number, {"buckets": n, "folders": folders})
+    for name, rows in _derived(new).items():
+        kept = old[name].join(ids, "doc_id", "left_anti").unionByName(rows).withColumn("bucket", _bucket(n))
+        kept.repartition("bucket").write.partitionBy("bucket").parquet(f"{index}/{home}/{name}")
+        written = {f.getPath().getName().removeprefix("bucket=") for f in fs.listStatus(file_system(spark, f"{index}/{home}/{name}")[1]) if f.isDirectory()}
+        for b in touched:  # a bucket whose last row went has no folder
+            folders[name].pop(b, None)
+            if b in written:
+                folders[name][b] = f"{home}/{name}/bucket={b}"
+    # statistics change by what came less what went
+    came = _rows(spark, index, "postings", sorted(folders["postings"][b] for b in touched if b in folders["postings"])).join(ids, "doc_id", "left_semi").withColumn("sign", F.lit(1))
+    went = old["postings"].join(ids, "doc_id", "left_semi").withColumn("sign", F.lit(-1))
+    both = came.unionByName(went)
+    both.groupBy("term").agg(F.sum("sign").cast("long").alias("df")).where("df <> 0").write.parquet(f"{index}/{home}/terms")
+    terms = [*last["terms"], f"{home}/terms"]
+    if len(terms) > CHANGES:
+        _changes(spark, index, terms).write.parquet(f"{index}/{home}/all-terms")
+        terms = [f"{home}/all-terms"]
+    length = both.agg(F.coalesce(F.sum(F.col("tf") * F.col("sign")), F.lit(0))).first()[0]
+    count = new.count() - old["chunks"].join(ids, "doc_id", "left_semi").count()
+    publish(spark, index, max(known, default=-1) + 1, {"buckets": n, "folders": folders, "terms": terms, "n": last["n"] + count, "length": last["length"] + length, "sources": last["sources"] | {source: number}})
+
+
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()["value"])["id"]
+
+
+def ingest(spark: SparkSession, source: str, schema: StructType, index: str, checkpoint: str, buckets: int = BUCKETS, chunker: Chunker | None = None, text_col: str = "text", id_col: str | Column = "doc_id") -> StreamingQuery:
+    """Read all files that are new under ``source``, chunk them and upsert chunks, vectors and postings into ``index``.
+
+    ``id_col`` may be an expression, so that the ids of several sources stay apart.
+    """
+    stream = spark.readStream.schema(schema).parquet(source)
 
+    def run(batch: DataFrame, number: int) -> None:
+        docs = batch.select((F.col(id_col) if isinstance(id_col, str) else id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        upsert(docs, number, index, buckets, _stream_id(spark, checkpoint), chunker)
 
-def ingest(spark: SparkSession, source: str, schema: StructType, index: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Read all files that are new under ``source``, chunk them and upsert the chunks into ``index``."""
-    stream = spark.readStream.schema(schema).parquet(source)
-    run = lambda batch, number: upsert(batch.select("doc_id", "text"), number, index, buckets)
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, index: str) -> DataFrame | None:
-    """The newest whole version of the index, None before the first."""
+def _newest(spark: SparkSession, index: str) -> dict | None:
     known = _manifests(spark, index)
-    return _rows(spark, index, sorted(_read(spark, known[max(known)])["folders"].values())) if known else None
+    return _read(spark, known[max(known)]) if known else None
+
+
+def current(spark: SparkSession, index: str, name: str = "chunks") -> DataFrame | None:
+    """A table of the newest whole version of the index, None before the first."""
+    newest = _newest(spark, index)
+    return _rows(spark, index, name, sorted(newest["folders"][name].values())) if newest else None
+
+
+def statistics(spark: SparkSession, index: str) -> tuple[DataFrame, int, int] | None:
+    """(term, df), the number of chunks and their length in terms, of the newest version."""
+    newest = _newest(spark, index)
+    return (_changes(spark, index, newest["terms"]), newest["n"], newest["length"]) if newest else None
+
+
+def keyword_search(spark: SparkSession, index: str, queries: DataFrame, query_col: str, n: int) -> DataFrame:
+    """I3 over the index: (query_id, chunk_id, score, rank) from the postings and statistics of one version."""
+    newest = _newest(spark, index)
+    if newest is None or not newest["n"]:
+        return spark.createDataFrame([], "query_id long, chunk_id string, score double, rank int")
+    postings, df = _rows(spark, index, "postings", sorted(newest["folders"]["postings"].values())), _changes(spark, index, newest["terms"])
+    asked = R.query_terms(queries, query_col).join(R.weights(df.withColumn("n", F.lit(newest["n"]))).select("term", "idf"), "term")
+    scores = R.scored(asked, postings.withColumn("avgdl", F.lit(newest["length"] / newest["n"])), "chunk_id")
+    return R.top(scores, n, ["query_id"], "chunk_id").where("score > 0")
 
 
 def vacuum(spark: SparkSession, index: str, keep: int = 2) -> int:
@@ -109,7 +195,11 @@ def vacuum(spark: SparkSession, index: str, keep: int = 2) -> int:
     Only between runs: a batch that is being written isn't named yet.
     """
     known = _manifests(spark, index)
-    used = {x.rsplit("/", 1)[0] for k in sorted(known)[-keep:] for x in _read(spark, known[k])["folders"].values()}
+    named: set[str] = set()
+    for k in sorted(known)[-keep:]:
+        own = _read(spark, known[k])
+        named |= {x for t in TABLES for x in own["folders"][t].values()} | set(own["terms"])
+    used = {"/".join(x.split("/")[:2]) for x in named}
     fs, path = file_system(spark, f"{index}/data")
     gone = [f"data/{f.getPath().getName()}" for f in (fs.listStatus(path) if fs.exists(path) else []) if f"data/{f.getPath().getName()}" not in used]
     for x in [*gone, *[f"manifest/{k}.json" for k in sorted(known)[:-keep]]]:
