@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import prepare
 
 RELEVANT = 2
 
@@ -96,10 +101,14 @@ def most_common(arrays: DataFrame, values: Column, n: int = 5) -> DataFrame:
     return arrays.select(F.explode(values).alias("value")).groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)
 
 
-def tolerance(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """How many differ by under 0.05, how many by at most 1."""
+def tolerance(rows: DataFrame, a: str, b: str, key: str | None = None, n: int = 5) -> DataFrame:
+    """How many differ by under 0.05, how many by at most 1, and with ``key`` the n that are furthest off."""
     off = F.abs(F.col(a) - F.col(b))
-    return rows.agg(F.count("*").alias("n"), F.count_if(off < 0.05).alias("exact"), F.count_if(off <= 1.0).alias("close"))
+    total = rows.agg(F.count("*").alias("n"), F.count_if(off < 0.05).alias("exact"), F.count_if(off <= 1.0).alias("close"))
+    if key is None:
+        return total
+    far = rows.select(off.alias("off"), key).where("off is not null").orderBy(F.desc("off"), key).limit(n)
+    return total.crossJoin(F.broadcast(far.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("off")).alias("k"), key))), lambda x: x[key]).alias("worst"))))
 
 
 def split_accuracy(found: DataFrame) -> DataFrame:
@@ -108,21 +117,44 @@ def split_accuracy(found: DataFrame) -> DataFrame:
     return found.groupBy("section").agg(F.count_if(f == t).alias("exact"), F.count_if(f < t).alias("under"), F.count_if(f > t).alias("over"))
 
 
-def matched_companies(found: DataFrame, truth: DataFrame, key: str) -> DataFrame:
-    """Greedy one-to-one match of names within a document: equal, or one inside the other. (key, found_no, truth_no)
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, truth_no, found_no) from rows sorted by key, found rows before truth rows, each by number.
 
-    Truth rows take, in order, the first found row not yet taken. The fold runs over one document's pairs.
+    Only the found rows of the key at hand that are not taken yet are held, by name.
     """
-    f, t = F.col("found_name"), F.col("truth_name")
-    pairs = truth.join(found, key).where((f != "") & (t != "") & (f.contains(t) | t.contains(f)))
-    by = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("truth_no", "found_no"))).alias("pairs"))
-    kind = by.schema["pairs"].dataType.simpleString()
+    key, free, begun = None, {}, False
+    for batch in batches:
+        out: list[list] = [[], [], []]
+        for k, kind, no, name in zip(*(batch.column(c).to_pylist() for c in ("key", "kind", "no", "name")), strict=True):
+            if not begun or k != key:
+                key, free, begun = k, {}, True
+            if kind == 0:
+                free.setdefault(name, deque()).append(no)
+                continue
+            # numbers wait in order, so the first of a name is its smallest
+            if best := min(((own[0], f) for f, own in free.items() if f in name or name in f), default=None):
+                own = free[best[1]]
+                own.popleft()
+                if not own:
+                    del free[best[1]]
+                out[0].append(k)
+                out[1].append(no)
+                out[2].append(best[0])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column("key").type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["key", "truth_no", "found_no"])
 
-    def take(done: Column, x: Column) -> Column:
-        free = ~F.exists(done, lambda y: (y["truth_no"] == x["truth_no"]) | (y["found_no"] == x["found_no"]))
-        return F.when(free, F.concat(done, F.array(x))).otherwise(done)
 
-    return by.select(key, F.explode(F.aggregate("pairs", F.array().cast(kind), take)).alias("x")).select(key, "x.truth_no", "x.found_no")
+def matched_companies(found: DataFrame, truth: DataFrame, key: str) -> DataFrame:
+    """Greedy one-to-one match of names within a document: equal, or one inside the other. (key, found_no, truth_no)
+
+    Truth rows take, in order, the first found row not yet taken. Both sides come as one sorted stream: no pair is built but
+    those that match, and of a document only the names not taken are held.
+    """
+    prepare(found.sparkSession)
+    rows = lambda df, kind, side: df.where(F.col(f"{side}_name") != "").select(F.col(key).alias("key"), F.lit(kind).alias("kind"), F.col(f"{side}_no").cast("long").alias("no"), F.col(f"{side}_name").alias("name"))
+    both = rows(found, 0, "found").unionByName(rows(truth, 1, "truth")).where("key is not null").repartition("key").sortWithinPartitions("key", "kind", "no")
+    kind = found.schema[key].dataType.simpleString()
+    out = both.mapInArrow(_taken, f"key {kind}, truth_no long, found_no long")
+    return out.select(F.col("key").alias(key), F.col("truth_no").cast(truth.schema["truth_no"].dataType), F.col("found_no").cast(found.schema["found_no"].dataType))
 
 
 def canonicalised(names: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -161,31 +193,30 @@ def verbatim(truth: DataFrame, found: DataFrame, key: str, form: str) -> DataFra
 
 
 def field_accuracies(found: DataFrame, truth: DataFrame, key: str) -> DataFrame:
-    """Per field the share of documents whose profile is right.
+    """Per field the share of documents whose profile is right; of years, the share of matched jobs.
 
     Profiles: name, email, phone, level, jobs (array of structs company, start_year, end_year, in order), n_education.
-    Names are compared in B7 form, contact details by presence, years on jobs that have the same place in both, null equal
-    to null; a level counts as right if both or neither are postgraduate.
+    Names are compared in B7 form, contact details by presence; jobs are paired by D11 on their companies' B7 form, and
+    their years compared, null equal to null; a level counts as right if both or neither are postgraduate.
     """
     f, t = (lambda c: F.col(f"f.{c}")), (lambda c: F.col(f"t.{c}"))
     own = truth.select(key, F.struct(*[c for c in truth.columns if c != key]).alias("t")).join(found.select(key, F.struct(*[c for c in found.columns if c != key]).alias("f")), key)
     share = lambda c: F.avg(c.cast("int"))
     post = lambda c: F.coalesce(c.isin("master", "doctorate"), F.lit(False))
-    both = F.arrays_zip(F.col("f.jobs").alias("f"), F.col("t.jobs").alias("t"))
-    pairs = own.withColumn("pair", F.filter(both, lambda x: x["f"].isNotNull() & x["t"].isNotNull()))
-    right = lambda c: F.size(F.filter("pair", lambda x: x["f"][c].eqNullSafe(x["t"][c])))
-    n = F.sum(F.size("pair"))
-    return pairs.agg(
+    jobs = lambda df, side: df.select(key, F.posexplode("jobs").alias(f"{side}_no", "j")).select(key, f"{side}_no", T.comparison_form(F.col("j.company")).alias(f"{side}_name"), F.struct("j.start_year", "j.end_year").alias(side))
+    found_jobs, truth_jobs = jobs(found, "found"), jobs(truth, "truth")
+    pairs = matched_companies(found_jobs, truth_jobs, key).join(found_jobs.drop("found_name"), [key, "found_no"]).join(truth_jobs.drop("truth_name"), [key, "truth_no"])
+    right = lambda c: F.avg(F.col(f"found.{c}").eqNullSafe(F.col(f"truth.{c}")).cast("int")).alias(c)
+    years = pairs.agg(F.count("*").alias("n_matched"), right("start_year"), right("end_year"))
+    return own.agg(
         F.count("*").alias("n"),
         share(T.comparison_form(f("name")).eqNullSafe(T.comparison_form(t("name")))).alias("name"),
         share(f("email").isNotNull() == t("email").isNotNull()).alias("email"),
         share(f("phone").isNotNull() == t("phone").isNotNull()).alias("phone"),
         share(F.size(f("jobs")) == F.size(t("jobs"))).alias("job_count"),
-        F.when(n > 0, F.sum(right("start_year")) / n).alias("start_year"),
-        F.when(n > 0, F.sum(right("end_year")) / n).alias("end_year"),
         share(post(f("level")) == post(t("level"))).alias("postgraduate"),
         share(f("n_education") == t("n_education")).alias("education_count"),
-    )
+    ).crossJoin(F.broadcast(years))  # one row each
 
 
 def graded(sets: DataFrame) -> DataFrame:

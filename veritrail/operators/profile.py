@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as K
 from ..functions import text as T
 from ..functions.tables import skill_aliases
+from ..runtime import prepare, stored
 
 
 def coherent_dates(jobs: DataFrame) -> DataFrame:
@@ -80,21 +84,52 @@ def vocabulary(spark: object) -> DataFrame:
     return cleaned.groupBy("alias").agg(F.min("alias_pos").alias("alias_pos"), F.max_by("canonical", "alias_pos").alias("canonical"))
 
 
+#: Aliases that one automaton holds; a larger vocabulary is met by a join.
+AUTOMATON = 20_000
+
+
+def _longest_inside(batches: Iterator[pa.RecordBatch], words: list[tuple[str, int, str]]) -> Iterator[pa.RecordBatch]:
+    """The canonical of the longest alias that stands in each text, the first by place among those of one length."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for alias, place, canonical in words:
+        automaton.add_word(alias, (-len(alias), place, canonical))
+    automaton.make_automaton()
+    for batch in batches:
+        found = [min((x for _, x in automaton.iter(t)), default=None) for t in batch.column("cleaned").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("surface"), pa.array([x and x[2] for x in found], pa.string())], names=["surface", "c3"])
+
+
+def longest_alias(texts: DataFrame, words: DataFrame, automaton: int | None = None) -> DataFrame:
+    """(surface, c3) for texts (surface, cleaned): the canonical of the longest alias, of four letters or more, in each.
+
+    A vocabulary of up to ``AUTOMATON`` aliases is read as one automaton, which finds all of them in one pass of a text; a
+    larger one meets the texts in a join.
+    """
+    own = words.where(F.length("alias") >= 4).select("alias", "alias_pos", "canonical")
+    limit = AUTOMATON if automaton is None else automaton
+    held = [tuple(r) for r in own.limit(limit + 1).collect()]
+    if held and len(held) <= limit:
+        prepare(texts.sparkSession)
+        return texts.select("surface", "cleaned").mapInArrow(lambda it: _longest_inside(it, held), "surface string, c3 string").where("c3 is not null")
+    return texts.join(own, F.col("cleaned").contains(F.col("alias"))).groupBy("surface").agg(F.min_by("canonical", F.struct(-F.length("alias"), "alias_pos")).alias("c3"))
+
+
 def canonical_skills(surfaces: DataFrame, surface: str, words: DataFrame | None = None) -> DataFrame:
     """D3: canonical name and whether it is known, for each distinct surface.
 
     Passes: the cleaned surface is an alias; it is one without its parenthesis; the longest alias of four letters or
-    more that it contains. An unknown surface keeps its own trimmed form. The vocabulary is a fixed table of under 200
-    rows, so its broadcast is bounded; surfaces are made distinct first, so the containment join is small.
+    more that it contains. An unknown surface keeps its own trimmed form. Surfaces are made distinct first.
     """
-    words = F.broadcast(words if words is not None else vocabulary(surfaces.sparkSession))
+    words = words if words is not None else F.broadcast(vocabulary(surfaces.sparkSession))  # a fixed table of under 200 rows
     own = surfaces.select(surface).distinct().withColumn("cleaned", T.vocabulary_form(F.col(surface)))
     own = own.withColumn("bare", T.vocabulary_form(F.regexp_replace(surface, r"\s*\([^)]*\)", "")))
     exact = words.select(F.col("alias").alias("cleaned"), F.col("canonical").alias("c1"))
     bare = words.select(F.col("alias").alias("bare"), F.col("canonical").alias("c2"))
-    looked = own.join(exact, "cleaned", "left").join(bare, "bare", "left")
-    left = looked.where("c1 is null and c2 is null and cleaned <> ''").select(surface, "cleaned")
-    inside = left.join(words, F.col("cleaned").contains(F.col("alias")) & (F.length("alias") >= 4)).groupBy(surface).agg(F.min_by("canonical", F.struct(-F.length("alias"), "alias_pos")).alias("c3"))
+    looked = stored(own.join(exact, "cleaned", "left").join(bare, "bare", "left"), "surfaces")
+    left = looked.where("c1 is null and c2 is null and cleaned <> ''").select(F.col(surface).alias("surface"), "cleaned")
+    inside = longest_alias(left, words).withColumnRenamed("surface", surface)
     found = looked.join(inside, surface, "left").withColumn("found", F.coalesce("c1", "c2", "c3"))
     return found.select(surface, "cleaned", F.coalesce("found", F.trim(surface)).alias("canonical"), F.col("found").isNotNull().alias("known"))
 

@@ -162,12 +162,12 @@ def c12_batch_list(spark: SparkSession, d: str) -> DataFrame:
 
 _SKILL_ROWS = ", ".join("({}, '{}', '{}')".format(k, a.replace("'", "''"), c) for k, a, c in skill_aliases())
 _CLEAN = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9+#./ -]', ' ', 'g'), '\\s+', ' ', 'g'), ' .-')"
-_CANON = f"""WITH voc AS (SELECT {_CLEAN.format('raw')} AS alias, min(pos) AS pos, arg_max(canonical, pos) AS canonical FROM (VALUES {_SKILL_ROWS}) v(pos, raw, canonical) GROUP BY 1),
-w AS (SELECT t AS surface, count(*) AS n FROM (SELECT unnest({TOKENS_SQL.format('text')}) AS t FROM documents) GROUP BY 1),
-l AS (SELECT surface, n, {_CLEAN.format('surface')} AS cleaned, {_CLEAN.format("regexp_replace(surface, '\\s*\\([^)]*\\)', '', 'g')")} AS bare FROM w),
-x AS (SELECT l.*, e.canonical AS c1, b.canonical AS c2 FROM l LEFT JOIN voc e ON e.alias = cleaned LEFT JOIN voc b ON b.alias = bare),
-i AS (SELECT surface, arg_min(voc.canonical, -length(alias) * 1000 + pos) AS c3 FROM x JOIN voc ON contains(cleaned, alias) AND length(alias) >= 4 WHERE c1 IS NULL AND c2 IS NULL AND cleaned <> '' GROUP BY 1),
-canon AS (SELECT surface, n, cleaned, coalesce(c1, c2, c3, trim(surface)) AS canonical, coalesce(c1, c2, c3) IS NOT NULL AS known FROM x LEFT JOIN i USING (surface))"""
+_CANON = f"""WITH voc AS MATERIALIZED (SELECT {_CLEAN.format('raw')} AS alias, min(pos) AS pos, arg_max(canonical, pos) AS canonical FROM (VALUES {_SKILL_ROWS}) v(pos, raw, canonical) GROUP BY 1),
+w AS MATERIALIZED (SELECT t AS surface, count(*) AS n FROM (SELECT unnest({TOKENS_SQL.format('text')}) AS t FROM documents) GROUP BY 1),
+l AS MATERIALIZED (SELECT surface, n, {_CLEAN.format('surface')} AS cleaned, {_CLEAN.format("regexp_replace(surface, '\\s*\\([^)]*\\)', '', 'g')")} AS bare FROM w),
+x AS MATERIALIZED (SELECT l.*, e.canonical AS c1, b.canonical AS c2 FROM l LEFT JOIN voc e ON e.alias = cleaned LEFT JOIN voc b ON b.alias = bare),
+i AS MATERIALIZED (SELECT surface, arg_min(voc.canonical, -length(alias) * 1000 + pos) AS c3 FROM x JOIN voc ON contains(cleaned, alias) AND length(alias) >= 4 WHERE c1 IS NULL AND c2 IS NULL AND cleaned <> '' GROUP BY 1),
+canon AS MATERIALIZED (SELECT surface, n, cleaned, coalesce(c1, c2, c3, trim(surface)) AS canonical, coalesce(c1, c2, c3) IS NOT NULL AS known FROM x LEFT JOIN i USING (surface))"""
 
 
 def _surfaces(spark: SparkSession, d: str) -> DataFrame:
