@@ -15,7 +15,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from veritrail.llm import language_crf, quality_compress
+from veritrail.llm import language_crf, quality_compress, topk_postings
 from veritrail.llm.batches import crc_of_id, spread
 from veritrail.llm.language_crf import Chains, Labeller, Model, languages
 from veritrail.llm.quality_compress import logistic, quality
@@ -160,6 +160,20 @@ def test_top_k_matches_brute_force(spark):
     assert [x.vec_id for x in top_k(d, asked).orderBy("rank").collect()] == [k for _, k in sorted((-sum(a * b for a, b in zip(ints(rows[50][1]), ints(v))), k) for k, v in own if k != 50)[:5]]
 
 
+def test_top_k_in_a_grid(spark, monkeypatch):
+    """Few query blocks meet at one key, and the result is that of one group."""
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(k, r.normal(size=16).tolist()) for k in range(600)], "vec_id long, embedding array<double>").repartition(40, "vec_id")
+    want = sorted(map(tuple, top_k_self(df, 2, 3, 4).collect()))
+    monkeypatch.setattr(topk_postings, "QUERY_BLOCKS", 6)
+    assert sorted(map(tuple, top_k_self(df, 2, 3, 4).collect())) == want
+    rows = topk_postings._taken(df, F.col("vec_id"))
+    _, asked = topk_postings._grid(rows, rows, 20)
+    assert asked.select("q_ids").distinct().count() > 30
+    n = [x["count"] for x in asked.groupBy("group", "bucket").count().collect()]
+    assert len(n) > 20 and max(n) <= 3 * 6
+
+
 def test_top_k_orders_large_scores_exactly(spark):
     """2^62 + 1, 2^62 and 2^62 + 2 are one number as doubles."""
     q = [2.0**23, 1 / 256]

@@ -6,9 +6,9 @@ and their weights); queries are packed into blocks of sparse rows. Every block o
 candidates: each query row scatters its weighted postings, term by term, into a dense array of scores, partition
 selection keeps its k best, and the k best of all blocks are merged per query.
 
-Query blocks are replicated once to each bucket of candidates and joined by bucket. The join is a sort-merge join: it
-streams the candidates and keeps a bucket's query blocks in a buffer that spills, so neither side has to fit in memory,
-and a task holds a few blocks at a time.
+Blocks meet in a grid: queries are in groups and candidates in buckets, a query block goes to every bucket and a candidate
+block to every group, and the join is by both. It is a sort-merge join, which streams the candidates and holds the query
+blocks of one key: of one group, about ``QUERY_BLOCKS`` or 128 MB, however many queries there are.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from ..runtime import prepare, stored
 
 #: Weights (vectors x dimensions) of one block, which bounds a joined row to about 128 KB.
 BLOCK_CELLS = 32_768
+#: Blocks of queries in a group, about.
+QUERY_BLOCKS = 1024
 LIMIT = 1 << 31
 
 
@@ -131,13 +133,22 @@ def _taken(df: DataFrame, key: Column) -> DataFrame:
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), key.cast("long").alias("key"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable() & F.col("vec_id").isNotNull())
 
 
+def _grid(candidates: DataFrame, queries: DataFrame, buckets: int | None) -> tuple[DataFrame, DataFrame]:
+    """The blocks of both that meet, and the query blocks by the keys they meet at."""
+    packed = lambda df: df.mapInArrow(_blocks, "ids binary, keys binary, weights binary, dims int")
+    asked = stored(packed(queries), "query-blocks")
+    groups = max(1, -(-asked.count() // QUERY_BLOCKS))
+    n = max(1, -(-(buckets or int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))) // groups))
+    number = lambda k, *of: F.expr(f"pmod(xxhash64({', '.join(of)}), {k})")
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    own = packed(candidates).withColumn("bucket", number(n, "keys", "ids")).withColumn("group", every(groups))
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in PARTS], number(groups, "keys", "ids").alias("group")).withColumn("bucket", every(n))
+    return own.join(asked.hint("merge"), ["group", "bucket"]), asked
+
+
 def _top(candidates: DataFrame, queries: DataFrame, k: int, buckets: int | None) -> DataFrame:
     """The k best of each query row (vec_id, key, embedding) among the candidate rows with another key."""
-    n = buckets or int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = lambda df: df.mapInArrow(_blocks, "ids binary, keys binary, weights binary, dims int")
-    own = packed(candidates).withColumn("bucket", F.expr(f"pmod(xxhash64(keys, ids), {n})"))
-    asked = packed(queries).select(*[F.col(c).alias(f"q_{c}") for c in PARTS], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("bucket"))
-    met = own.join(asked.hint("merge"), "bucket").select(*[f"q_{c}" for c in PARTS], *PARTS)
+    met = _grid(candidates, queries, buckets)[0].select(*[f"q_{c}" for c in PARTS], *PARTS)
     best = met.mapInArrow(lambda batches: _scored(batches, k), "query_id long, key long, vec_id long, score long")
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
