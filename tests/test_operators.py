@@ -311,6 +311,25 @@ def test_configurations_against_whole_rankings(spark):
             assert got[config][m] == pytest.approx(sum(v[m] for v in values) / 4), (config, m)
 
 
+def test_dense_search_in_a_grid(spark, monkeypatch):
+    """Many groups of queries give what one gives, which is brute force."""
+    r = random.Random(2)
+    rows = [(k, k % 3, [r.choice([0.0, 0.5, 1.0, -1.0]) for _ in range(6)]) for k in range(150)]
+    v = spark.createDataFrame(rows, "id long, label int, embedding array<double>")
+    want = []
+    for q in rows[::3]:
+        own = sorted((-round(sum(a * b for a, b in zip(q[2], c[2], strict=True)), 9), c[0]) for c in rows)
+        want += [(q[0], c, n + 1) for n, (_, c) in enumerate(own[:4])]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")  # four blocks of queries
+    try:
+        for blocks in (512, 2, 1):
+            monkeypatch.setattr(X, "QUERY_BLOCKS", blocks)
+            assert sorted((x.query_id, x.id, x["rank"]) for x in X.dense_search(v, v.where("id % 3 = 0"), 4).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_best_of_every_candidate(spark):
     hits = spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.7), (2, "b", 0.1)], "query_id long, candidate string, score double")
     every = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "candidate string")
