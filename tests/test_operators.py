@@ -57,8 +57,8 @@ def test_duplicates(spark):
 
 
 def spec(spark, **more):
-    base = {"min_years": 5, "min_degree": "master", "required_skills": ["Python"], "alternatives": ["aws, gcp"]} | more
-    return spark.createDataFrame([("jd", *base.values())], "jd_id string, min_years int, min_degree string, required_skills array<string>, alternatives array<string>")
+    base = {"min_years": 5, "min_degree": "master", "required_skills": ["Python"], "any_of": [["aws", "gcp"]]} | more
+    return spark.createDataFrame([("jd", *base.values())], "jd_id string, min_years int, min_degree string, required_skills array<string>, any_of array<array<string>>")
 
 
 def test_hard_filter_says_why(spark):
@@ -200,6 +200,16 @@ def test_longest_alias(spark, automaton):
     assert got == {"a": "DB", "b": "DB", "d": "T", "f": "Data"}
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_alternatives_are_canonical_and_checkable(spark, strict):
+    words = spark.createDataFrame([("k8s", "Kubernetes"), ("kubernetes", "Kubernetes"), ("sql", "SQL")], "alias string, canonical string")
+    schema = "jd_id int, req_no int, text string, kind string, weight int, skill string, skill_alternatives array<string>, min_years int, degree_level string, search_query string"
+    rows = [(1, 0, "t", "hard", 9, None, [" K8s ", "kubernetes", "Nomad"], None, None, None), (1, 1, "t", "hard", 1, None, [], None, None, None), (1, 2, "t", "hard", 1, "zig", ["sql"], None, None, None), (1, 3, "t", "hard", 1, "SQL", None, None, None, "q")]
+    got = {x.req_no: (x.kind, x.weight, x.any_of, x.canonical_skill) for x in R.normalised(spark.createDataFrame(rows, schema), words, strict).collect()}
+    assert got[1] == ("soft", 1, [], None) and got[2][0] == "soft" and got[3] == ("hard", 1, [], "SQL")
+    assert got[0] == (("soft", 3, [" k8s ", "kubernetes", "nomad"], None) if strict else ("hard", 3, ["kubernetes", "nomad"], None))
+
+
 def test_worst_five(spark):
     rows = spark.createDataFrame([(k, float(k % 4), 0.0) for k in range(9)] + [(9, None, 0.0)], "id int, a double, b double")
     x = E.tolerance(rows, "a", "b", "id").first()

@@ -15,13 +15,25 @@ from .retrieval import FLOOR
 IN_DATABASE, MET = 0.95, 0.5
 
 
-def normalised(requirements: DataFrame, words: DataFrame) -> DataFrame:
-    """Weights within 1..3, known degrees, canonical skills; a hard requirement that nothing can check, or
-    whose skill is unknown to ``words`` (alias, canonical), becomes soft."""
+def normalised(requirements: DataFrame, words: DataFrame, strict_reference: bool = False) -> DataFrame:
+    """Weights within 1..3, known degrees, canonical skills; a hard requirement that nothing can check, or
+    whose skill is unknown to ``words`` (alias, canonical), becomes soft.
+
+    ``any_of`` holds the alternatives as lower-case canonical names, each once; one that is unknown keeps its own form.
+    Alternatives are something to check. With ``strict_reference`` they are not, and are compared as they are written.
+    """
     level = F.lower(F.trim("degree_level"))
     own = requirements.withColumns({"weight": F.greatest(F.lit(1), F.least(F.lit(3), F.col("weight"))), "degree_level": F.when(level.isin("bachelor", "master", "doctorate"), level), "search_query": F.coalesce("search_query", "text")})
     own = own.join(words.select(F.col("alias").alias("_alias"), F.col("canonical").alias("canonical_skill")), F.lower("skill") == F.col("_alias"), "left").drop("_alias")
+    asked = requirements.select("jd_id", "req_no", F.explode("skill_alternatives").alias("_x"))
+    if not strict_reference:
+        known = words.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical"))
+        asked = asked.join(known, F.lower(F.trim("_x")) == F.col("_alias"), "left").withColumn("_x", F.coalesce("_canonical", F.trim("_x")))
+    groups = asked.groupBy("jd_id", "req_no").agg(F.array_sort(F.collect_set(F.lower("_x"))).alias("any_of"))
+    own = own.join(groups, ["jd_id", "req_no"], "left").withColumn("any_of", F.coalesce("any_of", F.array().cast("array<string>")))
     unchecked = F.col("skill").isNull() & F.col("min_years").isNull() & F.col("degree_level").isNull()
+    if not strict_reference:
+        unchecked = unchecked & (F.size("any_of") == 0)
     unknown = F.col("skill").isNotNull() & F.col("canonical_skill").isNull()
     return own.withColumn("kind", F.when((F.col("kind") == "hard") & (unchecked | unknown), "soft").otherwise(F.col("kind")))
 
@@ -40,12 +52,11 @@ def deduped(requirements: DataFrame) -> DataFrame:
 def filter_spec(rubric: DataFrame) -> DataFrame:
     """Per job the largest min_years, the highest degree, the required skills and the any-of groups of its hard rows."""
     hard = F.col("kind") == "hard"
-    several = F.transform("skill_alternatives", F.lower)
     return rubric.groupBy("jd_id").agg(
         F.max(F.when(hard, F.col("min_years"))).alias("min_years"),
         F.max_by(F.when(hard, F.col("degree_level")), F.when(hard & F.col("degree_level").isNotNull(), T.degree_rank(F.col("degree_level")))).alias("min_degree"),
         F.array_sort(F.collect_set(F.when(hard, F.col("canonical_skill")))).alias("required_skills"),
-        F.array_sort(F.collect_list(F.when(hard & (F.size("skill_alternatives") > 0), F.array_join(F.array_sort(several), ", ")))).alias("alternatives"),
+        F.array_sort(F.collect_list(F.when(hard & (F.size("any_of") > 0), F.col("any_of")))).alias("any_of"),
     )
 
 
@@ -62,7 +73,7 @@ def reasons(spec: str = "spec") -> Column:
     years = F.when((F.coalesce(s["min_years"], F.lit(0)) > 0) & (F.col("months") / 12 < s["min_years"]), F.format_string("%.1f years, needs %d+", F.col("months") / 12, s["min_years"]))
     degree = F.when(s["min_degree"].isNotNull() & (T.degree_rank(F.col("degree")) < T.degree_rank(s["min_degree"])), F.concat(F.col("degree"), F.lit(", needs "), s["min_degree"]))
     missing = F.transform(F.filter(s["required_skills"], lambda x: ~F.array_contains(F.col("skills"), F.lower(x))), lambda x: F.concat(F.lit("missing "), x))
-    none = F.transform(F.filter(s["alternatives"], lambda x: ~F.arrays_overlap(F.split(x, ", "), F.col("skills"))), lambda x: F.concat(F.lit("none of "), x))
+    none = F.transform(F.filter(s["any_of"], lambda x: ~F.arrays_overlap(x, F.col("skills"))), lambda x: F.concat(F.lit("none of "), F.array_join(x, ", ")))
     return F.concat(F.array_compact(F.array(years, degree)), missing, none)
 
 

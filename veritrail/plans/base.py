@@ -41,10 +41,11 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
     "cand": (("span", "pri"), "SELECT c_custkey AS id, 'c' || c_custkey AS resume_id, c_mktsegment AS job_id, c_name AS full_name, CAST(coalesce(year(hi) * 12 + month(hi) - year(lo) * 12 - month(lo), 0) AS INTEGER) AS months, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'doctorate' WHEN '2' THEN 'master' WHEN '3' THEN 'bachelor' WHEN '4' THEN 'diploma' WHEN '5' THEN 'school' ELSE 'unknown' END AS degree FROM customer LEFT JOIN span ON span.o_custkey = c_custkey LEFT JOIN (SELECT * FROM pri WHERE rn = 1) p ON p.o_custkey = c_custkey"),
     "skill": ((), "SELECT DISTINCT 'c' || o_custkey AS resume_id, lower(p_brand) AS skill, p_brand AS canonical FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"),
     "degrees": ((), "SELECT * FROM (VALUES ('unknown', 0), ('school', 1), ('diploma', 2), ('bachelor', 3), ('master', 4), ('doctorate', 5)) AS t(level, ladder)"),
-    "raw_req": ((), "SELECT n_regionkey AS jd_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS req_no, n_name AS text, CASE WHEN (n_nationkey + n_regionkey) % 3 = 0 THEN 'hard' ELSE 'soft' END AS kind, CAST((n_nationkey * 7) % 5 AS INTEGER) AS weight, CASE WHEN n_nationkey % 4 = 3 THEN NULL WHEN n_nationkey % 11 = 10 THEN 'Brand#99' ELSE 'Brand#' || CAST(1 + (n_nationkey * 3) % 20 AS VARCHAR) END AS skill, CASE WHEN n_nationkey % 6 = 0 THEN ['Brand#' || CAST(1 + n_nationkey % 25 AS VARCHAR), 'Brand#' || CAST(1 + (n_nationkey + 9) % 25 AS VARCHAR)] ELSE CAST([] AS VARCHAR[]) END AS skill_alternatives, CASE WHEN n_nationkey % 5 = 0 THEN CAST(1 + n_nationkey % 3 AS INTEGER) END AS min_years, CASE n_nationkey % 7 WHEN 0 THEN ' Diploma ' WHEN 1 THEN ' Bachelor' WHEN 2 THEN 'PhD' WHEN 6 THEN 'BACHELOR ' END AS degree_level, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE passage END AS search_query FROM nation LEFT JOIN (SELECT item_id, min(text) AS passage FROM benchmark GROUP BY 1) ON item_id = n_nationkey"),
-    "req": (("raw_req",), "SELECT jd_id, req_no, text, CASE WHEN kind = 'hard' AND ((skill IS NULL AND min_years IS NULL AND deg IS NULL) OR (skill IS NOT NULL AND canonical IS NULL)) THEN 'soft' ELSE kind END AS kind, greatest(1, least(3, weight)) AS weight, skill, skill_alternatives, min_years, deg AS degree_level, canonical AS canonical_skill, coalesce(search_query, text) AS search_query FROM (SELECT r.*, CASE WHEN lower(trim(degree_level)) IN ('bachelor', 'master', 'doctorate') THEN lower(trim(degree_level)) END AS deg, v.p_brand AS canonical FROM raw_req r LEFT JOIN (SELECT DISTINCT p_brand FROM part) v ON lower(v.p_brand) = lower(skill))"),
+    "raw_req": ((), "SELECT n_regionkey AS jd_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS req_no, n_name AS text, CASE WHEN (n_nationkey + n_regionkey) % 3 = 0 THEN 'hard' ELSE 'soft' END AS kind, CAST((n_nationkey * 7) % 5 AS INTEGER) AS weight, CASE WHEN n_nationkey % 4 = 3 THEN NULL WHEN n_nationkey % 7 = 4 THEN 'Brand#99' ELSE 'Brand#' || CAST(1 + (n_nationkey * 3) % 20 AS VARCHAR) END AS skill, CASE WHEN n_nationkey % 6 = 0 OR n_nationkey % 8 = 3 THEN ['Brand#' || CAST(1 + n_nationkey % 25 AS VARCHAR), 'B' || CAST(1 + (n_nationkey + 9) % 25 AS VARCHAR)] ELSE CAST([] AS VARCHAR[]) END AS skill_alternatives, CASE WHEN n_nationkey % 5 = 0 THEN CAST(1 + n_nationkey % 3 AS INTEGER) END AS min_years, CASE n_nationkey % 7 WHEN 0 THEN ' Diploma ' WHEN 1 THEN ' Bachelor' WHEN 2 THEN 'PhD' WHEN 6 THEN 'BACHELOR ' END AS degree_level, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE passage END AS search_query FROM nation LEFT JOIN (SELECT item_id, min(text) AS passage FROM benchmark GROUP BY 1) ON item_id = n_nationkey"),
+    "alts": (("raw_req",), "SELECT jd_id, req_no, list_sort(list(DISTINCT lower(coalesce(p_brand, x)))) AS any_of FROM (SELECT jd_id, req_no, unnest(skill_alternatives) AS x FROM raw_req) LEFT JOIN (SELECT DISTINCT p_brand FROM part) ON lower(x) IN (lower(p_brand), 'b' || substr(p_brand, 7)) GROUP BY ALL"),
+    "req": (("raw_req", "alts"), "SELECT jd_id, req_no, text, CASE WHEN kind = 'hard' AND ((skill IS NULL AND min_years IS NULL AND deg IS NULL AND len(any_of) = 0) OR (skill IS NOT NULL AND canonical IS NULL)) THEN 'soft' ELSE kind END AS kind, greatest(1, least(3, weight)) AS weight, skill, any_of, min_years, deg AS degree_level, canonical AS canonical_skill, coalesce(search_query, text) AS search_query FROM (SELECT r.*, coalesce(any_of, []) AS any_of, CASE WHEN lower(trim(degree_level)) IN ('bachelor', 'master', 'doctorate') THEN lower(trim(degree_level)) END AS deg, v.p_brand AS canonical FROM raw_req r LEFT JOIN alts a ON a.jd_id = r.jd_id AND a.req_no = r.req_no LEFT JOIN (SELECT DISTINCT p_brand FROM part) v ON lower(v.p_brand) = lower(skill))"),
     "rubric": (("req",), "SELECT * EXCLUDE (k, first, pick), CAST(row_number() OVER (PARTITION BY jd_id ORDER BY k IS NULL, first, req_no) - 1 AS INTEGER) AS pos FROM (SELECT *, min(req_no) OVER (PARTITION BY jd_id, coalesce(k, CAST(req_no AS VARCHAR))) AS first, row_number() OVER (PARTITION BY jd_id, coalesce(k, CAST(req_no AS VARCHAR)) ORDER BY weight DESC, kind = 'hard' DESC, req_no) AS pick FROM (SELECT *, lower(canonical_skill) AS k FROM req)) WHERE pick = 1"),
-    "spec": (("rubric", "degrees"), "SELECT jd_id, max(min_years) FILTER (WHERE kind = 'hard') AS min_years, arg_max(degree_level, ladder) FILTER (WHERE kind = 'hard' AND degree_level IS NOT NULL) AS min_degree, list_sort(coalesce(list(DISTINCT canonical_skill) FILTER (WHERE kind = 'hard' AND canonical_skill IS NOT NULL), [])) AS required_skills, list_sort(coalesce(list(array_to_string(list_sort([lower(x) FOR x IN skill_alternatives]), ', ')) FILTER (WHERE kind = 'hard' AND len(skill_alternatives) > 0), [])) AS alternatives FROM rubric LEFT JOIN degrees ON level = degree_level GROUP BY jd_id"),
+    "spec": (("rubric", "degrees"), "SELECT jd_id, max(min_years) FILTER (WHERE kind = 'hard') AS min_years, arg_max(degree_level, ladder) FILTER (WHERE kind = 'hard' AND degree_level IS NOT NULL) AS min_degree, list_sort(coalesce(list(DISTINCT canonical_skill) FILTER (WHERE kind = 'hard' AND canonical_skill IS NOT NULL), [])) AS required_skills, list_sort(coalesce(list(array_to_string(any_of, ', ')) FILTER (WHERE kind = 'hard' AND len(any_of) > 0), [])) AS alternatives FROM rubric LEFT JOIN degrees ON level = degree_level GROUP BY jd_id"),
     "cskills": (("cand", "skill"), "SELECT cand.*, coalesce(list_sort(list(skill) FILTER (WHERE skill IS NOT NULL)), []) AS skills FROM cand LEFT JOIN skill USING (resume_id) GROUP BY ALL"),
     "filtered": (("cskills", "spec", "degrees"), "SELECT c.*, s.jd_id, list_concat(list_concat([x FOR x IN [CASE WHEN coalesce(s.min_years, 0) > 0 AND months / 12.0 < s.min_years THEN printf('%.1f years, needs %d+', months / 12.0, s.min_years) END, CASE WHEN s.min_degree IS NOT NULL AND h.ladder < n.ladder THEN c.degree || ', needs ' || s.min_degree END] IF x IS NOT NULL], ['missing ' || x FOR x IN s.required_skills IF NOT list_contains(c.skills, lower(x))]), ['none of ' || x FOR x IN s.alternatives IF NOT list_has_any(string_split(x, ', '), c.skills)]) AS reasons FROM cskills c CROSS JOIN spec s JOIN degrees h ON h.level = c.degree LEFT JOIN degrees n ON n.level = s.min_degree"),
     "attrs": ((), "SELECT 'c' || c_custkey AS resume_id, 'nation' AS attribute, n_name AS value FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'c' || c_custkey, 'region', r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'c' || c_custkey, 'segment', c_mktsegment FROM customer"),
@@ -126,8 +127,8 @@ def raw_requirements(spark: SparkSession, d: str) -> DataFrame:
         F.col("n_name").alias("text"),
         F.when((n + F.col("n_regionkey")) % 3 == 0, "hard").otherwise("soft").alias("kind"),
         ((n * 7) % 5).cast("int").alias("weight"),
-        F.when(n % 4 == 3, None).when(n % 11 == 10, "Brand#99").otherwise(brand(1 + (n * 3) % 20)).alias("skill"),
-        F.when(n % 6 == 0, F.array(brand(1 + n % 25), brand(1 + (n + 9) % 25))).otherwise(F.array().cast("array<string>")).alias("skill_alternatives"),
+        F.when(n % 4 == 3, None).when(n % 7 == 4, "Brand#99").otherwise(brand(1 + (n * 3) % 20)).alias("skill"),
+        F.when((n % 6 == 0) | (n % 8 == 3), F.array(brand(1 + n % 25), F.concat(F.lit("B"), (1 + (n + 9) % 25).cast("string")))).otherwise(F.array().cast("array<string>")).alias("skill_alternatives"),
         F.when(n % 5 == 0, (1 + n % 3).cast("int")).alias("min_years"),
         F.when(level == 0, " Diploma ").when(level == 1, " Bachelor").when(level == 2, "PhD").when(level == 6, "BACHELOR ").alias("degree_level"),
         F.when(n % 2 != 0, F.col("passage")).alias("search_query"),
@@ -135,8 +136,9 @@ def raw_requirements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def brands(spark: SparkSession, d: str) -> DataFrame:
-    """alias, canonical: the vocabulary of this data's skills."""
-    return table(spark, d, "part").select(F.lower("p_brand").alias("alias"), F.col("p_brand").alias("canonical")).distinct()
+    """alias, canonical: the vocabulary of this data's skills, each by its name and in short."""
+    own = table(spark, d, "part").select(F.col("p_brand").alias("canonical")).distinct()
+    return own.select(F.explode(F.array(F.lower("canonical"), F.regexp_replace(F.lower("canonical"), "^brand#", "b"))).alias("alias"), "canonical")
 
 
 def attributes(spark: SparkSession, d: str) -> DataFrame:

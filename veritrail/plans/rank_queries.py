@@ -105,7 +105,8 @@ def e5_rubric_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT jd_id, min_years, min_degree, required_skills, alternatives FROM spec", "spec")
 def e4_filter_spec(spark: SparkSession, d: str) -> DataFrame:
-    return R.filter_spec(rubric(spark, d))
+    own = R.filter_spec(rubric(spark, d))
+    return own.select("jd_id", "min_years", "min_degree", "required_skills", F.transform("any_of", lambda x: F.array_join(x, ", ")).alias("alternatives"))
 
 
 @query("SELECT resume_id, months, degree, skills FROM cskills", "cskills")
@@ -430,8 +431,8 @@ def h3_skill_sets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT f.jd_id, f.resume_id, bool_and(list_has_any(string_split(a, ', '), f.skills)) AS any_of FROM (SELECT filtered.*, unnest(spec.alternatives) AS a FROM filtered JOIN spec USING (jd_id)) f GROUP BY ALL", "filtered")
 def h5_alternatives(spark: SparkSession, d: str) -> DataFrame:
-    own = filtered(spark, d).join(R.filter_spec(rubric(spark, d)).where(F.size("alternatives") > 0).select("jd_id", "alternatives"), "jd_id")
-    return own.select("jd_id", "resume_id", F.forall("alternatives", lambda x: F.arrays_overlap(F.split(x, ", "), F.col("skills"))).alias("any_of"))
+    own = filtered(spark, d).join(R.filter_spec(rubric(spark, d)).where(F.size("any_of") > 0).select("jd_id", F.col("any_of").alias("groups")), "jd_id")
+    return own.select("jd_id", "resume_id", F.forall("groups", lambda x: F.arrays_overlap(x, F.col("skills"))).alias("any_of"))
 
 
 @query("""WITH mu AS (SELECT DISTINCT jd_id, lower(canonical_skill) AS skill FROM rubric WHERE canonical_skill IS NOT NULL),
