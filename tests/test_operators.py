@@ -210,6 +210,27 @@ def test_alternatives_are_canonical_and_checkable(spark, strict):
     assert got[0] == (("soft", 3, [" k8s ", "kubernetes", "nomad"], None) if strict else ("hard", 3, ["kubernetes", "nomad"], None))
 
 
+def test_relaxation_on_grades(spark):
+    bridge = [(f"c{k}", s) for k in range(10) for s in ("a", "b", "c") if (s, k) not in (("b", 0), ("c", 0), ("c", 1), ("c", 2))]
+    must = spark.createDataFrame([(j, s) for j in (1, 2) for s in ("a", "b", "c", "z")], "jd_id int, skill string")
+    eligible = spark.createDataFrame([(1, f"c{k}") for k in range(10)] + [(2, f"c{k}") for k in (0, 1, 2, 3)], "jd_id int, resume_id string")
+    df = spark.createDataFrame(bridge, "resume_id string, skill string")
+    got = {x.jd_id: (x.must, x.nice, x.n_relaxed) for x in E.relaxed(df, must, 4, eligible).collect()}
+    assert got == {1: (["a", "b", "c"], ["z"], 1), 2: (["a"], ["b", "c", "z"], 3)}
+    assert {x.must[-1] for x in E.relaxed(df, must, 4).collect()} == {"c"}
+
+
+def test_loaded_tables(spark):
+    schema = "resume_id string, job_id string, profile struct<full_name:string,email:string,skills:array<struct<name:string>>,experience:array<struct<company:string,start_year:int,start_month:int,end_year:int,end_month:int,is_current:boolean>>,education:array<struct<level:string,start_year:int,end_year:int>>>"
+    rows = [("r1", "j", (" Ann", "a@x", [("Torch",), ("torch",), (" ",), ("Zig",)], [("A", 2010, 13, 2008, 1, False), ("B", 2015, 1, None, None, True), ("C", 1800, 1, 2001, 2, False)], [(" Master ", 2001, 2005), ("guild", 9999, None)])), ("r2", "j", ("ann", "A@x ", [], [], []))]
+    t = P.loaded(spark.createDataFrame(rows, schema), 2025 * 12, 2025)
+    assert sorted((x.position, x.company, x.start_year, x.start_month, x.end_year) for x in t["experience"].collect()) == [(0, "B", 2015, 1, None), (1, "A", 2008, None, 2010), (2, "C", None, 1, 2001)]
+    assert sorted((x.skill_no, x.surface, x.canonical, x.known) for x in t["skills"].collect()) == [(0, "Torch", "PyTorch", True), (3, "Zig", "Zig", False)]
+    assert sorted((x.edu_no, x.level, x.start_year) for x in t["education"].collect()) == [(0, "master", 2001), (1, "unknown", None)]
+    got = {x.resume_id: (x.highest_degree, x.currently_employed, x.duplicate_of, x.total_experience_months) for x in t["candidates"].collect()}
+    assert got["r2"] == ("unknown", False, "r1", 0) and got["r1"][:3] == ("master", True, None) and got["r1"][3] > 120
+
+
 def test_worst_five(spark):
     rows = spark.createDataFrame([(k, float(k % 4), 0.0) for k in range(9)] + [(9, None, 0.0)], "id int, a double, b double")
     x = E.tolerance(rows, "a", "b", "id").first()

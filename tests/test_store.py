@@ -55,6 +55,25 @@ def test_file_report(spark):
     assert got == {"a": ("parsed", None), "b": ("duplicate", "a"), "c": ("empty_text", None), "d": ("empty_text", None), "e": ("parsed", None)}
 
 
+def test_files_that_cannot_be_read(spark):
+    rows = [("j", "a", "x" * 200, None), ("j", "b", "x" * 200, "needs a Password"), ("j", "c", "x" * 200, "broken"), ("j", "d", None, "encrypted"), ("j", "e", "x" * 200, None), ("j", "f", None, None)]
+    got = {x.name: (x.status, x.duplicate_of, x.detail) for x in S.file_report(spark.createDataFrame(rows, "job_id string, name string, content string, error string")).collect()}
+    assert got == {"a": ("parsed", None, None), "b": ("encrypted", None, "needs a Password"), "c": ("corrupt", None, "broken"), "d": ("encrypted", None, "encrypted"), "e": ("duplicate", "a", None), "f": ("empty_text", None, None)}
+
+
+def test_cache_computes_what_it_lacks(spark, tmp_path):
+    path, seen = str(tmp_path / "cache"), []
+
+    def compute(new):
+        seen.append(sorted(x.text for x in new.collect()))
+        return new.selectExpr("key", "upper(text) as value")
+
+    for texts in (["a", "b", "a"], ["b", "c"], ["a", "c"]):
+        out = S.cached(spark, spark.createDataFrame([(t,) for t in texts], "text string"), path, "m", compute)
+        assert sorted(x.value for x in out.collect()) == sorted({t.upper() for t in texts})
+    assert seen == [["a", "b"], ["c"], []] and spark.read.parquet(path).count() == 3
+
+
 def test_upsert_replaces_children(spark):
     kids = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "resume_id string, n int")
     parents = spark.createDataFrame([("a",), ("c",)], "resume_id string")

@@ -228,17 +228,22 @@ def graded(sets: DataFrame) -> DataFrame:
     return sets.withColumn("grade", grade)
 
 
-def relaxed(bridge: DataFrame, must: DataFrame, least: int = 5) -> DataFrame:
-    """Per job the must-have skills that stay, so that ``least`` candidates have all; the rarest go first.
+def relaxed(bridge: DataFrame, must: DataFrame, least: int = 5, eligible: DataFrame | None = None) -> DataFrame:
+    """Per job the must-have skills that stay, so that ``least`` candidates reach grade 2; the rarest go first.
 
-    must: jd_id, skill; bridge: resume_id, skill. All prefixes by frequency are counted in one pass: a candidate has the
-    first n skills of a job if the n-th it has is the n-th there is.
+    must: jd_id, skill; bridge: resume_id, skill. Grade 2 takes all skills, and years and degree that don't change: who has
+    these is in ``eligible`` (jd_id, resume_id), everyone by default. All prefixes by frequency are counted in one ordered
+    scan: a candidate has the first n skills of a job if the n-th it has is the n-th there is. At least one skill stays; what
+    goes is in ``nice``.
     """
     freq = bridge.groupBy("skill").agg(F.count_distinct("resume_id").alias("freq"))
     own = must.join(freq, "skill", "left").withColumn("place", F.row_number().over(Window.partitionBy("jd_id").orderBy(F.coalesce("freq", F.lit(0)).desc(), "skill")))
-    have = bridge.join(own, "skill").withColumn("nth", F.row_number().over(Window.partitionBy("jd_id", "resume_id").orderBy("place"))).where("nth = place")
+    met = bridge.join(own, "skill")
+    if eligible is not None:
+        met = met.join(eligible, ["jd_id", "resume_id"], "left_semi")
+    have = met.withColumn("nth", F.row_number().over(Window.partitionBy("jd_id", "resume_id").orderBy("place"))).where("nth = place")
     n = have.groupBy("jd_id", "place").agg(F.count("*").alias("n"))
     keep = n.where(F.col("n") >= least).groupBy("jd_id").agg(F.max("place").alias("keep"))
-    total = own.groupBy("jd_id").agg(F.count("*").alias("total"))
-    kept = total.join(keep, "jd_id", "left").select("jd_id", "total", F.greatest(F.coalesce("keep", F.lit(1)), F.lit(1)).alias("keep"))
-    return own.join(kept, "jd_id").where("place <= keep").groupBy("jd_id").agg(F.sort_array(F.collect_list("skill")).alias("must"), (F.max("total") - F.max("keep")).alias("n_relaxed"))
+    kept = own.join(keep, "jd_id", "left").withColumn("stays", F.col("place") <= F.greatest(F.coalesce("keep", F.lit(1)), F.lit(1)))
+    of = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("skill"))))
+    return kept.groupBy("jd_id").agg(of(F.col("stays")).alias("must"), of(~F.col("stays")).alias("nice"), F.count_if(~F.col("stays")).alias("n_relaxed"))

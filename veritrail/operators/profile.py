@@ -12,6 +12,7 @@ from ..functions import tables as K
 from ..functions import text as T
 from ..functions.tables import skill_aliases
 from ..runtime import prepare, stored
+from .dedupe import likely_duplicates
 
 
 def coherent_dates(jobs: DataFrame) -> DataFrame:
@@ -140,6 +141,36 @@ def unknown_skills(canonical: DataFrame, counts: DataFrame, surface: str, n: int
     return own.orderBy(F.desc("n"), "cleaned").limit(n)
 
 
+def loaded(records: DataFrame, today: int, as_of: int, words: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Records (resume_id, job_id, profile) as the tables candidates, experience, education and skills.
+
+    ``profile`` has full_name, email, and as arrays of structs skills (name), experience (company, title, start and end
+    year and month, is_current) and education (level, start_year, end_year). Months and years out of range become null
+    (B13), dates are put in order (B14) and jobs numbered from the latest (F9); of skills with one lower-case name the first
+    counts (F8), with its canonical name (D3, looked up once for each distinct surface); a degree that isn't known is
+    unknown; likely duplicates are marked (D5). Nothing but the rows of a record meets to make its tables.
+    """
+    child = lambda field, no: records.select("resume_id", F.posexplode(f"profile.{field}").alias(no, "_x")).select("resume_id", no, "_x.*")
+    valid = lambda c: (c, (T.valid_year(F.col(c), as_of) if c.endswith("year") else T.valid_month(F.col(c))))
+    jobs = coherent_dates(child("experience", "job_no").withColumns(dict(map(valid, ("start_year", "start_month", "end_year", "end_month")))))
+    spans = month_spans(jobs, today)
+    experience = chronological(spans, "resume_id", "job_no")
+    education = child("education", "edu_no").withColumns(dict(map(valid, ("start_year", "end_year")))).withColumn("level", F.lower(F.trim("level")))
+    education = education.withColumn("level", F.when(F.col("level").isin(*K.DEGREES), F.col("level")).otherwise("unknown"))
+    named = child("skills", "skill_no").withColumn("surface", F.trim("name")).where("surface <> ''").withColumn("_form", F.lower("surface"))
+    once = first_of_each(named, ["resume_id", "_form"], ["skill_no"]).select("resume_id", "skill_no", "surface")
+    skills = once.join(canonical_skills(once, "surface", words).drop("cleaned"), "surface").select("resume_id", "skill_no", "surface", "canonical", "known")
+    months = covered(spans, ["resume_id"], "start_index", "end_index").select("resume_id", F.col("covered").cast("int").alias("months"))
+    now = spans.groupBy("resume_id").agg(F.max("is_current").alias("currently_employed"))
+    own = records.join(months, "resume_id", "left").join(highest_degree(education, "resume_id"), "resume_id", "left").join(now, "resume_id", "left")
+    total = F.coalesce("months", F.lit(0))
+    size = lambda field: F.coalesce(F.size(f"profile.{field}"), F.lit(0))
+    issues = completeness(F.col("profile.full_name"), size("experience"), size("skills"), total, size("education"))
+    people = own.select("resume_id", "job_id", F.col("profile.full_name").alias("full_name"), F.col("profile.email").alias("email"), total.alias("total_experience_months"), F.coalesce("highest_degree", F.lit("unknown")).alias("highest_degree"), F.coalesce("currently_employed", F.lit(False)).alias("currently_employed"), issues.alias("issues"))
+    candidates = likely_duplicates(people.withColumn("id", F.col("resume_id"))).drop("id")
+    return {"candidates": candidates, "experience": experience, "education": education, "skills": skills}
+
+
 def load_profiles(records: DataFrame, today: int) -> DataFrame:
     """One candidate row per record (resume_id, profile): validated dates, months covered, degree, issues.
 

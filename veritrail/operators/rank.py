@@ -6,6 +6,8 @@ A rubric is rows (jd_id, req_no, text, kind, weight, skill, skill_alternatives,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +131,28 @@ def response(ranked: DataFrame, evidence: DataFrame, size: int) -> DataFrame:
     return ranked.where(F.col("rank") <= size).join(own, ["jd_id", "resume_id"], "left").select("jd_id", "rank", "resume_id", F.round("score", 4).alias("score"), "met", "n_soft", "evidence")
 
 
+def whole_response(ranked: DataFrame, rubric: DataFrame, spec: DataFrame, duplicates: DataFrame, size: int) -> DataFrame:
+    """The answer to a request as rows (jd_id, part, place, name, value, notes), so that no job's candidates are one row.
+
+    shortlist: rank, resume_id, score at four digits, other members of its duplicate group (jd_id, resume_id, other_ids) on the
+    list; excluded: resume_id and reasons; rubric: place, text, weight, kind with skill and degree; spec: degree, years,
+    required skills and any-of groups; counts: passed, all.
+    """
+    none = F.array().cast("array<string>")
+    row = lambda df, part, place, name, value, notes: df.select("jd_id", F.lit(part).alias("part"), place.cast("int").alias("place"), name.alias("name"), value.cast("double").alias("value"), notes.alias("notes"))
+    null, c = F.lit(None), F.col
+    listed = ranked.where(c("rank") <= size).join(duplicates, ["jd_id", "resume_id"], "left")
+    counts = ranked.groupBy("jd_id").agg(F.count_if("passed").alias("n_passed"), F.count("*").alias("n"))
+    parts = [
+        row(listed, "shortlist", c("rank"), c("resume_id"), F.round("score", 4), F.coalesce("other_ids", none)),
+        row(ranked.where("rank is null"), "excluded", null, c("resume_id"), null, c("reasons")),
+        row(rubric, "rubric", c("pos"), c("text"), c("weight"), F.array_sort(F.array_compact(F.array("kind", "canonical_skill", "degree_level")))),
+        row(spec, "spec", null, F.coalesce("min_degree", F.lit("")), c("min_years"), F.concat("required_skills", F.transform("any_of", lambda x: F.array_join(x, ", ")))),
+        row(counts, "counts", c("n_passed"), F.lit("passed"), c("n"), none),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def having_all(candidates: DataFrame, bridge: DataFrame, wanted: DataFrame, key: str = "skill") -> DataFrame:
     """Relational division: candidates that have every wanted skill."""
     n = wanted.select(key).distinct().agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from ..operators import profile as P
 from ..operators import retrieval as R
 from ..runtime import fresh_dir, prepare, table
 from ..streaming.ingest import current, ingest, keyword_search, statistics, structured_rows
-from .base import AS_OF, html_lines, query
+from .base import AS_OF, brands, html_lines, query
 from .search_queries import _BM25, _FUSED, _RERANKED, _reranked
 from .search_queries import _HASH as HASH_SQL
 from .text_queries import _COHERENT, _JOB, FLAT_CHUNKS, TOKENS_SQL, jobs, with_headings
@@ -92,6 +92,55 @@ def i20_load_profiles(spark: SparkSession, d: str) -> DataFrame:
     return out.select("resume_id", "total_experience_months", "highest_degree", "currently_employed")
 
 
+_RECORD_JOB = f"rj AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE start_year END AS start_year, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE start_month END AS start_month, end_year, end_month, is_current FROM ({_JOB})), c AS ({_COHERENT.replace('FROM j', 'FROM rj')})"
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as extracted records: orders as jobs and schools, bought brands as skills, some in other letters or in short."""
+    k, first = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
+    level = F.when(first == "1", " Doctorate").when(first == "2", "master").when(first == "3", "BACHELOR").when(first == "4", "certificate").otherwise("school")
+    own = jobs(spark, d).join(table(spark, d, "orders").select("o_orderkey", level.alias("level")), "o_orderkey")
+    job = F.struct("o_orderkey", F.concat(F.lit("company "), k).alias("company"), F.when(k % 19 == 0, 1900).otherwise(F.col("start_year")).alias("start_year"), F.when(k % 17 == 0, 13).otherwise(F.col("start_month")).alias("start_month"), "end_year", "end_month", "is_current")
+    school = F.struct("o_orderkey", "level", (F.col("start_year") - 3).alias("start_year"), F.when(k % 7 == 0, 3000).otherwise(F.col("start_year")).cast("int").alias("end_year"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x.dropFields("o_orderkey"))
+    by_job = own.groupBy("o_custkey").agg(in_order(job).alias("experience"), in_order(school).alias("education"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey")).join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    name = F.when(F.col("l_linenumber") == 1, F.upper("p_brand")).when(F.col("l_linenumber") == 2, F.regexp_replace("p_brand", "^Brand#", "b")).when(F.col("l_linenumber") == 3, F.concat(F.lit("kind "), F.col("p_partkey") % 9)).otherwise(F.col("p_brand"))
+    skills = lines.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", name.alias("name")))), lambda x: F.struct(x["name"].alias("name"))).alias("skills"))
+    c = table(spark, d, "customer").join(by_job, F.col("c_custkey") == F.col("o_custkey")).drop("o_custkey").join(skills, F.col("c_custkey") == F.col("o_custkey"), "left")
+    empty = F.array().cast("array<struct<name:string>>")
+    profile = F.struct(F.concat(F.lit("Name "), F.col("c_custkey") % 40).alias("full_name"), F.concat(F.lit("x@"), F.col("c_nationkey") % 5).alias("email"), F.coalesce("skills", empty).alias("skills"), "experience", "education")
+    return c.select(F.concat(F.lit("c"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("resume_id"), F.col("c_mktsegment").alias("job_id"), profile.alias("profile"))
+
+
+@query(f"WITH {_RECORD_JOB} SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS resume_id, 'company ' || o_orderkey AS company, start_year, start_month, end_year, end_month, is_current, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(start_year * 12 + coalesce(start_month, 1) - 1, -1) DESC, o_orderkey) - 1 AS INTEGER) AS position FROM c")
+def i20_experience(spark: SparkSession, d: str) -> DataFrame:
+    return P.loaded(records(spark, d), AS_OF * 12, AS_OF)["experience"].select("resume_id", "company", "start_year", "start_month", "end_year", "end_month", "is_current", "position")
+
+
+@query("""WITH n AS (SELECT o_custkey, o_orderkey * 10 + l_linenumber AS nth, CASE l_linenumber WHEN 1 THEN upper(p_brand) WHEN 2 THEN 'b' || substr(p_brand, 7) WHEN 3 THEN 'kind ' || p_partkey % 9 ELSE p_brand END AS surface FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+f AS (SELECT o_custkey, lower(surface) AS form, arg_min(surface, nth) AS surface FROM n GROUP BY 1, 2)
+SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS resume_id, surface, coalesce(p_brand, surface) AS canonical, p_brand IS NOT NULL AS known FROM f LEFT JOIN (SELECT DISTINCT p_brand FROM part) ON form IN (lower(p_brand), 'b' || substr(p_brand, 7))""")
+def i20_skills(spark: SparkSession, d: str) -> DataFrame:
+    words = brands(spark, d).withColumn("alias_pos", F.length("alias"))
+    return P.loaded(records(spark, d), AS_OF * 12, AS_OF, words)["skills"].select("resume_id", "surface", "canonical", "known")
+
+
+@query(f"WITH k AS (SELECT o_custkey, o_orderkey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'doctorate' WHEN '2' THEN 'master' WHEN '3' THEN 'bachelor' WHEN '4' THEN 'unknown' ELSE 'school' END AS level, CAST(year(o_orderdate) - 3 AS INTEGER) AS start_year, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(year(o_orderdate) AS INTEGER) END AS end_year FROM orders) SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS resume_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS edu_no, level, start_year, end_year FROM k")
+def i20_education(spark: SparkSession, d: str) -> DataFrame:
+    return P.loaded(records(spark, d), AS_OF * 12, AS_OF)["education"].select("resume_id", "edu_no", "level", "start_year", "end_year")
+
+
+@query(f"""WITH {_RECORD_JOB}, x AS (SELECT o_custkey, start_year * 12 + coalesce(start_month, 1) - 1 AS s, CASE WHEN is_current THEN {AS_OF * 12} WHEN end_year IS NOT NULL THEN end_year * 12 + coalesce(end_month, 1) - 1 END AS e FROM c),
+r AS (SELECT o_custkey, s, max(e) AS e FROM x WHERE e > s GROUP BY 1, 2), g AS (SELECT *, max(e) OVER (PARTITION BY o_custkey ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r),
+t AS (SELECT o_custkey, CAST(sum(greatest(0, e - greatest(s, coalesce(m, s)))) AS INTEGER) AS months FROM g GROUP BY 1),
+k AS (SELECT o_custkey, max(CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 5 WHEN '2' THEN 4 WHEN '3' THEN 3 WHEN '4' THEN 0 ELSE 1 END) AS ladder, bool_or(o_orderstatus = 'O') AS employed FROM orders GROUP BY 1)
+SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS resume_id, 'Name ' || c_custkey % 40 AS full_name, coalesce(months, 0) AS total_experience_months, ['unknown', 'school', 'diploma', 'bachelor', 'master', 'doctorate'][ladder + 1] AS highest_degree, employed AS currently_employed,
+CASE WHEN min(c_custkey) OVER w <> c_custkey THEN 'c' || lpad(CAST(min(c_custkey) OVER w AS VARCHAR), 8, '0') END AS duplicate_of FROM k JOIN customer ON c_custkey = o_custkey LEFT JOIN t USING (o_custkey) WINDOW w AS (PARTITION BY c_mktsegment, c_custkey % 40, c_nationkey % 5)""")
+def i20_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return P.loaded(records(spark, d), AS_OF * 12, AS_OF)["candidates"].select("resume_id", "full_name", "total_experience_months", "highest_degree", "currently_employed", "duplicate_of")
+
+
 def ingested(spark: SparkSession, d: str) -> str:
     """An index fed by two streams with checkpoints of their own: all documents, and the benchmark's passages under negative ids."""
     place = fresh_dir(spark, "ingest")

@@ -285,6 +285,24 @@ def b26_response(spark: SparkSession, d: str) -> DataFrame:
     return out.select("jd_id", "rank", "resume_id", "score", "met", "n_soft", F.transform("evidence", lambda x: x["req_no"]).alias("req_nos"), F.transform("evidence", lambda x: x["score"]).alias("req_scores"))
 
 
+_DETAILS = "list_sort([x FOR x IN {} IF x IS NOT NULL])"
+
+
+@query(f"""WITH rk AS ({_RANKED}), pp AS (SELECT id, resume_id, jd_id, job_id, lower(substr(full_name, 18)) AS form, degree, pos, passed, score, reasons FROM rk),
+dr AS (SELECT a.jd_id, a.resume_id, list(b.resume_id ORDER BY b.id) AS others FROM pp a JOIN pp b ON a.jd_id = b.jd_id AND a.job_id = b.job_id AND a.form = b.form AND a.degree = b.degree AND a.id <> b.id WHERE a.pos <= 45 AND b.pos <= 45 GROUP BY ALL)
+SELECT pp.jd_id, 'shortlist' AS part, pos AS place, pp.resume_id AS name, round(score, 4) AS value, coalesce(others, []) AS notes FROM pp LEFT JOIN dr ON dr.jd_id = pp.jd_id AND dr.resume_id = pp.resume_id WHERE pos <= 45
+UNION ALL SELECT jd_id, 'excluded', NULL, resume_id, NULL, reasons FROM pp WHERE pos IS NULL
+UNION ALL SELECT jd_id, 'rubric', pos, text, CAST(weight AS DOUBLE), {_DETAILS.format('[kind, canonical_skill, degree_level]')} FROM rubric
+UNION ALL SELECT jd_id, 'spec', NULL, coalesce(min_degree, ''), CAST(min_years AS DOUBLE), list_concat(required_skills, alternatives) FROM spec
+UNION ALL SELECT jd_id, 'counts', CAST(count(*) FILTER (WHERE passed) AS INTEGER), 'passed', CAST(count(*) AS DOUBLE), [] FROM pp GROUP BY jd_id""", "scored", "rubric", "spec")
+def i11_rank_response(spark: SparkSession, d: str) -> DataFrame:
+    """All that a request for a ranking answers: shortlist with likely duplicates on it, excluded with reasons, rubric, filter, counts."""
+    rows = R.shortlist(scores(spark, d))
+    people = rows.select("jd_id", "id", "resume_id", F.concat_ws("|", "jd_id", "job_id").alias("job_id"), F.substring("full_name", 18, 100).alias("full_name"), F.col("degree").alias("email"), "rank").where("rank <= 45")
+    marked = D.group_members(D.likely_duplicates(people)).select("jd_id", "resume_id", "other_ids")
+    return R.whole_response(rows, rubric(spark, d), R.filter_spec(rubric(spark, d)), marked, 45)
+
+
 @query("SELECT jd_id, count(*) AS total, count(*) FILTER (WHERE len(reasons) = 0) AS n_passed, count(*) FILTER (WHERE len(reasons) > 0) AS n_excluded FROM filtered GROUP BY jd_id", "filtered")
 def i11_response_counts(spark: SparkSession, d: str) -> DataFrame:
     return filtered(spark, d).groupBy("jd_id").agg(F.count("*").alias("total"), F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_excluded"))
@@ -437,9 +455,11 @@ def h5_alternatives(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH mu AS (SELECT DISTINCT jd_id, lower(canonical_skill) AS skill FROM rubric WHERE canonical_skill IS NOT NULL),
 p AS (SELECT jd_id, skill, row_number() OVER (PARTITION BY jd_id ORDER BY coalesce(n, 0) DESC, skill) AS place FROM mu LEFT JOIN (SELECT skill, count(*) AS n FROM skill GROUP BY 1) USING (skill)),
-h AS (SELECT jd_id, resume_id, place, row_number() OVER (PARTITION BY jd_id, resume_id ORDER BY place) AS nth FROM p JOIN skill USING (skill)),
-k AS (SELECT jd_id, max(place) AS keep FROM (SELECT jd_id, place FROM h WHERE nth = place GROUP BY 1, 2 HAVING count(*) >= 200) GROUP BY 1)
-SELECT p.jd_id, list_sort(list(skill) FILTER (WHERE place <= coalesce(keep, 1))) AS must, CAST(count(*) - coalesce(any_value(keep), 1) AS INTEGER) AS n_relaxed FROM p LEFT JOIN k USING (jd_id) GROUP BY p.jd_id""", "skill", "rubric")
+h AS (SELECT jd_id, resume_id, place, row_number() OVER (PARTITION BY jd_id, resume_id ORDER BY place) AS nth FROM p JOIN skill USING (skill) JOIN cand USING (resume_id) WHERE months >= 36 AND degree IN ('bachelor', 'master', 'doctorate')),
+k AS (SELECT jd_id, max(place) AS keep FROM (SELECT jd_id, place FROM h WHERE nth = place GROUP BY 1, 2 HAVING count(*) >= 100) GROUP BY 1)
+SELECT p.jd_id, list_sort(list(skill) FILTER (WHERE place <= coalesce(keep, 1))) AS must, coalesce(list_sort(list(skill) FILTER (WHERE place > coalesce(keep, 1))), []) AS nice, CAST(count(*) - coalesce(any_value(keep), 1) AS INTEGER) AS n_relaxed FROM p LEFT JOIN k USING (jd_id) GROUP BY p.jd_id""", "skill", "rubric", "cand")
 def i14_relaxation(spark: SparkSession, d: str) -> DataFrame:
     must = rubric(spark, d).where("canonical_skill is not null").select("jd_id", F.lower("canonical_skill").alias("skill")).distinct()
-    return E.relaxed(candidate_skills(spark, d).select("resume_id", "skill"), must, 200).select("jd_id", "must", F.col("n_relaxed").cast("int").alias("n_relaxed"))
+    eligible = graded_sets(spark, d).where("years_ok and degree_ok").select("jd_id", "resume_id")
+    out = E.relaxed(candidate_skills(spark, d).select("resume_id", "skill"), must, 100, eligible)
+    return out.select("jd_id", "must", "nice", F.col("n_relaxed").cast("int").alias("n_relaxed"))

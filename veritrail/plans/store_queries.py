@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -17,7 +16,7 @@ from ..operators import evaluate as E
 from ..operators import retrieval as R
 from ..operators import segment as G
 from ..operators.profile import coherent_dates, first_of_each
-from ..runtime import prepare, shared_dir, stored, table
+from ..runtime import fresh_dir, prepare, stored, table
 from ..sources import store as S
 from .base import SHARED, SQL, candidate_skills, candidates, doc_lines, part_people, query
 from .rank_queries import _GRADE, _MUST, graded_sets, ranked, resume_chunks, rubric
@@ -75,11 +74,15 @@ def a4_flatten(spark: SparkSession, d: str) -> DataFrame:
     return S.flattened(manifest(spark, d))
 
 
-_REPORT = "fr AS (SELECT lang AS job_id, CAST(doc_id AS VARCHAR) AS name, length(text) AS n_chars, substr(sha256(text), 1, 16) AS content_hash, first_value(CAST(doc_id AS VARCHAR)) OVER (PARTITION BY lang, sha256(text), length(text) >= 200 ORDER BY CAST(doc_id AS VARCHAR)) AS first FROM documents), rep AS (SELECT job_id, name, CASE WHEN n_chars < 200 THEN 'empty_text' WHEN first = name THEN 'parsed' ELSE 'duplicate' END AS status, CAST(n_chars AS INTEGER) AS n_chars, content_hash, CASE WHEN n_chars >= 200 AND first <> name THEN first END AS duplicate_of FROM fr)"
+_ERROR = "CASE WHEN doc_id % 37 = 5 THEN 'file needs a Password' WHEN doc_id % 41 = 7 THEN 'cross reference table is broken' END"
+_REPORT = f"ff AS (SELECT lang AS job_id, CAST(doc_id AS VARCHAR) AS name, {_ERROR} AS error, CASE WHEN {_ERROR} IS NULL THEN text END AS text FROM documents), fr AS (SELECT job_id, name, error, length(text) AS n_chars, substr(sha256(text), 1, 16) AS content_hash, first_value(name) OVER (PARTITION BY job_id, sha256(text), coalesce(length(text) >= 200, false) ORDER BY name) AS first FROM ff), rep AS (SELECT job_id, name, CASE WHEN contains(lower(error), 'password') THEN 'encrypted' WHEN error IS NOT NULL THEN 'corrupt' WHEN n_chars < 200 THEN 'empty_text' WHEN first = name THEN 'parsed' ELSE 'duplicate' END AS status, CAST(n_chars AS INTEGER) AS n_chars, content_hash, CASE WHEN n_chars >= 200 AND first <> name THEN first END AS duplicate_of, error AS detail FROM fr)"
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("lang").alias("job_id"), F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content"))
+    """Documents as files, some of which their parser could not read."""
+    k = F.col("doc_id")
+    error = F.when(k % 37 == 5, "file needs a Password").when(k % 41 == 7, "cross reference table is broken")
+    return table(spark, d, "documents").select(F.col("lang").alias("job_id"), k.cast("string").alias("name"), F.col("text").alias("content"), error.alias("error"))
 
 
 @query(f"WITH {_REPORT} SELECT * FROM rep")
@@ -142,9 +145,9 @@ def a10_metadata(spark: SparkSession, d: str) -> DataFrame:
     return S.vector_metadata(c)
 
 
-@query("SELECT count(*) AS n, count(DISTINCT label) AS n_resumes FROM embeddings")
+@query("SELECT count(*) AS n, count(DISTINCT label) AS n_resumes, (SELECT list(vec_id ORDER BY vec_id) FROM (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 5)) AS first FROM embeddings")
 def a12_inspection(spark: SparkSession, d: str) -> DataFrame:
-    return S.inspect_index(table(spark, d, "embeddings").withColumnRenamed("label", "resume_id"))
+    return S.inspect_index(table(spark, d, "embeddings").withColumnRenamed("label", "resume_id"), "vec_id")
 
 
 @query("SELECT doc_id AS resume_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -152,11 +155,13 @@ def a13_coverage(spark: SparkSession, d: str) -> DataFrame:
     return S.uncovered(table(spark, d, "documents").select(F.col("doc_id").alias("resume_id")), table(spark, d, "labels").select(F.col("doc_id").alias("resume_id")))
 
 
-@query("WITH k AS (SELECT DISTINCT text, substr(sha256('hash-128|' || text), 1, 24) AS key FROM documents), c AS (SELECT DISTINCT substr(sha256('hash-128|' || text), 1, 24) AS key FROM documents WHERE lang = 'en') SELECT key FROM k WHERE key NOT IN (SELECT key FROM c)")
+@query("WITH k AS (SELECT DISTINCT text, lang = 'en' AS early FROM documents) SELECT substr(sha256('hash-128|' || text), 1, 24) AS key, length(text) AS size, NOT bool_or(early) AS computed_later FROM k GROUP BY text")
 def a14_cache_reuse(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    cache = docs.where("lang = 'en'").select(T.cache_key("hash-128", F.col("text"), 24).alias("key")).distinct()
-    return S.to_compute(docs, cache, "hash-128").select("key")
+    """A cache filled by one batch of documents, and then by all: texts that it has are not computed again."""
+    docs, path = table(spark, d, "documents"), fresh_dir(spark, "cache")
+    compute = lambda later: lambda new: new.select("key", F.length("text").cast("long").alias("size"), F.lit(later).alias("computed_later"))
+    S.cached(spark, docs.where("lang = 'en'"), path, "hash-128", compute(False))
+    return S.cached(spark, docs, path, "hash-128", compute(True))
 
 
 @query("SELECT doc_id, substr(sha256('v1|' || text), 1, 32) AS key FROM documents")
@@ -188,13 +193,9 @@ def a17_migration(spark: SparkSession, d: str) -> DataFrame:
     return S.backfilled(part_people(spark, d)).select("resume_id", "email", "duplicate_of")
 
 
-def _fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written_texts(spark: SparkSession, d: str, key: str) -> str:
     """Each benchmark item as a text file of its own, in a folder named by ``key``."""
-    path = _fresh(spark, "texts")
+    path = fresh_dir(spark, "texts")
     table(spark, d, "benchmark").select(F.col("item_id").alias(key), "text").repartition(key).write.partitionBy(key).text(path)
     return path
 
@@ -208,7 +209,7 @@ def a1_directory_scan(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT lang AS job_id, doc_id, source, n_chars, sha256(text) AS text_sha256 FROM documents")
 def a5_json_records(spark: SparkSession, d: str) -> DataFrame:
     """Records as JSON, a folder per batch, and the union of all read back with their schema."""
-    path = _fresh(spark, "records")
+    path = fresh_dir(spark, "records")
     docs = table(spark, d, "documents").select(F.col("lang").alias("job_id"), "doc_id", "source", "n_chars", "text")
     docs.write.partitionBy("job_id").json(path)
     back = S.read_records(spark, path, docs.select("doc_id", "source", "n_chars", "text", "job_id").schema, lines=True)
@@ -224,7 +225,7 @@ def a6_text_files(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT vec_id, label, 'second' AS model FROM embeddings UNION ALL SELECT vec_id, label, 'other' FROM embeddings")
 def a11_index_reset(spark: SparkSession, d: str) -> DataFrame:
     """An index is written, reset by writing it again with other rows, and another model's rows stay."""
-    path, own = _fresh(spark, "index"), table(spark, d, "embeddings").select("vec_id", "label")
+    path, own = fresh_dir(spark, "index"), table(spark, d, "embeddings").select("vec_id", "label")
     S.write_index(own.withColumn("model", F.lit("other")), path)
     S.write_index(own.select((F.col("vec_id") + 1).alias("vec_id"), "label", F.lit("second").alias("model")), path)
     S.write_index(own.withColumn("model", F.lit("second")), path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators.dedupe import likely_duplicates
+from ..runtime import file_system
 
 # Limits of an upload.
 MAX_ENTRIES, MAX_TOTAL, MAX_FILE, MAX_RATIO, RATIO_FROM, MIN_CHARS = 1000, 500 * 1024 * 1024, 25 * 1024 * 1024, 200, 1_000_000, 200
@@ -100,13 +101,19 @@ def flattened(manifest: DataFrame) -> DataFrame:
 
 
 def file_report(files: DataFrame) -> DataFrame:
-    """A status per file (job_id, name, content): parsed, empty_text under 200 characters, or duplicate of
-    the first parsed file of the batch with the same content. Copies of empty files are no duplicates."""
-    own = files.withColumns({"content_hash": X.content_hash(F.col("content")), "n_chars": F.length("content")}).withColumn("_long", F.col("n_chars") >= MIN_CHARS)
+    """A status per file (job_id, name, content): parsed, empty_text under 200 characters, or duplicate
+    of the first parsed file of the batch with the same content. Copies of empty files are no duplicates.
+
+    Files with an ``error`` (of their parser, if the column is there) are encrypted or corrupt by its words; it is the
+    detail, and they have no content to compare.
+    """
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    own = files.withColumns({"_error": error, "content": F.when(error.isNull(), F.col("content"))})
+    own = own.withColumns({"content_hash": X.content_hash(F.col("content")), "n_chars": F.length("content")}).withColumn("_long", F.coalesce(F.col("n_chars") >= MIN_CHARS, F.lit(False)))
     same = Window.partitionBy("job_id", "content_hash", "_long").orderBy("name")
     first = F.first("name").over(same)
-    status = F.when(~F.col("_long"), "empty_text").when(first == F.col("name"), "parsed").otherwise("duplicate")
-    return own.withColumn("status", status).select("job_id", "name", "status", "n_chars", "content_hash", F.when(F.col("status") == "duplicate", first).alias("duplicate_of"))
+    status = F.when(F.col("_error").isNotNull(), X.error_status(F.col("_error"))).when(~F.col("_long"), "empty_text").when(first == F.col("name"), "parsed").otherwise("duplicate")
+    return own.withColumn("status", status).select("job_id", "name", "status", "n_chars", "content_hash", F.when(F.col("status") == "duplicate", first).alias("duplicate_of"), F.substring("_error", 1, 200).alias("detail"))
 
 
 def status_summary(report: DataFrame) -> DataFrame:
@@ -147,9 +154,11 @@ def write_index(vectors: DataFrame, path: str, model: str = "model") -> None:
     vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(model).parquet(path)
 
 
-def inspect_index(vectors: DataFrame) -> DataFrame:
-    """A12."""
-    return vectors.agg(F.count("*").alias("n"), F.count_distinct("resume_id").alias("n_resumes"))
+def inspect_index(vectors: DataFrame, key: str = "chunk_id", first: int = 5) -> DataFrame:
+    """How many vectors of how many resumes there are, and the keys of the ``first`` ones."""
+    total = vectors.agg(F.count("*").alias("n"), F.count_distinct("resume_id").alias("n_resumes"))
+    some = vectors.select(key).orderBy(key).limit(first).agg(F.array_sort(F.collect_list(key)).alias("first"))
+    return total.crossJoin(F.broadcast(some))  # one row each
 
 
 def uncovered(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -157,6 +166,17 @@ def uncovered(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
     return candidates.join(vectors.select("resume_id").distinct(), "resume_id", "left_anti")
 
 
+def cached(spark: SparkSession, texts: DataFrame, path: str, model: str, compute: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
+    """(key, ..) of all distinct texts. What the cache at ``path`` lacks is computed, by ``compute`` from (key, text), and
+    appended to it first, so the next call finds it."""
+    fs, of = file_system(spark, path)
+    known = spark.read.parquet(path) if fs.exists(of) else None
+    wanted = texts.select(text).distinct().withColumn("key", X.cache_key(model, F.col(text), 24))
+    new = wanted if known is None else wanted.join(known.select("key"), "key", "left_anti")
+    compute(new.select("key", F.col(text).alias("text"))).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(wanted.select("key"), "key", "left_semi")
+
+
 def to_compute(texts: DataFrame, cache: DataFrame, model: str, text: str = "text") -> DataFrame:
     """Distinct texts whose key (model and text) is not in the cache."""
     return texts.select(text).distinct().withColumn("key", X.cache_key(model, F.col(text), 24)).join(cache.select("key"), "key", "left_anti")
