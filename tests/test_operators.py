@@ -361,6 +361,24 @@ def test_dense_search_in_a_grid(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize(("block_chunks", "first"), [(1, 1), (4, 1), (4, 3), (1000, 1)])
+def test_block_max_is_exact(spark, block_chunks, first):
+    r = random.Random(block_chunks)
+    words = [f"w{k}" for k in range(25)]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randrange(0, 12))) + " common" * (k % 3 != 0)) for k in range(120)]
+    rows += [(500 + k, rows[7][1]) for k in range(4)]  # ties over the cut
+    d = spark.createDataFrame(rows, "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 w2"), (2, "common"), (3, "common w3 w4 w5"), (4, "unknown"), (5, rows[7][1])], "query_id long, text string")
+    key = lambda hits: sorted((x.query_id, x["rank"], x.chunk_id, round(x.score, 9)) for x in hits.collect())
+    assert key(X.bm25_block_max(d, asked, "chunk_id", "query_id", 5, block_chunks, first)) == key(X.bm25_search(d, asked, "chunk_id", "query_id", 5))
+
+
+def test_block_bounds_hold(spark):
+    asked = spark.createDataFrame([(1, "a", 2.0), (1, "b", -1.0), (2, "b", 1.0)], "query_id long, term string, weight double")
+    matched = spark.createDataFrame([(0, "a", 0.5), (0, "a", 1.5), (0, "b", 9.0), (1, "b", 0.25)], "block long, term string, part double")
+    assert {(x.query_id, x.block): x.upper for x in X.block_bounds(asked, matched).collect()} == {(1, 0): 3.0, (2, 0): 9.0, (2, 1): 0.25}
+
+
 def test_best_of_every_candidate(spark):
     hits = spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.7), (2, "b", 0.1)], "query_id long, candidate string, score double")
     every = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "candidate string")

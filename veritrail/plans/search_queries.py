@@ -51,6 +51,12 @@ def i3_bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return R.bm25_search(_docs(spark, d), _asked(spark, d), "doc_id", "item_id", 5).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_BM25} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM kw WHERE rank <= 10 AND score > 0")
+def i3_block_max(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best by bounds of blocks: exact."""
+    return R.bm25_block_max(_docs(spark, d), _asked(spark, d), "doc_id", "item_id", 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_BM25} SELECT query_id, kw.doc_id, q.term, round(plus, 3) AS idf, CAST(coalesce(tf, 0) AS BIGINT) AS tf FROM kw JOIN q USING (query_id) JOIN idf USING (term) LEFT JOIN tf ON tf.doc_id = kw.doc_id AND tf.term = q.term WHERE rank <= 2 AND score > 0")
 def i3b_bm25_explain(spark: SparkSession, d: str) -> DataFrame:
     docs, asked = _docs(spark, d), _asked(spark, d)
