@@ -54,6 +54,7 @@ def test_duplicates(spark):
     got = D.likely_duplicates(spark.createDataFrame(rows, "id long, resume_id string, job_id string, full_name string, email string"))
     assert {x.id: x.duplicate_of for x in got.collect()} == {1: None, 2: "r1", 3: "r1", 4: None, 5: None, 6: "r5", 7: None, 8: None, 9: None}
     assert {x.id: x.other_ids for x in D.group_members(got).collect()}[2] == ["r1", "r3"]
+    assert sorted(map(tuple, D.duplicate_groups(got).collect()), key=str) == [("j", "r1", "r1", 1, 3), ("j", "r1", "r2", 2, 3), ("j", "r1", "r3", 3, 3), (None, "r5", "r5", 1, 2), (None, "r5", "r6", 2, 2)]
 
 
 def spec(spark, **more):

@@ -205,9 +205,10 @@ def f12_duplicate_roots(spark: SparkSession, d: str) -> DataFrame:
     return duplicates(spark, d).groupBy(F.coalesce("duplicate_of", "resume_id").alias("root")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("SELECT a.resume_id, list(b.resume_id ORDER BY b.id) FILTER (WHERE b.resume_id IS NOT NULL) AS other_ids FROM dups a JOIN dups b ON coalesce(a.duplicate_of, a.resume_id) = coalesce(b.duplicate_of, b.resume_id) AND a.job_id = b.job_id AND a.id <> b.id GROUP BY a.resume_id", "dups")
+@query("SELECT resume_id, root, CAST(row_number() OVER (PARTITION BY job_id, root ORDER BY id) AS INTEGER) AS place, n_members FROM (SELECT *, coalesce(duplicate_of, resume_id) AS root, count(*) OVER (PARTITION BY job_id, coalesce(duplicate_of, resume_id)) AS n_members FROM dups) WHERE n_members > 1", "dups")
 def d16_duplicate_refs(spark: SparkSession, d: str) -> DataFrame:
-    return D.group_members(duplicates(spark, d)).where(F.size("other_ids") > 0).select("resume_id", "other_ids")
+    """Groups of likely duplicates, a row a member; ``i11_rank_response`` has the other members of each on a shortlist."""
+    return D.duplicate_groups(duplicates(spark, d)).select("resume_id", "root", "place", "n_members")
 
 
 @query("SELECT resume_id, count(*) OVER (PARTITION BY job_id, coalesce(duplicate_of, resume_id)) > 1 AS crowded FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY id) AS r FROM dups) WHERE r <= 100", "dups")
@@ -266,6 +267,12 @@ def g5_evidence_order(spark: SparkSession, d: str) -> DataFrame:
     return evidence(spark, d, filtered_once(spark, d)).groupBy("jd_id", "resume_id").agg(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["req_no"]).alias("req_nos"))
 
 
+@query("SELECT jd_id, resume_id, req_no, CAST(place AS INTEGER) AS place, substr(split_part(quote, chr(10), 1), 1, 64) AS preview FROM (SELECT *, row_number() OVER (PARTITION BY jd_id, resume_id ORDER BY round(score * weight, 9) DESC, req_no) AS place FROM ev) WHERE place <= 3", "ev")
+def b27_preview(spark: SparkSession, d: str) -> DataFrame:
+    """The three requirements that weigh most for a passer, each with a line of its evidence."""
+    return R.previews(evidence(spark, d, filtered_once(spark, d))).select("jd_id", "resume_id", "req_no", "place", "preview")
+
+
 @query("SELECT job_id, newest, CAST(row_number() OVER (ORDER BY newest DESC, job_id) AS INTEGER) AS place FROM (SELECT lang || '-' || source AS job_id, max(doc_id) AS newest FROM documents GROUP BY 1)")
 def g6_newest_first(spark: SparkSession, d: str) -> DataFrame:
     batches = table(spark, d, "documents").groupBy(F.concat_ws("-", "lang", "source").alias("job_id")).agg(F.max("doc_id").alias("newest"))

@@ -505,10 +505,15 @@ def e32_failure_cluster(spark: SparkSession, d: str) -> DataFrame:
     return own.orderBy(F.desc("n"), *keys).limit(1)
 
 
-@query(f"WITH {_SECTIONS}, c AS (SELECT * FROM s WHERE opens IS NULL) SELECT doc_id FROM c GROUP BY doc_id HAVING count(*) FILTER (WHERE trim(text) <> '') > 0 AND coalesce(arg_min(text, line_no) FILTER (WHERE section_seq = 0 AND section = 'HEADER'), '') = ''", "page_lines")
+SHARED["named_lines"] = (("page_lines",), "SELECT * FROM page_lines UNION ALL SELECT page_id, -1, 'Name ' || page_id, false, false, false, 10.0 FROM pages WHERE page_id % 4 <> 0")
+
+
+@query(f"WITH {_SECTIONS.replace('page_lines', 'named_lines')}, c AS (SELECT * FROM s WHERE opens IS NULL) SELECT doc_id FROM c GROUP BY doc_id HAVING count(*) FILTER (WHERE trim(text) <> '') > 0 AND coalesce(arg_min(text, line_no) FILTER (WHERE section_seq = 0 AND section = 'HEADER'), '') = ''", "named_lines")
 def e33_orphans(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with chunks that carry no candidate name: nothing stands before their first section."""
-    return G.chunks(section_lines(spark, d)).where(F.coalesce("candidate_name", F.lit("")) == "").select("doc_id").distinct()
+    """Pages with chunks that carry no candidate name: three in four begin with one before their first section."""
+    lines = section_lines(spark, d)
+    names = table(spark, d, "pages").where("page_id % 4 <> 0").select(F.col("page_id").alias("doc_id"), F.lit(-1).alias("line_no"), F.concat(F.lit("Name "), "page_id").alias("text"), F.lit(False).alias("is_bullet"), F.lit(False).alias("is_bold"), F.lit(False).alias("is_heading"), F.lit(10.0).alias("font_size"))
+    return G.chunks(lines.unionByName(names)).where(F.coalesce("candidate_name", F.lit("")) == "").select("doc_id").distinct()
 
 
 @query("SELECT lang, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents")

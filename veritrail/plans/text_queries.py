@@ -171,11 +171,6 @@ def b24_query_text(spark: SparkSession, d: str) -> DataFrame:
     return rubric(spark, d).groupBy("jd_id").agg(F.concat_ws(" ", ordered).alias("query"))
 
 
-@query("SELECT doc_id, line_no, substr(split_part(text, chr(10), 1), 1, 64) AS preview FROM turns", "turns")
-def b27_preview(spark: SparkSession, d: str) -> DataFrame:
-    return turns(spark, d).select("doc_id", "line_no", F.substring(F.split("text", "\n")[0], 1, 64).alias("preview"))
-
-
 @query("SELECT doc_id, string_agg(text, ' ' ORDER BY line_no) AS text, CAST(min(line_no) AS INTEGER) AS line_no FROM (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM (SELECT *, CASE WHEN coalesce(regexp_matches(lag(text) OVER w, '[.!?:;]$'), true) OR (upper(text[1]) = text[1] AND lower(text[1]) <> text[1]) THEN 1 ELSE 0 END AS starts FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))) GROUP BY doc_id, run", "lines")
 def f1_merge_wrapped(spark: SparkSession, d: str) -> DataFrame:
     lines = doc_lines(spark, d).withColumns({"is_bullet": F.lit(False), "font_size": F.lit(10.0), "page": F.lit(1)})
