@@ -121,3 +121,8 @@ def test_library_where_ids_are_not_in_merge_order(tmp_path):
 
 def test_empty_table(spark):
     assert m.token_alignment(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_blocks_without_tokens(spark, brute):
+    rows = [(1, ""), (2, None), (3, "▁")]
+    assert sorted(map(tuple, m.token_alignment(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())) == brute(rows)

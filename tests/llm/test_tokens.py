@@ -146,3 +146,12 @@ def test_other_tokenizers_go_through_the_library(tmp_path, docs):
     assert _Encoder(path).texts(pa.array(texts), b"\2\0\0\0") == [np.array([*t.encode(x, add_special_tokens=False).ids, 2], np.uint32).tobytes() for x in texts]
     with pytest.raises(ValueError, match="byte-level"):
         Merges(P.path("word_bpe_49k.json"))
+
+
+def test_special_strings_with_a_space_are_refused(tmp_path):
+    spec = json.load(open(P.path("byte_bpe_50k.json"), encoding="utf-8"))
+    spec["added_tokens"][0]["content"] = "<|end of text|>"
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="white space"):
+        Merges(str(path))

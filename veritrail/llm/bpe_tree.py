@@ -184,8 +184,9 @@ def decode_ids(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 def bpe_digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, decode the ids, digest both. Nothing is shuffled.
 
-    Both steps run in one Python worker, which holds the vocabulary once. Repeated rows are encoded each for itself; an
-    empty or null text has no ids and the digest of no bytes.
+    Both steps run in one Python worker, which holds the vocabulary once. Repeated rows and null ids are encoded each for
+    itself; an empty or null text has no ids and the digest of no bytes; a text of any length is encoded whole. Further
+    columns are not read; an empty table gives an empty result.
     """
     path = ranks or public_tokenizers.path(RANKS)
     prepare(docs.sparkSession)

@@ -53,6 +53,8 @@ class Merges:
         self.result = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.of_byte = np.array([vocab[x] for x in byte_letters()], np.int64)
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        if any(regex.search(r"\s", x) for x in self.special):
+            raise ValueError("a special string holds white space, so texts can't be cut there")
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -123,7 +125,8 @@ class Counter:
 def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every whole text; a null text counts as empty.
 
-    A narrow map: nothing is shuffled, repeated rows are counted each for itself.
+    A narrow map: nothing is shuffled, repeated rows and null ids are counted each for itself. A text of any length is cut at
+    spaces that no pre-token spans. Further columns are not read; an empty table gives an empty result.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     prepare(docs.sparkSession)
