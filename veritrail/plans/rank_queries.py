@@ -65,9 +65,9 @@ def best_chunks(spark: SparkSession, d: str, passed: DataFrame) -> DataFrame:
     """jd_id, req_no, resume_id, hit_score, quote: hybrid search within each passer, reranked, the best chunk of each."""
     soft = rubric(spark, d).where("kind = 'soft'").select((F.col("jd_id") * 1000 + F.col("req_no")).cast("long").alias("query_id"), "jd_id", "req_no", F.col("search_query").alias("text"))
     pairs = passed.where("passed").select("jd_id", F.col("id").cast("long").alias("doc_id")).join(soft.select("jd_id", "query_id"), "jd_id")
-    chunks = resume_chunks(spark, d)
+    chunks = stored(resume_chunks(spark, d).withColumn("tokens", T.tokens(F.col("text"))), "resume-tokens")
     terms = soft.select("query_id", "jd_id", "req_no", F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
-    own = chunks.select("chunk_id", "text", T.tokens(F.col("text")).alias("tokens"))
+    own = chunks.select("chunk_id", "text", "tokens")
     hits = S.hybrid_within(chunks, soft, pairs, 10, "doc_id").join(own, "chunk_id").join(terms, "query_id")
     best = S.rerank(hits, S.overlap_logit(F.col("asked"), F.col("tokens")), "chunk_id", 1, "rrf_score", within="doc_id")
     return best.select("jd_id", "req_no", F.concat(F.lit("c"), F.col("doc_id")).alias("resume_id"), F.col("score").alias("hit_score"), F.col("text").alias("quote"))
