@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from veritrail.functions import text as T
 from veritrail.operators import dedupe as D
 from veritrail.operators import evaluate as E
 from veritrail.operators import fairness as A
@@ -386,3 +387,27 @@ def test_best_of_every_candidate(spark):
     asked = spark.createDataFrame([(1,), (2,), (2,)], "query_id long")
     got = {(x.query_id, x.candidate): x.score for x in X.best_per_candidate(hits, every, asked).collect()}
     assert got == {(1, "a"): 0.7, (1, "b"): 0.0, (1, "c"): 0.0, (2, "a"): 0.0, (2, "b"): 0.1, (2, "c"): 0.0}
+
+
+@pytest.mark.parametrize(("group_rows", "query_rows"), [(4096, 128), (4, 128), (4096, 2)])
+def test_best_chunks_of_pairs(spark, monkeypatch, group_rows, query_rows):
+    """Fused and reranked where a group stands, the same as by the lists; a group's row holds numbers of queries, no texts."""
+    monkeypatch.setattr(X, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(X, "QUERY_ROWS", query_rows)
+    r = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta", "kappa", "c++", "node.js"]
+    rows = [(k, k % 4, " ".join(r.choice(words) for _ in range(r.randrange(0, 9)))) for k in range(60)] + [(60, 5, None), (61, 6, "alone"), (62, 7, "")]
+    d = spark.createDataFrame(rows, "chunk_id long, grp long, text string")
+    asked = spark.createDataFrame([(1, "alpha beta beta"), (2, "c++ node.js"), (3, "nothing"), (4, ""), (5, "the gamma")], "query_id long, text string")
+    p = asked.select("query_id").crossJoin(d.select("grp").distinct()).where("(query_id + grp) % 3 <> 0")
+    lists = X.lists_within(d, asked, p, 7, "grp")
+    fused = X.hybrid_within(d, asked, p, 4, "grp", depth=7)
+    tokens, terms = d.select("chunk_id", T.tokens(F.col("text")).alias("tokens")), asked.select("query_id", T.tokens(F.col("text")).alias("asked"))
+    again = X.rerank(fused.join(tokens, "chunk_id").join(terms, "query_id"), X.overlap_logit(F.col("asked"), F.col("tokens")), "chunk_id", 1, "rrf_score", within="grp")
+    want = {}
+    for base, df, score in (("dense", lists.where("list_index = 0"), "score"), ("bm25", lists.where("list_index = 1"), "score"), ("hybrid", fused, "rrf_score"), ("rerank", again, "score")):
+        want |= {(x.query_id, x.grp, base): (x.chunk_id, pytest.approx(x[score])) for x in df.where("rank = 1").collect()}
+    got = X.best_within(d, asked, p, 4, "grp", depth=7)
+    assert {(x.query_id, x.grp, x.base): (x.chunk_id, x.score) for x in got.collect()} == want and len(want) > 40
+    own = X._Within(d, asked, p, "grp", "chunk_id", "query_id").whole()
+    assert dict(own.dtypes)["queries"] == "array<bigint>"

@@ -95,12 +95,13 @@ def scored_requirements(filtered: DataFrame, rubric: DataFrame, hits: DataFrame
     retrieval, and there a quote below the floor is not shown. ``gate_database_quotes`` holds all quotes to the floor.
     """
     soft = rubric.where("kind = 'soft'").select("jd_id", "req_no", "weight", "canonical_skill", F.col("text").alias("requirement"))
-    own = filtered.where("passed").select("jd_id", "resume_id", "skills").join(soft, "jd_id")
+    # what the skills say is settled before hits come in, so that no list of skills moves with a pair
+    own = filtered.where("passed").select("jd_id", "resume_id", "skills").join(soft, "jd_id").withColumn("has", F.array_contains("skills", F.lower("canonical_skill"))).drop("skills")
     if hits is not None:
         own = own.join(hits.select("jd_id", "req_no", "resume_id", "hit_score", "quote"), ["jd_id", "req_no", "resume_id"], "left")
     else:
         own = own.withColumns({"hit_score": F.lit(None).cast("double"), "quote": F.lit(None).cast("string")})
-    named, has = F.col("canonical_skill").isNotNull(), F.array_contains("skills", F.lower("canonical_skill"))
+    named, has = F.col("canonical_skill").isNotNull(), F.col("has")
     score = F.when(named & has, IN_DATABASE).when(named, 0.0).otherwise(F.coalesce("hit_score", F.lit(0.0)))
     source = F.when(named & has, "database").when(named | F.col("hit_score").isNull(), "missing").otherwise("retrieval")
     above = F.col("hit_score") >= FLOOR
