@@ -72,7 +72,7 @@ def reasons(spec: str = "spec") -> Column:
     """Why a candidate fails; empty if it passes. ``spec`` is a struct of filter_spec beside the candidate's columns."""
     s = F.col(spec)
     # fixed values: the wording of reasons
-    years = F.when((F.coalesce(s["min_years"], F.lit(0)) > 0) & (F.col("months") / 12 < s["min_years"]), F.format_string("%.1f years, needs %d+", F.col("months") / 12, s["min_years"]))
+    years = F.when((F.coalesce(s["min_years"], F.lit(0)) > 0) & (F.col("months") / 12 < s["min_years"]), F.format_string("%.1f years, needs %d+", T.years_of(F.col("months")), s["min_years"]))
     degree = F.when(s["min_degree"].isNotNull() & (T.degree_rank(F.col("degree")) < T.degree_rank(s["min_degree"])), F.concat(F.col("degree"), F.lit(", needs "), s["min_degree"]))
     missing = F.transform(F.filter(s["required_skills"], lambda x: ~F.array_contains(F.col("skills"), F.lower(x))), lambda x: F.concat(F.lit("missing "), x))
     none = F.transform(F.filter(s["any_of"], lambda x: ~F.arrays_overlap(x, F.col("skills"))), lambda x: F.concat(F.lit("none of "), F.array_join(x, ", ")))
