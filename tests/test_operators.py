@@ -411,3 +411,24 @@ def test_best_chunks_of_pairs(spark, monkeypatch, group_rows, query_rows):
     assert {(x.query_id, x.grp, x.base): (x.chunk_id, x.score) for x in got.collect()} == want and len(want) > 40
     own = X._Within(d, asked, p, "grp", "chunk_id", "query_id").whole()
     assert dict(own.dtypes)["queries"] == "array<bigint>"
+
+
+def test_decimals_of_texts_are_half_to_even(spark):
+    """As printf in C writes them: by the exact value of a double, ties to even."""
+    df = spark.createDataFrame([(1, 2 / 64, 0.125, 3), (2, 1 / 32 + 1 / 1024, 0.355, None)], "id int, rrf double, s double, r int")
+    why = X.fusion_text(F.col("rrf"), F.create_map(F.lit(0), F.lit(4), F.lit(1), F.col("r")), F.create_map(F.lit(0), F.col("s"), F.lit(1), F.col("s")))
+    got = [x.why for x in df.select("id", why.alias("why")).orderBy("id").collect()]
+    assert got == ["rrf 0.0312  [semantic #4 (0.12), keyword #3 (0.12)]", "rrf 0.0322  [semantic #4 (0.35), keyword —]"]
+    row = spark.createDataFrame([("c", 3, "bachelor", ["a"])], "id string, months int, degree string, skills array<string>")
+    spec = spark.createDataFrame([(1, 1, None, [], [])], "jd_id int, min_years int, min_degree string, required_skills array<string>, any_of array<array<string>>")
+    assert R.hard_filtered(row, spec).first()["reasons"] == ["0.2 years, needs 1+"]
+
+
+def test_row_counts_count_a_skill_once(spark, tmp_path):
+    """A skill has two names in the vocabulary and is one row."""
+    from veritrail.plans import rank_queries as Q
+
+    for name, rows, schema in (("part", [(1, "Brand#1"), (2, "Brand#1"), (3, "Brand#2")], "p_partkey long, p_brand string"), ("lineitem", [(7, 1), (7, 3)], "l_orderkey long, l_partkey long"), ("customer", [(5, "n", "s")], "c_custkey long, c_name string, c_mktsegment string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(7, 5, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderpriority string").withColumn("o_orderdate", F.to_timestamp(F.lit("2020-01-01"))).write.parquet(f"{tmp_path}/orders.parquet")
+    assert Q.e12_row_counts(spark, str(tmp_path)).first().asDict() == {"candidates": 1, "candidate_skills": 2, "experience": 1, "skills": 2}
