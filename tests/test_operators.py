@@ -432,3 +432,10 @@ def test_row_counts_count_a_skill_once(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     spark.createDataFrame([(7, 5, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderpriority string").withColumn("o_orderdate", F.to_timestamp(F.lit("2020-01-01"))).write.parquet(f"{tmp_path}/orders.parquet")
     assert Q.e12_row_counts(spark, str(tmp_path)).first().asDict() == {"candidates": 1, "candidate_skills": 2, "experience": 1, "skills": 2}
+
+
+def test_dense_search_broadcasts_no_queries(spark):
+    """However small the blocks of queries are: they go to every bucket, and a broadcast would take them through the driver."""
+    v = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(40)], "id long, embedding array<double>")
+    plan = X.dense_search(v, v.where("id < 4"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -317,14 +317,10 @@ def candidate_rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFram
     asked, chunks = job_queries(spark, d), resume_chunks(spark, d)
     sets = stored(E.graded(graded_sets(spark, d)).select(F.col("jd_id").cast("long").alias("query_id"), F.col("id").alias("candidate"), "grade", (F.size(F.array_except("must", "skills")) == 0).alias("has_all"), "years_ok"), "graded-sets")
     pairs = chunks.select("doc_id").distinct().join(sets.select("query_id", F.col("candidate").alias("doc_id")), "doc_id")
-    lists = stored(R.lists_within(chunks, asked, pairs, 3 * RERANKED, "doc_id"), "candidate-lists")
-    fused = stored(R.fused(lists.withColumn("part", F.lit(1.0) / (R.RRF_K + F.col("rank"))), "chunk_id", ["query_id", "doc_id"]).where(F.col("rank") <= RERANKED).select("query_id", "doc_id", "chunk_id", "rank", "rrf_score"), "candidate-fused")
-    tokens, terms = chunks.select("chunk_id", T.tokens(F.col("text")).alias("tokens")), asked.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
-    reranked = R.rerank(fused.join(tokens, "chunk_id").join(terms, "query_id"), R.overlap_logit(F.col("asked"), F.col("tokens")), "chunk_id", 1, "rrf_score", within="doc_id")
-    best = {"dense": lists.where("list_index = 0 and rank = 1"), "bm25": lists.where("list_index = 1 and rank = 1"), "hybrid": fused.where("rank = 1").withColumn("score", F.col("rrf_score")), "rerank": reranked}
+    best = R.best_within(chunks, asked, pairs, RERANKED, "doc_id", depth=3 * RERANKED)
     # one pass over candidates: the scores of all methods side by side
-    hits = reduce(DataFrame.unionByName, [df.select(F.struct("query_id", F.lit(name).alias("base")).alias("query_id"), F.col("doc_id").alias("candidate"), "score") for name, df in best.items()])
-    methods = asked.select(F.explode(F.array(*[F.struct(F.col("query_id"), F.lit(name).alias("base")) for name in best])).alias("query_id"))
+    hits = best.select(F.struct("query_id", "base").alias("query_id"), F.col("doc_id").alias("candidate"), "score")
+    methods = asked.select(F.explode(F.array(*[F.struct(F.col("query_id"), F.lit(name).alias("base")) for name in R.BASES])).alias("query_id"))
     scores = R.best_per_candidate(hits, sets.select("candidate"), methods).select("query_id.query_id", "query_id.base", "candidate", "score")
     own = scores.join(sets.select("query_id", "candidate", (F.col("has_all") & F.col("years_ok")).alias("passes")), ["query_id", "candidate"])
     kinds = F.array(*[F.struct(F.lit(k).alias("config"), F.lit(b).alias("base"), F.lit(p).alias("pre")) for k, (b, p) in CONFIGURATIONS.items()])
