@@ -439,3 +439,25 @@ def test_dense_search_broadcasts_no_queries(spark):
     v = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(40)], "id long, embedding array<double>")
     plan = X.dense_search(v, v.where("id < 4"), 2)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_hits_of_blocks_come_pair_by_pair():
+    """A task holds the hits of one pair of blocks, however many pairs an Arrow batch has."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    blocks = [(list(range(9 * k, 9 * k + 9)), [int(x) for x in r.integers(0, 3, 9)], r.integers(-3, 4, (9, 4)).astype(float)) for k in range(4)]
+    asked = [1, 12, 30]
+    vectors = r.integers(-3, 4, (3, 4)).astype(float)
+    batch = pa.RecordBatch.from_pylist([{"q_ids": asked, "q_cells": vectors.tobytes(), "ids": i, "groups": g, "cells": v.tobytes()} for i, g, v in blocks])
+    for same in (True, False):
+        got = list(X._matched(iter([batch]), 2, same))
+        assert len(got) == 4
+        for (ids, groups, cells), rows in zip(blocks, got, strict=True):
+            want = []
+            for q, v in zip(asked, vectors, strict=True):
+                for g in sorted(set(groups)):
+                    own = sorted((-float(v @ c), i) for i, h, c in zip(ids, groups, cells, strict=True) if h == g and (same or i != q))
+                    want += [(q, i, g, -s) for s, i in own[:2]]
+            assert sorted(tuple(x.values()) for x in rows.to_pylist()) == sorted(want)
