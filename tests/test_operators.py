@@ -461,3 +461,20 @@ def test_hits_of_blocks_come_pair_by_pair():
                     own = sorted((-float(v @ c), i) for i, h, c in zip(ids, groups, cells, strict=True) if h == g and (same or i != q))
                     want += [(q, i, g, -s) for s, i in own[:2]]
             assert sorted(tuple(x.values()) for x in rows.to_pylist()) == sorted(want)
+
+
+def test_keyword_search_ranks_where_chunks_stand(spark, monkeypatch):
+    """A task hands on its n best of each query, copies and all, also with queries in blocks and matches in small slices."""
+    r = random.Random(11)
+    words = ["alpha", "beta", "gamma", "node.js", "c++", "the", "delta-x"]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randrange(6)))) for i in range(300)] + [(1000 + i, "alpha beta") for i in range(200)] + [(2000, None)]
+    d = spark.createDataFrame(docs, "chunk_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(q, " ".join(r.choice(words) for _ in range(3))) for q in range(9)] + [(9, "unknown")], "query_id long, text string")
+    key = lambda df: sorted((x.query_id, x["rank"], x.chunk_id, round(x.score, 9)) for x in df.collect())
+    want = key(X.top(X.bm25(d, asked, "chunk_id", "query_id"), 7, ["query_id"], "chunk_id").where("score > 0"))
+    for queries, matches in ((512, 1 << 20), (2, 5)):
+        monkeypatch.setattr(X, "KEYWORD_QUERIES", queries)
+        monkeypatch.setattr(X, "MATCHES", matches)
+        assert key(X.bm25_search(d, asked, "chunk_id", "query_id", 7)) == want and want
+    plan = X.bm25_search(d, asked, "chunk_id", "query_id", 7)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and "chunk_id#" not in plan.split("hashpartitioning(", 1)[1].split(")")[0]
