@@ -157,6 +157,25 @@ def test_ingest_touches_only_the_buckets_of_a_batch(spark, tmp_path):
     assert {x.text for x in current(spark, index).where("doc_id = 5").collect()} == {"b"} and current(spark, index).count() == 40
 
 
+def test_ingest_writes_again_only_what_a_batch_replaces(spark, tmp_path, monkeypatch):
+    """New documents leave pieces as they are; replaced ones take theirs along; a bucket with many pieces becomes one."""
+    index = str(tmp_path / "index")
+    up = lambda rows, k: I.upsert(spark.createDataFrame(rows, "doc_id long, text string"), k, index, 2)
+    pieces = lambda k, t="chunks": {x for own in I._read(spark, I._manifests(spark, index)[k])["folders"][t].values() for x in own}
+    up([(k, f"text {k}") for k in range(20)], 0)
+    up([(k, f"text {k}") for k in range(100, 120)], 1)
+    assert all(pieces(0, t) < pieces(1, t) and len(pieces(1, t)) == 4 for t in I.TABLES)
+    up([(5, "a"), (5, "b"), (7, None), (100, "")], 2)
+    left = {k: f"text {k}" for k in [*range(20), *range(100, 120)] if k not in (7, 100)} | {5: "b"}
+    assert {x.doc_id: x.text for x in current(spark, index).collect()} == left and len(pieces(2) & pieces(0)) < 2
+    monkeypatch.setattr(I, "CHANGES", 2)
+    up([(k, f"text {k}") for k in range(200, 220)], 3)
+    left |= {k: f"text {k}" for k in range(200, 220)}
+    assert len(pieces(3)) < 6 and {x.doc_id: x.text for x in current(spark, index).collect()} == left
+    df, n, length = I.statistics(spark, index)
+    assert (n, length, {x.term: x.df for x in df.collect()}["text"]) == (len(left), 2 * len(left) - 1, len(left) - 1)
+
+
 def test_two_streams_into_one_index(spark, tmp_path):
     """Each stream numbers its batches from 0 in a checkpoint of its own; none is taken for the other's."""
     schema, index = StructType.fromDDL("doc_id long, text string"), str(tmp_path / "index")

@@ -194,9 +194,27 @@ def chunks(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def flat_chunks(docs: DataFrame, max_chars: int = MAX_FLAT) -> DataFrame:
-    """Documents without structure: their lines packed; (doc_id, part_index, text). Blank parts go."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"), F.lit(False).alias("is_bullet"))
-    return packed(lines, ["doc_id"], max_chars).select("doc_id", "part_index", part_text(F.col("part")).alias("text")).where(F.trim("text") != "")
+    """Documents without structure: their lines packed; (doc_id, part_index, text). Blank parts go.
+
+    The parts are those of ``packed``; as a document is one row, they are made where it stands and nothing is shuffled.
+    """
+    prepare(docs.sparkSession)
+    schema = ST.StructType([docs.schema["doc_id"], ST.StructField("part_index", ST.IntegerType()), ST.StructField("text", ST.StringType())])
+    return docs.where("text is not null").select("doc_id", "text").mapInArrow(lambda it: _flat(it, max_chars), schema).where(F.trim("text") != "")
+
+
+def _flat(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, place, texts = [], [], []
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            lines = text.split("\n")
+            sizes = [len(x) + 1 for x in lines]
+            starts = _full(sizes, sizes[:3], limit)
+            for i, (start, end) in enumerate(zip(starts, [*starts[1:], len(lines)], strict=True)):
+                row.append(k)
+                place.append(i + 1)
+                texts.append("\n".join(lines[start:end] if not i else lines[:3] + lines[start:end]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(place, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "part_index", "text"])
 
 
 def rebuilt(chunked: DataFrame, key: str = "doc_id") -> DataFrame:
