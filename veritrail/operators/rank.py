@@ -125,11 +125,16 @@ def shortlist(scores: DataFrame, size: int | None = None, include_excluded: bool
     return ranked if include_excluded else ranked.where("passed")
 
 
+def preview(quote: Column, width: int = 64) -> Column:
+    """The first line of a quote, cut; that of a preview is the same again."""
+    return F.substring(F.split(quote, "\n")[0], 1, width)
+
+
 def previews(evidence: DataFrame, n: int = 3, width: int = 64) -> DataFrame:
     """Of each passer the n requirements with the highest weighted score, and the first line of their quote, cut."""
     order = Window.partitionBy("jd_id", "resume_id").orderBy(F.round(F.col("score") * F.col("weight"), 9).desc(), "req_no")
     own = evidence.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
-    return own.withColumn("preview", F.substring(F.split("quote", "\n")[0], 1, width))
+    return own.withColumn("preview", preview(F.col("quote"), width))
 
 
 def response(ranked: DataFrame, evidence: DataFrame, size: int) -> DataFrame:
